@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -14,31 +14,35 @@ from custodia import vocab
 
 @dataclass(frozen=True)
 class Expectation:
-    """``failed`` is true for a row that breaks the expectation, or for the whole table's row count."""
+    """``failed`` makes a column that is true for a row that breaks the expectation.
+
+    A factory, so suites can be declared before there is a session. With
+    ``on_row_count`` it looks at the whole table's row count ``_n`` instead.
+    """
 
     name: str
-    failed: Column
+    failed: Callable[[], Column]
     on_row_count: bool = False
 
 
 def not_null(column: str) -> Expectation:
-    return Expectation(f"not_null({column})", F.col(column).isNull())
+    return Expectation(f"not_null({column})", lambda: F.col(column).isNull())
 
 
 def accepted(column: str, values: Sequence) -> Expectation:
-    return Expectation(f"accepted({column})", ~F.col(column).isin(*values))
+    return Expectation(f"accepted({column})", lambda: ~F.col(column).isin(*values))
 
 
 def between(column: str, low, high) -> Expectation:
-    return Expectation(f"between({column})", ~F.col(column).between(low, high))
+    return Expectation(f"between({column})", lambda: ~F.col(column).between(low, high))
 
 
 def matches(column: str, regex: str) -> Expectation:
-    return Expectation(f"matches({column})", ~F.col(column).rlike(regex))
+    return Expectation(f"matches({column})", lambda: ~F.col(column).rlike(regex))
 
 
 def row_count_between(low: int, high: int) -> Expectation:
-    return Expectation("row_count", ~F.col("_n").between(low, high), on_row_count=True)
+    return Expectation("row_count", lambda: ~F.col("_n").between(low, high), on_row_count=True)
 
 
 def expect(df: DataFrame, suite: Sequence[Expectation]) -> DataFrame:
@@ -46,14 +50,14 @@ def expect(df: DataFrame, suite: Sequence[Expectation]) -> DataFrame:
     per_row = [e for e in suite if not e.on_row_count]
     counts = df.agg(
         F.count(F.lit(1)).alias("_n"),
-        *[F.count_if(e.failed).alias(f"_f{i}") for i, e in enumerate(per_row)],
+        *[F.count_if(e.failed()).alias(f"_f{i}") for i, e in enumerate(per_row)],
     )
     rows = [
         F.struct(F.lit(e.name).alias("expectation"), F.col("_n").alias("evaluated"), F.col(f"_f{i}").alias("failed"))
         for i, e in enumerate(per_row)
     ] + [
         F.struct(F.lit(e.name).alias("expectation"), F.lit(1).cast("bigint").alias("evaluated"),
-                 e.failed.cast("bigint").alias("failed"))
+                 e.failed().cast("bigint").alias("failed"))
         for e in suite
         if e.on_row_count
     ]

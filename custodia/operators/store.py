@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,15 +106,20 @@ LEGAL_TRANSITIONS = (
 )
 
 
+def is_legal(state: str, previous: str = "previous") -> Column:
+    return reduce(
+        lambda hit, pair: hit | ((F.col(previous) == pair[0]) & (F.col(state) == pair[1])),
+        LEGAL_TRANSITIONS,
+        F.lit(False),
+    )
+
+
 def transition_counts(pairs: DataFrame, state: str) -> DataFrame:
-    legal = F.lit(False)
-    for a, b in LEGAL_TRANSITIONS:
-        legal = legal | ((F.col("previous") == a) & (F.col(state) == b))
     return (
         pairs.where(F.col("previous").isNotNull())
         .groupBy("previous", state)
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("legal", legal)
+        .withColumn("legal", is_legal(state))
     )
 
 

@@ -1,6 +1,15 @@
 """Importing this module registers every query."""
 
-from custodia.plans import pii_queries  # noqa: F401
+from custodia.plans import (  # noqa: F401
+    corpus_queries,
+    job_queries,
+    pii_queries,
+    quality_queries,
+    rule_queries,
+    store_queries,
+    stream_queries,
+    synth_queries,
+)
 from custodia.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
