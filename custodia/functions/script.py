@@ -11,15 +11,22 @@ from pyspark.sql import functions as F
 from custodia import vocab
 from custodia.functions.text import regex_extract_all
 
-# A statement starts a line or follows ; or : on it.
-IMPORT_LIST = r"(?m)(?:^|[;:])[ \t]*import[ \t]+([^\n;#]+)"
-IMPORT_FROM = r"(?m)(?:^|[;:])[ \t]*from[ \t]+\.*([A-Za-z_][\w.]*)[ \t]+import\b"
-DOTTED_NAME = r"^[ \t(]*([A-Za-z_][\w.]*)"
+# A statement starts a line or follows ; or : on it. The code is searched with a line
+# break put before it, so that one character class tells where a match can start.
+IMPORT_LIST = r"[\n\r;:][ \t]*import[ \t]+([^\n\r;#]+)"
+IMPORT_FROM = r"[\n\r;:][ \t]*from[ \t]+\.*([A-Za-z_][\w.]*)[ \t]+import\b"
+IMPORT_FROM_TOP = r"[\n\r;:][ \t]*from[ \t]+\.*([A-Za-z_]\w*)[\w.]*[ \t]+import\b"
+# after the lists are joined by commas, every name follows the start or a comma
+LISTED_NAME = r"(?:^|,)[ \t(]*([A-Za-z_][\w.]*)"
+LISTED_TOP = r"(?:^|,)[ \t(]*([A-Za-z_]\w*)"
+# a quoted word; only words of two or more characters that start otherwise than _ are captured
+QUOTED_COLUMN = r"""['"](?:_\w*|\w|([A-Za-z0-9]\w+))['"]"""
 
 DEF = r"^def[ \t]+\w+[ \t]*\("
 DEF_BLOCK = r"(?m)(?:^@[^\n]*\n)*^def[ \t]+\w+[ \t]*\("
 DEF_NAME = r"(?m)^def[ \t]+(\w+)"
 DEF_ARGS = r"(?m)^def[ \t]+\w+[ \t]*\(([^)]*)\)"
+FUNCTION_TYPE = "array<struct<name:string,decorators:array<string>,line_no:int,args:array<string>>>"
 DECORATOR = r"(?m)^@([\w.]+)[ \t]*$"
 
 
@@ -27,27 +34,35 @@ def array_of(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def without_nulls(values: Column) -> Column:
+    """Distinct values in order, without nulls."""
+    return F.array_except(values, F.array(F.lit(None).cast("string")))
+
+
 def sorted_set(values: Column) -> Column:
-    return F.array_sort(F.array_distinct(values))
+    return F.sort_array(F.array_distinct(values))
 
 
 def top_module(dotted: Column) -> Column:
     return F.substring_index(dotted, ".", 1)
 
 
+def _statements(code: Column, regex: str) -> Column:
+    return regex_extract_all(F.concat(F.lit("\n"), code), regex, 1)
+
+
+def _listed(code: Column, regex: str) -> Column:
+    return regex_extract_all(F.array_join(_statements(code, IMPORT_LIST), ","), regex, 1)
+
+
 def imported_names(code: Column) -> Column:
     """Dotted module names, ``import a, b.c as d`` and ``from e.f import g`` alike."""
-    listed = F.flatten(
-        F.transform(regex_extract_all(code, IMPORT_LIST, 1), lambda names: F.split(names, ","))
-    )
-    plain = F.transform(listed, lambda name: F.regexp_extract(name, DOTTED_NAME, 1))
-    return F.filter(
-        F.concat(plain, regex_extract_all(code, IMPORT_FROM, 1)), lambda name: name != ""
-    )
+    return F.concat(_listed(code, LISTED_NAME), _statements(code, IMPORT_FROM))
 
 
 def imports(code: Column) -> Column:
-    return sorted_set(F.transform(imported_names(code), top_module))
+    """Top-level modules, sorted."""
+    return sorted_set(F.concat(_listed(code, LISTED_TOP), _statements(code, IMPORT_FROM_TOP)))
 
 
 def functions(code: Column) -> Column:
@@ -66,7 +81,7 @@ def functions(code: Column) -> Column:
             lambda a: a != "",
         )
 
-    return F.transform(
+    found = F.transform(
         F.arrays_zip(blocks.alias("block"), lines.alias("at"), args.alias("args")),
         lambda f: F.struct(
             F.regexp_extract(f["block"], DEF_NAME, 1).alias("name"),
@@ -77,6 +92,8 @@ def functions(code: Column) -> Column:
             names(F.coalesce(f["args"], F.lit(""))).alias("args"),
         ),
     )
+    none = F.from_json(F.lit("[]"), FUNCTION_TYPE)
+    return F.when(contains(code, "def "), found).otherwise(none)
 
 
 def names_with_decorator(found: Column, decorator: str) -> Column:
@@ -88,15 +105,12 @@ def names_with_decorator(found: Column, decorator: str) -> Column:
 def transforms(code: Column) -> Column:
     """Recognised method calls: a dot, the name, an opening bracket."""
     called = regex_extract_all(code, r"\.(\w+)\s*\(", 1)
-    return F.array_sort(F.array_intersect(called, array_of(vocab.TRANSFORMS)))
+    return F.sort_array(F.array_intersect(called, array_of(vocab.TRANSFORMS)))
 
 
 def columns(code: Column) -> Column:
     """Quoted words of two or more characters that do not start with an underscore."""
-    words = regex_extract_all(code, r"""['"](\w+)['"]""", 1)
-    return sorted_set(
-        F.filter(words, lambda w: (F.length(w) > 1) & ~F.startswith(w, F.lit("_")))
-    )
+    return sorted_set(F.array_remove(regex_extract_all(code, QUOTED_COLUMN, 1), ""))
 
 
 def job_type(found: Column) -> Column:
@@ -123,14 +137,30 @@ def contains_any(code: Column, words: Sequence[str]) -> Column:
     return hit
 
 
+def write_open(code: Column) -> Column:
+    return contains(code, "open") & code.rlike(vocab.WRITE_OPEN)
+
+
+def select_star(code: Column) -> Column:
+    return contains(code, "select") & code.rlike(vocab.SELECT_STAR)
+
+
 def whole_words(words: Sequence[str]) -> str:
     return r"\b(?:" + "|".join(re.escape(w) for w in words) + r")\b"
 
 
 def present(code: Column, words: Sequence[str]) -> Column:
     """The given words that occur in the code, in the given order, as an array."""
-    flags = F.array(*[F.struct(F.lit(w).alias("w"), contains(code, w).alias("hit")) for w in words])
-    return F.transform(F.filter(flags, lambda f: f["hit"]), lambda f: f["w"])
+    return without_nulls(F.array(*[F.when(contains(code, w), w) for w in words]))
+
+
+def one_row_each(values: Column) -> Column:
+    """Rows from an array of structs that is never empty.
+
+    The outer form, because the plain one makes Spark ask for ``size(array) > 0``
+    below the projection, and with that compute the whole array a second time.
+    """
+    return F.inline_outer(values)
 
 
 def joined(values: Column) -> Column:

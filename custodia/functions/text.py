@@ -167,9 +167,8 @@ def run_id(source: Column, target: Column, version: Column, day: Column) -> Colu
 
 def line_count(text: Column) -> Column:
     """Lines as a text editor counts them: a closing line break starts no further line."""
-    unified = F.regexp_replace(
-        text, r"\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]", "\n"
-    )
+    other = r"[\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
+    unified = F.when(text.rlike(other), F.regexp_replace(text, rf"\r\n|{other}", "\n")).otherwise(text)
     breaks = F.length(unified) - F.length(F.replace(unified, F.lit("\n"), F.lit("")))
     open_end = (F.length(unified) > 0) & ~F.endswith(unified, F.lit("\n"))
     return (breaks + F.when(open_end, 1).otherwise(0)).cast("int")

@@ -38,8 +38,12 @@ def facts(df: DataFrame, code: str = "code") -> DataFrame:
 
 
 def items(df: DataFrame, values: Column, name: str, *ids: str) -> DataFrame:
-    """One row per subject and array element."""
-    return df.select(*ids, F.explode(values).alias(name))
+    """One row per subject and array element; subjects without elements have no rows.
+
+    Outer explode and a filter after it: the plain one would compute the array twice
+    (see ``script.one_row_each``).
+    """
+    return df.select(*ids, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())
 
 
 def column_index(df: DataFrame, code: str = "code", subject: str = "script_id") -> DataFrame:
@@ -82,7 +86,7 @@ def phi_columns(
     """Health-information columns among the personal ones, and whether the script masks at all."""
     found = df.select(
         subject,
-        F.array_sort(
+        F.sort_array(
             F.array_intersect(
                 F.transform(pii.pii_columns(F.col(code)), lambda c: F.lower(c)), S.array_of(phi)
             )
@@ -109,8 +113,9 @@ def dangerous_patterns(df: DataFrame, code: str, subject: str) -> DataFrame:
     """Every dangerous pattern of every script, not only the first."""
     c = F.col(code)
     extra = F.array(
-        F.when(c.rlike(vocab.WRITE_OPEN), "write-mode open"), F.when(c.rlike(vocab.NETWORK), "network call")
+        F.when(S.write_open(c), "write-mode open"),
+        F.when(S.contains_any(c, vocab.NETWORK), "network call"),
     )
     return items(
-        df, F.array_compact(F.concat(S.present(c, vocab.DANGEROUS), extra)), "pattern", subject
+        df, S.without_nulls(F.concat(S.present(c, vocab.DANGEROUS), extra)), "pattern", subject
     )

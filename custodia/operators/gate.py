@@ -15,7 +15,8 @@ from custodia.functions import text as T
 def _first_dangerous(code: Column, mode: str) -> Column:
     """The first dangerous name in the code. Reference mode matches inside longer words too."""
     if mode == "strict":
-        return F.nullif(F.regexp_extract(code, S.whole_words(vocab.DANGEROUS), 0), F.lit(""))
+        word = F.regexp_extract(code, S.whole_words(vocab.DANGEROUS), 0)
+        return F.when(S.contains_any(code, vocab.DANGEROUS), F.nullif(word, F.lit("")))
     return F.coalesce(*[F.when(S.contains(code, w), w) for w in vocab.DANGEROUS])
 
 
@@ -44,10 +45,10 @@ def gate(
             F.when(tokens > max_tokens, "SIZE_CHECK")
             .when(~F.is_valid_utf8(raw), "ENCODING_CHECK")
             .when(F.col("_danger").isNotNull(), "DANGEROUS_PATTERN")
-            .when(clean.rlike(vocab.WRITE_OPEN), "DANGEROUS_WRITE")
-            .when(clean.rlike(vocab.NETWORK), "NETWORK_CALL")
-            .when(F.size(outside) > 0, "IMPORT_WHITELIST")
-            .when(clean.rlike(vocab.TRAVERSAL), "PATH_TRAVERSAL"),
+            .when(S.write_open(clean), "DANGEROUS_WRITE")
+            .when(S.contains_any(clean, vocab.NETWORK), "NETWORK_CALL")
+            .when(F.size(F.array_except(S.imports(clean), S.array_of(allowed))) > 0, "IMPORT_WHITELIST")
+            .when(S.contains_any(clean, vocab.TRAVERSAL), "PATH_TRAVERSAL"),
         )
     )
     rule = F.col("rule_violated")

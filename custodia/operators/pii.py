@@ -45,7 +45,7 @@ def scan_text(
         ]
     )
     return (
-        matched.select(*ids, F.inline(found))
+        matched.select(*ids, S.one_row_each(found))
         .where(F.col("n") > 0)
         .select(*ids, "type", "n", "score", T.sample(F.col("first")).alias("sample"), F.lit("regex").alias("source"))
     )
@@ -138,7 +138,7 @@ def exposure(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
     rows = F.array(
         *[F.struct(F.lit(c).alias("column_name"), F.col(f"_v_{c}").alias("n_values")) for c in columns]
     )
-    return counts.select(F.lit(table).alias("table_name"), F.col("_n").alias("n_rows"), F.inline(rows))
+    return counts.select(F.lit(table).alias("table_name"), F.col("_n").alias("n_rows"), S.one_row_each(rows))
 
 
 def profile(
@@ -167,7 +167,7 @@ def profile(
     scores = F.create_map(
         *[x for k in kinds for x in (F.lit(k), F.lit(vocab.PATTERN_BY_KIND[k].score))]
     )
-    long = totals.select(F.lit(table).alias("table_name"), F.col("_n").alias("n_rows"), F.inline(rows))
+    long = totals.select(F.lit(table).alias("table_name"), F.col("_n").alias("n_rows"), S.one_row_each(rows))
     hit = F.col("rows_hit") > 0
     return long.select(
         "table_name",
@@ -199,9 +199,9 @@ def summary(
         ]
     )
     values = (
-        matched.select(group, F.inline(lists))
+        matched.select(group, S.one_row_each(lists))
         .where(F.size("values") > 0)
-        .select(group, "type", F.posexplode("values").alias("_pos", "_value"))
+        .select(group, "type", F.posexplode_outer("values").alias("_pos", "_value"))
     )
     return values.groupBy(group, "type").agg(
         F.count_if(F.col("_pos") == 0).alias("subjects_hit"),
@@ -222,8 +222,9 @@ def scan_terms(
     if max_literals is not None:
         literals = F.slice(literals, 1, max_literals)
     words = (
-        df.select(*ids, F.posexplode(literals).alias("literal_no", "_literal"))
-        .select(*ids, "literal_no", F.posexplode(F.split("_literal", r"\W+")).alias("word_no", "term"))
+        df.select(*ids, F.posexplode_outer(literals).alias("literal_no", "_literal"))
+        .where(F.col("_literal").isNotNull())
+        .select(*ids, "literal_no", F.posexplode_outer(F.split("_literal", r"\W+")).alias("word_no", "term"))
         .where(F.col("term") != "")
     )
     return words.join(terms.select("term", "label").distinct(), "term").select(

@@ -61,7 +61,7 @@ def expect(df: DataFrame, suite: Sequence[Expectation]) -> DataFrame:
         for e in suite
         if e.on_row_count
     ]
-    return counts.select(F.inline(F.array(*rows))).select(
+    return counts.select(F.inline_outer(F.array(*rows))).select(
         "*",
         F.when(F.col("evaluated") > 0, F.col("failed") / F.col("evaluated")).alias("share"),
         F.when(F.col("failed") > 0, "fail").otherwise("pass").alias("status"),
@@ -110,7 +110,7 @@ def check_required(
             for c in columns
         ]
     )
-    return counts.select(F.col("_n").alias("n_rows"), F.inline(rows)).withColumn(
+    return counts.select(F.col("_n").alias("n_rows"), F.inline_outer(rows)).withColumn(
         "status",
         F.when((F.col("n_null") > 0) & F.col("default_value").isNull(), "fail")
         .when(F.col("n_null") > 0, "defaulted")
@@ -158,7 +158,7 @@ def conformity(
     wanted = [c for c, _, _ in contract]
     rows = [row(c, t) for c, t, _ in contract] + [row(c, None) for c in actual if c not in wanted]
     return counts.select(
-        F.lit(table).alias("table_name"), F.col("_n").alias("n_rows"), F.inline(F.array(*rows))
+        F.lit(table).alias("table_name"), F.col("_n").alias("n_rows"), F.inline_outer(F.array(*rows))
     )
 
 
@@ -209,11 +209,21 @@ def row_digest(columns: Sequence[str]) -> Column:
     return F.conv(F.substring(F.sha2(F.concat(*parts), 256), 1, 15), 16, 10).cast("decimal(38,0)")
 
 
-def fingerprint(df: DataFrame, label: str, columns: Sequence[str] | None = None) -> DataFrame:
+def quick_digest(columns: Sequence[str]) -> Column:
+    """A 64-bit hash of the row: enough to compare two copies, and far cheaper than SHA-256."""
+    return F.xxhash64(*columns).cast("decimal(38,0)")
+
+
+def fingerprint(
+    df: DataFrame,
+    label: str,
+    columns: Sequence[str] | None = None,
+    digest: Callable[[Sequence[str]], Column] = row_digest,
+) -> DataFrame:
     """Row count and order-free sum of row digests: equal tables have equal fingerprints."""
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.coalesce(F.sum(row_digest(columns or df.columns)), F.lit(0))
+        F.coalesce(F.sum(digest(columns or df.columns)), F.lit(0))
         .cast("decimal(38,0)")
         .cast("string")
         .alias("fingerprint"),

@@ -35,31 +35,24 @@ def profile_table(spark: SparkSession) -> DataFrame:
     )
 
 
-def _verdicts(code: Column, lower: Column, pii_columns: Column) -> dict[str, tuple[Column, str, Column | None]]:
-    """Rule id -> (is violated, status when violated, what to name in the detail)."""
+def _violations(code: Column, lower: Column) -> dict[str, tuple[Column, str, str | None]]:
+    """Rule id -> (is violated, status when violated, column that names the offenders)."""
     unmasked = ~S.contains(code, "mask_pii")
-    phi = F.array_sort(
-        F.array_intersect(
-            F.transform(pii_columns, lambda c: F.lower(c)), S.array_of(vocab.PHI_NAMES)
-        )
-    )
-    missing = corpus.missing_audit_columns(code)
-    validated = (
-        S.contains_any(code, ("StructType", "assert", "expect"))
-        | S.contains_any(lower, ("schema", "validate"))
+    validated = S.contains_any(code, ("StructType", "assert", "expect")) | S.contains_any(
+        lower, ("schema", "validate")
     )
     idempotent = S.contains(F.upper(code), "MERGE") | S.contains_any(lower, ("idempotent", "overwrite"))
     return {
-        "GDPR-001": ((F.size(pii_columns) > 0) & unmasked, "fail", pii_columns),
+        "GDPR-001": ((F.size("_pii_columns") > 0) & unmasked, "fail", "_pii_columns"),
         "GDPR-002": (~S.contains(lower, "retention"), "warn", None),
         "GDPR-003": (S.contains_any(lower, vocab.CROSS_BORDER_WORDS), "warn", None),
-        "HIPAA-001": ((F.size(phi) > 0) & unmasked, "fail", phi),
+        "HIPAA-001": ((F.size("_phi_columns") > 0) & unmasked, "fail", "_phi_columns"),
         "HIPAA-002": (~S.contains(lower, "encrypt"), "warn", None),
-        "SOX-001": (F.size(missing) > 0, "fail", missing),
+        "SOX-001": (F.size("_missing_audit") > 0, "fail", "_missing_audit"),
         "SOX-002": (~idempotent, "warn", None),
         "ETL-001": (~validated, "warn", None),
-        "ETL-002": (code.rlike(vocab.NOW_CALL) & ~S.contains(code, "run_id"), "warn", None),
-        "ETL-003": (code.rlike(vocab.SELECT_STAR), "warn", None),
+        "ETL-002": (S.contains_any(code, vocab.NOW_CALL) & ~S.contains(code, "run_id"), "warn", None),
+        "ETL-003": (S.select_star(code), "warn", None),
     }
 
 
@@ -69,18 +62,33 @@ def with_checks(
     """Add ``checks``: one struct per rule, in rule order, all from one pass over the code.
 
     ``profiles`` is an array column of active profiles; rules for ``all`` always apply.
+    Each rule is decided once, into a boolean column the structs then read.
     """
     c = F.col(code)
+    columns = pii.pii_columns(c) if pii_columns is None else pii_columns
     staged = df.withColumns(
         {
             "_lower": F.lower(c),
-            "_pii_columns": pii.pii_columns(c) if pii_columns is None else pii_columns,
+            "_pii_columns": columns,
+            "_missing_audit": corpus.missing_audit_columns(c),
         }
+    ).withColumn(
+        "_phi_columns",
+        F.when(
+            F.size("_pii_columns") > 0,
+            F.sort_array(
+                F.array_intersect(
+                    F.transform("_pii_columns", lambda n: F.lower(n)), S.array_of(vocab.PHI_NAMES)
+                )
+            ),
+        ).otherwise(F.col("_pii_columns")),
     )
-    verdicts = _verdicts(c, F.col("_lower"), F.col("_pii_columns"))
+    violations = _violations(c, F.col("_lower"))
+    decided = staged.withColumns({f"_hit_{r}": hit for r, (hit, _, _) in violations.items()})
 
     def check(rule: vocab.Rule) -> Column:
-        violated, status, named = verdicts[rule.rule_id]
+        _, status, named = violations[rule.rule_id]
+        hit = F.col(f"_hit_{rule.rule_id}")
         passed_text, violated_text, remediation = vocab.RULE_TEXTS[rule.rule_id]
         detail = F.lit(violated_text)
         if named is not None:
@@ -89,9 +97,9 @@ def with_checks(
             F.lit(rule.rule_id).alias("rule_id"),
             F.lit(rule.name).alias("name"),
             F.lit(rule.profile).alias("profile"),
-            F.when(violated, status).otherwise("pass").alias("status"),
-            F.when(violated, detail).otherwise(passed_text).alias("detail"),
-            F.when(violated, remediation).otherwise("").alias("remediation"),
+            F.when(hit, status).otherwise("pass").alias("status"),
+            F.when(hit, detail).otherwise(passed_text).alias("detail"),
+            F.when(hit, remediation).otherwise("").alias("remediation"),
             F.lit(rule.auto_fix).alias("auto_fix"),
             F.lit(rule.severity).alias("severity"),
         )
@@ -101,12 +109,14 @@ def with_checks(
         checks = F.filter(
             checks, lambda x: (x["profile"] == "all") | F.array_contains(profiles, x["profile"])
         )
-    return staged.withColumn("checks", checks).drop("_lower")
+    return decided.withColumn("checks", checks).drop(
+        "_lower", "_missing_audit", "_phi_columns", *[f"_hit_{r}" for r in violations]
+    )
 
 
 def script_checks(df: DataFrame, subject: str, code: str = "code") -> DataFrame:
     """One row per subject and rule."""
-    return with_checks(df.select(subject, code), code).select(subject, F.inline("checks"))
+    return with_checks(df.select(subject, code), code).select(subject, S.one_row_each(F.col("checks")))
 
 
 def overall(checks: Column) -> Column:
@@ -156,8 +166,8 @@ def compliance_report(
             S.contains(c, "mask_pii").alias("masked_in_output"),
         ).alias("pii_summary"),
         S.present(c, vocab.AUDIT_COLUMNS).alias("audit_columns_added"),
-        c.rlike(vocab.IDEMPOTENCY_FLAG).alias("idempotency_guard"),
-        c.rlike(vocab.SCHEMA_FLAG).alias("schema_validation"),
+        S.contains_any(c, vocab.IDEMPOTENCY_FLAG).alias("idempotency_guard"),
+        S.contains_any(c, vocab.SCHEMA_FLAG).alias("schema_validation"),
         S.contains(c, "_etl_source").alias("lineage_metadata"),
         F.when(F.col("overall_status") == "fail", vocab.WARNING_TEXTS["fail"])
         .when(F.col("overall_status") == "warn", vocab.WARNING_TEXTS["warn"])
@@ -179,7 +189,7 @@ def rules_by_profile(spark: SparkSession, df: DataFrame, profiles: str) -> DataF
     active = asked.select(
         profiles,
         "n",
-        F.explode(F.array_union(T.profile_list(F.col(profiles)), S.array_of(["all"]))).alias("profile"),
+        F.explode_outer(F.array_union(T.profile_list(F.col(profiles)), S.array_of(["all"]))).alias("profile"),
     )
     return active.join(rule_table(spark).select("rule_id", "profile", "severity"), "profile")
 
@@ -217,7 +227,7 @@ def unmasked_values(df: DataFrame, table: str, columns: Sequence[str], rule: str
         *[F.struct(F.lit(c).alias("column_name"), F.col(f"_u_{c}").alias("n_unmasked")) for c in columns]
     )
     return counts.select(
-        F.lit(rule).alias("rule_id"), F.lit(table).alias("table_name"), F.col("_n").alias("n_rows"), F.inline(rows)
+        F.lit(rule).alias("rule_id"), F.lit(table).alias("table_name"), F.col("_n").alias("n_rows"), S.one_row_each(rows)
     ).withColumn("status", F.when(F.col("n_unmasked") > 0, "fail").otherwise("pass"))
 
 
@@ -253,7 +263,7 @@ def audit_columns_filled(df: DataFrame) -> DataFrame:
             for c in vocab.AUDIT_COLUMNS
         ]
     )
-    return counts.select(F.col("_n").alias("n_rows"), F.inline(rows)).withColumn(
+    return counts.select(F.col("_n").alias("n_rows"), S.one_row_each(rows)).withColumn(
         "status", F.when(~F.col("present") | (F.col("n_null") > 0), "fail").otherwise("pass")
     )
 

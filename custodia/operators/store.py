@@ -175,7 +175,7 @@ def duration_histogram(df: DataFrame, key: str, ts: str, bounds: Sequence[int])
     rows = [
         F.struct(F.lit(str(b)).alias("le"), F.col(f"_le{b}").alias("runs")) for b in bounds
     ] + [F.struct(F.lit("+Inf").alias("le"), F.col("_all").alias("runs"))]
-    return counts.select(F.inline(F.array(*rows)))
+    return counts.select(F.inline_outer(F.array(*rows)))
 
 
 def event_counts(audit: DataFrame) -> DataFrame:

@@ -56,32 +56,39 @@ def infer_types(
         ]
     )
     chosen = F.when(F.size("_names") > 0, typed).otherwise(default)
-    return names.select(*ids, F.posexplode(chosen).alias("position", "_c")).select(
+    return names.select(*ids, F.posexplode_outer(chosen).alias("position", "_c")).select(
         *ids, "position", "_c.column_name", "_c.inferred_type"
     )
 
 
-def type_fit(df: DataFrame, table: str, inferred: Sequence[tuple[str, str]]) -> DataFrame:
-    """Inferred against actual types, and how many values would survive a cast; one pass."""
+def type_fit(
+    df: DataFrame, table: str, inferred: Sequence[tuple[str, str]], try_values: bool = False
+) -> DataFrame:
+    """Inferred against actual types of a table, in one pass over its columns.
+
+    ``try_values`` also casts every value whose type differs and counts what survives.
+    """
     actual = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+
+    def castable(c: str, t: str) -> Column:
+        return F.count(c if t == actual[c] else F.col(c).cast("string").try_cast(t))
+
     counts = df.agg(
         *[F.count(c).alias(f"_n_{c}") for c, _ in inferred],
-        *[F.count(F.col(c).cast("string").try_cast(t)).alias(f"_c_{c}") for c, t in inferred],
-    )
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.lit(t).alias("inferred_type"),
-                F.lit(actual[c]).alias("actual_type"),
-                F.lit(t == actual[c]).alias("same_type"),
-                F.col(f"_n_{c}").alias("n_values"),
-                F.col(f"_c_{c}").alias("n_castable"),
-            )
-            for c, t in inferred
-        ]
+        *([castable(c, t).alias(f"_c_{c}") for c, t in inferred] if try_values else []),
     )
-    return counts.select(F.lit(table).alias("table_name"), F.inline(rows))
+    rows = [
+        F.struct(
+            F.lit(c).alias("column_name"),
+            F.lit(t).alias("inferred_type"),
+            F.lit(actual[c]).alias("actual_type"),
+            F.lit(t == actual[c]).alias("same_type"),
+            F.col(f"_n_{c}").alias("n_values"),
+            *([F.col(f"_c_{c}").alias("n_castable")] if try_values else []),
+        )
+        for c, t in inferred
+    ]
+    return counts.select(F.lit(table).alias("table_name"), F.inline_outer(F.array(*rows)))
 
 
 def type_by_name(name: str, mode: str = "token") -> str:

@@ -12,17 +12,22 @@ from custodia.functions import script as S
 from custodia.functions import text as T
 from custodia.operators import corpus, gate
 from custodia.plans.pii_queries import columns_sql, pii_columns_sql
-from custodia.plans.registry import in_list, query, quoted, str_list
+from custodia.plans.registry import any_of, in_list, query, quoted, str_list
 from custodia.sources.tables import Dataset
 from custodia.sources.views import with_views
 
 
+IMPORT_LIST = r"(?m)(?:^|[;:])[ \t]*import[ \t]+([^\n;#]+)"
+IMPORT_FROM = r"(?m)(?:^|[;:])[ \t]*from[ \t]+\.*([A-Za-z_][\w.]*)[ \t]+import\b"
+DOTTED_NAME = r"^[ \t(]*([A-Za-z_][\w.]*)"
+
+
 def names_sql(code: str) -> str:
     """Imported dotted names of a script, as a list."""
     return (
-        f"list_filter(list_transform(flatten(list_transform(regexp_extract_all({code}, {quoted(S.IMPORT_LIST)}, 1), "
-        f"lambda s: string_split(s, ','))), lambda s: regexp_extract(s, {quoted(S.DOTTED_NAME)}, 1)) "
-        f"|| regexp_extract_all({code}, {quoted(S.IMPORT_FROM)}, 1), lambda s: s <> '')"
+        f"list_filter(list_transform(flatten(list_transform(regexp_extract_all({code}, {quoted(IMPORT_LIST)}, 1), "
+        f"lambda s: string_split(s, ','))), lambda s: regexp_extract(s, {quoted(DOTTED_NAME)}, 1)) "
+        f"|| regexp_extract_all({code}, {quoted(IMPORT_FROM)}, 1), lambda s: s <> '')"
     )
 
 
@@ -196,9 +201,9 @@ SELECT script_id, rule IS NULL AS passed,
 FROM (SELECT *, CASE WHEN length(code) // 4 > 10000 THEN 'SIZE_CHECK'
         WHEN danger IS NOT NULL THEN 'DANGEROUS_PATTERN'
         WHEN regexp_matches(code, {quoted(vocab.WRITE_OPEN)}) THEN 'DANGEROUS_WRITE'
-        WHEN regexp_matches(code, {quoted(vocab.NETWORK)}) THEN 'NETWORK_CALL'
+        WHEN regexp_matches(code, {any_of(vocab.NETWORK)}) THEN 'NETWORK_CALL'
         WHEN len(outside) > 0 THEN 'IMPORT_WHITELIST'
-        WHEN regexp_matches(code, {quoted(vocab.TRAVERSAL)}) THEN 'PATH_TRAVERSAL' END AS rule
+        WHEN regexp_matches(code, {any_of(vocab.TRAVERSAL)}) THEN 'PATH_TRAVERSAL' END AS rule
       FROM (SELECT script_id, code, {danger} AS danger, {outside} AS outside FROM v_submissions))
 """
 
@@ -227,9 +232,9 @@ SELECT coalesce(rule_violated, 'PASSED') AS rule_violated, count(*) AS n
 FROM (SELECT CASE WHEN length(code) // 4 > 10000 THEN 'SIZE_CHECK'
         WHEN regexp_matches(code, {quoted(S.whole_words(vocab.DANGEROUS))}) THEN 'DANGEROUS_PATTERN'
         WHEN regexp_matches(code, {quoted(vocab.WRITE_OPEN)}) THEN 'DANGEROUS_WRITE'
-        WHEN regexp_matches(code, {quoted(vocab.NETWORK)}) THEN 'NETWORK_CALL'
+        WHEN regexp_matches(code, {any_of(vocab.NETWORK)}) THEN 'NETWORK_CALL'
         WHEN len(list_filter({names_sql('code')}, lambda s: split_part(s, '.', 1) NOT IN {in_list(vocab.GATE_IMPORTS)})) > 0 THEN 'IMPORT_WHITELIST'
-        WHEN regexp_matches(code, {quoted(vocab.TRAVERSAL)}) THEN 'PATH_TRAVERSAL' END AS rule_violated
+        WHEN regexp_matches(code, {any_of(vocab.TRAVERSAL)}) THEN 'PATH_TRAVERSAL' END AS rule_violated
       FROM v_submissions) GROUP BY 1
 """,
         "v_submissions",
@@ -245,7 +250,7 @@ def gate_stats_strict(ds: Dataset) -> DataFrame:
 SELECT script_id, unnest(list_filter(list_concat(
     list_transform(list_filter({str_list(vocab.DANGEROUS)}, lambda w: contains(code, w)), lambda w: w),
     [CASE WHEN regexp_matches(code, {quoted(vocab.WRITE_OPEN)}) THEN 'write-mode open' END,
-     CASE WHEN regexp_matches(code, {quoted(vocab.NETWORK)}) THEN 'network call' END]), lambda w: w IS NOT NULL)) AS pattern
+     CASE WHEN regexp_matches(code, {any_of(vocab.NETWORK)}) THEN 'network call' END]), lambda w: w IS NOT NULL)) AS pattern
 FROM v_submissions
 """,
         "v_submissions",

@@ -75,8 +75,8 @@ def labelled(df: DataFrame, name: str, key: str, text: str) -> DataFrame:
 
 def texts(ds: Dataset, planted: bool = False) -> DataFrame:
     parts = [
-        labelled(ds.table("documents"), "documents", "doc_id", "text"),
-        labelled(ds.table("pages"), "pages", "page_id", "html"),
+        labelled(ds.texts("documents"), "documents", "doc_id", "text"),
+        labelled(ds.texts("pages"), "pages", "page_id", "html"),
     ]
     if planted:
         parts.append(labelled(ds.view("v_planted"), "v_planted", "id", "text"))
@@ -85,7 +85,7 @@ def texts(ds: Dataset, planted: bool = False) -> DataFrame:
 
 @query(findings_sql("documents", "doc_id", "text", vocab.BASE_KINDS))
 def pii_findings(ds: Dataset) -> DataFrame:
-    return pii.scan_text(ds.table("documents"), ["doc_id"], "text")
+    return pii.scan_text(ds.texts("documents"), ["doc_id"], "text")
 
 
 @query(with_views(findings_sql("v_planted", "id", "text", vocab.ALL_KINDS), "v_planted"))
@@ -106,7 +106,7 @@ FROM ({found_sql("documents", "doc_id", "text", vocab.BASE_KINDS)}) GROUP BY doc
 """
 )
 def pii_risk(ds: Dataset) -> DataFrame:
-    return pii.text_risk(ds.table("documents"), ["doc_id"], "text")
+    return pii.text_risk(ds.texts("documents"), ["doc_id"], "text")
 
 
 def _report_sql(source: str, key: str, text: str) -> str:
@@ -136,7 +136,7 @@ def _report(df: DataFrame, key: str, text: str) -> DataFrame:
 
 @query(_report_sql("documents", "doc_id", "text"))
 def pii_report(ds: Dataset) -> DataFrame:
-    return _report(ds.table("documents"), "doc_id", "text")
+    return _report(ds.texts("documents"), "doc_id", "text")
 
 
 @query(with_views(_report_sql("v_scripts", "script_id", "code"), "v_scripts"))
@@ -174,7 +174,7 @@ def _profile_sql() -> str:
 
 @query(_profile_sql())
 def pii_dataset_profile(ds: Dataset) -> DataFrame:
-    parts = [pii.profile(ds.table(t), t, columns) for t, columns in PROFILED.items()]
+    parts = [pii.profile(ds.get(t), t, columns) for t, columns in PROFILED.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -186,7 +186,7 @@ GROUP BY lang, type
 """
 )
 def pii_summary(ds: Dataset) -> DataFrame:
-    return pii.summary(ds.table("documents"), "lang", "text")
+    return pii.summary(ds.texts("documents"), "lang", "text")
 
 
 @query(
@@ -353,8 +353,8 @@ FROM (SELECT table_name, count(*) AS n_rows,
 )
 def rule_residual_pii(ds: Dataset) -> DataFrame:
     sources = {
-        "documents": ds.table("documents").select("text"),
-        "pages": ds.table("pages").select(F.col("html").alias("text")),
+        "documents": ds.texts("documents").select("text"),
+        "pages": ds.texts("pages").select(F.col("html").alias("text")),
         "v_planted": ds.view("v_planted").select("text"),
     }
     parts = [
@@ -425,10 +425,10 @@ SELECT 'conversations', conv_id, turn, CAST(length(text) // 4 AS BIGINT) FROM co
 )
 def token_estimate(ds: Dataset) -> DataFrame:
     tokens = T.token_estimate(F.col("text")).alias("tokens")
-    documents = ds.table("documents").select(
+    documents = ds.texts("documents").select(
         F.lit("documents").alias("table_name"), F.col("doc_id").alias("id"), F.lit(0).cast("bigint").alias("part"), tokens
     )
-    turns = ds.table("conversations").select(
+    turns = ds.texts("conversations").select(
         F.lit("conversations").alias("table_name"), F.col("conv_id").alias("id"), F.col("turn").alias("part"), tokens
     )
     return documents.unionByName(turns)
@@ -441,7 +441,7 @@ FROM documents GROUP BY sha256(text) HAVING count(*) > 1
 """
 )
 def duplicate_content(ds: Dataset) -> DataFrame:
-    return corpus.duplicates(ds.table("documents"), "text", "doc_id")
+    return corpus.duplicates(ds.texts("documents"), "text", "doc_id")
 
 
 @query(
@@ -453,4 +453,4 @@ FROM documents
 )
 def gate_size(ds: Dataset) -> DataFrame:
     over = T.token_estimate(F.col("text")) > 1000
-    return ds.table("documents").select("doc_id", (~over).alias("passed"), F.when(over, "E002").alias("error_code"))
+    return ds.texts("documents").select("doc_id", (~over).alias("passed"), F.when(over, "E002").alias("error_code"))

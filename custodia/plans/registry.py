@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,5 +34,10 @@ def in_list(values) -> str:
     return "(" + ", ".join(quoted(v) for v in values) + ")"
 
 
+def any_of(words) -> str:
+    """A regular expression for any of the words, quoted."""
+    return quoted("|".join(re.escape(w) for w in words))
+
+
 def str_list(values) -> str:
     return "[" + ", ".join(quoted(v) for v in values) + "]"

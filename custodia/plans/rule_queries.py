@@ -10,7 +10,7 @@ from custodia.functions import script as S
 from custodia.functions import text as T
 from custodia.operators import corpus, quality, rules
 from custodia.plans.pii_queries import pii_columns_sql
-from custodia.plans.registry import in_list, query, quoted
+from custodia.plans.registry import any_of, in_list, query, quoted
 from custodia.session import fresh_path
 from custodia.sources import writes
 from custodia.sources.tables import Dataset, small_table
@@ -45,7 +45,7 @@ def checks_sql(source: str = "v_scripts") -> str:
             "warn",
             "''",
         ),
-        "ETL-002": (f"regexp_matches(code, {quoted(vocab.NOW_CALL)}) AND NOT contains(code, 'run_id')", "warn", "''"),
+        "ETL-002": (f"regexp_matches(code, {any_of(vocab.NOW_CALL)}) AND NOT contains(code, 'run_id')", "warn", "''"),
         "ETL-003": (f"regexp_matches(code, {quoted(vocab.SELECT_STAR)})", "warn", "''"),
     }
     parts = []
@@ -143,8 +143,8 @@ SELECT f.script_id, overall_status, checks, CAST({count} + len(p) AS INTEGER) AS
   CASE WHEN {critical} OR {score} >= 4 THEN 'critical' WHEN {score} = 3 THEN 'high' WHEN {score} = 2 THEN 'medium' ELSE 'low' END AS risk_level,
   contains(code, 'mask_pii') AS masked_in_output,
   array_to_string(list_filter(['_etl_run_id', '_etl_source', '_etl_timestamp'], lambda x: contains(code, x)), ',') AS audit_columns_added,
-  regexp_matches(code, {quoted(vocab.IDEMPOTENCY_FLAG)}) AS idempotency_guard,
-  regexp_matches(code, {quoted(vocab.SCHEMA_FLAG)}) AS schema_validation,
+  regexp_matches(code, {any_of(vocab.IDEMPOTENCY_FLAG)}) AS idempotency_guard,
+  regexp_matches(code, {any_of(vocab.SCHEMA_FLAG)}) AS schema_validation,
   contains(code, '_etl_source') AS lineage_metadata,
   CASE overall_status WHEN 'fail' THEN {quoted(vocab.WARNING_TEXTS['fail'])} WHEN 'warn' THEN {quoted(vocab.WARNING_TEXTS['warn'])} END AS warning
 FROM found f JOIN folded USING (script_id)
@@ -297,7 +297,9 @@ def rule_idempotency(ds: Dataset) -> DataFrame:
     for _ in range(2):
         writes.write_idempotent(lines, path, ["l_returnflag"])
     again = ds.spark.read.schema(lines.schema).parquet(path).select(*lines.columns)
-    prints = quality.fingerprint(lines, "first").unionByName(quality.fingerprint(again, "second"))
+    prints = quality.fingerprint(lines, "first", digest=quality.quick_digest).unionByName(
+        quality.fingerprint(again, "second", digest=quality.quick_digest)
+    )
     keys = quality.duplicate_keys(lines, ["l_orderkey", "l_linenumber"])
     facts = prints.agg((F.count_distinct("n_rows", "fingerprint") == 1).alias("same")).unionByName(
         keys.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows")), allowMissingColumns=True

@@ -39,6 +39,16 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small input out to all cores before costly work per row.
+
+    Only when the scan has fewer splits than there are cores. That bounds what is
+    shuffled by cores times split size; a large input passes through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_scripts(spark: SparkSession, path: str) -> DataFrame:
     """One row per script file: whole text, with the file name as its source."""
     files = spark.read.text(path, wholetext=True)
@@ -49,6 +59,9 @@ def read_scripts(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+TEXTS = ("documents", "pages", "conversations", "part", "customer")
+
+
 class Dataset:
     """The tables of one folder, and the views derived from them, by name."""
 
@@ -67,7 +80,13 @@ class Dataset:
         return self.spark.sql(text, **{i: self.get(i) for i in inputs})
 
     def get(self, name: str) -> DataFrame:
-        return self.view(name) if name in views.VIEWS else self.table(name)
+        if name in views.VIEWS:
+            return self.view(name)
+        return self.texts(name) if name in TEXTS else self.table(name)
+
+    def texts(self, name: str) -> DataFrame:
+        """A table whose rows get costly text work."""
+        return spread(self.table(name))
 
     def catalog(self) -> list[tuple[str, str, str]]:
         """(table, column, type) of every table, from the declared schemas."""
@@ -90,4 +109,4 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     structs = [
         F.struct(*[literal(v).cast(t).alias(n) for v, (n, t) in zip(row, names_types)]) for row in rows
     ]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    return spark.range(1).select(F.inline_outer(F.array(*structs)))

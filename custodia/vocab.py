@@ -122,8 +122,10 @@ DANGEROUS = tuple(
     """.split()
 )
 WRITE_OPEN = r"""open\s*\([^)]*["'][wa\+]["']"""
-NETWORK = r"requests\.|urllib\.|http\.client\.|socket\.|ftplib\.|smtplib\.|telnetlib\.|xmlrpc\."
-TRAVERSAL = r"\.\.[/\\]|/etc/|/proc/|/sys/"
+NETWORK = (
+    "requests.", "urllib.", "http.client.", "socket.", "ftplib.", "smtplib.", "telnetlib.", "xmlrpc.",
+)
+TRAVERSAL = ("../", "..\\", "/etc/", "/proc/", "/sys/")
 GATE_IMPORTS = tuple(
     """
     abc azure base64 boto3 calendar collections copy csv dataclasses datetime decimal delta enum
@@ -203,10 +205,10 @@ WARNING_TEXTS = {
     "warn": "Compliance warnings detected — review before deployment",
 }
 CROSS_BORDER_WORDS = ("cross.border", "transfer", "eu", "gdpr", "international", "overseas")
-NOW_CALL = r"current_timestamp\(\)|now\(\)|datetime\.now\("
+NOW_CALL = ("current_timestamp()", "now()", "datetime.now(")
 SELECT_STAR = r"""select\s*\(\s*["']\*["']|\.select\(\s*\*"""
-IDEMPOTENCY_FLAG = r"MERGE|mergeInto|overwrite|OVERWRITE"
-SCHEMA_FLAG = r"StructType|schema=|validate|expect"
+IDEMPOTENCY_FLAG = ("MERGE", "mergeInto", "overwrite", "OVERWRITE")
+SCHEMA_FLAG = ("StructType", "schema=", "validate", "expect")
 PROFILES = {
     "gdpr": {
         "name": "General Data Protection Regulation",
