@@ -25,7 +25,7 @@ HEADLINE = [
     "dq_suite",
     "dq_unique",
     "script_facts",
-    "gate_scripts",
+    "gate",
     "script_rule_checks",
     "compliance_report",
     "line_diff",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,13 +83,13 @@ def register_mask_pii(spark: SparkSession, definition: str = MASK_PII) -> None:
 
 
 def redact_text(
-    df: DataFrame, text: str, into: str | None = None, kinds=vocab.REDACTION_ORDER
+    df: DataFrame,
+    text: str,
+    into: str | None = None,
+    patterns: Sequence[vocab.Pattern] = vocab.REDACTION_PATTERNS,
 ) -> DataFrame:
     """Free-text redaction; ``into`` defaults to the text column itself."""
     if into and into != text:
-        return T.with_redaction(df, text, into, kinds)
-    return (
-        T.with_redaction(df, text, "_redacted", kinds)
-        .withColumn(text, F.col("_redacted"))
-        .drop("_redacted")
-    )
+        return T.with_redaction(df, text, into, patterns)
+    redacted = T.with_redaction(df, text, "_redacted", patterns)
+    return redacted.withColumn(text, F.col("_redacted")).drop("_redacted")

@@ -7,7 +7,7 @@ reach the costly expressions.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,91 +23,93 @@ def regex_extract_all(text: Column, regex: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(regex), F.lit(group))
 
 
-def _needs(kind: str, text: Column, digits: Column) -> Column:
-    """Cheap condition without which a text cannot hold a match of this kind."""
-    if kind == "EMAIL":
-        return F.contains(text, F.lit("@"))
-    if kind == "NPI":
-        return digits & F.contains(text, F.lit("NPI"))
-    if kind == "SSN":
-        return digits & F.contains(text, F.lit("-"))
-    return digits
+def _possible(pattern: vocab.Pattern, text: Column, digits: Column) -> Column:
+    """Cheap condition without which a text cannot hold a match of the pattern."""
+    out = digits if pattern.digits else text.isNotNull()
+    for literal in pattern.holds:
+        out = out & F.contains(text, F.lit(literal))
+    return out
 
 
 def match_column(kind: str, text: str) -> str:
     return f"_match_{text}_{kind}"
 
 
-def _with_digits_hint(df: DataFrame, texts: Iterable[str]) -> DataFrame:
-    return df.withColumns({f"_digits_{t}": F.col(t).rlike(DIGITS_HINT) for t in texts})
+def _digits_column(text: str) -> str:
+    return f"_digits_{text}"
 
 
-def with_matches(df: DataFrame, texts: Sequence[str], kinds: Sequence[str]) -> DataFrame:
-    """Add one array column of matches per text column and kind; null where the hint fails."""
-    hinted = _with_digits_hint(df, texts)
-    return hinted.withColumns(
+def _with_digits(df: DataFrame, texts: Iterable[str]) -> DataFrame:
+    return df.withColumns({_digits_column(t): F.col(t).rlike(DIGITS_HINT) for t in texts})
+
+
+def _per_pattern(
+    df: DataFrame,
+    texts: Sequence[str],
+    patterns: Sequence[vocab.Pattern],
+    make: Callable[[vocab.Pattern, Column, Column], Column],
+) -> DataFrame:
+    return _with_digits(df, texts).withColumns(
         {
-            match_column(k, t): F.when(
-                _needs(k, F.col(t), F.col(f"_digits_{t}")),
-                regex_extract_all(F.col(t), vocab.PATTERN_BY_KIND[k].regex),
-            )
+            match_column(p.kind, t): make(p, F.col(t), _possible(p, F.col(t), F.col(_digits_column(t))))
             for t in texts
-            for k in kinds
+            for p in patterns
         }
     )
 
 
-def with_match_counts(df: DataFrame, texts: Sequence[str], kinds: Sequence[str]) -> DataFrame:
-    """Add one match count per text column and kind (0 when there is none)."""
-    hinted = _with_digits_hint(df, texts)
-    return hinted.withColumns(
-        {
-            match_column(k, t): F.coalesce(
-                F.when(
-                    _needs(k, F.col(t), F.col(f"_digits_{t}")),
-                    F.regexp_count(F.col(t), F.lit(vocab.PATTERN_BY_KIND[k].regex)),
-                ),
-                F.lit(0),
-            )
-            for t in texts
-            for k in kinds
-        }
+def with_matches(
+    df: DataFrame, texts: Sequence[str], patterns: Sequence[vocab.Pattern]
+) -> DataFrame:
+    """Add one array of matches per text column and pattern; null where the hint fails."""
+    return _per_pattern(
+        df, texts, patterns, lambda p, t, possible: F.when(possible, regex_extract_all(t, p.regex))
     )
 
 
-def with_match_flags(df: DataFrame, text: str, kinds: Sequence[str]) -> DataFrame:
-    """Add one boolean per kind; stops at the first match."""
-    hinted = _with_digits_hint(df, [text])
-    return hinted.withColumns(
-        {
-            match_column(k, text): F.coalesce(
-                _needs(k, F.col(text), F.col(f"_digits_{text}"))
-                & F.col(text).rlike(vocab.PATTERN_BY_KIND[k].regex),
-                F.lit(False),
-            )
-            for k in kinds
-        }
+def with_match_counts(
+    df: DataFrame, texts: Sequence[str], patterns: Sequence[vocab.Pattern]
+) -> DataFrame:
+    """Add one match count per text column and pattern (0 when there is none)."""
+    return _per_pattern(
+        df,
+        texts,
+        patterns,
+        lambda p, t, possible: F.coalesce(
+            F.when(possible, F.regexp_count(t, F.lit(p.regex))), F.lit(0)
+        ),
+    )
+
+
+def with_match_flags(
+    df: DataFrame, text: str, patterns: Sequence[vocab.Pattern]
+) -> DataFrame:
+    """Add one boolean per pattern; stops at the first match."""
+    return _per_pattern(
+        df,
+        [text],
+        patterns,
+        lambda p, t, possible: F.coalesce(possible & t.rlike(p.regex), F.lit(False)),
     )
 
 
 def with_redaction(
-    df: DataFrame, text: str, into: str, kinds: Sequence[str] = vocab.REDACTION_ORDER
+    df: DataFrame,
+    text: str,
+    into: str,
+    patterns: Sequence[vocab.Pattern] = vocab.REDACTION_PATTERNS,
 ) -> DataFrame:
-    """Replace every match by ``[KIND]``, kind after kind in the fixed order.
+    """Replace every match by ``[KIND]``, pattern after pattern in the given order.
 
-    The hints look at the original text: a replacement never creates a digit or
-    an ``@``, so a kind ruled out before stays ruled out.
+    The hints look at the original text: a replacement brings in no digit and no
+    ``@``, so a pattern that was ruled out stays ruled out.
     """
-    out = _with_digits_hint(df, [text]).withColumn(into, F.col(text))
-    for kind in (k for k in vocab.REDACTION_ORDER if k in kinds):
-        out = out.withColumn(
-            into,
-            F.when(
-                _needs(kind, F.col(text), F.col(f"_digits_{text}")),
-                F.regexp_replace(F.col(into), F.lit(vocab.PATTERN_BY_KIND[kind].regex), F.lit(f"[{kind}]")),
-            ).otherwise(F.col(into)),
-        )
-    return out.drop(f"_digits_{text}")
+    out = _with_digits(df, [text]).withColumn(into, F.col(text))
+    for p in patterns:
+        replaced = F.regexp_replace(F.col(into), F.lit(p.regex), F.lit(f"[{p.kind}]"))
+        possible = _possible(p, F.col(text), F.col(_digits_column(text)))
+        out = out.withColumn(into, F.when(possible, replaced).otherwise(F.col(into)))
+    return out.drop(_digits_column(text))
 
 
 def sample(first: Column, width: int = 8) -> Column:

@@ -21,27 +21,23 @@ def dictionary(spark: SparkSession, extended: bool = False) -> DataFrame:
     return small_table(spark, rows, "name string, score int")
 
 
-def critical_kinds(kinds: Sequence[str]) -> tuple[str, ...]:
-    return tuple(k for k in vocab.CRITICAL_KINDS_EXTENDED if k in kinds)
-
-
 def scan_text(
-    df: DataFrame, ids: Sequence[str], text: str, kinds: Sequence[str] = vocab.BASE_KINDS
+    df: DataFrame, ids: Sequence[str], text: str, patterns: Sequence[vocab.Pattern] = vocab.BASE_PATTERNS
 ) -> DataFrame:
     """One row per subject and kind found: how often, how bad, and the start of the first match.
 
     Row-local: no shuffle, and the text itself leaves the plan before rows multiply.
     """
-    matched = T.with_matches(df.select(*ids, text), [text], kinds).drop(text)
+    matched = T.with_matches(df.select(*ids, text), [text], patterns).drop(text)
     found = F.array(
         *[
             F.struct(
-                F.lit(k).alias("type"),
-                F.size(F.col(T.match_column(k, text))).cast("bigint").alias("n"),
-                F.lit(vocab.PATTERN_BY_KIND[k].score).alias("score"),
-                F.get(F.col(T.match_column(k, text)), F.lit(0)).alias("first"),
+                F.lit(p.kind).alias("type"),
+                F.size(F.col(T.match_column(p.kind, text))).cast("bigint").alias("n"),
+                F.lit(p.score).alias("score"),
+                F.get(F.col(T.match_column(p.kind, text)), F.lit(0)).alias("first"),
             )
-            for k in kinds
+            for p in patterns
         ]
     )
     return (
@@ -51,60 +47,66 @@ def scan_text(
     )
 
 
+def _any(flags: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a | b, flags, F.lit(False))
+
+
 def _max_of(flags: Sequence[tuple[Column, int]]) -> Column:
     """Highest score among the flags that hold, 0 when none does."""
     out = F.lit(0)
     for score in sorted({s for _, s in flags}):
-        hit = reduce(lambda a, b: a | b, [f for f, s in flags if s == score])
-        out = F.when(hit, score).otherwise(out)
+        out = F.when(_any([f for f, s in flags if s == score]), score).otherwise(out)
     return out
 
 
-def text_risk(
-    df: DataFrame, ids: Sequence[str], text: str, kinds: Sequence[str] = vocab.BASE_KINDS
-) -> DataFrame:
-    """Risk level of every subject; asks only whether a kind occurs, never how often."""
-    flagged = T.with_match_flags(df.select(*ids, text), text, kinds)
-    flags = [(F.col(T.match_column(k, text)), vocab.PATTERN_BY_KIND[k].score) for k in kinds]
-    critical = _any([F.col(T.match_column(k, text)) for k in critical_kinds(kinds)])
+def _flag(p: vocab.Pattern, text: str) -> Column:
+    return F.col(T.match_column(p.kind, text))
+
+
+def flagged_risk(
+    text: str, patterns: Sequence[vocab.Pattern], columns: str | None = None
+) -> tuple[Column, Column]:
+    """Highest score and risk level from the match flags, and from found column names if given."""
+    flags = [(_flag(p, text), p.score) for p in patterns]
+    if columns is not None:
+        strong = F.exists(columns, lambda c: T.normalise_name(c).isin(*vocab.STRONG_COLUMN_NAMES))
+        flags += [(F.size(columns) > 0, 3), (strong, 4)]
+    critical = _any([_flag(p, text) for p in patterns if p.critical])
     score = _max_of(flags)
-    return flagged.select(
-        *ids, score.alias("max_score"), T.risk_level(score, critical).alias("risk_level")
-    )
+    return score, T.risk_level(score, critical)
 
 
-def _any(flags: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, flags, F.lit(False))
+def text_risk(
+    df: DataFrame,
+    ids: Sequence[str],
+    text: str,
+    patterns: Sequence[vocab.Pattern] = vocab.BASE_PATTERNS,
+) -> DataFrame:
+    """Risk level of every subject; asks only whether a kind occurs, never how often."""
+    flagged = T.with_match_flags(df.select(*ids, text), text, patterns)
+    score, risk = flagged_risk(text, patterns)
+    return flagged.select(*ids, score.alias("max_score"), risk.alias("risk_level"))
 
 
 def report(
     df: DataFrame,
     ids: Sequence[str],
     text: str,
-    kinds: Sequence[str] = vocab.BASE_KINDS,
+    patterns: Sequence[vocab.Pattern] = vocab.BASE_PATTERNS,
     names: Sequence[str] = vocab.COLUMN_NAMES,
 ) -> DataFrame:
     """One report row per subject: pattern findings plus quoted column names, and the risk of both."""
-    flagged = T.with_match_flags(df.select(*ids, text), text, kinds).withColumn(
+    flagged = T.with_match_flags(df.select(*ids, text), text, patterns).withColumn(
         "_columns", pii_columns(F.col(text), names)
     )
-    kind_flags = [(F.col(T.match_column(k, text)), k) for k in kinds]
-    strong = F.exists(
-        "_columns", lambda c: T.normalise_name(c).isin(*vocab.STRONG_COLUMN_NAMES)
-    )
-    n_columns = F.size("_columns")
-    n_kinds = reduce(lambda a, b: a + b, [f.cast("bigint") for f, _ in kind_flags])
-    score = _max_of(
-        [(f, vocab.PATTERN_BY_KIND[k].score) for f, k in kind_flags]
-        + [(n_columns > 0, 3), (strong, 4)]
-    )
-    critical = _any([F.col(T.match_column(k, text)) for k in critical_kinds(kinds)])
+    count = sum((_flag(p, text).cast("bigint") for p in patterns), F.size("_columns").cast("bigint"))
+    _, risk = flagged_risk(text, patterns, "_columns")
     return flagged.select(
         *ids,
-        (n_kinds + n_columns).cast("bigint").alias("entity_count"),
-        ((n_kinds + n_columns) > 0).alias("has_pii"),
-        T.risk_level(score, critical).alias("risk_level"),
-        F.concat_ws(",", *[F.when(f, k) for f, k in kind_flags]).alias("entity_types"),
+        count.alias("entity_count"),
+        (count > 0).alias("has_pii"),
+        risk.alias("risk_level"),
+        F.concat_ws(",", *[F.when(_flag(p, text), p.kind) for p in patterns]).alias("entity_types"),
         F.col("_columns").alias("pii_column_names"),
     )
 
@@ -142,11 +144,11 @@ def exposure(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
 
 
 def profile(
-    df: DataFrame, table: str, columns: Sequence[str], kinds: Sequence[str] = vocab.ALL_KINDS
+    df: DataFrame, table: str, columns: Sequence[str], patterns: Sequence[vocab.Pattern] = vocab.PATTERNS
 ) -> DataFrame:
     """Matches and rows hit for every string column and kind, from one scan and one aggregation."""
-    counted = T.with_match_counts(df.select(*columns), columns, kinds)
-    cells = [(c, k, T.match_column(k, c)) for c in columns for k in kinds]
+    counted = T.with_match_counts(df.select(*columns), columns, patterns)
+    cells = [(c, p, T.match_column(p.kind, c)) for c in columns for p in patterns]
     totals = counted.agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.sum(m).alias(f"{m}_sum") for _, _, m in cells],
@@ -156,17 +158,15 @@ def profile(
         *[
             F.struct(
                 F.lit(c).alias("column_name"),
-                F.lit(k).alias("type"),
+                F.lit(p.kind).alias("type"),
+                F.lit(p.score).alias("score"),
+                F.lit(p.critical).alias("critical"),
                 F.coalesce(F.col(f"{m}_sum"), F.lit(0)).cast("bigint").alias("n_matches"),
                 F.col(f"{m}_hit").alias("rows_hit"),
             )
-            for c, k, m in cells
+            for c, p, m in cells
         ]
     )
-    critical = critical_kinds(kinds)
-    scores = F.create_map(
-        *[x for k in kinds for x in (F.lit(k), F.lit(vocab.PATTERN_BY_KIND[k].score))]
-    )
     long = totals.select(F.lit(table).alias("table_name"), F.col("_n").alias("n_rows"), S.one_row_each(rows))
     hit = F.col("rows_hit") > 0
     return long.select(
@@ -177,25 +177,23 @@ def profile(
         "rows_hit",
         "n_matches",
         F.when(F.col("n_rows") > 0, F.col("rows_hit") / F.col("n_rows")).alias("share"),
-        T.risk_level(
-            F.when(hit, scores[F.col("type")]).otherwise(0), hit & F.col("type").isin(*critical)
-        ).alias("risk_level"),
+        T.risk_level(F.when(hit, F.col("score")).otherwise(0), hit & F.col("critical")).alias("risk_level"),
     )
 
 
 def summary(
-    df: DataFrame, group: str, text: str, kinds: Sequence[str] = vocab.ALL_KINDS
+    df: DataFrame, group: str, text: str, patterns: Sequence[vocab.Pattern] = vocab.PATTERNS
 ) -> DataFrame:
     """Per group and kind: subjects hit, matches, distinct values.
 
     Spark first counts on (group, kind, value), before and after the shuffle, so a
     group that holds most rows spreads over its values.
     """
-    matched = T.with_matches(df.select(group, text), [text], kinds).drop(text)
+    matched = T.with_matches(df.select(group, text), [text], patterns).drop(text)
     lists = F.array(
         *[
-            F.struct(F.lit(k).alias("type"), F.col(T.match_column(k, text)).alias("values"))
-            for k in kinds
+            F.struct(F.lit(p.kind).alias("type"), _flag(p, text).alias("values"))
+            for p in patterns
         ]
     )
     values = (

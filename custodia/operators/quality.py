@@ -230,6 +230,14 @@ def fingerprint(
     ).select(F.lit(label).alias("table_name"), "*")
 
 
+def table_same(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables hold the same rows, by fingerprint; only two numbers come back."""
+    prints = fingerprint(a, "a", digest=quick_digest).unionByName(
+        fingerprint(b, "b", a.columns, digest=quick_digest)
+    )
+    return prints.select("n_rows", "fingerprint").distinct().count() == 1
+
+
 def step_counts(steps: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     """Rows of named steps as a table; each step is counted where it stands in the plan."""
     counted = [

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,29 +36,75 @@ def profile_table(spark: SparkSession) -> DataFrame:
     )
 
 
-def _violations(code: Column, lower: Column) -> dict[str, tuple[Column, str, str | None]]:
-    """Rule id -> (is violated, status when violated, column that names the offenders)."""
-    unmasked = ~S.contains(code, "mask_pii")
-    validated = S.contains_any(code, ("StructType", "assert", "expect")) | S.contains_any(
-        lower, ("schema", "validate")
+@dataclass(frozen=True)
+class Facts:
+    """What the rules look at, as columns of the row under check."""
+
+    code: Column
+    lower: Column
+    pii_columns: Column
+    phi_columns: Column
+    missing_audit: Column
+
+
+@dataclass(frozen=True)
+class ScriptRule:
+    """A rule as a Column factory; ``named`` lists the offenders in the detail."""
+
+    rule: vocab.Rule
+    status: str
+    violated: Callable[[Facts], Column]
+    passed_text: str
+    violated_text: str
+    remediation: str
+    named: Callable[[Facts], Column] | None = None
+
+
+def _unmasked(f: Facts) -> Column:
+    return ~S.contains(f.code, "mask_pii")
+
+
+def _validated(f: Facts) -> Column:
+    return S.contains_any(f.code, ("StructType", "assert", "expect")) | S.contains_any(
+        f.lower, ("schema", "validate")
     )
-    idempotent = S.contains(F.upper(code), "MERGE") | S.contains_any(lower, ("idempotent", "overwrite"))
-    return {
-        "GDPR-001": ((F.size("_pii_columns") > 0) & unmasked, "fail", "_pii_columns"),
-        "GDPR-002": (~S.contains(lower, "retention"), "warn", None),
-        "GDPR-003": (S.contains_any(lower, vocab.CROSS_BORDER_WORDS), "warn", None),
-        "HIPAA-001": ((F.size("_phi_columns") > 0) & unmasked, "fail", "_phi_columns"),
-        "HIPAA-002": (~S.contains(lower, "encrypt"), "warn", None),
-        "SOX-001": (F.size("_missing_audit") > 0, "fail", "_missing_audit"),
-        "SOX-002": (~idempotent, "warn", None),
-        "ETL-001": (~validated, "warn", None),
-        "ETL-002": (S.contains_any(code, vocab.NOW_CALL) & ~S.contains(code, "run_id"), "warn", None),
-        "ETL-003": (S.select_star(code), "warn", None),
-    }
+
+
+def _idempotent(f: Facts) -> Column:
+    return S.contains(F.upper(f.code), "MERGE") | S.contains_any(f.lower, ("idempotent", "overwrite"))
+
+
+# rule id -> (status when violated, is violated, offenders)
+_PREDICATES: dict[str, tuple[str, Callable[[Facts], Column], Callable[[Facts], Column] | None]] = {
+    "GDPR-001": ("fail", lambda f: (F.size(f.pii_columns) > 0) & _unmasked(f), lambda f: f.pii_columns),
+    "GDPR-002": ("warn", lambda f: ~S.contains(f.lower, "retention"), None),
+    "GDPR-003": ("warn", lambda f: S.contains_any(f.lower, vocab.CROSS_BORDER_WORDS), None),
+    "HIPAA-001": ("fail", lambda f: (F.size(f.phi_columns) > 0) & _unmasked(f), lambda f: f.phi_columns),
+    "HIPAA-002": ("warn", lambda f: ~S.contains(f.lower, "encrypt"), None),
+    "SOX-001": ("fail", lambda f: F.size(f.missing_audit) > 0, lambda f: f.missing_audit),
+    "SOX-002": ("warn", lambda f: ~_idempotent(f), None),
+    "ETL-001": ("warn", lambda f: ~_validated(f), None),
+    "ETL-002": (
+        "warn",
+        lambda f: S.contains_any(f.code, vocab.NOW_CALL) & ~S.contains(f.code, "run_id"),
+        None,
+    ),
+    "ETL-003": ("warn", lambda f: S.select_star(f.code), None),
+}
+
+SCRIPT_RULES = tuple(
+    ScriptRule(r, status, violated, *vocab.RULE_TEXTS[r.rule_id], named)
+    for r in vocab.RULES
+    for status, violated, named in [_PREDICATES[r.rule_id]]
+)
 
 
 def with_checks(
-    df: DataFrame, code: str = "code", pii_columns: Column | None = None, profiles: Column | None = None
+    df: DataFrame,
+    code: str = "code",
+    pii_columns: Column | None = None,
+    profiles: Column | None = None,
+    rules: Sequence[ScriptRule] = SCRIPT_RULES,
 ) -> DataFrame:
     """Add ``checks``: one struct per rule, in rule order, all from one pass over the code.
 
@@ -83,34 +130,33 @@ def with_checks(
             ),
         ).otherwise(F.col("_pii_columns")),
     )
-    violations = _violations(c, F.col("_lower"))
-    decided = staged.withColumns({f"_hit_{r}": hit for r, (hit, _, _) in violations.items()})
-
-    def check(rule: vocab.Rule) -> Column:
-        _, status, named = violations[rule.rule_id]
-        hit = F.col(f"_hit_{rule.rule_id}")
-        passed_text, violated_text, remediation = vocab.RULE_TEXTS[rule.rule_id]
-        detail = F.lit(violated_text)
-        if named is not None:
-            detail = F.concat(detail, F.array_join(named, ", "))
+    facts = Facts(c, *[F.col(n) for n in ("_lower", "_pii_columns", "_phi_columns", "_missing_audit")])
+    hits = {r.rule.rule_id: f"_hit_{r.rule.rule_id}" for r in rules}
+    decided = staged.withColumns({hits[r.rule.rule_id]: r.violated(facts) for r in rules})
+
+    def check(r: ScriptRule) -> Column:
+        hit = F.col(hits[r.rule.rule_id])
+        detail = F.lit(r.violated_text)
+        if r.named is not None:
+            detail = F.concat(detail, F.array_join(r.named(facts), ", "))
         return F.struct(
-            F.lit(rule.rule_id).alias("rule_id"),
-            F.lit(rule.name).alias("name"),
-            F.lit(rule.profile).alias("profile"),
-            F.when(hit, status).otherwise("pass").alias("status"),
-            F.when(hit, detail).otherwise(passed_text).alias("detail"),
-            F.when(hit, remediation).otherwise("").alias("remediation"),
-            F.lit(rule.auto_fix).alias("auto_fix"),
-            F.lit(rule.severity).alias("severity"),
+            F.lit(r.rule.rule_id).alias("rule_id"),
+            F.lit(r.rule.name).alias("name"),
+            F.lit(r.rule.profile).alias("profile"),
+            F.when(hit, r.status).otherwise("pass").alias("status"),
+            F.when(hit, detail).otherwise(r.passed_text).alias("detail"),
+            F.when(hit, r.remediation).otherwise("").alias("remediation"),
+            F.lit(r.rule.auto_fix).alias("auto_fix"),
+            F.lit(r.rule.severity).alias("severity"),
         )
 
-    checks = F.array(*[check(r) for r in vocab.RULES])
+    checks = F.array(*[check(r) for r in rules])
     if profiles is not None:
         checks = F.filter(
             checks, lambda x: (x["profile"] == "all") | F.array_contains(profiles, x["profile"])
         )
     return decided.withColumn("checks", checks).drop(
-        "_lower", "_missing_audit", "_phi_columns", *[f"_hit_{r}" for r in violations]
+        "_lower", "_missing_audit", "_phi_columns", *hits.values()
     )
 
 
@@ -141,19 +187,11 @@ def compliance_report(
     ``profiles`` must be a column expression over the subject's row (an array of names).
     """
     c = F.col(code)
-    pii_rows = T.with_match_flags(df, code, vocab.BASE_KINDS)
-    kinds = [F.col(T.match_column(k, code)) for k in vocab.BASE_KINDS]
-    checked = with_checks(pii_rows, code, profiles=profiles)
-    names = F.col("_pii_columns")
-    strong = F.exists(names, lambda n: T.normalise_name(n).isin(*vocab.STRONG_COLUMN_NAMES))
-    score = pii._max_of(
-        [(f, vocab.PATTERN_BY_KIND[k].score) for f, k in zip(kinds, vocab.BASE_KINDS)]
-        + [(F.size(names) > 0, 3), (strong, 4)]
-    )
-    critical = pii._any(
-        [F.col(T.match_column(k, code)) for k in pii.critical_kinds(vocab.BASE_KINDS)]
-    )
-    count = sum((f.cast("int") for f in kinds), F.size(names))
+    patterns = vocab.BASE_PATTERNS
+    checked = with_checks(T.with_match_flags(df, code, patterns), code, profiles=profiles)
+    flags = [F.col(T.match_column(p.kind, code)) for p in patterns]
+    count = sum((f.cast("int") for f in flags), F.size("_pii_columns"))
+    _, risk = pii.flagged_risk(code, patterns, "_pii_columns")
     status = overall(F.col("checks"))
     return checked.withColumn("overall_status", status).select(
         subject,
@@ -162,7 +200,7 @@ def compliance_report(
         "checks",
         F.struct(
             count.alias("entities_detected"),
-            T.risk_level(score, critical).alias("risk_level"),
+            risk.alias("risk_level"),
             S.contains(c, "mask_pii").alias("masked_in_output"),
         ).alias("pii_summary"),
         S.present(c, vocab.AUDIT_COLUMNS).alias("audit_columns_added"),
@@ -199,11 +237,11 @@ def rules_by_profile(spark: SparkSession, df: DataFrame, profiles: str) -> DataF
 
 def residual_pii(df: DataFrame, label: str, text: str, redacted: str) -> DataFrame:
     """GDPR-001 on data: matches before masking, matches left after it; none may be left."""
-    kinds = vocab.ALL_KINDS
-    counted = T.with_match_counts(df.select(text, redacted), [text, redacted], kinds)
+    patterns = vocab.PATTERNS
+    counted = T.with_match_counts(df.select(text, redacted), [text, redacted], patterns)
 
     def total(column: str) -> Column:
-        return sum((F.col(T.match_column(k, column)) for k in kinds), F.lit(0))
+        return sum((F.col(T.match_column(p.kind, column)) for p in patterns), F.lit(0))
 
     out = counted.agg(
         F.count(F.lit(1)).alias("n_rows"),

@@ -78,25 +78,25 @@ def transitions(
     """Every row with the state before it (null for the first of its key).
 
     A key is cut into stretches of ``chunk`` order values, so no task sorts more
-    than that. Inside a stretch the predecessor is a plain lag; only the first and
-    last rows of stretches go through the second window that links them up.
+    than that. Inside a stretch the predecessor is a plain lag. The first row of a
+    stretch follows the last row of the stretch before: first and last rows come
+    from an aggregation that shrinks a hot key before its shuffle.
     """
     rows = df.select(key, order, state).withColumn("_chunk", F.floor(F.col(order) / chunk))
     inside = Window.partitionBy(key, "_chunk").orderBy(order)
-    linked = rows.withColumns(
-        {
-            "previous": F.lag(state).over(inside),
-            "_first": F.lag(order).over(inside).isNull(),
-            "_last": F.lead(order).over(inside).isNull(),
-        }
+    within = rows.withColumns(
+        {"previous": F.lag(state).over(inside), "_before": F.lag(order).over(inside)}
+    ).where(F.col("_before").isNotNull())
+
+    point = F.struct(order, state)
+    ends = rows.groupBy(key, "_chunk").agg(F.min(point).alias("_first"), F.max(point).alias("_last"))
+    across = ends.select(
+        key,
+        F.col(f"_first.{order}").alias(order),
+        F.col(f"_first.{state}").alias(state),
+        F.lag(f"_last.{state}").over(Window.partitionBy(key).orderBy("_chunk")).alias("previous"),
     )
-    between = Window.partitionBy(key).orderBy(order)
-    edges = (
-        linked.where(F.col("_first") | F.col("_last"))
-        .withColumn("previous", F.lag(state).over(between))
-        .where("_first")
-    )
-    return linked.where(~F.col("_first")).unionByName(edges).drop("_chunk", "_first", "_last")
+    return within.select(key, order, state, "previous").unionByName(across)
 
 
 LEGAL_TRANSITIONS = (

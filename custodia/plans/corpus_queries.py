@@ -208,7 +208,7 @@ FROM (SELECT *, CASE WHEN length(code) // 4 > 10000 THEN 'SIZE_CHECK'
 """
 
 
-@query(with_views(gate_sql(), "v_submissions"))
+@query(with_views(gate_sql(), "v_submissions"), name="gate")
 def gate_scripts(ds: Dataset) -> DataFrame:
     return gate.gate(ds.view("v_submissions")).select(
         "script_id", "passed", "error_code", "rule_violated", "error_message", "sanitized_code"

@@ -16,6 +16,10 @@ from custodia.plans.registry import in_list, query, quoted, str_list
 from custodia.sources.tables import SCHEMAS, Dataset
 from custodia.sources.views import with_views
 
+BASE_KINDS = tuple(p.kind for p in vocab.BASE_PATTERNS)
+ALL_KINDS = tuple(p.kind for p in vocab.PATTERNS)
+BASE_CRITICAL = ("SSN", "CREDIT_CARD", "PASSPORT")
+CRITICAL_KINDS = (*BASE_CRITICAL, "IBAN")
 COLUMN_WORD = quoted(r"""['"](\w+)['"]""")
 
 
@@ -83,26 +87,26 @@ def texts(ds: Dataset, planted: bool = False) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-@query(findings_sql("documents", "doc_id", "text", vocab.BASE_KINDS))
+@query(findings_sql("documents", "doc_id", "text", BASE_KINDS))
 def pii_findings(ds: Dataset) -> DataFrame:
     return pii.scan_text(ds.texts("documents"), ["doc_id"], "text")
 
 
-@query(with_views(findings_sql("v_planted", "id", "text", vocab.ALL_KINDS), "v_planted"))
+@query(with_views(findings_sql("v_planted", "id", "text", ALL_KINDS), "v_planted"))
 def pii_findings_planted(ds: Dataset) -> DataFrame:
-    return pii.scan_text(ds.view("v_planted"), ["id"], "text", vocab.ALL_KINDS)
+    return pii.scan_text(ds.view("v_planted"), ["id"], "text", vocab.PATTERNS)
 
 
-@query(findings_sql(DOCUMENTS_AND_PAGES, "table_name, id", "text", vocab.ALL_KINDS))
+@query(findings_sql(DOCUMENTS_AND_PAGES, "table_name, id", "text", ALL_KINDS))
 def pii_findings_ext(ds: Dataset) -> DataFrame:
-    return pii.scan_text(texts(ds), ["table_name", "id"], "text", vocab.ALL_KINDS)
+    return pii.scan_text(texts(ds), ["table_name", "id"], "text", vocab.PATTERNS)
 
 
 @query(
     f"""
 SELECT doc_id, CAST(max(CASE WHEN len(a) > 0 THEN score ELSE 0 END) AS INTEGER) AS max_score,
-  {risk_sql("max(CASE WHEN len(a) > 0 THEN score ELSE 0 END)", f"bool_or(len(a) > 0 AND type IN {in_list(vocab.CRITICAL_KINDS)})")} AS risk_level
-FROM ({found_sql("documents", "doc_id", "text", vocab.BASE_KINDS)}) GROUP BY doc_id
+  {risk_sql("max(CASE WHEN len(a) > 0 THEN score ELSE 0 END)", f"bool_or(len(a) > 0 AND type IN {in_list(BASE_CRITICAL)})")} AS risk_level
+FROM ({found_sql("documents", "doc_id", "text", BASE_KINDS)}) GROUP BY doc_id
 """
 )
 def pii_risk(ds: Dataset) -> DataFrame:
@@ -112,13 +116,13 @@ def pii_risk(ds: Dataset) -> DataFrame:
 def _report_sql(source: str, key: str, text: str) -> str:
     hits = " || ".join(
         f"CASE WHEN regexp_matches({text}, {quoted(vocab.PATTERN_BY_KIND[k].regex)}) THEN '{k},' ELSE '' END"
-        for k in vocab.BASE_KINDS
+        for k in BASE_KINDS
     )
     score = "greatest(" + ", ".join(
-        [f"CASE WHEN contains(k, '{k},') THEN {vocab.PATTERN_BY_KIND[k].score} ELSE 0 END" for k in vocab.BASE_KINDS]
+        [f"CASE WHEN contains(k, '{k},') THEN {vocab.PATTERN_BY_KIND[k].score} ELSE 0 END" for k in BASE_KINDS]
         + [f"CASE WHEN list_has_any(c, {str_list(vocab.STRONG_COLUMN_NAMES)}) THEN 4 WHEN len(c) > 0 THEN 3 ELSE 0 END"]
     ) + ")"
-    critical = " OR ".join(f"contains(k, '{k},')" for k in vocab.CRITICAL_KINDS)
+    critical = " OR ".join(f"contains(k, '{k},')" for k in BASE_CRITICAL)
     kinds = "len(k) - len(replace(k, ',', ''))"
     return f"""
 SELECT {key}, CAST({kinds} + len(c) AS BIGINT) AS entity_count, ({kinds} + len(c)) > 0 AS has_pii,
@@ -156,9 +160,9 @@ def _profile_sql() -> str:
     cells = []
     for table, columns in PROFILED.items():
         for c in columns:
-            for k in vocab.ALL_KINDS:
+            for k in ALL_KINDS:
                 score = vocab.PATTERN_BY_KIND[k].score
-                critical = "true" if k in vocab.CRITICAL_KINDS_EXTENDED else "false"
+                critical = "true" if k in CRITICAL_KINDS else "false"
                 cells.append(
                     f"SELECT '{table}' AS table_name, '{c}' AS column_name, '{k}' AS type, {score} AS score, "
                     f"{critical} AS critical, count(*) AS n_rows, count(*) FILTER (WHERE m > 0) AS rows_hit, "
@@ -181,7 +185,7 @@ def pii_dataset_profile(ds: Dataset) -> DataFrame:
 @query(
     f"""
 SELECT lang, type, count(DISTINCT doc_id) AS subjects_hit, count(*) AS matches, count(DISTINCT v) AS distinct_values
-FROM (SELECT doc_id, lang, type, unnest(a) AS v FROM ({found_sql("documents", "doc_id, lang", "text", vocab.ALL_KINDS)}))
+FROM (SELECT doc_id, lang, type, unnest(a) AS v FROM ({found_sql("documents", "doc_id, lang", "text", ALL_KINDS)}))
 GROUP BY lang, type
 """
 )
@@ -259,7 +263,7 @@ def gazetteer_scan(ds: Dataset) -> DataFrame:
     with_views(
         f"""
 SELECT 'p' || CAST(id AS STRING) AS subject, type, sample AS match_sample, n, score, source, CAST(NULL AS STRING) AS "column"
-FROM ({findings_sql("v_planted", "id", "text", vocab.BASE_KINDS)})
+FROM ({findings_sql("v_planted", "id", "text", BASE_KINDS)})
 UNION ALL
 SELECT 's' || CAST(script_id AS STRING), 'COLUMN_NAME', NULL, NULL,
   CASE WHEN c IN {in_list(vocab.STRONG_COLUMN_NAMES)} THEN 4 ELSE 3 END, 'heuristic', c

@@ -13,14 +13,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
 
-def query(check: str | None = None):
-    """Register a function of a Dataset under its own name, with its checking SQL."""
+def query(check: str | None = None, name: str | None = None):
+    """Register a function of a Dataset, under its own name unless given another, with its checking SQL."""
 
     def register(build: Callable[[Dataset], DataFrame]):
-        name = build.__name__
-        QUERIES[name] = lambda spark, folder: build(Dataset(spark, folder))
+        key = name or build.__name__
+        QUERIES[key] = lambda spark, folder: build(Dataset(spark, folder))
         if check is not None:
-            CHECKS[name] = check
+            CHECKS[key] = check
         return build
 
     return register

@@ -9,7 +9,7 @@ from custodia import vocab
 from custodia.functions import script as S
 from custodia.functions import text as T
 from custodia.operators import corpus, quality, rules
-from custodia.plans.pii_queries import pii_columns_sql
+from custodia.plans.pii_queries import BASE_CRITICAL, BASE_KINDS, pii_columns_sql
 from custodia.plans.registry import any_of, in_list, query, quoted
 from custodia.session import fresh_path
 from custodia.sources import writes
@@ -128,12 +128,12 @@ def missing_audit_columns(ds: Dataset) -> DataFrame:
 
 
 def _report_sql() -> str:
-    kinds = {k: f"regexp_matches(code, {quoted(vocab.PATTERN_BY_KIND[k].regex)})" for k in vocab.BASE_KINDS}
+    kinds = {k: f"regexp_matches(code, {quoted(vocab.PATTERN_BY_KIND[k].regex)})" for k in BASE_KINDS}
     count = " + ".join(f"CAST({m} AS INTEGER)" for m in kinds.values())
     score = "greatest(" + ", ".join(
         f"CASE WHEN {m} THEN {vocab.PATTERN_BY_KIND[k].score} ELSE 0 END" for k, m in kinds.items()
     ) + ", CASE WHEN list_has_any(p, ['mrn', 'passport', 'ssn']) THEN 4 WHEN len(p) > 0 THEN 3 ELSE 0 END)"
-    critical = " OR ".join(kinds[k] for k in vocab.CRITICAL_KINDS)
+    critical = " OR ".join(kinds[k] for k in BASE_CRITICAL)
     return f"""
 WITH checks AS ({checks_sql()}),
 folded AS (SELECT script_id, {OVERALL} AS overall_status,

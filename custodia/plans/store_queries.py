@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from custodia import vocab
 from custodia.operators import pii, store
-from custodia.plans.pii_queries import findings_sql
+from custodia.plans.pii_queries import BASE_KINDS, findings_sql
 from custodia.plans.registry import query
 from custodia.sources.tables import Dataset
 from custodia.sources.views import with_views
@@ -34,7 +34,7 @@ def artifacts_by_session(ds: Dataset) -> DataFrame:
 REPORTS = f"""
 SELECT id // 2 AS session_id, id AS report_id, type AS entity_types,
   CASE WHEN type IN ('SSN', 'CREDIT_CARD', 'PASSPORT') THEN 'critical' WHEN type = 'EMAIL' THEN 'high' ELSE 'medium' END AS risk_level
-FROM ({findings_sql("v_planted", "id", "text", vocab.BASE_KINDS)})
+FROM ({findings_sql("v_planted", "id", "text", BASE_KINDS)})
 """
 
 

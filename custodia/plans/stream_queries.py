@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from custodia import vocab
 from custodia.functions import text as T
 from custodia.plans.corpus_queries import gate_sql
-from custodia.plans.pii_queries import redacted_sql
+from custodia.plans.pii_queries import ALL_KINDS, redacted_sql
 from custodia.plans.registry import query, quoted
 from custodia.plans.store_queries import DAILY_CAP
 from custodia.sources import views
@@ -31,7 +31,7 @@ def _view(ds: Dataset, name: str, stream: DataFrame) -> DataFrame:
 
 KINDS = " || ".join(
     f"CASE WHEN regexp_matches(text, {quoted(vocab.PATTERN_BY_KIND[k].regex)}) THEN '{k},' ELSE '' END"
-    for k in vocab.ALL_KINDS
+    for k in ALL_KINDS
 )
 
 

@@ -67,9 +67,10 @@ def run_complete(df: DataFrame, label: str) -> DataFrame:
 
 def redacted(stream: DataFrame, subject: str, text: str) -> DataFrame:
     """Stateless scan and redaction of a stream of texts."""
-    flagged = T.with_match_flags(stream.select(subject, text), text, vocab.ALL_KINDS)
-    flags = {k: F.col(T.match_column(k, text)) for k in vocab.ALL_KINDS}
-    kinds = F.concat_ws(",", *[F.when(f, F.lit(k)) for k, f in flags.items()])
+    flagged = T.with_match_flags(stream.select(subject, text), text, vocab.PATTERNS)
+    kinds = F.concat_ws(
+        ",", *[F.when(F.col(T.match_column(p.kind, text)), p.kind) for p in vocab.PATTERNS]
+    )
     staged = flagged.withColumn("entity_types", kinds).select(subject, text, "entity_types")
     return T.with_redaction(staged, text, "redacted").select(subject, "entity_types", "redacted")
 
