@@ -118,6 +118,7 @@ def test_late_events_are_dropped_in_append_mode(spark):
     batches = [
         [(1, "2024-01-01 00:10:00"), (2, "2024-01-01 00:20:00")],
         [(3, "2024-01-01 09:00:00")],
+        [(6, "2024-01-01 10:00:00")],
         [(4, "2024-01-01 00:30:00"), (5, "2024-01-01 20:00:00")],
     ]
     for batch in batches:
