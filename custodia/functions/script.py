@@ -163,5 +163,14 @@ def one_row_each(values: Column) -> Column:
     return F.inline_outer(values)
 
 
+def once(**columns: Column) -> Column:
+    """Columns computed once, although a filter and the output both read them.
+
+    A filter on a computed column moves below the projection and takes a copy of the
+    expression along; it cannot move below a generator.
+    """
+    return one_row_each(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+
+
 def joined(values: Column) -> Column:
     return F.array_join(values, ",")

@@ -76,22 +76,25 @@ def duplicates(df: DataFrame, text: str, subject: str) -> DataFrame:
 def pii_columns_by_subject(
     df: DataFrame, code: str, subject: str, names: Sequence[str] = vocab.COLUMN_NAMES
 ) -> DataFrame:
-    found = df.select(subject, pii.pii_columns(F.col(code), names).alias("pii_columns"))
+    found = df.select(subject, S.once(pii_columns=pii.pii_columns(F.col(code), names)))
     return found.where(F.size("pii_columns") > 0)
 
 
 def phi_columns(
-    df: DataFrame, code: str, subject: str, phi: Sequence[str] = vocab.PHI_NAMES
+    df: DataFrame,
+    code: str,
+    subject: str,
+    phi: Sequence[str] = vocab.PHI_NAMES,
+    names: Sequence[str] = vocab.COLUMN_NAMES,
 ) -> DataFrame:
     """Health-information columns among the personal ones, and whether the script masks at all."""
+    lower = F.transform(pii.pii_columns(F.col(code), names), lambda c: F.lower(c))
     found = df.select(
         subject,
-        F.sort_array(
-            F.array_intersect(
-                F.transform(pii.pii_columns(F.col(code)), lambda c: F.lower(c)), S.array_of(phi)
-            )
-        ).alias("phi_columns"),
-        S.contains(F.col(code), "mask_pii").alias("masked"),
+        S.once(
+            phi_columns=F.sort_array(F.array_intersect(lower, S.array_of(phi))),
+            masked=S.contains(F.col(code), "mask_pii"),
+        ),
     )
     return found.where(F.size("phi_columns") > 0)
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ast
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from custodia import vocab
 from custodia.functions import script as S
@@ -20,30 +23,51 @@ def _first_dangerous(code: Column, mode: str) -> Column:
     return F.coalesce(*[F.when(S.contains(code, w), w) for w in vocab.DANGEROUS])
 
 
+@F.pandas_udf(StringType())
+def _syntax_error(codes: pd.Series) -> pd.Series:
+    """What the compiler says about each script, null when it is valid; nothing is run."""
+
+    def problem(code: str | None) -> str | None:
+        try:
+            compile(code or "", "script", "exec", flags=ast.PyCF_ONLY_AST, dont_inherit=True)
+        except SyntaxError as exc:
+            return f"Invalid Python syntax at line {exc.lineno}: {exc.msg}"
+        except (ValueError, RecursionError, MemoryError) as exc:
+            return f"Invalid Python syntax: {exc}"
+        return None
+
+    return codes.map(problem)
+
+
 def gate(
     df: DataFrame,
     code: str = "code",
     max_tokens: int = vocab.MAX_TOKENS,
     mode: str = "reference",
     allowed: Sequence[str] = vocab.GATE_IMPORTS,
+    check_syntax: bool = False,
 ) -> DataFrame:
     """Add ``passed, error_code, error_message, rule_violated, sanitized_code``.
 
-    Stages: size, encoding, dangerous name, write-mode open, network call, imports,
-    path traversal. Costly stages only see rows the cheap ones let through.
+    Stages: size, encoding, (syntax,) dangerous name, write-mode open, network call,
+    imports, path traversal. Costly stages only see rows the cheap ones let through.
+    The syntax stage needs Python on the executors, so it is only there on request.
     """
     if mode not in ("reference", "strict"):
         raise ValueError(f"unknown gate mode: {mode}")
     clean, raw = F.col("_clean"), F.col(code)
     outside = F.filter(S.imported_names(clean), lambda m: ~S.top_module(m).isin(*allowed))
     tokens = T.token_estimate(raw)
+    syntax = _syntax_error(clean) if check_syntax else F.lit(None).cast("string")
     checked = (
         df.withColumn("_clean", T.strip_nul(raw))
         .withColumn("_danger", _first_dangerous(clean, mode))
+        .withColumn("_syntax", syntax)
         .withColumn(
             "rule_violated",
             F.when(tokens > max_tokens, "SIZE_CHECK")
             .when(~F.is_valid_utf8(raw), "ENCODING_CHECK")
+            .when(F.col("_syntax").isNotNull(), "SYNTAX_CHECK")
             .when(F.col("_danger").isNotNull(), "DANGEROUS_PATTERN")
             .when(S.write_open(clean), "DANGEROUS_WRITE")
             .when(S.contains_any(clean, vocab.NETWORK), "NETWORK_CALL")
@@ -60,6 +84,7 @@ def gate(
             ),
         )
         .when(rule == "ENCODING_CHECK", F.lit("Invalid encoding"))
+        .when(rule == "SYNTAX_CHECK", F.col("_syntax"))
         .when(
             rule == "DANGEROUS_PATTERN",
             F.concat(
@@ -98,7 +123,7 @@ def gate(
             "sanitized_code": F.when(rule.isNull(), clean),
             "nul_stripped": clean != raw,
         }
-    ).drop("_clean", "_danger")
+    ).drop("_clean", "_danger", "_syntax")
 
 
 def split(gated: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -132,13 +132,25 @@ def scan_columns(
     )
 
 
-def exposure(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
-    """Rows and filled values of the given columns, in one pass that reads only them."""
+def exposure(
+    df: DataFrame, table: str, columns: Sequence[str], flagged: Sequence[str]
+) -> DataFrame:
+    """The columns of a table with its row count, and the filled values of the flagged ones.
+
+    One pass that reads the flagged columns and no other.
+    """
     counts = df.agg(
-        F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(f"_v_{c}") for c in columns]
+        F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(f"_v_{c}") for c in flagged]
     )
+    unknown = F.lit(None).cast("bigint")
     rows = F.array(
-        *[F.struct(F.lit(c).alias("column_name"), F.col(f"_v_{c}").alias("n_values")) for c in columns]
+        *[
+            F.struct(
+                F.lit(c).alias("column_name"),
+                (F.col(f"_v_{c}") if c in flagged else unknown).alias("n_values"),
+            )
+            for c in columns
+        ]
     )
     return counts.select(F.lit(table).alias("table_name"), F.col("_n").alias("n_rows"), S.one_row_each(rows))
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from custodia import vocab
+from custodia.sources.tables import small_table
 
 
 @dataclass(frozen=True)
@@ -238,21 +238,26 @@ def table_same(a: DataFrame, b: DataFrame) -> bool:
     return prints.select("n_rows", "fingerprint").distinct().count() == 1
 
 
-def step_counts(steps: Sequence[tuple[str, DataFrame]]) -> DataFrame:
-    """Rows of named steps as a table; each step is counted where it stands in the plan."""
-    counted = [
-        df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(i).alias("step_no"), F.lit(name).alias("step"), "n_rows")
-        for i, (name, df) in enumerate(steps)
-    ]
-    return reduce(DataFrame.unionByName, counted)
-
-
 def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     """Count rows in passing: the count is there once any action has run over the frame."""
     watch = Observation(name)
     return df.observe(watch, F.count(F.lit(1)).alias("n_rows")), watch
 
 
+def step_counts(
+    df: DataFrame, steps: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]]
+) -> DataFrame:
+    """Rows after the read and after every step of a transformation, from running it once."""
+    current, watch = observed(df, "read")
+    watches = [("read", watch)]
+    for name, step in steps:
+        current, watch = observed(step(current), name)
+        watches.append((name, watch))
+    current.write.format("noop").mode("overwrite").save()
+    rows = [(i, name, watch.get["n_rows"]) for i, (name, watch) in enumerate(watches)]
+    return small_table(df.sparkSession, rows, "step_no int, step string, n_rows bigint")
+
+
 STORE_ENUMS = {
     "sessions": {c: vocab.ENUMS[c] for c in ("input_type", "target", "status")},
     "artifacts": {"artifact_type": vocab.ENUMS["artifact_type"]},

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from custodia import vocab
+from custodia.functions import text as T
 
 
 def last_per_key(df: DataFrame, key: str, order: Sequence[Column], n: int) -> DataFrame:
@@ -154,14 +155,20 @@ def budget_running(sessions: DataFrame, budget: int) -> DataFrame:
     )
 
 
-def metrics(sessions: DataFrame, group: str) -> DataFrame:
-    """Run counters by group."""
-    return sessions.groupBy(group).agg(
+def metrics(sessions: DataFrame, group: str, text: str = "input_text") -> DataFrame:
+    """Run counters by group; personal data is counted by kinds found in the input."""
+    patterns = vocab.BASE_PATTERNS
+    flagged = T.with_match_flags(
+        sessions.select(group, "status", "tokens_used", "token_budget", text), text, patterns
+    )
+    found = sum((F.col(T.match_column(p.kind, text)).cast("bigint") for p in patterns), F.lit(0))
+    return flagged.groupBy(group).agg(
         F.count(F.lit(1)).alias("runs"),
         F.count_if(F.col("status") == "success").alias("successes"),
         F.count_if(F.col("status") == "failed").alias("failures"),
         F.sum("tokens_used").alias("tokens"),
         F.count_if(F.col("tokens_used") > F.col("token_budget")).alias("over_budget"),
+        F.sum(found).alias("pii_detections"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -217,10 +218,15 @@ def _catalog() -> list[tuple[str, str, str]]:
     ]
 
 
+def _flagged(column: str) -> bool:
+    """Whether the extended dictionary knows the name, without its table prefix."""
+    return re.sub(r"^[a-z]{1,2}_", "", column) in vocab.COLUMN_NAMES_EXTENDED
+
+
 def _catalog_scan_sql() -> str:
     parts = [
         f"SELECT '{t}' AS table_name, '{c}' AS column_name, (SELECT count(*) FROM {t}) AS n_rows, "
-        f"(SELECT count({c}) FROM {t}) AS n_values"
+        + (f"(SELECT count({c}) FROM {t}) AS n_values" if _flagged(c) else "CAST(NULL AS BIGINT) AS n_values")
         for t, c, _ in _catalog()
     ]
     key = "regexp_replace(lower(trim(column_name)), '^[a-z]{1,2}_', '')"
@@ -234,9 +240,14 @@ FROM ({" UNION ALL ".join(parts)})
 
 @query(_catalog_scan_sql())
 def pii_column_scan_ext(ds: Dataset) -> DataFrame:
+    """Every column of every table; filled values are counted for flagged columns only."""
     tables = {t: [c for u, c, _ in _catalog() if u == t] for t in SCHEMAS}
     exposed = reduce(
-        DataFrame.unionByName, [pii.exposure(ds.table(t), t, columns) for t, columns in tables.items()]
+        DataFrame.unionByName,
+        [
+            pii.exposure(ds.table(t), t, columns, [c for c in columns if _flagged(c)])
+            for t, columns in tables.items()
+        ],
     )
     found = pii.scan_columns(exposed, pii.dictionary(ds.spark, extended=True), strip_prefix=True)
     return found.select("table_name", "column_name", "normalised", "is_pii", "score", "n_rows", "n_values")
@@ -305,6 +316,24 @@ def phi_columns(ds: Dataset) -> DataFrame:
     return found.withColumn("phi_columns", S.joined(F.col("phi_columns")))
 
 
+@query(
+    with_views(
+        f"""
+SELECT script_id, array_to_string(phi, ',') AS phi_columns, contains(code, 'mask_pii') AS masked
+FROM (SELECT script_id, code, list_filter({pii_columns_sql("code", vocab.COLUMN_NAMES_EXTENDED)}, lambda x: x IN {in_list(vocab.PHI_NAMES_PROFILE)}) AS phi FROM v_scripts)
+WHERE len(phi) > 0
+""",
+        "v_scripts",
+    )
+)
+def phi_columns_profile(ds: Dataset) -> DataFrame:
+    """The same with the profile's longer list of health-information names."""
+    found = corpus.phi_columns(
+        ds.view("v_scripts"), "code", "script_id", vocab.PHI_NAMES_PROFILE, vocab.COLUMN_NAMES_EXTENDED
+    )
+    return found.withColumn("phi_columns", S.joined(F.col("phi_columns")))
+
+
 LOOKS_MASKED = r"^(?:\*+.{0,4}|[0-9a-f]{64}|\[[A-Z_]+\])$"
 
 

@@ -256,10 +256,14 @@ UNION ALL SELECT 2, 'lines', count(*) FROM orders JOIN lineitem ON o_orderkey =
 """
 )
 def step_row_counts(ds: Dataset) -> DataFrame:
-    orders = ds.table("orders").select("o_orderkey", "o_orderstatus")
-    active = orders.where(F.col("o_orderstatus") == "O")
-    lines = active.join(ds.table("lineitem").select("l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return Q.step_counts([("read", orders), ("active", active), ("lines", lines)])
+    lines = ds.table("lineitem").select("l_orderkey")
+    return Q.step_counts(
+        ds.table("orders").select("o_orderkey", "o_orderstatus"),
+        [
+            ("active", lambda df: df.where(F.col("o_orderstatus") == "O")),
+            ("lines", lambda df: df.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))),
+        ],
+    )
 
 
 @query(

@@ -123,7 +123,9 @@ def autofix_worklist(ds: Dataset) -> DataFrame:
     )
 )
 def missing_audit_columns(ds: Dataset) -> DataFrame:
-    found = ds.view("v_scripts").select("script_id", corpus.missing_audit_columns(F.col("code")).alias("missing"))
+    found = ds.view("v_scripts").select(
+        "script_id", S.once(missing=corpus.missing_audit_columns(F.col("code")))
+    )
     return found.where(F.size("missing") > 0).withColumn("missing", S.joined(F.col("missing")))
 
 

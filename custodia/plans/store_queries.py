@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from custodia import vocab
 from custodia.operators import pii, store
 from custodia.plans.pii_queries import BASE_KINDS, findings_sql
-from custodia.plans.registry import query
+from custodia.plans.registry import query, quoted
 from custodia.sources.tables import Dataset
 from custodia.sources.views import with_views
 
@@ -158,12 +158,17 @@ def history_topk(ds: Dataset) -> DataFrame:
     return store.history(ds.view("v_audit_log"), "session_id", "event_type", "id")
 
 
+DETECTIONS = " + ".join(
+    f"CAST(regexp_matches(input_text, {quoted(vocab.PATTERN_BY_KIND[k].regex)}) AS INTEGER)" for k in BASE_KINDS
+)
+
+
 @query(
     with_views(
-        """
+        f"""
 SELECT target, count(*) AS runs, count(*) FILTER (WHERE status = 'success') AS successes,
   count(*) FILTER (WHERE status = 'failed') AS failures, CAST(sum(tokens_used) AS BIGINT) AS tokens,
-  count(*) FILTER (WHERE tokens_used > token_budget) AS over_budget
+  count(*) FILTER (WHERE tokens_used > token_budget) AS over_budget, CAST(sum({DETECTIONS}) AS BIGINT) AS pii_detections
 FROM v_sessions GROUP BY target
 """,
         "v_sessions",
