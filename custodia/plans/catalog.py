@@ -2,6 +2,7 @@
 
 from custodia.plans import (  # noqa: F401
     corpus_queries,
+    flow_queries,
     job_queries,
     pii_queries,
     quality_queries,

@@ -143,6 +143,17 @@ FROM {events}
 """
 
 
+def expected_events() -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("event_id", T.LongType(), False),
+            T.StructField("value", T.DecimalType(12, 2), True),
+            T.StructField("user_id", T.LongType(), False),
+            T.StructField("event_type", T.StringType(), False),
+        ]
+    )
+
+
 @query(
     f"""
 WITH raw AS ({RAW_EVENTS.format(events='events')})
@@ -156,14 +167,7 @@ FROM raw
 )
 def ingest_quarantine(ds: Dataset) -> DataFrame:
     raw = ds.spark.sql(RAW_EVENTS, events=ds.table("events"))
-    expected = T.StructType(
-        [
-            T.StructField("event_id", T.LongType(), False),
-            T.StructField("value", T.DecimalType(12, 2), True),
-            T.StructField("user_id", T.LongType(), False),
-            T.StructField("event_type", T.StringType(), False),
-        ]
-    )
+    expected = expected_events()
     result = writes.ingest(raw, expected)
     drift = ";".join(f"{c}={what}" for c, what in result.drift)
     return result.all.withColumnRenamed("_reasons", "reasons").withColumn("drift", F.lit(drift))

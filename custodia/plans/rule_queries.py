@@ -129,7 +129,7 @@ def missing_audit_columns(ds: Dataset) -> DataFrame:
     return found.where(F.size("missing") > 0).withColumn("missing", S.joined(F.col("missing")))
 
 
-def _report_sql() -> str:
+def report_sql(source: str = "v_scripts") -> str:
     kinds = {k: f"regexp_matches(code, {quoted(vocab.PATTERN_BY_KIND[k].regex)})" for k in BASE_KINDS}
     count = " + ".join(f"CAST({m} AS INTEGER)" for m in kinds.values())
     score = "greatest(" + ", ".join(
@@ -137,10 +137,10 @@ def _report_sql() -> str:
     ) + ", CASE WHEN list_has_any(p, ['mrn', 'passport', 'ssn']) THEN 4 WHEN len(p) > 0 THEN 3 ELSE 0 END)"
     critical = " OR ".join(kinds[k] for k in BASE_CRITICAL)
     return f"""
-WITH checks AS ({checks_sql()}),
+WITH checks AS ({checks_sql(source)}),
 folded AS (SELECT script_id, {OVERALL} AS overall_status,
     string_agg(rule_id || ':' || status, ',' ORDER BY rule_id) AS checks FROM checks GROUP BY script_id),
-found AS (SELECT script_id, code, {pii_columns_sql('code')} AS p FROM v_scripts)
+found AS (SELECT script_id, code, {pii_columns_sql('code')} AS p FROM {source})
 SELECT f.script_id, overall_status, checks, CAST({count} + len(p) AS INTEGER) AS entities_detected,
   CASE WHEN {critical} OR {score} >= 4 THEN 'critical' WHEN {score} = 3 THEN 'high' WHEN {score} = 2 THEN 'medium' ELSE 'low' END AS risk_level,
   contains(code, 'mask_pii') AS masked_in_output,
@@ -171,12 +171,12 @@ def _flat(report: DataFrame) -> DataFrame:
     )
 
 
-@query(with_views(_report_sql(), "v_scripts"))
+@query(with_views(report_sql(), "v_scripts"))
 def compliance_report(ds: Dataset) -> DataFrame:
     return _flat(rules.compliance_report(ds.view("v_scripts"), "script_id"))
 
 
-@query(with_views(_report_sql(), "v_scripts"))
+@query(with_views(report_sql(), "v_scripts"))
 def report_json(ds: Dataset) -> DataFrame:
     report = rules.compliance_report(ds.view("v_scripts"), "script_id")
     path = fresh_path(ds.spark, "report-json")

@@ -17,6 +17,9 @@ def con():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_equal(spark, con, name):
     df = QUERIES[name](spark, SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython"):
+        assert unwanted not in plan
     if name in CHECKS:
         assert compare(df, con, CHECKS[name]) == ""
     else:
