@@ -19,8 +19,8 @@ IMPORT_FROM_TOP = r"[\n\r;:][ \t]*from[ \t]+\.*([A-Za-z_]\w*)[\w.]*[ \t]+import\
 # after the lists are joined by commas, every name follows the start or a comma
 LISTED_NAME = r"(?:^|,)[ \t(]*([A-Za-z_][\w.]*)"
 LISTED_TOP = r"(?:^|,)[ \t(]*([A-Za-z_]\w*)"
-# a quoted word; only words of two or more characters that start otherwise than _ are captured
-QUOTED_COLUMN = r"""['"](?:_\w*|\w|([A-Za-z0-9]\w+))['"]"""
+# a quoted word of any alphabet; captured if it has two or more characters and starts otherwise than _
+QUOTED_COLUMN = r"""(?U)['"](?:_\w*|\w|([^\W_]\w+))['"]"""
 
 DEF = r"^def[ \t]+\w+[ \t]*\("
 DEF_BLOCK = r"(?m)(?:^@[^\n]*\n)*^def[ \t]+\w+[ \t]*\("

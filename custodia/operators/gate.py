@@ -27,18 +27,27 @@ def _first_dangerous(code: Column, mode: str) -> Column:
 def _syntax_error(codes: pd.Series) -> pd.Series:
     """What the compiler says about each script, null when it is valid; nothing is run."""
 
+    message = vocab.GATE_MESSAGES["SYNTAX_CHECK"]
+
     def problem(code: str | None) -> str | None:
         try:
             compile(code or "", "script", "exec", flags=ast.PyCF_ONLY_AST, dont_inherit=True)
         except SyntaxError as exc:
-            return f"Invalid Python syntax at line {exc.lineno}: {exc.msg}"
+            return message.format(exc.lineno, exc.msg)
         except (ValueError, RecursionError, MemoryError) as exc:
-            return f"Invalid Python syntax: {exc}"
+            return message.format(0, exc)
         return None
 
     return codes.map(problem)
 
 
+def _filled(rule: str, *found: Column) -> Column:
+    """The rule's message with what was found put in; a syntax message comes filled already."""
+    if rule == "SYNTAX_CHECK":
+        return found[0]
+    return F.format_string(vocab.GATE_MESSAGES[rule].replace("{}", "%s"), *found)
+
+
 def gate(
     df: DataFrame,
     code: str = "code",
@@ -76,44 +85,14 @@ def gate(
         )
     )
     rule = F.col("rule_violated")
-    message = (
-        F.when(
-            rule == "SIZE_CHECK",
-            F.format_string(
-                f"Input too large: ~%d tokens (limit: {max_tokens}). Trim code and retry.", tokens
-            ),
-        )
-        .when(rule == "ENCODING_CHECK", F.lit("Invalid encoding"))
-        .when(rule == "SYNTAX_CHECK", F.col("_syntax"))
-        .when(
-            rule == "DANGEROUS_PATTERN",
-            F.concat(
-                F.lit("Dangerous pattern detected: `"), F.col("_danger"),
-                F.lit("`. Remove it before submitting."),
-            ),
-        )
-        .when(
-            rule == "DANGEROUS_WRITE",
-            F.lit("File write operations are not permitted in submitted code."),
-        )
-        .when(
-            rule == "NETWORK_CALL",
-            F.lit("Direct network calls are not permitted in submitted code."),
-        )
-        .when(
-            rule == "IMPORT_WHITELIST",
-            F.concat(
-                F.lit("Import `"), F.get(outside, F.lit(0)),
-                F.lit("` is not in the allowed data-engineering import list."),
-            ),
-        )
-        .when(
-            rule == "PATH_TRAVERSAL",
-            F.lit(
-                "Path traversal patterns detected (e.g., `../`, `/etc/`). "
-                "Remove absolute or traversal paths."
-            ),
-        )
+    found = {
+        "SIZE_CHECK": (tokens, F.lit(max_tokens)),
+        "SYNTAX_CHECK": (F.col("_syntax"),),
+        "DANGEROUS_PATTERN": (F.col("_danger"),),
+        "IMPORT_WHITELIST": (F.get(outside, F.lit(0)),),
+    }
+    message = F.coalesce(
+        *[F.when(rule == name, _filled(name, *found.get(name, ()))) for name in vocab.GATE_MESSAGES]
     )
     return checked.withColumns(
         {

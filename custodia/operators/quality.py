@@ -188,8 +188,8 @@ def with_audit(df: DataFrame, run_id: str, ts: str, source: str) -> DataFrame:
 
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
-    """Child rows without a parent."""
-    return child.join(parent, F.col(child_key) == F.col(parent_key), "left_anti")
+    """Child rows that name a parent which is not there."""
+    return child.where(F.col(child_key).isNotNull()).join(parent, F.col(child_key) == F.col(parent_key), "left_anti")
 
 
 def cascade(

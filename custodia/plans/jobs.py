@@ -39,7 +39,11 @@ def customer_ltv(
 def region_revenue(
     orders: DataFrame, customer: DataFrame, nation: DataFrame, region: DataFrame, status: str = "O"
 ) -> DataFrame:
-    """Total and average revenue by region; orders are summed per customer before any join."""
+    """Total and average revenue by region.
+
+    Orders are summed per customer before they meet the customers, and per nation
+    before they meet nations and regions, so those joins see a handful of rows.
+    """
     per_customer = (
         orders.where(F.col("o_orderstatus") == status)
         .groupBy("o_custkey")
@@ -48,11 +52,14 @@ def region_revenue(
             F.count(F.lit(1)).alias("n"),
         )
     )
-    placed = _regions(nation, region).join(
-        customer.select("c_custkey", "c_nationkey"), F.col("nationkey") == F.col("c_nationkey")
+    homes = customer.select("c_custkey", "c_nationkey")
+    per_nation = (
+        per_customer.join(homes, F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy("c_nationkey")
+        .agg(F.sum("revenue").alias("revenue"), F.sum("n").alias("n"))
     )
     return (
-        per_customer.join(placed, F.col("o_custkey") == F.col("c_custkey"))
+        per_nation.join(_regions(nation, region), F.col("c_nationkey") == F.col("nationkey"))
         .groupBy("region")
         .agg(F.sum("revenue").cast("decimal(38,2)").alias("total_revenue"), F.sum("n").alias("_n"))
         .select(
@@ -79,28 +86,28 @@ def cross_border_flows(
 ) -> DataFrame:
     """Order lines whose buyer and supplier sit in different regions, by pair of regions.
 
-    Lines are summed per (order, supplier region) before they meet the orders. No
-    join is hinted: nations and regions are small enough to broadcast, customers and
-    suppliers are as long as Spark measures them to be.
+    Lines meet the orders in one shuffle and are summed per pair of nations right there,
+    on the map side; regions only see those sums. An order or a supplier that holds most
+    lines is split by the skew join, whose output nothing needs partitioned. No join is
+    hinted: customers and suppliers are broadcast only as long as Spark measures them to
+    be small.
     """
-    places = _regions(nation, region)
-    sellers = supplier.join(places, F.col("s_nationkey") == F.col("nationkey")).select(
-        "s_suppkey", F.col("region").alias("supplier_region")
-    )
-    buyers = customer.join(places, F.col("c_nationkey") == F.col("nationkey")).select(
-        "c_custkey", F.col("region").alias("customer_region")
+    sold = lineitem.select("l_orderkey", "l_suppkey", net_price().alias("value")).join(
+        supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")
     )
     bought = orders.select("o_orderkey", "o_custkey").join(
-        buyers, F.col("o_custkey") == F.col("c_custkey")
+        customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")
     )
-    sold = (
-        lineitem.select("l_orderkey", "l_suppkey", net_price().alias("value"))
-        .join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy("l_orderkey", "supplier_region")
-        .agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("lines"))
+    nations = (
+        sold.join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
+        .groupBy("c_nationkey", "s_nationkey")
+        .agg(F.count(F.lit(1)).alias("lines"), F.sum("value").alias("value"))
     )
+    buyers = _regions(nation, region).toDF("buyer_nation", "customer_region")
+    sellers = _regions(nation, region).toDF("seller_nation", "supplier_region")
     return (
-        sold.join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
+        nations.join(buyers, F.col("c_nationkey") == F.col("buyer_nation"))
+        .join(sellers, F.col("s_nationkey") == F.col("seller_nation"))
         .where(F.col("customer_region") != F.col("supplier_region"))
         .groupBy("customer_region", "supplier_region")
         .agg(F.sum("lines").alias("n_lines"), F.sum("value").cast("decimal(38,4)").alias("value"))

@@ -17,6 +17,15 @@ DEFAULTS = {
     "spark.sql.parquet.filterPushdown": "true",
 }
 
+def cluster_settings(shuffle_bytes: int, bytes_per_task: int = 200 * 1024**2) -> dict[str, str]:
+    """Settings for a job that shuffles about that much: enough partitions to fit in memory.
+
+    Run-time planning merges what turns out too small, so the number errs on the high side.
+    """
+    partitions = max(200, -(-shuffle_bytes // bytes_per_task))
+    return {**DEFAULTS, "spark.sql.shuffle.partitions": str(partitions)}
+
+
 _fallback: dict[str, str] = {}
 
 

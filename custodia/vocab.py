@@ -150,6 +150,21 @@ VALIDATOR_IMPORTS = tuple(
     """.split()
 )
 
+# rule -> message of the rejection; {} takes what was found
+GATE_MESSAGES = {
+    "SIZE_CHECK": "Input too large: ~{} tokens (limit: {}). Trim code and retry.",
+    "ENCODING_CHECK": "Invalid encoding",
+    "SYNTAX_CHECK": "Invalid Python syntax at line {}: {}",
+    "DANGEROUS_PATTERN": "Dangerous pattern detected: `{}`. Remove it before submitting.",
+    "DANGEROUS_WRITE": "File write operations are not permitted in submitted code.",
+    "NETWORK_CALL": "Direct network calls are not permitted in submitted code.",
+    "IMPORT_WHITELIST": "Import `{}` is not in the allowed data-engineering import list.",
+    "PATH_TRAVERSAL": (
+        "Path traversal patterns detected (e.g., `../`, `/etc/`). "
+        "Remove absolute or traversal paths."
+    ),
+}
+
 # --- fixed values: name-based type inference, first rule that matches wins ---------
 TYPE_RULES = (
     ("timestamp", ("date", "time", "ts", "at")),

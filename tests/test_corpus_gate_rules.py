@@ -85,7 +85,7 @@ def test_write_without_bracket_is_no_write(spark):
 
 @pytest.mark.parametrize(
     "code",
-    ['f("a","bc")', '"_a"b"', "'_x'if'yz'", 'g("_etl_run_id", "id")', "'ab\"cd'", "x['k']['kk']"],
+    ['f("a","bc")', '"_a"b"', "'_x'if'yz'", 'g("_etl_run_id", "id")', "'ab\"cd'", "x['k']['kk']", 'f("größe", "é", "_ü")'],
 )
 def test_columns_equal_sequential_search(spark, code):
     import re

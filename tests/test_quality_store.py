@@ -8,9 +8,9 @@ from pyspark.sql import types as T
 
 from custodia.operators import quality as Q
 from custodia.operators import rules, store
-from custodia.session import fresh_path
+from custodia.session import cluster_settings, fresh_path
 from custodia.sources import writes
-from custodia.sources.tables import Dataset, read_table
+from custodia.sources.tables import Dataset, read_table, spread
 from tests.conftest import SMALL, rows
 
 
@@ -191,3 +191,17 @@ def test_budget(spark):
     df = spark.createDataFrame([("2024-01-01 10:00:00", 50), ("2024-01-02 10:00:00", 45), ("2024-01-03 10:00:00", 30), ("2024-02-01 10:00:00", 10)], "t string, tokens_used long")
     got = store.budget_running(df.select(F.col("t").cast("timestamp").alias("created_at"), "tokens_used"), 100).orderBy("day").collect()
     assert [(r["used"], r["remaining"], r["alert"]) for r in got] == [(50, 50, False), (95, 5, True), (125, 0, True), (10, 90, False)]
+
+
+def test_spread_only_touches_small_inputs(spark):
+    few = spark.range(0, 100, 1, 1)
+    many = spark.range(0, 100, 1, 64)
+    assert spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(many) is many
+    assert cluster_settings(100 * 10**12)["spark.sql.shuffle.partitions"] == "476838"
+
+
+def test_orphans_ignore_missing_references(spark):
+    child = spark.createDataFrame([(1, 10), (2, None), (3, 30)], "id int, parent int")
+    parent = spark.createDataFrame([(10,)], "pk int")
+    assert rows(Q.orphans(child, parent, "parent", "pk")) == [(3, 30)]
