@@ -14,21 +14,28 @@ def _lines(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(whole, r"\r?\n"))
 
 
+def _both_sides(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Old and new value of every key side by side: columns ``_old`` and ``_new``.
+
+    An aggregation, not a join: both sides shuffle once by key, as they would for the
+    join, but copies of a key shrink to one row before it and can never multiply. If a
+    key does hold several values on a side, its greatest one stands for it.
+    """
+    sides = old.unionByName(new, allowMissingColumns=True)
+    return sides.groupBy(*keys).agg(F.max("_old").alias("_old"), F.max("_new").alias("_new"))
+
+
 def _line_changes(old: DataFrame, new: DataFrame, subject: str, text: str) -> DataFrame:
-    """Signed count of every line of changed subjects.
+    """Signed count of every line of changed subjects; null lines for the unchanged.
 
-    One text per subject and side. Both sides shuffle once, by subject; equal texts
-    leave right after the join, and counting lines needs no further shuffle because
-    the rows of a subject are together already. An empty or missing new text means
-    "not rewritten" and has no differences.
+    Counting lines needs no further shuffle, because the rows of a subject are together
+    already. An empty or missing new text means "not rewritten" and has no differences.
     """
-    pairs = (
-        old.select(subject, F.col(text).alias("_old"))
-        .join(new.select(subject, F.col(text).alias("_new")), subject, "left")
-        .withColumn(
-            "_changed",
-            (F.coalesce("_new", F.lit("")) != "") & (F.coalesce("_old", F.lit("")) != F.col("_new")),
-        )
+    pairs = _both_sides(
+        old.select(subject, F.col(text).alias("_old")), new.select(subject, F.col(text).alias("_new")), [subject]
+    ).withColumn(
+        "_changed",
+        (F.coalesce("_new", F.lit("")) != "") & (F.coalesce("_old", F.lit("")) != F.col("_new")),
     )
     signed = F.concat(
         F.transform(_lines(F.coalesce("_new", F.lit(""))), lambda x: F.struct(x.alias("line"), F.lit(1).alias("sign"))),
@@ -66,23 +73,25 @@ def diff_counts(old: DataFrame, new: DataFrame, subject: str, text: str) -> Data
 
 
 def keyed_diff(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows added, removed or changed between two versions of a table whose key is unique."""
+    """Rows added, removed or changed between two versions of a table with a key."""
     columns = [c for c in old.columns if c not in keys]
-    a = old.select(*keys, F.struct(*columns).alias("_a"))
-    b = new.select(*keys, F.struct(*columns).alias("_b"))
+    both = _both_sides(
+        old.select(*keys, F.struct(*columns).alias("_old")),
+        new.select(*keys, F.struct(*columns).alias("_new")),
+        keys,
+    )
     changed = F.concat_ws(
-        ",", *[F.when(~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")), F.lit(c)) for c in columns]
+        ",",
+        *[F.when(~F.col(f"_old.{c}").eqNullSafe(F.col(f"_new.{c}")), F.lit(c)) for c in columns],
     )
-    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
     return (
-        a.join(b, list(keys), "full_outer")
-        .select(
+        both.select(
             *keys,
-            F.when(F.col("_a").isNull(), "added")
-            .when(F.col("_b").isNull(), "removed")
+            F.when(F.col("_old").isNull(), "added")
+            .when(F.col("_new").isNull(), "removed")
             .when(changed != "", "changed")
             .alias("change"),
-            F.when(both, changed).alias("columns"),
+            F.when(F.col("_old").isNotNull() & F.col("_new").isNotNull(), changed).alias("columns"),
         )
         .where(F.col("change").isNotNull())
     )
