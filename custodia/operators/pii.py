@@ -155,10 +155,30 @@ def exposure(
     return counts.select(F.lit(table).alias("table_name"), F.col("_n").alias("n_rows"), S.one_row_each(rows))
 
 
+# Columns times patterns in one generated method; beyond about this many, the method is
+# too long for the JVM to compile and every row would run interpreted.
+CELLS_PER_PASS = 16
+
+
 def profile(
-    df: DataFrame, table: str, columns: Sequence[str], patterns: Sequence[vocab.Pattern] = vocab.PATTERNS
+    df: DataFrame,
+    table: str,
+    columns: Sequence[str],
+    patterns: Sequence[vocab.Pattern] = vocab.PATTERNS,
+) -> DataFrame:
+    """Matches and rows hit for every string column and pattern.
+
+    Columns are taken a few at a time. Each pass reads only its own columns, so a wide
+    table is still read once.
+    """
+    width = max(1, CELLS_PER_PASS // len(patterns))
+    passes = [columns[i : i + width] for i in range(0, len(columns), width)]
+    return reduce(DataFrame.unionByName, [_profile_pass(df, table, c, patterns) for c in passes])
+
+
+def _profile_pass(
+    df: DataFrame, table: str, columns: Sequence[str], patterns: Sequence[vocab.Pattern]
 ) -> DataFrame:
-    """Matches and rows hit for every string column and kind, from one scan and one aggregation."""
     counted = T.with_match_counts(df.select(*columns), columns, patterns)
     cells = [(c, p, T.match_column(p.kind, c)) for c in columns for p in patterns]
     totals = counted.agg(

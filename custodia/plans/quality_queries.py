@@ -185,14 +185,18 @@ def payload_valid(ds: Dataset) -> DataFrame:
 
 @query(
     """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem
-WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 0)
+SELECT * FROM (SELECT CASE WHEN l_partkey % 10 = 0 THEN l_orderkey + 1000000000000 ELSE l_orderkey END AS l_orderkey,
+    l_linenumber, l_partkey, l_suppkey FROM lineitem)
+WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
 """
 )
 def fk_orphans(ds: Dataset) -> DataFrame:
-    parents = ds.table("orders").where(F.col("o_orderkey") % 10 != 0).select("o_orderkey")
-    children = ds.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return Q.orphans(children, parents, "l_orderkey", "o_orderkey")
+    """Lines of orders that do not exist; the lines of some parts point to such orders."""
+    lost = F.when(F.col("l_partkey") % 10 == 0, F.col("l_orderkey") + 1_000_000_000_000)
+    children = ds.table("lineitem").select(
+        lost.otherwise(F.col("l_orderkey")).alias("l_orderkey"), "l_linenumber", "l_partkey", "l_suppkey"
+    )
+    return Q.orphans(children, ds.table("orders").select("o_orderkey"), "l_orderkey", "o_orderkey")
 
 
 @query(
@@ -291,24 +295,21 @@ def idempotent_overwrite(ds: Dataset) -> DataFrame:
 
 
 UPDATES = """
-SELECT c_custkey + CASE WHEN c_custkey % 10 = 0 THEN 100000000000 ELSE 0 END AS c_custkey,
+SELECT CASE WHEN c_custkey % 5 = 0 THEN c_custkey ELSE c_custkey + 100000000000 END AS c_custkey,
   c_name || ' v' || CAST(v AS STRING) AS c_name, c_nationkey, c_acctbal, c_mktsegment, v
-FROM {customer} CROSS JOIN (SELECT 1 AS v UNION ALL SELECT 2 AS v) WHERE c_custkey % 5 = 0
+FROM {customer}, (VALUES (1), (2)) AS versions(v)
 """
 
 
-def _updates(ds: Dataset) -> DataFrame:
-    """Two versions of every fifth customer, half of them under new keys."""
-    customer = ds.table("customer")
-    key = F.col("c_custkey")
-    return customer.where(key % 5 == 0).select(
-        F.when(key % 10 == 0, key + 100_000_000_000).otherwise(key).alias("c_custkey"),
-        "c_name",
-        "c_nationkey",
-        "c_acctbal",
-        "c_mktsegment",
-        F.explode(F.array(F.lit(1), F.lit(2))).alias("v"),
-    ).withColumn("c_name", F.concat("c_name", F.lit(" v"), F.col("v").cast("string")))
+def customer_updates(ds: Dataset) -> DataFrame:
+    """Two versions of every customer, every fifth under its own key, the others under new keys."""
+    key, version = F.col("c_custkey"), F.col("v")
+    return (
+        ds.table("customer")
+        .withColumn("v", F.explode(F.array(F.lit(1), F.lit(2))))
+        .withColumn("c_name", F.concat("c_name", F.lit(" v"), version.cast("string")))
+        .withColumn("c_custkey", F.when(key % 5 == 0, key).otherwise(key + 100_000_000_000))
+    )
 
 
 MERGED = """
@@ -319,7 +320,7 @@ UNION ALL SELECT * FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM u
 
 @query(f"WITH updates AS ({UPDATES.format(customer='customer')}) {MERGED}")
 def merge_upsert(ds: Dataset) -> DataFrame:
-    return writes.merge_upsert(ds.table("customer"), _updates(ds), ["c_custkey"], [F.desc("v")])
+    return writes.merge_upsert(ds.table("customer"), customer_updates(ds), ["c_custkey"], [F.desc("v")])
 
 
 @query(with_views("SELECT id, session_id, event_type, event_data, severity FROM v_audit_log", "v_audit_log"))
