@@ -1,0 +1,28 @@
+"""The one function that runs Python on executors: does a script compile? Nothing is run."""
+
+from __future__ import annotations
+
+import ast
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from custodia import vocab
+
+
+def syntax_problem(code: str | None) -> str | None:
+    """What the compiler says about a script, None when it is valid."""
+    message = vocab.GATE_MESSAGES["SYNTAX_CHECK"]
+    try:
+        compile(code or "", "script", "exec", flags=ast.PyCF_ONLY_AST, dont_inherit=True)
+    except SyntaxError as exc:
+        return message.format(exc.lineno, exc.msg)
+    except (ValueError, RecursionError, MemoryError) as exc:
+        return message.format(0, exc)
+    return None
+
+
+@F.pandas_udf(StringType())
+def syntax_error(codes: pd.Series) -> pd.Series:
+    return codes.map(syntax_problem)

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import ast
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from custodia import vocab
 from custodia.functions import script as S
@@ -23,24 +20,6 @@ def _first_dangerous(code: Column, mode: str) -> Column:
     return F.coalesce(*[F.when(S.contains(code, w), w) for w in vocab.DANGEROUS])
 
 
-@F.pandas_udf(StringType())
-def _syntax_error(codes: pd.Series) -> pd.Series:
-    """What the compiler says about each script, null when it is valid; nothing is run."""
-
-    message = vocab.GATE_MESSAGES["SYNTAX_CHECK"]
-
-    def problem(code: str | None) -> str | None:
-        try:
-            compile(code or "", "script", "exec", flags=ast.PyCF_ONLY_AST, dont_inherit=True)
-        except SyntaxError as exc:
-            return message.format(exc.lineno, exc.msg)
-        except (ValueError, RecursionError, MemoryError) as exc:
-            return message.format(0, exc)
-        return None
-
-    return codes.map(problem)
-
-
 def _filled(rule: str, *found: Column) -> Column:
     """The rule's message with what was found put in; a syntax message comes filled already."""
     if rule == "SYNTAX_CHECK":
@@ -67,7 +46,11 @@ def gate(
     clean, raw = F.col("_clean"), F.col(code)
     outside = F.filter(S.imported_names(clean), lambda m: ~S.top_module(m).isin(*allowed))
     tokens = T.token_estimate(raw)
-    syntax = _syntax_error(clean) if check_syntax else F.lit(None).cast("string")
+    syntax = F.lit(None).cast("string")
+    if check_syntax:
+        from custodia.functions.syntax import syntax_error  # needs pandas
+
+        syntax = syntax_error(clean)
     checked = (
         df.withColumn("_clean", T.strip_nul(raw))
         .withColumn("_danger", _first_dangerous(clean, mode))
