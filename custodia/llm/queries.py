@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custodia.llm import packing, quality_rules, secret_scan, topk_search
+from custodia.llm import bloom_lm, packing, quality_rules, secret_scan, topk_search
 from custodia.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,8 @@ WITH valid AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
+
+
+@query
+def op10_bloom_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return bloom_lm.score(table(spark, folder, "documents"))
