@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custodia.llm import bloom_lm, packing, quality_rules, secret_scan, topk_search
+from custodia.llm import bloom_lm, ngram_join, packing, quality_rules, secret_scan, topk_search
 from custodia.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,8 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
 @query
 def op10_bloom_lm(spark: SparkSession, folder: str) -> DataFrame:
     return bloom_lm.score(table(spark, folder, "documents"))
+
+
+@query
+def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.classes(table(spark, folder, "documents"), width=3, percent=90)
