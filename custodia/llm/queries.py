@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custodia.llm import bloom_lm, ngram_join, packing, quality_rules, secret_scan, topk_search
+from custodia.llm import bloom_lm, line_dedup, ngram_join, packing, quality_rules, secret_scan, topk_search
 from custodia.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def op10_bloom_lm(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.classes(table(spark, folder, "documents"), width=3, percent=90)
+
+
+@query
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.report(table(spark, folder, "documents"), threshold=2, least=24)
