@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custodia.llm import bloom_lm, line_dedup, ngram_join, packing, piece_nbest, quality_rules, secret_scan, topk_search
+from custodia.llm import bloom_lm, chunk_dedup, line_dedup, ngram_join, packing, piece_nbest, quality_rules, secret_scan, topk_search
 from custodia.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_piece_nbest(spark: SparkSession, folder: str) -> DataFrame:
     return piece_nbest.segmentations(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n=4)
+
+
+@query
+def op2_chunk_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return chunk_dedup.repeated_passages(table(spark, folder, "documents"), least=100)
