@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custodia.llm import bloom_lm, chunk_dedup, line_dedup, ngram_join, packing, piece_nbest, quality_rules, secret_scan, topk_search
+from custodia.llm import bloom_lm, chunk_dedup, license_scan, line_dedup, ngram_join, packing, piece_nbest, quality_rules, secret_scan, topk_search
 from custodia.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,9 @@ def op4_piece_nbest(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_chunk_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return chunk_dedup.repeated_passages(table(spark, folder, "documents"), least=100)
+
+
+@query
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return license_scan.notices(docs, license_scan.train(docs))
