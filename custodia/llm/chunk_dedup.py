@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from custodia.llm.common import free_name, staged
+from custodia.llm.common import free_name, may_match, staged
 
 BITS, SHORTEST, LONGEST = 5, 16, 80  # chunks of some 45 bytes on average
 GEAR = np.random.default_rng(2).integers(0, 2**32, 256, dtype=np.uint32)
@@ -99,7 +99,8 @@ def repeated_passages(docs: DataFrame, least: int = 100, doc_id: str = "doc_id",
         ),
     ).where("digest is not null")
     shared = each.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last")
-    hits = each.join(shared.drop("last"), "digest").select("doc_id", "start", "end", "first").distinct()
+    shared = staged(shared.drop("last"), "digests")
+    hits = may_match(each, shared, "digest").join(shared, "digest").select("doc_id", "start", "end", "first").distinct()
     in_order = Window.partitionBy("doc_id").orderBy("start", "end", "first")
     opens = F.when(F.lag("end").over(in_order) >= F.col("start"), 0).otherwise(1)
     runs = hits.withColumn("opens", opens).withColumn("run", F.sum("opens").over(in_order))

@@ -37,6 +37,23 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def may_match(rows: DataFrame, keys: DataFrame, column: str, bits: int = 25) -> DataFrame:
+    """The rows whose `column` may be among that of keys: all that are, and few others.
+
+    Goes before a join that decides, so that what has no partner isn't shuffled for it. Hashes of the keys are
+    set in a field of 2 ** bits bits, kept as words of 64; so what is broadcast has a row a word, 2 ** (bits - 6) of
+    16 bytes at most, however many keys there are. With very many keys it lets more through.
+    """
+    place, word, field = (free_name(rows, n) for n in ("_place", "_word", "_field"))
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.withColumn(place, F.pmod(F.xxhash64(column), F.lit(1 << bits))).withColumn(word, F.shiftright(place, 6).cast("int"))
+
+    held = placed(keys.select(column)).groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({place} & 63 as int))")).alias(field))
+    some = placed(rows).join(F.broadcast(held), word)
+    return some.where(F.getbit(field, F.col(place).bitwiseAND(63).cast("int")) == 1).select(*rows.columns)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges between longs: rows (id, component).
 
