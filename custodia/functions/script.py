@@ -13,21 +13,34 @@ from custodia.functions.text import regex_extract_all
 
 # A statement starts a line or follows ; or : on it. The code is searched with a line
 # break put before it, so that one character class tells where a match can start.
-IMPORT_LIST = r"[\n\r;:][ \t]*import[ \t]+([^\n\r;#]+)"
-IMPORT_FROM = r"[\n\r;:][ \t]*from[ \t]+\.*([A-Za-z_][\w.]*)[ \t]+import\b"
-IMPORT_FROM_TOP = r"[\n\r;:][ \t]*from[ \t]+\.*([A-Za-z_]\w*)[\w.]*[ \t]+import\b"
-# after the lists are joined by commas, every name follows the start or a comma
-LISTED_NAME = r"(?:^|,)[ \t(]*([A-Za-z_][\w.]*)"
-LISTED_TOP = r"(?:^|,)[ \t(]*([A-Za-z_]\w*)"
+# Every character beyond ASCII counts as part of a name: what Python makes of it by
+# normalising is for the allow-list to refuse, not for the pattern to overlook.
+NAME = r"[A-Za-z_\x{80}-\x{10FFFF}][A-Za-z0-9_.\x{80}-\x{10FFFF}]*"
+IMPORT_STATEMENT = (
+    r"[\n\r;:][ \t\f]*(?:import[ \t\f]+[^\n\r;#]+|from(?:[ \t\f]+\.*|\.+)[ \t\f]*" + NAME + r"[ \t\f]+import\b)"
+)
+IMPORT_LIST = r"^[\n\r;:][ \t\f]*import[ \t\f]+([^\n\r;#]+)"
+IMPORT_FROM = r"^[\n\r;:][ \t\f]*from[ \t\f.]*(" + NAME + ")"
+LISTED_NAME = r"(?:^|,)[ \t\f(]*(" + NAME + ")"
+CONTINUED = r"\\\r?\n"
 # a quoted word of any alphabet; captured if it has two or more characters and starts otherwise than _
 QUOTED_COLUMN = r"""(?U)['"](?:_\w*|\w|([^\W_]\w+))['"]"""
 
+# What may stand in brackets: strings, other text, and brackets again, eight levels deep.
+_ITEM = r"""(?:[^()'"]++|'[^'\n]*+'|"[^"\n]*+"|['"])"""
+for _ in range(8):
+    _ITEM = r"""(?:[^()'"]++|'[^'\n]*+'|"[^"\n]*+"|['"]|\(""" + _ITEM + r"*+\))"
 DEF = r"^def[ \t]+\w+[ \t]*\("
-DEF_BLOCK = r"(?m)(?:^@[^\n]*\n)*^def[ \t]+\w+[ \t]*\("
+# decorators, with comments and blank lines between them and before the function
+DEF_BLOCK = (
+    r"(?m)(?:^@[^\n(]*(?:\(" + _ITEM + r"*+\)[^\n]*)?\n(?:^[ \t]*(?:#[^\n]*)?\n)*)*^def[ \t]+\w+[ \t]*\("
+)
 DEF_NAME = r"(?m)^def[ \t]+(\w+)"
-DEF_ARGS = r"(?m)^def[ \t]+\w+[ \t]*\(([^)]*)\)"
+DEF_ARGS = r"(?m)^def[ \t]+\w+[ \t]*\((" + _ITEM + "*+)"
 FUNCTION_TYPE = "array<struct<name:string,decorators:array<string>,line_no:int,args:array<string>>>"
-DECORATOR = r"(?m)^@([\w.]+)[ \t]*$"
+DECORATOR = r"(?m)^@([\w.]+)[ \t]*(?:#.*)?$"
+STRING_OR_COMMENT = r"""'[^'\n]*'|"[^"\n]*"|#[^\n]*"""
+INNERMOST = r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}"
 
 
 def array_of(values: Sequence[str]) -> Column:
@@ -47,26 +60,43 @@ def top_module(dotted: Column) -> Column:
     return F.substring_index(dotted, ".", 1)
 
 
-def _statements(code: Column, regex: str) -> Column:
-    return regex_extract_all(F.concat(F.lit("\n"), code), regex, 1)
-
-
-def _listed(code: Column, regex: str) -> Column:
-    return regex_extract_all(F.array_join(_statements(code, IMPORT_LIST), ","), regex, 1)
+def _statements(code: Column) -> Column:
+    return regex_extract_all(F.concat(F.lit("\n"), code), IMPORT_STATEMENT)
 
 
 def imported_names(code: Column) -> Column:
-    """Dotted module names, ``import a, b.c as d`` and ``from e.f import g`` alike."""
-    return F.concat(_listed(code, LISTED_NAME), _statements(code, IMPORT_FROM))
+    """Dotted module names in order, ``import a, b.c as d`` and ``from e.f import g`` alike.
+
+    A backslash at the end of a line continues the statement, unless a comment holds it. Both
+    readings are searched, so that neither hides a statement from the other.
+    """
+    continued = contains(code, "\\")
+    found = F.concat(
+        F.when(continued, _statements(F.regexp_replace(code, CONTINUED, " "))).otherwise(
+            F.array().cast("array<string>")
+        ),
+        _statements(code),
+    )
+    return F.flatten(
+        F.transform(
+            found,
+            lambda s: F.when(
+                s.rlike(IMPORT_LIST), regex_extract_all(F.regexp_extract(s, IMPORT_LIST, 1), LISTED_NAME, 1)
+            ).otherwise(F.array(F.regexp_extract(s, IMPORT_FROM, 1))),
+        )
+    )
 
 
 def imports(code: Column) -> Column:
     """Top-level modules, sorted."""
-    return sorted_set(F.concat(_listed(code, LISTED_TOP), _statements(code, IMPORT_FROM_TOP)))
+    return sorted_set(F.transform(imported_names(code), top_module))
 
 
 def functions(code: Column) -> Column:
-    """Top-level functions: name, decorators (called decorators are not named), line, arguments."""
+    """Top-level functions: name, decorators (called decorators are not named), line, arguments.
+
+    Defaults may hold strings, commas and brackets up to eight levels deep.
+    """
     blocks = regex_extract_all(code, DEF_BLOCK)
     args = regex_extract_all(code, DEF_ARGS, 1)
     lines = F.filter(
@@ -75,7 +105,10 @@ def functions(code: Column) -> Column:
     )
 
     def names(part: Column) -> Column:
-        plain = F.regexp_replace(F.regexp_replace(part, r"\[[^\]]*\]", ""), r"(?s)\*.*", "")
+        plain = F.regexp_replace(part, STRING_OR_COMMENT, "")
+        for _ in range(8):
+            plain = F.regexp_replace(plain, INNERMOST, "")
+        plain = F.regexp_replace(plain, r"(?s)(?:^|,)\s*\*.*", "")
         return F.filter(
             F.transform(F.split(plain, ","), lambda a: F.regexp_extract(a, r"^\s*(\w+)", 1)),
             lambda a: a != "",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,12 +104,19 @@ def missing_audit_columns(code: Column) -> Column:
 
 
 def import_violations(
-    df: DataFrame, code: str, subject: str, allowed: Sequence[str] = vocab.GATE_IMPORTS
+    df: DataFrame, code: str, subject: str, allowed: Mapping[str, Sequence[str]] | None = None
 ) -> DataFrame:
-    """Imported modules that are not on the allow-list."""
-    return items(
-        df, F.array_except(S.imports(F.col(code)), S.array_of(allowed)), "module", subject
+    """Imported modules that are not on an allow-list, for each of the named lists, in one pass."""
+    lists = {"gate": vocab.GATE_IMPORTS} if allowed is None else allowed
+    found = df.select(subject, S.once(_imports=S.imports(F.col(code))))
+    each = F.array(
+        *[
+            F.struct(F.lit(name).alias("allow_list"), F.array_except("_imports", S.array_of(modules)).alias("_outside"))
+            for name, modules in lists.items()
+        ]
     )
+    listed = found.select(subject, S.one_row_each(each))
+    return items(listed, F.col("_outside"), "module", "allow_list", subject)
 
 
 def dangerous_patterns(df: DataFrame, code: str, subject: str) -> DataFrame:

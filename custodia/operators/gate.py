@@ -38,7 +38,8 @@ def gate(
     """Add ``passed, error_code, error_message, rule_violated, sanitized_code``.
 
     Stages: size, encoding, (syntax,) dangerous name, write-mode open, network call,
-    imports, path traversal. Costly stages only see rows the cheap ones let through.
+    imports, path traversal. Costly stages only see rows the cheap ones let through. A null
+    script is no script: it is not admitted.
     The syntax stage needs Python on the executors, so it is only there on request.
     """
     if mode not in ("reference", "strict"):
@@ -57,7 +58,8 @@ def gate(
         .withColumn("_syntax", syntax)
         .withColumn(
             "rule_violated",
-            F.when(tokens > max_tokens, "SIZE_CHECK")
+            F.when(raw.isNull(), "MISSING_CODE")
+            .when(tokens > max_tokens, "SIZE_CHECK")
             .when(~F.is_valid_utf8(raw), "ENCODING_CHECK")
             .when(F.col("_syntax").isNotNull(), "SYNTAX_CHECK")
             .when(F.col("_danger").isNotNull(), "DANGEROUS_PATTERN")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,17 +15,23 @@ from custodia.sources.tables import Dataset
 from custodia.sources.views import with_views
 
 
-IMPORT_LIST = r"(?m)(?:^|[;:])[ \t]*import[ \t]+([^\n;#]+)"
-IMPORT_FROM = r"(?m)(?:^|[;:])[ \t]*from[ \t]+\.*([A-Za-z_][\w.]*)[ \t]+import\b"
-DOTTED_NAME = r"^[ \t(]*([A-Za-z_][\w.]*)"
+NAME = S.NAME
+STATEMENT = r"[\n\r;:][ \t\f]*(?:import[ \t\f]+[^\n\r;#]+|from(?:[ \t\f]+\.*|\.+)[ \t\f]*" + NAME + r"[ \t\f]+import\b)"
+LISTED = r"^[ \t\f(]*(" + NAME + ")"
+FROM = r"^[\n\r;:][ \t\f]*from[ \t\f.]*(" + NAME + ")"
 
 
 def names_sql(code: str) -> str:
-    """Imported dotted names of a script, as a list."""
+    """Imported dotted names of a script in order, continued lines read both ways, as a list."""
+    joined = rf"regexp_replace({code}, '\\\r?\n', ' ', 'g')"
+    found = (
+        f"(CASE WHEN contains({code}, chr(92)) THEN regexp_extract_all(chr(10) || {joined}, {quoted(STATEMENT)}) ELSE [] END "
+        f"|| regexp_extract_all(chr(10) || {code}, {quoted(STATEMENT)}))"
+    )
     return (
-        f"list_filter(list_transform(flatten(list_transform(regexp_extract_all({code}, {quoted(IMPORT_LIST)}, 1), "
-        f"lambda s: string_split(s, ','))), lambda s: regexp_extract(s, {quoted(DOTTED_NAME)}, 1)) "
-        f"|| regexp_extract_all({code}, {quoted(IMPORT_FROM)}, 1), lambda s: s <> '')"
+        f"list_filter(flatten(list_transform({found}, lambda s: CASE WHEN regexp_matches(s, '^[\n\r;:][ \t\f]*import[ \t\f]') "
+        f"THEN list_transform(string_split(regexp_replace(s, '^[\n\r;:][ \t\f]*import[ \t\f]+', ''), ','), lambda t: regexp_extract(t, {quoted(LISTED)}, 1)) "
+        f"ELSE [regexp_extract(s, {quoted(FROM)}, 1)] END)), lambda t: t <> '')"
     )
 
 
@@ -43,8 +47,31 @@ def transforms_sql(code: str) -> str:
     return f"list_sort(list_filter([{found}], lambda s: s IS NOT NULL))"
 
 
+BLOCK = r"(?m)(?:^@[^\n]*\n(?:^[ \t]*(?:#[^\n]*)?\n)*)*^def[ \t]+\w+[ \t]*\("
+
+
+def functions_sql(code: str) -> str:
+    """Top-level functions as a list of structs: name, decos, line_no, args."""
+    args = rf"regexp_extract_all({code}, '(?m)^def[ \t]+\w+[ \t]*\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)', 1)"
+    plain = "a"
+    for _ in range(3):
+        plain = rf"regexp_replace({plain}, '\([^()\[\]{{}}]*\)|\[[^()\[\]{{}}]*\]|\{{[^()\[\]{{}}]*\}}', '', 'g')"
+    plain = rf"regexp_replace({plain}, '(?s)(^|,)\s*\*.*', '')"
+    names = rf"list_filter(list_transform(string_split({plain}, ','), lambda t: regexp_extract(t, '^\s*(\w+)', 1)), lambda t: t <> '')"
+    lines = (
+        f"list_filter(list_transform(string_split({code}, chr(10)), lambda l, i: {{'no': i, 'line': l}}), "
+        r"lambda x: regexp_matches(x.line, '^def[ \t]+\w+[ \t]*\('))"
+    )
+    return (
+        f"list_transform(list_zip(regexp_extract_all({code}, {quoted(BLOCK)}), {lines}, {args}), lambda z: {{"
+        r"'name': regexp_extract(z[1], '(?m)^def[ \t]+(\w+)', 1), "
+        r"'decos': list_transform(regexp_extract_all(z[1], '(?m)^@([\w.]+)[ \t]*(?:#.*)?$', 1), lambda d: string_split(d, '.')[-1]), "
+        f"'line_no': z[2].no, 'args': list_transform([z[3]], lambda a: {names})[1]}})"
+    )
+
+
 def tagged_sql(code: str, tag: str) -> str:
-    return rf"regexp_extract_all({code}, '(?m)^@{tag}[ \t]*\n(?:@[^\n]*\n)*def[ \t]+(\w+)', 1)"
+    return f"list_transform(list_filter({functions_sql(code)}, lambda f: list_contains(f.decos, '{tag}')), lambda f: f.name)"
 
 
 @query(
@@ -59,12 +86,10 @@ def script_imports(ds: Dataset) -> DataFrame:
 
 @query(
     with_views(
-        r"""
-SELECT script_id, b[1] AS name, b[2] AS decorators, b[3] AS line_no, '' AS args
-FROM (SELECT script_id, [regexp_extract(code, '(?m)^def[ \t]+(\w+)', 1),
-        regexp_extract(code, '(?m)^@(\w+)[ \t]*\ndef', 1),
-        CAST(length(regexp_extract(code, '(?s)^(.*?\n)?def ', 1)) - length(replace(regexp_extract(code, '(?s)^(.*?\n)?def ', 1), chr(10), '')) + 1 AS STRING)] AS b
-      FROM v_submissions WHERE regexp_matches(code, '(?m)^def[ \t]+\w+[ \t]*\('))
+        f"""
+SELECT script_id, f.name AS name, array_to_string(f.decos, ',') AS decorators, CAST(f.line_no AS STRING) AS line_no,
+  array_to_string(f.args, ',') AS args
+FROM (SELECT script_id, unnest({functions_sql('code')}) AS f FROM v_submissions)
 """,
         "v_submissions",
     )
@@ -105,11 +130,11 @@ def column_index(ds: Dataset) -> DataFrame:
     with_views(
         f"""
 SELECT script_id,
-  CASE WHEN regexp_matches(code, '(?m)^@(?:\\w+\\.)*(?:flow|task)[ \\t]*\\n(?:@[^\\n]*\\n)*def ') THEN 'prefect' ELSE 'pyspark' END AS job_type,
+  CASE WHEN len({tagged_sql('code', 'task')}) + len({tagged_sql('code', 'flow')}) > 0 THEN 'prefect' ELSE 'pyspark' END AS job_type,
   CAST(length(code) - length(replace(code, chr(10), '')) AS INTEGER) AS line_count,
   contains(code, 'SparkSession') AS has_spark_session,
   contains(code, 'StructType') OR contains(code, 'schema=') AS has_schema_def,
-  list_has_any({transforms_sql('code')}, ['write', 'save', 'saveAsTable']) AS has_write,
+  CASE WHEN code IS NOT NULL THEN list_has_any({transforms_sql('code')}, ['write', 'save', 'saveAsTable']) END AS has_write,
   array_to_string({tagged_sql('code', 'task')}, ',') AS tasks,
   array_to_string({tagged_sql('code', 'flow')}, ',') AS flows
 FROM v_submissions
@@ -190,6 +215,7 @@ SELECT script_id, rule IS NULL AS passed,
   CASE WHEN rule = 'SIZE_CHECK' THEN 'E002' WHEN rule IS NOT NULL THEN 'E001' END AS error_code,
   rule AS rule_violated,
   CASE rule
+    WHEN 'MISSING_CODE' THEN 'No code was submitted.'
     WHEN 'SIZE_CHECK' THEN 'Input too large: ~' || CAST(length(code) // 4 AS STRING) || ' tokens (limit: 10000). Trim code and retry.'
     WHEN 'DANGEROUS_PATTERN' THEN 'Dangerous pattern detected: `' || danger || '`. Remove it before submitting.'
     WHEN 'DANGEROUS_WRITE' THEN 'File write operations are not permitted in submitted code.'
@@ -198,7 +224,7 @@ SELECT script_id, rule IS NULL AS passed,
     WHEN 'PATH_TRAVERSAL' THEN 'Path traversal patterns detected (e.g., `../`, `/etc/`). Remove absolute or traversal paths.'
   END AS error_message,
   CASE WHEN rule IS NULL THEN code END AS sanitized_code
-FROM (SELECT *, CASE WHEN length(code) // 4 > 10000 THEN 'SIZE_CHECK'
+FROM (SELECT *, CASE WHEN code IS NULL THEN 'MISSING_CODE' WHEN length(code) // 4 > 10000 THEN 'SIZE_CHECK'
         WHEN danger IS NOT NULL THEN 'DANGEROUS_PATTERN'
         WHEN regexp_matches(code, {quoted(vocab.WRITE_OPEN)}) THEN 'DANGEROUS_WRITE'
         WHEN regexp_matches(code, {any_of(vocab.NETWORK)}) THEN 'NETWORK_CALL'
@@ -229,7 +255,7 @@ def gate_stats(ds: Dataset) -> DataFrame:
     with_views(
         rf"""
 SELECT coalesce(rule_violated, 'PASSED') AS rule_violated, count(*) AS n
-FROM (SELECT CASE WHEN length(code) // 4 > 10000 THEN 'SIZE_CHECK'
+FROM (SELECT CASE WHEN code IS NULL THEN 'MISSING_CODE' WHEN length(code) // 4 > 10000 THEN 'SIZE_CHECK'
         WHEN regexp_matches(code, {quoted(S.whole_words(vocab.DANGEROUS))}) THEN 'DANGEROUS_PATTERN'
         WHEN regexp_matches(code, {quoted(vocab.WRITE_OPEN)}) THEN 'DANGEROUS_WRITE'
         WHEN regexp_matches(code, {any_of(vocab.NETWORK)}) THEN 'NETWORK_CALL'
@@ -274,14 +300,8 @@ def _outside_sql(label: str, allowed) -> str:
     )
 )
 def import_violations(ds: Dataset) -> DataFrame:
-    scripts = ds.view("v_submissions")
-    parts = [
-        corpus.import_violations(scripts, "code", "script_id", allowed).select(
-            F.lit(label).alias("allow_list"), "script_id", "module"
-        )
-        for label, allowed in (("gate", vocab.GATE_IMPORTS), ("validator", vocab.VALIDATOR_IMPORTS))
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    lists = {"gate": vocab.GATE_IMPORTS, "validator": vocab.VALIDATOR_IMPORTS}
+    return corpus.import_violations(ds.view("v_submissions"), "code", "script_id", lists)
 
 
 @query(

@@ -46,7 +46,8 @@ SELECT script_id,
 FROM {v_scripts}
 """
 
-# the corpus plus what it lacks: file writes, network calls, lists of imports, oversize texts
+# the corpus plus what it lacks: file writes, network calls, lists of imports, oversize texts, statements over
+# several lines, names beyond ASCII, functions with nested defaults and spaced-out decorators, no script at all
 V_SUBMISSIONS = """
 SELECT script_id,
   CASE WHEN script_id % 17 = 0 THEN 'f = open("/tmp/file", "w")' || chr(10)
@@ -56,6 +57,14 @@ SELECT script_id,
        WHEN script_id % 31 = 0 THEN 'p = "/etc/passwd"' || chr(10)
        WHEN script_id % 37 = 0 THEN repeat('# filler line' || chr(10), 3000)
        WHEN script_id % 41 = 0 THEN 'from ..shared.utils import helper; import numpy as np' || chr(10)
+       WHEN script_id % 43 = 0 THEN 'import json, ' || chr(92) || chr(10) || '  requests' || chr(10)
+       WHEN script_id % 47 = 0 THEN '# a comment ' || chr(92) || chr(10) || 'from ' || chr(92) || chr(10) || '  httpx import get' || chr(10)
+       WHEN script_id % 53 = 0 THEN 'import ｒequests, é.f' || chr(10)
+       WHEN script_id % 59 = 0 THEN 'from flask import a' || chr(10) || 'import requests' || chr(10)
+       WHEN script_id % 61 = 0 THEN '@task' || chr(10) || '# a note' || chr(10) || chr(10) || '@utils.logged  # twice' || chr(10)
+            || 'def load(a=(1, 2), b=3, *, c=4):' || chr(10) || '    pass' || chr(10) || chr(10) || '@flow' || chr(10) || chr(10)
+            || 'def run(x=lit(0), y: Dict[str, int] = {{}}, z=max((1, 2), 3)):' || chr(10) || '    return load()' || chr(10)
+       WHEN script_id % 67 = 0 THEN NULL
        ELSE '' END || code AS code
 FROM {v_scripts}
 """

@@ -152,6 +152,7 @@ VALIDATOR_IMPORTS = tuple(
 
 # rule -> message of the rejection; {} takes what was found
 GATE_MESSAGES = {
+    "MISSING_CODE": "No code was submitted.",
     "SIZE_CHECK": "Input too large: ~{} tokens (limit: {}). Trim code and retry.",
     "ENCODING_CHECK": "Invalid encoding",
     "SYNTAX_CHECK": "Invalid Python syntax at line {}: {}",
