@@ -14,45 +14,38 @@ def _lines(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(whole, r"\r?\n"))
 
 
-def _both_sides(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Old and new value of every key side by side: columns ``_old`` and ``_new``.
+def _compared(old: DataFrame, new: DataFrame, subject: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides' texts in one table with ``_sign``, and per subject whether they differ.
 
-    An aggregation, not a join: both sides shuffle once by key, as they would for the
-    join, but copies of a key shrink to one row before it and can never multiply. If a
-    key does hold several values on a side, its greatest one stands for it.
+    Texts are compared by hash, as multisets, so only two numbers a row are shuffled for that. A
+    subject without a text that is not empty on the new side was not rewritten: it has not changed.
     """
-    sides = old.unionByName(new, allowMissingColumns=True)
-    return sides.groupBy(*keys).agg(F.max("_old").alias("_old"), F.max("_new").alias("_new"))
+    both = old.select(subject, F.col(text).alias("_text"), F.lit(-1).alias("_sign")).unionByName(
+        new.select(subject, F.col(text).alias("_text"), F.lit(1).alias("_sign"))
+    ).where(F.col("_text").isNotNull() | (F.col("_sign") == -1))
+    digest = F.xxhash64(F.coalesce("_text", F.lit(""))).cast("decimal(38,0)") * F.col("_sign")
+    changed = ((F.sum(digest) != 0) | (F.sum("_sign") != 0)) & F.coalesce(
+        F.bool_or((F.col("_sign") == 1) & (F.col("_text") != "")), F.lit(False)
+    )
+    return both, both.groupBy(subject).agg(changed.alias("changed"))
 
 
-def _line_changes(old: DataFrame, new: DataFrame, subject: str, text: str) -> DataFrame:
-    """Signed count of every line of changed subjects; null lines for the unchanged.
+def _line_changes(old: DataFrame, new: DataFrame, subject: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Signed count of every line of the changed subjects, and all subjects with their flag.
 
-    Counting lines needs no further shuffle, because the rows of a subject are together
-    already. An empty or missing new text means "not rewritten" and has no differences.
+    Every row counts, also of a subject that has several; only changed subjects bring their texts.
     """
-    pairs = _both_sides(
-        old.select(subject, F.col(text).alias("_old")), new.select(subject, F.col(text).alias("_new")), [subject]
-    ).withColumn(
-        "_changed",
-        (F.coalesce("_new", F.lit("")) != "") & (F.coalesce("_old", F.lit("")) != F.col("_new")),
-    )
-    signed = F.concat(
-        F.transform(_lines(F.coalesce("_new", F.lit(""))), lambda x: F.struct(x.alias("line"), F.lit(1).alias("sign"))),
-        F.transform(_lines(F.coalesce("_old", F.lit(""))), lambda x: F.struct(x.alias("line"), F.lit(-1).alias("sign"))),
-    )
-    return (
-        pairs.select(subject, F.explode_outer(F.when(F.col("_changed"), signed)).alias("_l"))
-        .groupBy(subject, F.col("_l.line").alias("line"))
-        .agg(F.sum("_l.sign").alias("net"))
-    )
+    both, subjects = _compared(old, new, subject, text)
+    texts = both.join(subjects.where("changed").select(subject), subject, "left_semi")
+    lines = texts.select(subject, "_sign", F.explode(_lines(F.coalesce("_text", F.lit("")))).alias("line"))
+    return lines.groupBy(subject, "line").agg(F.sum("_sign").alias("net")), subjects
 
 
 def line_diff(old: DataFrame, new: DataFrame, subject: str, text: str) -> DataFrame:
     """Lines added to or removed from every subject, with how many times."""
     net = F.col("net")
     return (
-        _line_changes(old, new, subject, text)
+        _line_changes(old, new, subject, text)[0]
         .where(net != 0)
         .select(
             subject,
@@ -64,22 +57,47 @@ def line_diff(old: DataFrame, new: DataFrame, subject: str, text: str) -> DataFr
 
 
 def diff_counts(old: DataFrame, new: DataFrame, subject: str, text: str) -> DataFrame:
-    """Lines added and removed per subject; unchanged subjects stay, with zeros."""
-    net = F.coalesce("net", F.lit(0))
-    counts = _line_changes(old, new, subject, text).groupBy(subject).agg(
+    """Lines added and removed per subject, and whether its text changed; unchanged subjects stay, with zeros.
+
+    A text can change without a line: by their order, or by the closing line break.
+    """
+    net = F.col("net")
+    lines, subjects = _line_changes(old, new, subject, text)
+    counts = lines.groupBy(subject).agg(
         F.sum(F.greatest(net, F.lit(0))).alias("added"), F.sum(F.greatest(-net, F.lit(0))).alias("removed")
     )
-    return counts.withColumn("changed", (F.col("added") + F.col("removed")) > 0)
+    none = F.lit(0).cast("bigint")
+    return subjects.join(counts, subject, "left").select(
+        subject, F.coalesce("added", none).alias("added"), F.coalesce("removed", none).alias("removed"), "changed"
+    )
 
 
 def keyed_diff(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows added, removed or changed between two versions of a table with a key."""
+    """Rows added, removed or changed between two versions of a table with a key.
+
+    An aggregation, not a join: copies of a key shrink to one row before the shuffle and never multiply. A key
+    that holds different rows on a side is none: its change is ``repeated``, and no columns are named.
+    """
     columns = [c for c in old.columns if c not in keys]
-    both = _both_sides(
-        old.select(*keys, F.struct(*columns).alias("_old")),
-        new.select(*keys, F.struct(*columns).alias("_new")),
-        keys,
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*keys, F.struct(*columns).alias(name), _row_hash(columns).alias(f"{name}_hash"))
+
+    both = (
+        side(old, "_old")
+        .unionByName(side(new, "_new"), allowMissingColumns=True)
+        .groupBy(*keys)
+        .agg(
+            F.max("_old").alias("_old"),
+            F.max("_new").alias("_new"),
+            *[F.min(f"{n}_hash").alias(f"{n}_low") for n in ("_old", "_new")],
+            *[F.max(f"{n}_hash").alias(f"{n}_high") for n in ("_old", "_new")],
+        )
     )
+    repeated = F.lit(False)
+    for n in ("_old", "_new"):
+        repeated = repeated | F.coalesce(F.col(f"{n}_low") != F.col(f"{n}_high"), F.lit(False))
+    there = F.col("_old").isNotNull() & F.col("_new").isNotNull()
     changed = F.concat_ws(
         ",",
         *[F.when(~F.col(f"_old.{c}").eqNullSafe(F.col(f"_new.{c}")), F.lit(c)) for c in columns],
@@ -87,16 +105,22 @@ def keyed_diff(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame
     return (
         both.select(
             *keys,
-            F.when(F.col("_old").isNull(), "added")
+            F.when(repeated, "repeated")
+            .when(F.col("_old").isNull(), "added")
             .when(F.col("_new").isNull(), "removed")
             .when(changed != "", "changed")
             .alias("change"),
-            F.when(F.col("_old").isNotNull() & F.col("_new").isNotNull(), changed).alias("columns"),
+            F.when(~repeated & there, changed).alias("columns"),
         )
         .where(F.col("change").isNotNull())
     )
 
 
+def _row_hash(columns: Sequence[str]) -> Column:
+    """A hash of the values and of which are null."""
+    return F.xxhash64(*[part for c in columns for part in (F.col(c), F.col(c).isNull())])
+
+
 def table_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """Multiset difference both ways from one shuffle: how often a row is only left or only right."""
     signed = left.withColumn("_sign", F.lit(1)).unionByName(right.withColumn("_sign", F.lit(-1)))

@@ -155,11 +155,6 @@ def exposure(
     return counts.select(F.lit(table).alias("table_name"), F.col("_n").alias("n_rows"), S.one_row_each(rows))
 
 
-# Columns times patterns in one generated method; beyond about this many, the method is
-# too long for the JVM to compile and every row would run interpreted.
-CELLS_PER_PASS = 16
-
-
 def profile(
     df: DataFrame,
     table: str,
@@ -168,38 +163,34 @@ def profile(
 ) -> DataFrame:
     """Matches and rows hit for every string column and pattern.
 
-    Columns are taken a few at a time. Each pass reads only its own columns, so a wide
-    table is still read once.
+    One scan for any number of columns: a row becomes one (column, value) pair per column, every
+    pattern is counted once in the plan, and sums combine before the shuffle.
     """
-    width = max(1, CELLS_PER_PASS // len(patterns))
-    passes = [columns[i : i + width] for i in range(0, len(columns), width)]
-    return reduce(DataFrame.unionByName, [_profile_pass(df, table, c, patterns) for c in passes])
-
-
-def _profile_pass(
-    df: DataFrame, table: str, columns: Sequence[str], patterns: Sequence[vocab.Pattern]
-) -> DataFrame:
-    counted = T.with_match_counts(df.select(*columns), columns, patterns)
-    cells = [(c, p, T.match_column(p.kind, c)) for c in columns for p in patterns]
-    totals = counted.agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.sum(m).alias(f"{m}_sum") for _, _, m in cells],
-        *[F.count_if(F.col(m) > 0).alias(f"{m}_hit") for _, _, m in cells],
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("_value")) for c in columns])
+    counted = T.with_match_counts(df.select(S.one_row_each(pairs)), ["_value"], patterns)
+    cells = [(p, T.match_column(p.kind, "_value")) for p in patterns]
+    totals = counted.groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        *[F.sum(m).alias(f"{m}_sum") for _, m in cells],
+        *[F.count_if(F.col(m) > 0).alias(f"{m}_hit") for _, m in cells],
     )
+    # an empty table has columns all the same
+    named = F.explode(F.array(*[F.lit(c) for c in columns])).alias("column_name")
+    every = df.sparkSession.range(1).select(named).join(totals, "column_name", "left")
     rows = F.array(
         *[
             F.struct(
-                F.lit(c).alias("column_name"),
                 F.lit(p.kind).alias("type"),
                 F.lit(p.score).alias("score"),
                 F.lit(p.critical).alias("critical"),
                 F.coalesce(F.col(f"{m}_sum"), F.lit(0)).cast("bigint").alias("n_matches"),
-                F.col(f"{m}_hit").alias("rows_hit"),
+                F.coalesce(F.col(f"{m}_hit"), F.lit(0)).cast("bigint").alias("rows_hit"),
             )
-            for c, p, m in cells
+            for p, m in cells
         ]
     )
-    long = totals.select(F.lit(table).alias("table_name"), F.col("_n").alias("n_rows"), S.one_row_each(rows))
+    n_rows = F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows")
+    long = every.select(F.lit(table).alias("table_name"), "column_name", n_rows, S.one_row_each(rows))
     hit = F.col("rows_hit") > 0
     return long.select(
         "table_name",
@@ -241,28 +232,35 @@ def summary(
 
 
 def scan_terms(
-    df: DataFrame, ids: Sequence[str], text: str, terms: DataFrame, max_literals: int | None = 50
+    df: DataFrame, ids: Sequence[str], text: str, terms: DataFrame, max_literals: int | None = None
 ) -> DataFrame:
-    """Named terms inside quoted literals of ten or more characters.
+    """Named terms inside quoted literals of ten or more characters, each place once per term.
 
-    ``terms`` is ``(term, label)`` with one-word terms. The first fifty literals of
-    a text belong to the definition of the scan; ``None`` takes all of them.
+    ``terms`` is ``(term, label)``; a term may have several words and is found by its first one,
+    then compared as a whole. Terms inside longer terms are found too. ``max_literals`` takes
+    only the first so many literals of a text.
     """
     literals = T.regex_extract_all(F.col(text), r"""["']([^"']{10,})["']""", 1)
     if max_literals is not None:
         literals = F.slice(literals, 1, max_literals)
-    words = (
+    split = (
         df.select(*ids, F.posexplode_outer(literals).alias("literal_no", "_literal"))
         .where(F.col("_literal").isNotNull())
-        .select(*ids, "literal_no", F.posexplode_outer(F.split("_literal", r"\W+")).alias("word_no", "term"))
-        .where(F.col("term") != "")
+        .select(*ids, "literal_no", F.split("_literal", r"\W+").alias("_words"))
+    )
+    words = split.select(*ids, "literal_no", "_words", F.posexplode_outer("_words").alias("word_no", "_first")).where(
+        F.col("_first") != ""
     )
-    return words.join(terms.select("term", "label").distinct(), "term").select(
+    wanted = terms.select(
+        "term", "label", F.filter(F.split("term", r"\W+"), lambda w: w != "").alias("_term")
+    ).distinct().withColumn("_first", F.get("_term", F.lit(0)))
+    whole = F.slice("_words", F.col("word_no") + 1, F.size("_term")) == F.col("_term")
+    return words.join(wanted, "_first").where(whole).select(
         *ids,
         "literal_no",
         "word_no",
         F.concat(F.lit("NER_"), F.col("label")).alias("type"),
-        F.substring("term", 1, 20).alias("text"),
+        F.col("term").alias("text"),
         F.lit(2).alias("score"),
         F.lit("terms").alias("source"),
     )

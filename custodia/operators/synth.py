@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JNetworkError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from custodia.functions import script as S
 from custodia.operators.quality import observed
 from custodia.sources.tables import small_table
 
+# what Spark says when it lost the work, not when the work failed
+LOST = ("ExecutorLostFailure", "FetchFailed", "SparkContext was shut down", "Connection refused")
 EPOCH = "2020-01-01 00:00:00"
 
 
@@ -36,29 +39,32 @@ def infer_types(
     df: DataFrame,
     columns: Column,
     *ids: str,
-    mode: str = "token",
-    limit: int = vocab.MAX_INFERRED_COLUMNS,
+    modes: Sequence[str] = ("token",),
+    limit: int | None = None,
 ) -> DataFrame:
-    """Inferred schema of every subject: its first columns, or the default schema when it has none.
+    """Inferred schema of every subject, by each mode: its columns, or the default schema when it has none.
 
-    ``columns`` is a sorted array; how many columns a dry-run schema has at most is
-    part of its definition.
+    ``columns`` is a sorted array, computed once for all modes. ``limit`` keeps the first so many, as a
+    dry-run schema of that width does.
     """
-    names = df.select(*ids, F.slice(columns, 1, limit).alias("_names"))
-    typed = F.transform(
-        "_names",
-        lambda n: F.struct(n.alias("column_name"), inferred_type(n, mode).alias("inferred_type")),
-    )
+    names = df.select(*ids, S.once(_names=columns if limit is None else F.slice(columns, 1, limit)))
+
+    def row(mode: str, position: Column, name: Column, spark_type: Column) -> Column:
+        return F.struct(
+            F.lit(mode).alias("mode"),
+            position.cast("int").alias("position"),
+            name.alias("column_name"),
+            spark_type.alias("inferred_type"),
+        )
+
+    def typed(mode: str) -> Column:
+        return F.transform("_names", lambda n, i: row(mode, i, n, inferred_type(n, mode)))
+
     default = F.array(
-        *[
-            F.struct(F.lit(n).alias("column_name"), F.lit(t).alias("inferred_type"))
-            for n, t in vocab.DEFAULT_SCHEMA
-        ]
-    )
-    chosen = F.when(F.size("_names") > 0, typed).otherwise(default)
-    return names.select(*ids, F.posexplode_outer(chosen).alias("position", "_c")).select(
-        *ids, "position", "_c.column_name", "_c.inferred_type"
+        *[row(m, F.lit(i), F.lit(n), F.lit(t)) for m in modes for i, (n, t) in enumerate(vocab.DEFAULT_SCHEMA)]
     )
+    chosen = F.when(F.size("_names") > 0, F.concat(*[typed(m) for m in modes])).otherwise(default)
+    return names.select(*ids, S.one_row_each(chosen))
 
 
 def type_fit(
@@ -138,7 +144,7 @@ def contract_check(
     """
     missing: list[str] = []
     wrong: list[str] = []
-    error, rows_in, rows_out = "", 0, 0
+    error, message, rows_in, rows_out = "", "", 0, 0
     try:
         source, seen_in = observed(synthetic_rows(spark, schema, n), f"{name}_in")
         result, seen_out = observed(job(source), f"{name}_out")
@@ -147,12 +153,14 @@ def contract_check(
         wrong = [c for c, t in contract if c in actual and actual[c] != t]
         result.write.format("noop").mode("overwrite").save()
         rows_in, rows_out = seen_in.get["n_rows"], seen_out.get["n_rows"]
-    except Exception as exc:  # a failing job is a result here, not a failure
-        error = type(exc).__name__
+    except Exception as exc:  # a job that fails on its data is a result here; a lost executor is not
+        if isinstance(exc, (Py4JNetworkError, ConnectionError)) or any(sign in str(exc) for sign in LOST):
+            raise
+        error, message = type(exc).__name__, str(exc).strip().split("\n", 1)[0]
     passed = not (missing or wrong or error)
     return small_table(
         spark,
-        [(name, passed, ",".join(missing), ",".join(wrong), error, rows_in, rows_out)],
+        [(name, passed, ",".join(missing), ",".join(wrong), error, message, rows_in, rows_out)],
         "job string, passed boolean, missing string, wrong_type string, runtime_error string, "
-        "rows_in bigint, rows_out bigint",
+        "error_message string, rows_in bigint, rows_out bigint",
     )

@@ -154,6 +154,14 @@ PROFILED = {
     "pages": ("url", "html"),
     "conversations": ("role", "text"),
     "events": ("event_type", "props"),
+    "benchmark": ("text",),
+    "region": ("r_name",),
+    "nation": ("n_name",),
+    "customer": ("c_name", "c_mktsegment"),
+    "supplier": ("s_name",),
+    "part": ("p_name", "p_brand", "p_type"),
+    "orders": ("o_orderstatus", "o_orderpriority"),
+    "lineitem": ("l_returnflag", "l_linestatus"),
 }
 
 
@@ -256,18 +264,19 @@ def pii_column_scan_ext(ds: Dataset) -> DataFrame:
 def _terms_sql() -> str:
     literals = quoted(r"""["']([^"']{10,})["']""")
     return rf"""
-SELECT id, literal_no, word_no, 'NER_' || label AS type, left(w, 20) AS text, 2 AS score, 'terms' AS source
-FROM (SELECT id, literal_no, CAST(generate_subscripts(ws, 1) - 1 AS INTEGER) AS word_no, unnest(ws) AS w
+SELECT id, literal_no, word_no, 'NER_' || label AS type, term AS text, 2 AS score, 'terms' AS source
+FROM (SELECT id, literal_no, CAST(generate_subscripts(ws, 1) - 1 AS INTEGER) AS word_no, unnest(ws) AS w, ws
       FROM (SELECT id, literal_no, regexp_split_to_array(l, '\W+') AS ws
             FROM (SELECT id, CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS literal_no, unnest(ls) AS l
                   FROM (SELECT id, regexp_extract_all(text, {literals}, 1) AS ls FROM v_notes))))
-JOIN v_terms ON w = term
+JOIN (SELECT DISTINCT term, label, list_filter(regexp_split_to_array(term, '\W+'), lambda x: x <> '') AS ts FROM v_terms)
+  ON w = ts[1] AND ws[word_no + 1:word_no + len(ts)] = ts
 """
 
 
 @query(with_views(_terms_sql(), "v_notes", "v_terms"))
 def gazetteer_scan(ds: Dataset) -> DataFrame:
-    return pii.scan_terms(ds.view("v_notes"), ["id"], "text", ds.view("v_terms"), max_literals=None)
+    return pii.scan_terms(ds.view("v_notes"), ["id"], "text", ds.view("v_terms"))
 
 
 @query(
@@ -295,7 +304,7 @@ def all_findings(ds: Dataset) -> DataFrame:
     text = pii.scan_text(ds.view("v_planted"), ["id"], "text").select(subject("p", "id"), "*")
     named = pii.scan_columns(corpus.column_index(ds.view("v_scripts")), pii.dictionary(ds.spark))
     columns = named.where("is_pii").select(subject("s", "script_id"), "column_name", "score")
-    terms = pii.scan_terms(ds.view("v_notes"), ["id"], "text", ds.view("v_terms"), None).select(
+    terms = pii.scan_terms(ds.view("v_notes"), ["id"], "text", ds.view("v_terms")).select(
         subject("n", "id"), "*"
     )
     return pii.all_findings(text, columns, terms)

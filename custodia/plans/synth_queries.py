@@ -14,7 +14,7 @@ from custodia.plans.pii_queries import columns_sql
 from custodia.plans.quality_queries import MERGED, UPDATES, customer_updates
 from custodia.plans.registry import query, str_list
 from custodia.sources import writes
-from custodia.sources.tables import Dataset
+from custodia.sources.tables import SCHEMAS, Dataset
 from custodia.sources.views import with_views
 
 
@@ -33,50 +33,55 @@ def type_sql(name: str, mode: str) -> str:
     with_views(
         f"""
 WITH named AS (SELECT script_id, CAST(generate_subscripts(cs, 1) - 1 AS INTEGER) AS position, unnest(cs) AS column_name
-  FROM (SELECT script_id, {columns_sql('code')}[1:20] AS cs FROM v_submissions))
+  FROM (SELECT script_id, {columns_sql('code')} AS cs FROM v_submissions)),
+plain AS (SELECT script_id, p AS position, c AS column_name, t AS inferred_type
+  FROM v_submissions, (VALUES {", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(vocab.DEFAULT_SCHEMA))}) AS d(p, c, t)
+  WHERE script_id NOT IN (SELECT script_id FROM named))
 SELECT 'token' AS mode, script_id, position, column_name, {type_sql('column_name', 'token')} AS inferred_type FROM named
 UNION ALL
 SELECT 'reference', script_id, position, column_name, {type_sql('column_name', 'reference')} FROM named
+UNION ALL
+SELECT m, plain.* FROM plain, (VALUES ('token'), ('reference')) AS modes(m)
 """,
         "v_submissions",
     )
 )
 def infer_types(ds: Dataset) -> DataFrame:
     scripts = ds.view("v_submissions")
-    parts = [
-        synth.infer_types(scripts, S.columns(F.col("code")), "script_id", mode=mode).select(
-            F.lit(mode).alias("mode"), "*"
-        )
-        for mode in ("token", "reference")
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return synth.infer_types(scripts, S.columns(F.col("code")), "script_id", modes=("token", "reference"))
 
 
-FITTED = ("orders", "events", "lineitem")
+DUCK_TYPES = {
+    "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
+    "TIMESTAMP": "timestamp_ntz", "FLOAT[]": "array<float>",
+}
 
 
-def _fit_sql() -> str:
-    from custodia.sources.tables import SCHEMAS
+def actual_type_sql(column: str) -> str:
+    """The type a column has in its file, under Spark's name."""
+    cases = " ".join(f"WHEN '{duck}' THEN '{name}'" for duck, name in DUCK_TYPES.items())
+    return f"CASE any_value(typeof({column})) {cases} END"
 
-    duck = {"timestamp": "TIMESTAMP", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "string": "STRING"}
+
+def _fit_sql() -> str:
     parts = []
-    for table in FITTED:
-        for part in SCHEMAS[table].split(","):
-            c, actual = part.strip().split(" ", 1)
-            t = synth.type_by_name(c, "reference")
+    for table, schema in SCHEMAS.items():
+        for part in schema.split(","):
+            c = part.strip().split(" ", 1)[0]
+            t, actual = synth.type_by_name(c, "reference"), actual_type_sql(c)
             parts.append(
-                f"SELECT '{table}' AS table_name, '{c}' AS column_name, '{t}' AS inferred_type, '{actual}' AS actual_type, "
-                f"{str(t == actual).lower()} AS same_type, count({c}) AS n_values FROM {table}"
+                f"SELECT '{table}' AS table_name, '{c}' AS column_name, '{t}' AS inferred_type, {actual} AS actual_type, "
+                f"'{t}' = {actual} AS same_type, count({c}) AS n_values FROM {table}"
             )
     return " UNION ALL ".join(parts)
 
 
 @query(_fit_sql())
 def infer_mismatch(ds: Dataset) -> DataFrame:
-    """Inferred against actual types of whole tables, and the values each column holds."""
+    """Inferred against the files' types of all tables, and the values each column holds."""
     parts = []
-    for table in FITTED:
-        df = ds.table(table)
+    for table in SCHEMAS:
+        df = ds.as_written(table)
         parts.append(
             synth.type_fit(df, table, [(c, synth.type_by_name(c, "reference")) for c in df.columns])
         )
@@ -99,8 +104,8 @@ def synthetic_rows(ds: Dataset) -> DataFrame:
 
 @query(
     """
-SELECT 'project' AS job, true AS passed, '' AS missing, '' AS wrong_type, '' AS runtime_error, count(*) AS rows_in, count(*) AS rows_out FROM lineitem
-UNION ALL SELECT 'totals', false, 'currency', 'total', '', count(*), count(*) FROM lineitem
+SELECT 'project' AS job, true AS passed, '' AS missing, '' AS wrong_type, '' AS runtime_error, '' AS error_message, count(*) AS rows_in, count(*) AS rows_out FROM lineitem
+UNION ALL SELECT 'totals', false, 'currency', 'total', '', '', count(*), count(*) FROM lineitem
 """
 )
 def contract_check(ds: Dataset) -> DataFrame:
@@ -125,13 +130,49 @@ def contract_check(ds: Dataset) -> DataFrame:
     return kept.unionByName(broken)
 
 
+# Versions with what a regular corpus lacks: repeated subjects, lines in another order, a closing break gone,
+# an empty new text, subjects on one side only.
+V_OLD = """
+SELECT script_id, code FROM v_scripts WHERE script_id % 16 <> 5
+UNION ALL SELECT script_id, code || '# second copy' || chr(10) FROM v_scripts WHERE script_id % 9 = 4
+UNION ALL SELECT script_id, code FROM v_scripts WHERE script_id % 27 = 4
+"""
+V_NEW = r"""
+SELECT script_id, CASE script_id % 8 WHEN 1 THEN regexp_replace(code, '^([^\n]*)\n([^\n]*)\n', '\2' || chr(10) || '\1' || chr(10))
+    WHEN 3 THEN substr(code, 1, length(code) - 1) WHEN 6 THEN '' ELSE code END AS code
+FROM v_scripts_v2 WHERE script_id % 16 <> 7
+"""
+
+
+def versions(ds: Dataset) -> tuple[DataFrame, DataFrame]:
+    scripts, key, code = ds.view("v_scripts"), F.col("script_id"), F.col("code")
+    old = (
+        scripts.where(key % 16 != 5)
+        .unionByName(scripts.where(key % 9 == 4).withColumn("code", F.concat(code, F.lit("# second copy\n"))))
+        .unionByName(scripts.where(key % 27 == 4))
+    )
+    new = ds.view("v_scripts_v2").where(key % 16 != 7).select(
+        "script_id",
+        F.when(key % 8 == 1, F.regexp_replace(code, r"^([^\n]*)\n([^\n]*)\n", "$2\n$1\n"))
+        .when(key % 8 == 3, F.expr("substr(code, 1, length(code) - 1)"))
+        .when(key % 8 == 6, "")
+        .otherwise(code)
+        .alias("code"),
+    )
+    return old, new
+
+
 LINES = r"CASE WHEN {c} = '' THEN CAST([] AS STRING[]) ELSE string_split(regexp_replace({c}, '\n$', ''), chr(10)) END"
 
 CHANGES = f"""
-WITH signed AS (
-  SELECT script_id, unnest({LINES.format(c='code')}) AS line, 1 AS sign FROM v_scripts_v2
-  UNION ALL SELECT script_id, unnest({LINES.format(c='code')}), -1 FROM v_scripts),
-net AS (SELECT script_id, line, CAST(sum(sign) AS BIGINT) AS net FROM signed GROUP BY ALL)
+WITH v_old AS ({V_OLD}), v_new AS ({V_NEW}),
+texts AS (SELECT script_id, code, sum(o) AS o, sum(n) AS n FROM (SELECT script_id, code, 1 AS o, 0 AS n FROM v_old
+    UNION ALL SELECT script_id, code, 0, 1 FROM v_new) GROUP BY ALL),
+subjects AS (SELECT script_id, bool_or(o <> n) AND bool_or(n > 0 AND code <> '') AS changed FROM texts GROUP BY 1),
+signed AS (
+  SELECT script_id, unnest({LINES.format(c='code')}) AS line, 1 AS sign FROM v_new
+  UNION ALL SELECT script_id, unnest({LINES.format(c='code')}), -1 FROM v_old),
+net AS (SELECT script_id, line, CAST(sum(sign) AS BIGINT) AS net FROM signed JOIN subjects USING (script_id) WHERE changed GROUP BY ALL)
 """
 
 
@@ -143,49 +184,60 @@ net AS (SELECT script_id, line, CAST(sum(sign) AS BIGINT) AS net FROM signed GRO
     )
 )
 def line_diff(ds: Dataset) -> DataFrame:
-    return diff.line_diff(ds.view("v_scripts"), ds.view("v_scripts_v2"), "script_id", "code")
+    return diff.line_diff(*versions(ds), "script_id", "code")
 
 
 @query(
     with_views(
         f"""
-{CHANGES} SELECT script_id, CAST(sum(greatest(net, 0)) AS BIGINT) AS added, CAST(sum(greatest(-net, 0)) AS BIGINT) AS removed,
-  bool_or(net <> 0) AS changed FROM net GROUP BY script_id
+{CHANGES} SELECT script_id, CAST(coalesce(sum(greatest(net, 0)), 0) AS BIGINT) AS added,
+  CAST(coalesce(sum(greatest(-net, 0)), 0) AS BIGINT) AS removed, changed
+FROM subjects LEFT JOIN net USING (script_id) GROUP BY script_id, changed
 """,
         "v_scripts",
         "v_scripts_v2",
     )
 )
 def diff_counts(ds: Dataset) -> DataFrame:
-    return diff.diff_counts(ds.view("v_scripts"), ds.view("v_scripts_v2"), "script_id", "code")
+    return diff.diff_counts(*versions(ds), "script_id", "code")
 
 
 @query(
     f"""
 WITH updates AS ({UPDATES.format(customer='customer')}), merged AS ({MERGED}),
-new AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN c_custkey + 1000000000000 ELSE c_custkey END AS c_custkey, c_name FROM merged)
-SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey,
-  CASE WHEN o.c_custkey IS NULL THEN 'added' WHEN n.c_custkey IS NULL THEN 'removed' ELSE 'changed' END AS change,
-  CASE WHEN o.c_custkey IS NOT NULL AND n.c_custkey IS NOT NULL THEN 'c_name' END AS columns
-FROM customer o FULL JOIN new n ON o.c_custkey = n.c_custkey
-WHERE o.c_custkey IS NULL OR n.c_custkey IS NULL OR o.c_name <> n.c_name
+new AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN c_custkey + 1000000000000 ELSE c_custkey END AS c_custkey, c_name FROM merged),
+o AS (SELECT c_custkey, c_name FROM customer UNION ALL SELECT c_custkey, c_name || '?' FROM customer WHERE c_custkey % 33 = 0),
+n2 AS (SELECT * FROM new UNION ALL SELECT * FROM new WHERE c_custkey % 10 = 3),
+ko AS (SELECT c_custkey, count(DISTINCT c_name) AS d, min(c_name) AS c_name FROM o GROUP BY 1),
+kn AS (SELECT c_custkey, count(DISTINCT c_name) AS d, min(c_name) AS c_name FROM n2 GROUP BY 1)
+SELECT coalesce(ko.c_custkey, kn.c_custkey) AS c_custkey,
+  CASE WHEN ko.d > 1 OR kn.d > 1 THEN 'repeated' WHEN ko.c_custkey IS NULL THEN 'added' WHEN kn.c_custkey IS NULL THEN 'removed' ELSE 'changed' END AS change,
+  CASE WHEN ko.d = 1 AND kn.d = 1 THEN 'c_name' END AS columns
+FROM ko FULL JOIN kn ON ko.c_custkey = kn.c_custkey
+WHERE ko.d > 1 OR kn.d > 1 OR ko.c_custkey IS NULL OR kn.c_custkey IS NULL OR ko.c_name <> kn.c_name
 """
 )
 def keyed_diff(ds: Dataset) -> DataFrame:
-    """The customers against their merged version, in which some have moved to other keys."""
+    """The customers against their merged version, in which some have moved to other keys.
+
+    Some old keys come twice with different rows, some new ones twice with equal rows.
+    """
     customer, key = ds.table("customer"), F.col("c_custkey")
     merged = writes.merge_upsert(customer, customer_updates(ds), ["c_custkey"], [F.desc("v")])
     moved = merged.withColumn("c_custkey", F.when(key % 7 == 0, key + 1_000_000_000_000).otherwise(key))
-    return diff.keyed_diff(customer, moved, ["c_custkey"])
+    other = customer.where(key % 33 == 0).withColumn("c_name", F.concat("c_name", F.lit("?")))
+    return diff.keyed_diff(customer.unionByName(other), moved.unionByName(moved.where(key % 10 == 3)), ["c_custkey"])
 
 
 @query(
     with_views(
         """
-SELECT session_id, line_no, artifact_type, CASE WHEN l > r THEN 'left' ELSE 'right' END AS only_in, CAST(abs(l - r) AS BIGINT) AS copies
-FROM (SELECT session_id, line_no, artifact_type, sum(l) AS l, sum(r) AS r
-      FROM (SELECT session_id, line_no, artifact_type, 1 AS l, 0 AS r FROM v_artifacts
-            UNION ALL SELECT session_id, line_no, CASE WHEN part_no % 13 = 0 THEN 'zip' ELSE artifact_type END, 0, 1 FROM v_artifacts)
+SELECT * EXCLUDE (l, r), CASE WHEN l > r THEN 'left' ELSE 'right' END AS only_in, CAST(abs(l - r) AS BIGINT) AS copies
+FROM (SELECT * EXCLUDE (l, r), sum(l) AS l, sum(r) AS r
+      FROM (SELECT *, 1 AS l, 0 AS r FROM v_artifacts
+            UNION ALL SELECT * REPLACE (CASE WHEN part_no % 13 = 0 THEN 'zip' ELSE artifact_type END AS artifact_type,
+                CASE WHEN part_no % 17 = 0 THEN content || '!' ELSE content END AS content,
+                CASE WHEN part_no % 19 = 0 THEN NULL ELSE created_at END AS created_at), 0, 1 FROM v_artifacts)
       GROUP BY ALL) WHERE l <> r
 """,
         "v_artifacts",
@@ -193,10 +245,12 @@ FROM (SELECT session_id, line_no, artifact_type, sum(l) AS l, sum(r) AS r
 )
 def table_diff(ds: Dataset) -> DataFrame:
     artifacts = ds.view("v_artifacts")
-    left = artifacts.select("session_id", "line_no", "artifact_type")
-    right = artifacts.select(
-        "session_id",
-        "line_no",
-        F.when(F.col("part_no") % 13 == 0, "zip").otherwise(F.col("artifact_type")).alias("artifact_type"),
+    part = F.col("part_no")
+    right = artifacts.withColumns(
+        {
+            "artifact_type": F.when(part % 13 == 0, "zip").otherwise(F.col("artifact_type")),
+            "content": F.when(part % 17 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")),
+            "created_at": F.when(part % 19 != 0, F.col("created_at")),
+        }
     )
-    return diff.table_diff(left, right)
+    return diff.table_diff(artifacts, right)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from custodia.sources import views
 
-# Declared, never inferred: a file that does not conform fails at the scan.
+# Declared, never inferred: a column of another type fails at the scan, a missing one reads as
+# nulls. `Dataset.as_written` has the schema of the files, for checks against a contract.
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
@@ -40,13 +42,14 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a small input out to all cores before costly work per row.
+    """Deal the rows of an input of a single split out to all cores before costly work per row.
 
-    Only when the scan has fewer splits than there are cores. That bounds what is
-    shuffled by cores times split size; a large input passes through untouched.
+    What is shuffled is one split at most (spark.sql.files.maxPartitionBytes), however many
+    cores there are; every other input passes through untouched. Only tables of one file are looked at.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    if len(df.inputFiles()) > 1 or df.rdd.getNumPartitions() > 1:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def read_scripts(spark: SparkSession, path: str) -> DataFrame:
@@ -75,6 +78,10 @@ class Dataset:
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.path(name), SCHEMAS[name])
 
+    def as_written(self, name: str) -> DataFrame:
+        """The table with the schema that its files have."""
+        return self.spark.read.parquet(self.path(name))
+
     def view(self, name: str) -> DataFrame:
         text, inputs = views.VIEWS[name]
         return self.spark.sql(text, **{i: self.get(i) for i in inputs})
@@ -88,14 +95,6 @@ class Dataset:
         """A table whose rows get costly text work."""
         return spread(self.table(name))
 
-    def catalog(self) -> list[tuple[str, str, str]]:
-        """(table, column, type) of every table, from the declared schemas."""
-        return [
-            (name, field.name, field.dataType.simpleString())
-            for name in SCHEMAS
-            for field in self.table(name).schema.fields
-        ]
-
 
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A literal table. Spark knows its exact size, so it may choose to broadcast it."""
@@ -105,8 +104,6 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
             return F.array(*[F.lit(v) for v in value])
         return F.lit(value)
 
-    names_types = [part.strip().split(" ", 1) for part in schema.split(", ")]
-    structs = [
-        F.struct(*[literal(v).cast(t).alias(n) for v, (n, t) in zip(row, names_types)]) for row in rows
-    ]
+    fields = StructType.fromDDL(schema).fields
+    structs = [F.struct(*[literal(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows]
     return spark.range(1).select(F.inline_outer(F.array(*structs)))

@@ -143,6 +143,8 @@ V_TERMS = """
 SELECT n_name AS term, 'GPE' AS label FROM {nation}
 UNION ALL SELECT r_name AS term, 'LOC' AS label FROM {region}
 UNION ALL SELECT DISTINCT c_mktsegment AS term, 'ORG' AS label FROM {customer}
+UNION ALL SELECT DISTINCT c_mktsegment || ' desk' AS term, 'ORG' AS label FROM {customer}
+UNION ALL SELECT n_name || ' in spring' AS term, 'EVENT' AS label FROM {nation}
 """
 
 # name -> (SQL text, inputs)

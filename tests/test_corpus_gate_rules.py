@@ -268,3 +268,68 @@ def test_read_scripts(spark, tmp_path):
     got = read_scripts(spark, str(tmp_path)).orderBy("path").collect()
     assert [r["code"] for r in got] == ["x = 1\ny = 2\n", "é = 1\n"]
     assert len({r["script_id"] for r in got}) == 2
+
+
+IMPORTING = [
+    "import os, \\\n  requests\n",
+    "from \\\n  requests import get\n",
+    "# a comment \\\nimport requests\n",
+    "import ｒequests\n",
+    "import é.f as g\n",
+    "import json\x0c\nimport\x0crequests.x\n",
+    "from flask import a\nimport requests\n",
+    "if True: import a.b, c as d; from e.f import (g,\n h)\n",
+    "from .near import x\nfrom..far.off import y\n",
+]
+
+
+def test_imports_against_the_syntax_tree(spark):
+    import ast
+
+    got = {r["script_id"]: set(r["m"]) for r in scripts(spark, *IMPORTING).select("script_id", S.imports(F.col("code")).alias("m")).collect()}
+    for i, code in enumerate(IMPORTING):
+        names = set()
+        for node in ast.walk(ast.parse(code)):
+            if isinstance(node, ast.Import):
+                names |= {a.name.split(".")[0] for a in node.names}
+            elif isinstance(node, ast.ImportFrom) and node.module:
+                names.add(node.module.split(".")[0])
+        plain = {n for n in got[i] if n.isascii()}
+        assert {n for n in names if n not in got[i]} == ({"requests"} if i == 3 else set())
+        assert i == 3 or plain <= names
+
+
+def test_gate_refuses_what_hides_imports_and_nulls(spark):
+    df = scripts(spark, *IMPORTING, "import pyspark\n").unionByName(
+        spark.createDataFrame([(99, None)], "script_id long, code string")
+    )
+    got = {r["script_id"]: r for r in gate.gate(df).collect()}
+    assert not any(got[i]["passed"] for i in range(len(IMPORTING)))
+    assert got[len(IMPORTING)]["passed"]
+    assert (got[99]["passed"], got[99]["rule_violated"], got[99]["sanitized_code"]) == (False, "MISSING_CODE", None)
+    assert "`flask`" in got[6]["error_message"]
+
+
+FUNCTIONS = [
+    "def f(a=(1, 2), b=3): pass\n",
+    "def f(x=lit(0), y=1): pass\n",
+    "@task\n# why\n\n@a.logged  # twice\n@retry(n=(1, 2))\ndef f(a, b: Dict[str, int] = {'k': [1, ')']}, *rest, c=2, **more): pass\n\n@flow\ndef g(): pass\n",
+    "def f(a=2*3, b='x, y', c=\"(\"): pass\n",
+    "@task(\n  n=1,\n)\ndef f(a,\n      b=max((1, 2), 3)):  # x\n    pass\n",
+]
+
+
+def test_functions_against_the_syntax_tree(spark):
+    import ast
+
+    df = scripts(spark, *FUNCTIONS).select("script_id", F.inline(S.functions(F.col("code"))))
+    got: dict[int, list] = {}
+    for r in df.orderBy("script_id", "line_no").collect():
+        got.setdefault(r["script_id"], []).append((r["name"], r["decorators"], r["line_no"], r["args"]))
+    for i, code in enumerate(FUNCTIONS):
+        expected = []
+        for node in ast.parse(code).body:
+            plain = [d for d in node.decorator_list if not isinstance(d, ast.Call)]
+            names = [d.attr if isinstance(d, ast.Attribute) else d.id for d in plain]
+            expected.append((node.name, names, node.lineno, [a.arg for a in node.args.args]))
+        assert got[i] == expected

@@ -130,12 +130,27 @@ def test_literals_limit(spark):
     quoted = " ".join(f'"somewhere in Paris {i}"' for i in range(60))
     terms = spark.createDataFrame([("Paris", "GPE")], "term string, label string")
     df = texts(spark, quoted)
-    assert pii.scan_terms(df, ["id"], "text", terms).count() == 50
-    assert pii.scan_terms(df, ["id"], "text", terms, max_literals=None).count() == 60
+    assert pii.scan_terms(df, ["id"], "text", terms, max_literals=50).count() == 50
+    assert pii.scan_terms(df, ["id"], "text", terms).count() == 60
     short = texts(spark, '"Paris"')
     assert pii.scan_terms(short, ["id"], "text", terms).count() == 0
 
 
+def test_terms_of_several_words(spark):
+    terms = spark.createDataFrame([("New York", "GPE"), ("York", "GPE"), ("New York City Hall Annex", "FAC")], "term string, label string")
+    df = texts(spark, '"he left New York, for York" and "New Yorkers"', '"the New York City Hall Annex"')
+    got = [tuple(r) for r in pii.scan_terms(df, ["id"], "text", terms).select("id", "word_no", "text").orderBy("id", "word_no", "text").collect()]
+    assert got == [(0, 2, "New York"), (0, 3, "York"), (0, 5, "York"), (1, 1, "New York"), (1, 1, "New York City Hall Annex"), (1, 2, "York")]
+
+
+def test_profile_of_wide_and_empty_tables(spark):
+    wide = spark.createDataFrame([tuple("a@b.co" if i == 7 else "x" for i in range(40))], ", ".join(f"c{i} string" for i in range(40)))
+    found = pii.profile(wide, "wide", wide.columns)
+    assert found.count() == 40 * len(vocab.PATTERNS)
+    assert [r["column_name"] for r in found.where("n_matches > 0").collect()] == ["c7"]
+    assert pii.profile(wide.limit(0), "none", ["c1"]).where("n_rows = 0").count() == len(vocab.PATTERNS)
+
+
 def test_masks(spark):
     df = spark.createDataFrame([("Ann", "12345678", "abc", "Ab1", None)], "a string, b string, c string, d string, e string")
     got = masking.mask_columns(df, {"a": "redact", "b": "partial", "c": "null", "d": "shape", "e": "token"}).first()

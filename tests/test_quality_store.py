@@ -195,7 +195,7 @@ def test_budget(spark):
 
 def test_spread_only_touches_small_inputs(spark):
     few = spark.range(0, 100, 1, 1)
-    many = spark.range(0, 100, 1, 64)
+    many = spark.range(0, 100, 1, 2)
     assert spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert spread(many) is many
     assert cluster_settings(100 * 10**12)["spark.sql.shuffle.partitions"] == "476838"

@@ -33,11 +33,12 @@ def test_types_by_name(spark, name, token, reference):
         assert spark.range(1).select(synth.inferred_type(F.lit(name), mode)).first()[0] == expected
 
 
-def test_inferred_schema_has_at_most_twenty_columns_and_a_default(spark):
+def test_inferred_schema_has_all_columns_and_a_default(spark):
     many = " ".join(f"'col_{i:02d}'" for i in range(50))
     df = scripts(spark, many, "nothing quoted")
     got = synth.infer_types(df, S.columns(F.col("code")), "script_id")
-    assert got.where("script_id = 0").count() == 20
+    assert got.where("script_id = 0").count() == 50
+    assert synth.infer_types(df, S.columns(F.col("code")), "script_id", limit=20).where("script_id = 0").count() == 20
     assert rows(got.where("script_id = 1").select("column_name", "inferred_type")) == [
         ("id", "bigint"), ("value", "string"), ("amount", "double"),
     ]
