@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from custodia.llm.common import components, staged, words_of
+from custodia.llm.common import components, may_match, staged, words_of
 
 BLOCK = 256  # sets of a family compared at a time with as many others
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -39,6 +39,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _wrapped(a: int, b: np.uint64) -> np.uint64:
+    return np.uint64(a * int(b) % 2**64)
+
+
 def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; fewer words make one shingle, none make none."""
     words = words_of(text)
@@ -88,11 +92,11 @@ def signatures(elements: np.ndarray, numerator: int, denominator: int) -> np.nda
     _, above = band(high + 1, numerator, denominator)
     for tag, largest in ((number, high), (number + 1, above)):
         groups, parts, choices = layout(largest, numerator, denominator)
-        place = (mixed(elements + np.uint64(tag + 1) * _K[2]) % np.uint64(groups * parts)).astype(np.int64)
+        place = (mixed(elements + _wrapped(tag + 1, _K[2])) % np.uint64(groups * parts)).astype(np.int64)
         sums = np.zeros(groups * parts, np.uint64)
         np.add.at(sums, place, elements)
         sums = sums.reshape(groups, parts)
-        first = (np.arange(groups, dtype=np.uint64) + np.uint64(1)) * _K[0] + np.uint64(tag) * _K[1]
+        first = (np.arange(groups, dtype=np.uint64) + np.uint64(1)) * _K[0] + _wrapped(tag, _K[1])
         for nth, choice in enumerate(choices):
             kept = np.full(groups, nth + 1, np.uint64)
             for part in choice:
@@ -168,7 +172,8 @@ def family_links(members: DataFrame, docs: DataFrame, width: int, numerator: int
     # Block i meets block j in the task (least, greatest); a family of one block has the task (0, 0) only.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     # Another row may have the same id: vertices are taken from the texts again.
-    with_text = dealt.join(docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")), "doc_id").select("family", "vertex", "block", "blocks", "text")
+    docs = may_match(docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")), members, "doc_id")
+    with_text = dealt.join(docs, "doc_id").select("family", "vertex", "block", "blocks", "text")
     sent = with_text.withColumn("other", other).select(
         "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "vertex", "text"
     )
@@ -202,7 +207,9 @@ def classes(
     usable = found.where("doc_id is not null and vertex is not null")
     signs = usable.select(F.explode("signatures").alias("signature"), "vertex")
     shared = signs.groupBy("signature").agg(F.min("vertex").alias("low"), F.max("vertex").alias("high")).where("low != high")
-    stars = signs.join(shared, "signature").where("vertex != low").select(F.col("low").alias("a"), F.col("vertex").alias("b")).distinct()
+    shared = staged(shared.select("signature", "low"), "shared")
+    near = may_match(signs, shared, "signature")
+    stars = near.join(shared, "signature").where("vertex != low").select(F.col("low").alias("a"), F.col("vertex").alias("b")).distinct()
     families = components(staged(stars, "candidates"))
     first = usable.groupBy("vertex").agg(F.min("doc_id").alias("doc_id"))
     members = staged(
@@ -213,5 +220,6 @@ def classes(
     placed = found.drop("signatures").join(linked, "vertex", "left").withColumn("class", F.coalesce("class", "vertex"))
     placed = staged(placed, "placed")
     least = placed.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
+    least = staged(least, "least")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return placed.join(least, "class", "left").select("doc_id", "n_shingles", own.alias("component_id"))
