@@ -56,21 +56,38 @@ def mask_columns(
     return df.withColumns({c: make(F.col(c).cast("string")) for c, make in factories.items()})
 
 
-def looks_masked(value: Column) -> Column:
-    """True where a value is null, stars, or a SHA-256 token."""
-    return value.isNull() | value.rlike(r"^(?:\*+.{0,4}|[0-9a-f]{64}|\[[A-Z_]+\])$")
+# What each strategy, and each field type of mask_pii, makes of a value. A shape has no letter and digit
+# but its own, and one of them.
+MASKED_FORMS = {
+    "redact": r"\*\*\*",
+    "partial": r"\*{1,4}|\*+.{4}",
+    "token": r"[0-9a-f]{64}",
+    "null": r"(?!)",
+    "shape": r"(?=.*[Xxn])(?:[Xxn]|[^\p{L}\p{Nd}])+",
+    "text": r"\[[A-Z_]+\]",
+    "email": r"\*\*\*(?:@.*)?",
+    "phone": r"[^0-9]*#[^0-9]*",
+    "name": r".?\*\*\*",
+    "ssn": r"\*\*\*-\*\*-.{0,4}",
+}
+
+
+def looks_masked(value: Column, strategy: str | None = None) -> Column:
+    """True where a value is null, or a whole result of the strategy; of any strategy if none is named."""
+    forms = [MASKED_FORMS[strategy]] if strategy else MASKED_FORMS.values()
+    return value.isNull() | value.rlike("(?s)^(?:" + "|".join(f"(?:{form})" for form in forms) + r")\z")
 
 
 MASK_PII = r"""
 CREATE OR REPLACE TEMPORARY FUNCTION mask_pii(value STRING, field_type STRING)
 RETURNS STRING
-RETURN CASE lower(field_type)
+RETURN CASE WHEN value IS NULL THEN NULL ELSE CASE lower(field_type)
   WHEN 'email' THEN regexp_replace(value, '^[^@]*', '***')
   WHEN 'phone' THEN regexp_replace(value, '[0-9]', '#')
   WHEN 'name' THEN concat(left(value, 1), '***')
   WHEN 'ssn' THEN concat('***-**-', right(value, 4))
   ELSE '***'
-END
+END END
 """
 
 

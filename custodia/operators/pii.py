@@ -95,14 +95,51 @@ def report(
     patterns: Sequence[vocab.Pattern] = vocab.BASE_PATTERNS,
     names: Sequence[str] = vocab.COLUMN_NAMES,
 ) -> DataFrame:
-    """One report row per subject: pattern findings plus quoted column names, and the risk of both."""
-    flagged = T.with_match_flags(df.select(*ids, text), text, patterns).withColumn(
+    """One report row per subject: pattern findings plus quoted column names, and the risk of both.
+
+    ``entities`` lists every kind and name found, with count, score, sample and source.
+    """
+    matched = T.with_matches(df.select(*ids, text), [text], patterns).withColumn(
         "_columns", pii_columns(F.col(text), names)
     )
+    size = {p.kind: F.coalesce(F.size(_flag(p, text)), F.lit(0)) for p in patterns}
+    found = matched.select(
+        *ids,
+        "_columns",
+        *[F.when(size[p.kind] > 0, size[p.kind]).otherwise(0).cast("bigint").alias(f"_n_{p.kind}") for p in patterns],
+        *[F.get(_flag(p, text), F.lit(0)).alias(f"_first_{p.kind}") for p in patterns],
+    ).withColumns({T.match_column(p.kind, text): F.col(f"_n_{p.kind}") > 0 for p in patterns})
+
+    def entity(kind: Column, n: Column, score: Column, sample: Column, source: str) -> Column:
+        return F.struct(
+            kind.alias("type"), n.cast("bigint").alias("n"), score.cast("int").alias("score"), sample.alias("sample"),
+            F.lit(source).alias("source"),
+        )
+
+    by_pattern = F.filter(
+        F.array(
+            *[
+                entity(F.lit(p.kind), F.col(f"_n_{p.kind}"), F.lit(p.score), T.sample(F.col(f"_first_{p.kind}")), "regex")
+                for p in patterns
+            ]
+        ),
+        lambda e: e["n"] > 0,
+    )
+    by_name = F.transform(
+        "_columns",
+        lambda c: entity(
+            F.lit("COLUMN_NAME"),
+            F.lit(1),
+            F.when(T.normalise_name(c).isin(*vocab.STRONG_COLUMN_NAMES), 4).otherwise(3),
+            c,
+            "heuristic",
+        ),
+    )
     count = sum((_flag(p, text).cast("bigint") for p in patterns), F.size("_columns").cast("bigint"))
     _, risk = flagged_risk(text, patterns, "_columns")
-    return flagged.select(
+    return found.select(
         *ids,
+        F.concat(by_pattern, by_name).alias("entities"),
         count.alias("entity_count"),
         (count > 0).alias("has_pii"),
         risk.alias("risk_level"),

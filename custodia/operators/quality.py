@@ -192,12 +192,21 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
     return child.where(F.col(child_key).isNotNull()).join(parent, F.col(child_key) == F.col(parent_key), "left_anti")
 
 
+def mark_cascade(
+    children: DataFrame, purged: DataFrame, child_key: str, parent_key: str, mark: str = "purged"
+) -> DataFrame:
+    """All children, each with whether its parent is purged: one pass over them, one join."""
+    gone = purged.select(F.col(parent_key).alias("_parent")).distinct().withColumn(mark, F.lit(True))
+    marked = children.join(gone, F.col(child_key) == F.col("_parent"), "left").drop("_parent")
+    return marked.withColumn(mark, F.coalesce(mark, F.lit(False)))
+
+
 def cascade(
     children: DataFrame, purged: DataFrame, child_key: str, parent_key: str
 ) -> tuple[DataFrame, DataFrame]:
     """Children of purged parents, and the children to keep."""
-    on = F.col(child_key) == F.col(parent_key)
-    return children.join(purged, on, "left_semi"), children.join(purged, on, "left_anti")
+    marked = mark_cascade(children, purged, child_key, parent_key, "_purged")
+    return marked.where("_purged").drop("_purged"), marked.where("NOT _purged").drop("_purged")
 
 
 def row_digest(columns: Sequence[str]) -> Column:
@@ -210,8 +219,8 @@ def row_digest(columns: Sequence[str]) -> Column:
 
 
 def quick_digest(columns: Sequence[str]) -> Column:
-    """A 64-bit hash of the row: enough to compare two copies, and far cheaper than SHA-256."""
-    return F.xxhash64(*columns).cast("decimal(38,0)")
+    """A 64-bit hash of the row's values and of which are null: enough to compare two copies, and cheap."""
+    return F.xxhash64(*[part for c in columns for part in (F.col(c), F.col(c).isNull())]).cast("decimal(38,0)")
 
 
 def fingerprint(
@@ -230,20 +239,19 @@ def fingerprint(
     ).select(F.lit(label).alias("table_name"), "*")
 
 
-def table_same(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two tables hold the same rows, by fingerprint; only two numbers come back."""
-    prints = fingerprint(a, "a", digest=quick_digest).unionByName(
-        fingerprint(b, "b", a.columns, digest=quick_digest)
-    )
-    return prints.select("n_rows", "fingerprint").distinct().count() == 1
-
-
 def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     """Count rows in passing: the count is there once any action has run over the frame."""
     watch = Observation(name)
     return df.observe(watch, F.count(F.lit(1)).alias("n_rows")), watch
 
 
+def fingerprinted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """Take count and quick fingerprint in passing: both are there once an action has run over the frame."""
+    watch = Observation(name)
+    total = F.coalesce(F.sum(quick_digest(df.columns)), F.lit(0)).cast("decimal(38,0)").cast("string")
+    return df.observe(watch, F.count(F.lit(1)).alias("n_rows"), total.alias("fingerprint")), watch
+
+
 def step_counts(
     df: DataFrame, steps: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]]
 ) -> DataFrame:

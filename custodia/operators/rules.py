@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -180,11 +180,19 @@ def matrix(checks: DataFrame) -> DataFrame:
 
 
 def compliance_report(
-    df: DataFrame, subject: str, code: str = "code", profiles: Column | None = None
+    df: DataFrame,
+    subject: str,
+    code: str = "code",
+    profiles: Column | None = None,
+    target: Column | None = None,
+    profile_names: Sequence[str] = (),
+    generated_at: str | None = None,
 ) -> DataFrame:
     """The full report of every subject as one row: checks, fold, flags, warnings, PII summary.
 
-    ``profiles`` must be a column expression over the subject's row (an array of names).
+    ``profiles`` must be a column expression over the subject's row (an array of names); with it only the
+    rules of these profiles are checked. ``profile_names`` are reported where there is no such column.
+    ``target`` and ``generated_at`` are reported as given, null otherwise: no clock is read.
     """
     c = F.col(code)
     patterns = vocab.BASE_PATTERNS
@@ -196,6 +204,11 @@ def compliance_report(
     return checked.withColumn("overall_status", status).select(
         subject,
         F.lit("1.0").alias("schema_version"),
+        (F.lit(None).cast("string") if target is None else target).alias("target"),
+        (F.array(*[F.lit(n) for n in profile_names]).cast("array<string>") if profiles is None else profiles).alias(
+            "compliance_profiles"
+        ),
+        F.lit(generated_at).cast("timestamp_ntz").alias("generated_at"),
         "overall_status",
         "checks",
         F.struct(
@@ -255,11 +268,17 @@ def residual_pii(df: DataFrame, label: str, text: str, redacted: str) -> DataFra
     )
 
 
-def unmasked_values(df: DataFrame, table: str, columns: Sequence[str], rule: str) -> DataFrame:
-    """HIPAA-001 on data: how many filled values of the given columns are not masked."""
+def unmasked_values(
+    df: DataFrame, table: str, columns: Sequence[str], rule: str, plan: Mapping[str, str] | None = None
+) -> DataFrame:
+    """HIPAA-001 on data: how many filled values of the given columns are not masked.
+
+    A mask plan names the strategy of a column; its values must look like that strategy's results.
+    """
+    plan = plan or {}
     counts = df.agg(
         F.count(F.lit(1)).alias("_n"),
-        *[F.count_if(~masking.looks_masked(F.col(c).cast("string"))).alias(f"_u_{c}") for c in columns],
+        *[F.count_if(~masking.looks_masked(F.col(c).cast("string"), plan.get(c))).alias(f"_u_{c}") for c in columns],
     )
     rows = F.array(
         *[F.struct(F.lit(c).alias("column_name"), F.col(f"_u_{c}").alias("n_unmasked")) for c in columns]

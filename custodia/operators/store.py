@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 from custodia import vocab
 from custodia.functions import text as T
@@ -32,8 +33,9 @@ def message_window(
 
 
 def latest(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Latest value of every key; one candidate per key and task reaches the shuffle."""
-    return df.groupBy(key).agg(F.max_by(value, order).alias(value), F.max(order).alias(order))
+    """Latest value of every key, the greatest of equally late ones; one candidate per key and task is shuffled."""
+    last = df.groupBy(key).agg(F.max(F.struct(order, value)).alias("_last"))
+    return last.select(key, f"_last.{value}", f"_last.{order}")
 
 
 def recent(sessions: DataFrame, n: int = vocab.RECENT_LIMIT) -> DataFrame:
@@ -74,30 +76,40 @@ def trail(audit: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
 
 
 def transitions(
-    df: DataFrame, key: str, order: str, state: str, chunk: int = 5_000_000
+    df: DataFrame, key: str, order: str, state: str, ties: Sequence[str] = (), chunk: int | None = None
 ) -> DataFrame:
     """Every row with the state before it (null for the first of its key).
 
-    A key is cut into stretches of ``chunk`` order values, so no task sorts more
-    than that. Inside a stretch the predecessor is a plain lag. The first row of a
-    stretch follows the last row of the stretch before: first and last rows come
-    from an aggregation that shrinks a hot key before its shuffle.
+    Rows are in the order of (order, ties, state), nulls first; order is a number or a time. A key is cut into
+    stretches of ``chunk`` order values (30 days of a time), so no task sorts more than that. Inside a stretch
+    the predecessor is a plain lag. The first row of a stretch follows the last row of the stretch before:
+    one row of each end of each stretch is compared.
     """
-    rows = df.select(key, order, state).withColumn("_chunk", F.floor(F.col(order) / chunk))
-    inside = Window.partitionBy(key, "_chunk").orderBy(order)
-    within = rows.withColumns(
-        {"previous": F.lag(state).over(inside), "_before": F.lag(order).over(inside)}
-    ).where(F.col("_before").isNotNull())
-
-    point = F.struct(order, state)
-    ends = rows.groupBy(key, "_chunk").agg(F.min(point).alias("_first"), F.max(point).alias("_last"))
-    across = ends.select(
-        key,
-        F.col(f"_first.{order}").alias(order),
-        F.col(f"_first.{state}").alias(state),
-        F.lag(f"_last.{state}").over(Window.partitionBy(key).orderBy("_chunk")).alias("previous"),
+    kind = df.schema[order].dataType
+    timed = isinstance(kind, (DateType, TimestampType, TimestampNTZType))
+    value = F.unix_micros(F.col(order).cast("timestamp")) if timed else F.col(order)
+    width = chunk or (30 * 86_400_000_000 if timed else 5_000_000)
+    kept = list(dict.fromkeys([key, order, *ties, state]))
+    rows = df.select(*kept).withColumn("_chunk", F.floor(value / width))
+    inside = Window.partitionBy(key, "_chunk").orderBy(order, *ties, state)
+    numbered = rows.withColumns(
+        {
+            "previous": F.lag(state).over(inside),
+            "_nth": F.row_number().over(inside),
+            "_more": F.lead(F.lit(True)).over(inside),
+        }
     )
-    return within.select(key, order, state, "previous").unionByName(across)
+    ends = numbered.where((F.col("_nth") == 1) | F.col("_more").isNull())
+    across = (
+        ends.groupBy(key, "_chunk")
+        .agg(
+            *[F.max(F.when(F.col("_nth") == 1, F.struct(*kept))).alias("_first")],
+            F.max(F.when(F.col("_more").isNull(), F.struct(F.col(state)))).alias("_last"),
+        )
+        .withColumn("previous", F.lag(F.col(f"_last.{state}")).over(Window.partitionBy(key).orderBy("_chunk")))
+        .select(*[F.col(f"_first.{c}").alias(c) for c in kept], "previous")
+    )
+    return numbered.where(F.col("_nth") > 1).select(*kept, "previous").unionByName(across)
 
 
 LEGAL_TRANSITIONS = (

@@ -11,7 +11,8 @@ from custodia.functions import text as T
 from custodia.operators import corpus, gate
 from custodia.plans.pii_queries import columns_sql, pii_columns_sql
 from custodia.plans.registry import any_of, in_list, query, quoted, str_list
-from custodia.sources.tables import Dataset
+from custodia.session import fresh_path
+from custodia.sources.tables import Dataset, read_scripts
 from custodia.sources.views import with_views
 
 
@@ -317,3 +318,23 @@ FROM v_answers
 )
 def fenced_code(ds: Dataset) -> DataFrame:
     return ds.view("v_answers").select("session_id", "id", T.fenced_code(F.col("answer")).alias("code"))
+
+
+@query(
+    with_views(
+        "SELECT script_id, sha256(code) AS content_hash, length(code) AS n_chars FROM v_submissions WHERE code IS NOT NULL",
+        "v_submissions",
+    )
+)
+def script_files(ds: Dataset) -> DataFrame:
+    """The corpus written as one file per script, and scanned again."""
+    path = fresh_path(ds.spark, "scripts")
+    found = ds.view("v_submissions").where("code IS NOT NULL")
+    found.repartition("script_id").write.partitionBy("script_id").text(path)
+    files = read_scripts(ds.spark, f"{path}/script_id=*/*.txt")
+    code = F.expr("substr(code, 1, length(code) - 1)")  # the writer closes the last line
+    return files.select(
+        F.regexp_extract("path", "script_id=([0-9]+)/", 1).cast("bigint").alias("script_id"),
+        T.content_hash(code).alias("content_hash"),
+        F.length(code).cast("bigint").alias("n_chars"),
+    )

@@ -20,13 +20,16 @@ from custodia.session import fresh_path
 from custodia.sources import writes
 
 
-def govern_submissions(submissions: DataFrame, subject: str, ts: str, **options) -> DataFrame:
+def govern_submissions(
+    submissions: DataFrame, subject: str, run_id: str, ts: str, path: str, **options
+) -> DataFrame:
     """Gate, check and report scripts; returns one row per submission.
 
-    Reports go to JSON by artifact type, and every submission leaves an audit entry.
+    Below ``path`` the run leaves its rows in four tables, partitioned by ``run_id``: ``sessions`` (status of every
+    submission), ``artifacts`` (compliance reports as JSON), ``pii_reports`` and ``audit_log``. Other runs' rows
+    stay; a repeated run replaces its own.
     """
-    spark = submissions.sparkSession
-    folder = fresh_path(spark, "governed")
+    folder = fresh_path(submissions.sparkSession, "governed")
     gated = gates.gate(submissions.select(subject, "code"), **options).withColumn(
         "input_hash", TX.content_hash(F.col("code"))
     )
@@ -34,23 +37,36 @@ def govern_submissions(submissions: DataFrame, subject: str, ts: str, **options)
 
     admitted = gated.where("passed").select(subject, F.col("sanitized_code").alias("code"))
     report = _through(rules.compliance_report(admitted, subject), f"{folder}/checked")
-    payload = F.struct(*[F.col(c) for c in report.columns])
-    writes.write_reports(report, f"{folder}/reports", payload, F.lit("compliance"))
+    session = F.col(subject).alias("session_id")
+    payload = F.to_json(F.struct(*[F.col(c) for c in report.columns]))
+    writes.write_run(
+        report.select(session, F.lit("compliance").alias("artifact_type"), payload.alias("content")),
+        f"{path}/artifacts",
+        run_id,
+    )
+    writes.write_run(report.select(session, "pii_summary.*"), f"{path}/pii_reports", run_id)
 
     verdicts = report.select(subject, "overall_status", "pii_summary.risk_level")
     outcome = _through(
         gated.drop("sanitized_code", "error_message").join(verdicts, subject, "left"), f"{folder}/outcome"
     )
+    time = F.lit(ts).cast("timestamp_ntz")
+    status = F.when(F.col("passed"), "success").otherwise("failed")
+    writes.write_run(
+        outcome.select(session, "input_hash", status.alias("status"), "rule_violated", "overall_status", time.alias("created_at")),
+        f"{path}/sessions",
+        run_id,
+    )
     entries = outcome.select(
-        F.col(subject).alias("session_id"),
+        session,
         F.when(F.col("passed"), "checked").otherwise("rejected").alias("event_type"),
         F.to_json(F.struct("rule_violated", "overall_status", "risk_level")).alias("event_data"),
-        F.lit(ts).cast("timestamp_ntz").alias("event_time"),
+        time.alias("event_time"),
         F.when(~F.col("passed") | (F.col("overall_status") == "fail"), "WARNING")
         .otherwise("INFO")
         .alias("severity"),
     )
-    writes.append_audit(entries, f"{folder}/audit")
+    writes.write_run(writes.checked_audit(entries), f"{path}/audit_log", run_id)
     return outcome
 
 
@@ -73,11 +89,12 @@ def govern_table(
 ) -> DataFrame:
     """Ingest with quarantine, deduplicate, mask, add audit columns, write idempotently.
 
-    Returns the table as written below ``path``; quarantined rows lie next to it.
+    Returns the table as written below ``path``, one row per key also when a row has changed partition;
+    quarantined rows lie next to it by run, and a repeated run replaces its own.
     """
     taken = writes.ingest(raw, expected)
-    taken.bad.write.mode("overwrite").parquet(f"{path}/quarantine")
+    writes.write_run(taken.bad, f"{path}/quarantine", run_id)
     unique = quality.dedup_by_key(taken.good, keys, order)
     audited = quality.with_audit(masking.mask_columns(unique, masks), run_id, ts, source)
-    writes.write_idempotent(audited, f"{path}/table", partition_cols)
+    writes.write_keyed(audited, f"{path}/table", partition_cols, keys)
     return raw.sparkSession.read.schema(audited.schema).parquet(f"{path}/table").select(*audited.columns)

@@ -126,16 +126,32 @@ def _report_sql(source: str, key: str, text: str) -> str:
     critical = " OR ".join(f"contains(k, '{k},')" for k in BASE_CRITICAL)
     kinds = "len(k) - len(replace(k, ',', ''))"
     return f"""
-SELECT {key}, CAST({kinds} + len(c) AS BIGINT) AS entity_count, ({kinds} + len(c)) > 0 AS has_pii,
+SELECT {key}, {_entities_sql(text)} AS entities, CAST({kinds} + len(c) AS BIGINT) AS entity_count, ({kinds} + len(c)) > 0 AS has_pii,
   {risk_sql(score, f"({critical})")} AS risk_level, rtrim(k, ',') AS entity_types,
   array_to_string(c, ',') AS pii_column_names
-FROM (SELECT {key}, {hits} AS k, {pii_columns_sql(text)} AS c FROM {source})
+FROM (SELECT {key}, {text}, {hits} AS k, {pii_columns_sql(text)} AS c FROM {source})
 """
 
 
+def _entities_sql(text: str) -> str:
+    """type:count:score:sample:source of every kind found and every column name, joined."""
+    kinds = ", ".join(
+        f"CASE WHEN len(regexp_extract_all({text}, {quoted(vocab.PATTERN_BY_KIND[k].regex)})) > 0 THEN '{k}:' || "
+        f"CAST(len(regexp_extract_all({text}, {quoted(vocab.PATTERN_BY_KIND[k].regex)})) AS STRING) || ':{vocab.PATTERN_BY_KIND[k].score}:' || "
+        f"left(regexp_extract({text}, {quoted(vocab.PATTERN_BY_KIND[k].regex)}), 8) || '…:regex' END"
+        for k in BASE_KINDS
+    )
+    return (
+        f"array_to_string(list_filter([{kinds}], lambda x: x IS NOT NULL) || list_transform(c, lambda n: 'COLUMN_NAME:1:' || "
+        f"CASE WHEN n IN {in_list(vocab.STRONG_COLUMN_NAMES)} THEN '4' ELSE '3' END || ':' || n || ':heuristic'), ';')"
+    )
+
+
 def _report(df: DataFrame, key: str, text: str) -> DataFrame:
-    return pii.report(df, [key], text).withColumn(
-        "pii_column_names", S.joined(F.col("pii_column_names"))
+    parts = ("type", "n", "score", "sample", "source")
+    lines = F.transform("entities", lambda e: F.concat_ws(":", *[e[c].cast("string") for c in parts]))
+    return pii.report(df, [key], text).withColumns(
+        {"pii_column_names": S.joined(F.col("pii_column_names")), "entities": F.array_join(lines, ";")}
     )
 
 
@@ -343,32 +359,52 @@ def phi_columns_profile(ds: Dataset) -> DataFrame:
     return found.withColumn("phi_columns", S.joined(F.col("phi_columns")))
 
 
-LOOKS_MASKED = r"^(?:\*+.{0,4}|[0-9a-f]{64}|\[[A-Z_]+\])$"
+# column made, the mask plan's strategy, what SQL makes of the name, what it must look like in RE2
+MASK_CASES = [
+    ("m_redact", "redact", "'***'", r"^\*\*\*$"),
+    ("m_partial", "partial", "CASE WHEN length(c_name) <= 4 THEN repeat('*', length(c_name)) ELSE repeat('*', length(c_name) - 4) || right(c_name, 4) END", r"^(\*{1,4}|\*+.{4})$"),
+    ("m_token", "token", "sha256(c_name)", r"^[0-9a-f]{64}$"),
+    ("m_null", "null", "CAST(NULL AS STRING)", r"^$"),
+    ("m_shape", "shape", "regexp_replace(regexp_replace(regexp_replace(c_name, '[a-z]', 'x', 'g'), '[A-Z]', 'X', 'g'), '[0-9]', 'n', 'g')", r"^([Xxn]|[^\p{L}\p{Nd}])*[Xxn]([Xxn]|[^\p{L}\p{Nd}])*$"),
+    ("m_email", "email", "regexp_replace(c_name || '@x.org', '^[^@]*', '***')", r"^\*\*\*(@.*)?$"),
+    ("m_phone", "phone", "regexp_replace('555-123-' || CAST(c_custkey AS STRING), '[0-9]', '#', 'g')", r"^[^0-9]*#[^0-9]*$"),
+    ("m_name", "name", "left(c_name, 1) || '***'", r"^.?\*\*\*$"),
+    ("m_ssn", "ssn", "'***-**-' || right(c_name, 4)", r"^\*\*\*-\*\*-.{0,4}$"),
+    ("m_mixed", "partial", "CASE WHEN c_custkey % 3 = 0 THEN '*Bob' ELSE c_name END", r"^(\*{1,4}|\*+.{4})$"),
+    ("c_name", None, "c_name", r"^$"),
+]
 
 
-@query(
-    f"""
-SELECT 'HIPAA-001' AS rule_id, table_name, n_rows, column_name, n_unmasked,
-  CASE WHEN n_unmasked > 0 THEN 'fail' ELSE 'pass' END AS status
-FROM (SELECT 'customer' AS table_name, 'c_name' AS column_name, count(*) AS n_rows,
-        count(*) FILTER (WHERE NOT regexp_matches(c_name, {quoted(LOOKS_MASKED)})) AS n_unmasked FROM customer
-      UNION ALL
-      SELECT 'customer_masked', 'c_name', count(*), 0 FROM customer
-      UNION ALL
-      SELECT 'supplier', 's_name', count(*),
-        count(*) FILTER (WHERE NOT regexp_matches(s_name, {quoted(LOOKS_MASKED)})) FROM supplier)
-"""
-)
-def rule_unmasked_phi(ds: Dataset) -> DataFrame:
-    customer = ds.table("customer")
-    masked = masking.mask_columns(customer, {"c_name": "token"})
+def _unmasked_sql() -> str:
+    parts = [
+        f"SELECT '{column}' AS column_name, count(*) AS n_rows, count(*) FILTER (WHERE NOT regexp_matches({value}, {quoted(form)})) AS n_unmasked FROM customer"
+        for column, _, value, form in MASK_CASES
+    ]
     return (
-        rules.unmasked_values(customer, "customer", ["c_name"], "HIPAA-001")
-        .unionByName(rules.unmasked_values(masked, "customer_masked", ["c_name"], "HIPAA-001"))
-        .unionByName(rules.unmasked_values(ds.table("supplier"), "supplier", ["s_name"], "HIPAA-001"))
+        "SELECT 'HIPAA-001' AS rule_id, 'customer' AS table_name, n_rows, column_name, n_unmasked, "
+        "CASE WHEN n_unmasked > 0 THEN 'fail' ELSE 'pass' END AS status FROM (" + " UNION ALL ".join(parts) + ")"
     )
 
 
+@query(_unmasked_sql())
+def rule_unmasked_phi(ds: Dataset) -> DataFrame:
+    """Every strategy's results against its own form, a column that is only partly masked, and a plain one."""
+    masking.register_mask_pii(ds.spark)
+    customer, name = ds.table("customer"), F.col("c_name")
+    fields = {
+        "email": F.concat("c_name", F.lit("@x.org")),
+        "phone": F.concat(F.lit("555-123-"), F.col("c_custkey").cast("string")),
+        "name": name,
+        "ssn": name,
+    }
+    made = {f"m_{s}": masking.STRATEGIES[s](name) for s in masking.STRATEGIES}
+    made |= {f"m_{kind}": F.call_function("mask_pii", value, F.lit(kind)) for kind, value in fields.items()}
+    made["m_mixed"] = F.when(F.col("c_custkey") % 3 == 0, "*Bob").otherwise(name)
+    plan = {column: strategy for column, strategy, _, _ in MASK_CASES if strategy}
+    columns = [column for column, *_ in MASK_CASES]
+    return rules.unmasked_values(customer.withColumns(made), "customer", columns, "HIPAA-001", plan)
+
+
 @query(
     with_views(
         f"SELECT table_name, id, {redacted_sql('text')} AS redacted, {redacted_sql('text')} <> text AS changed FROM {ALL_TEXTS}",
@@ -496,3 +532,23 @@ FROM documents
 def gate_size(ds: Dataset) -> DataFrame:
     over = T.token_estimate(F.col("text")) > 1000
     return ds.texts("documents").select("doc_id", (~over).alias("passed"), F.when(over, "E002").alias("error_code"))
+
+
+OWN_PATTERNS = (
+    vocab.Pattern("ACCESS_KEY", 4, r"\bAKIA[A-Z0-9]{16}\b", critical=True, holds=("AKIA",)),
+    vocab.Pattern("LICENCE", 2, r"\b(?:MIT|GPL|Apache|BY-NC)\b"),
+)
+
+
+def _own_sql() -> str:
+    return " UNION ALL ".join(
+        f"SELECT doc_id, '{p.kind}' AS type, CAST(len(a) AS BIGINT) AS n, {p.score} AS score, left(a[1], 8) || '…' AS sample, 'regex' AS source "
+        f"FROM (SELECT doc_id, regexp_extract_all(text, {quoted(p.regex)}) AS a FROM documents) WHERE len(a) > 0"
+        for p in OWN_PATTERNS
+    )
+
+
+@query(_own_sql())
+def own_patterns(ds: Dataset) -> DataFrame:
+    """A scan with the caller's own patterns."""
+    return pii.scan_text(ds.texts("documents"), ["doc_id"], "text", OWN_PATTERNS)

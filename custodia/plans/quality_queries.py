@@ -135,7 +135,7 @@ def null_violations(ds: Dataset) -> DataFrame:
 
 RAW_EVENTS = """
 SELECT event_id,
-  CASE WHEN event_id % 97 = 0 THEN 'n/a' ELSE CAST(CAST(value AS DECIMAL(12,2)) AS STRING) END AS value,
+  CASE WHEN event_id % 97 = 0 THEN 'n/a' WHEN event_id % 79 = 0 THEN CAST(CAST(value AS DECIMAL(12,2)) AS STRING) || '9' ELSE CAST(CAST(value AS DECIMAL(12,2)) AS STRING) END AS value,
   CASE WHEN event_id % 89 = 0 THEN 'u' || CAST(user_id AS STRING) ELSE CAST(user_id AS STRING) END AS user_id,
   CASE WHEN event_id % 83 = 0 THEN CAST(NULL AS STRING) ELSE event_type END AS event_type,
   props
@@ -158,7 +158,8 @@ def expected_events() -> T.StructType:
     f"""
 WITH raw AS ({RAW_EVENTS.format(events='events')})
 SELECT event_id, TRY_CAST(value AS DECIMAL(12,2)) AS value, TRY_CAST(user_id AS BIGINT) AS user_id, event_type,
-  concat_ws(',', CASE WHEN TRY_CAST(value AS DECIMAL(12,2)) IS NULL THEN 'value:type' END,
+  concat_ws(',', CASE WHEN TRY_CAST(value AS DECIMAL(12,2)) IS NULL THEN 'value:type'
+      WHEN TRY_CAST(value AS DECIMAL(38,18)) <> TRY_CAST(value AS DECIMAL(12,2)) THEN 'value:lossy' END,
     CASE WHEN TRY_CAST(user_id AS BIGINT) IS NULL THEN 'user_id:type' END,
     CASE WHEN event_type IS NULL THEN 'event_type:null' END) AS reasons,
   'value=string -> decimal(12,2);user_id=string -> bigint;props=extra' AS drift
@@ -175,7 +176,7 @@ def ingest_quarantine(ds: Dataset) -> DataFrame:
 
 @query(
     """
-SELECT event_id, event_id % 50 <> 0 AS ok FROM events
+SELECT event_id, json_valid(CASE WHEN event_id % 50 = 0 THEN '{' || props ELSE props END) AS ok FROM events
 """
 )
 def payload_valid(ds: Dataset) -> DataFrame:
@@ -215,8 +216,7 @@ WHERE session_id NOT IN (SELECT id FROM v_sessions WHERE created_at < DATE '1997
 def cascade_purge(ds: Dataset) -> DataFrame:
     children = ds.view("v_artifacts").select("session_id", "line_no", "part_no", "artifact_type")
     purged = rules.expired(ds.view("v_sessions"), "created_at", "1997-01-01").select("id")
-    gone, kept = Q.cascade(children, purged, "session_id", "id")
-    return gone.withColumn("purged", F.lit(True)).unionByName(kept.withColumn("purged", F.lit(False)))
+    return Q.mark_cascade(children, purged, "session_id", "id")
 
 
 LINE_ORDER = [
@@ -246,7 +246,7 @@ def _fingerprint_sql(table: str, columns) -> str:
 FINGERPRINTED = {
     "nation": ["n_nationkey", "n_name", "n_regionkey"],
     "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
 }
 
 
@@ -283,13 +283,18 @@ def audit_columns(ds: Dataset) -> DataFrame:
     return Q.with_audit(ds.table("orders"), RUN_ID, RUN_TS, "orders")
 
 
-@query("SELECT event_id, user_id, event_type, value FROM events")
+@query("SELECT * REPLACE (CASE WHEN event_id % 7 = 0 THEN 'moved' ELSE event_type END AS event_type) FROM events")
 def idempotent_overwrite(ds: Dataset) -> DataFrame:
-    """The whole table, then one event type again: the second write replaces its own partition only."""
-    events = ds.table("events").select("event_id", "user_id", "event_type", "value")
+    """The whole table; one event type again, which replaces its own partition only; then some rows under another type.
+
+    The last write goes by key, so no event is left in the partition that it came from.
+    """
+    events = ds.table("events")
     path = fresh_path(ds.spark, "events")
     writes.write_idempotent(events, path, ["event_type"])
     writes.write_idempotent(events.where(F.col("event_type") == "click"), path, ["event_type"])
+    moved = events.where(F.col("event_id") % 7 == 0).withColumn("event_type", F.lit("moved"))
+    writes.write_keyed(moved, path, ["event_type"], ["event_id"])
     back = ds.spark.read.schema(events.schema).parquet(path)
     return back.select(*events.columns)
 

@@ -102,7 +102,7 @@ def token_budget_running(ds: Dataset) -> DataFrame:
 @query(
     with_views(
         """
-WITH pairs AS (SELECT status, lag(status) OVER (PARTITION BY session_id ORDER BY id) AS previous FROM v_run_states)
+WITH pairs AS (SELECT status, lag(status) OVER (PARTITION BY session_id ORDER BY event_time, id) AS previous FROM v_run_states)
 SELECT previous, status, count(*) AS n,
   (previous = 'pending' AND status = 'running') OR (previous = 'running' AND status IN ('success', 'failed')) AS legal
 FROM pairs WHERE previous IS NOT NULL GROUP BY previous, status
@@ -111,14 +111,14 @@ FROM pairs WHERE previous IS NOT NULL GROUP BY previous, status
     )
 )
 def status_transitions(ds: Dataset) -> DataFrame:
-    pairs = store.transitions(ds.view("v_run_states"), "session_id", "id", "status")
+    pairs = store.transitions(ds.view("v_run_states"), "session_id", "event_time", "status", ties=["id"])
     return store.transition_counts(pairs, "status")
 
 
 @query(
     with_views(
         """
-WITH pairs AS (SELECT session_id, id, status, lag(status) OVER (PARTITION BY session_id ORDER BY id) AS previous FROM v_run_states)
+WITH pairs AS (SELECT session_id, id, status, lag(status) OVER (PARTITION BY session_id ORDER BY event_time, id) AS previous FROM v_run_states)
 SELECT * FROM pairs WHERE previous IS NOT NULL
   AND NOT ((previous = 'pending' AND status = 'running') OR (previous = 'running' AND status IN ('success', 'failed')))
 """,
@@ -126,8 +126,9 @@ SELECT * FROM pairs WHERE previous IS NOT NULL
     )
 )
 def illegal_transitions(ds: Dataset) -> DataFrame:
-    pairs = store.transitions(ds.view("v_run_states"), "session_id", "id", "status")
-    return pairs.where(F.col("previous").isNotNull() & ~store.is_legal("status"))
+    pairs = store.transitions(ds.view("v_run_states"), "session_id", "event_time", "status", ties=["id"])
+    illegal = pairs.where(F.col("previous").isNotNull() & ~store.is_legal("status"))
+    return illegal.select("session_id", "id", "status", "previous")
 
 
 @query(with_views("SELECT id, created_at, status FROM v_sessions ORDER BY created_at DESC, id DESC LIMIT 20", "v_sessions"))

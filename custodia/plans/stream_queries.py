@@ -60,16 +60,21 @@ def stream_gate(ds: Dataset) -> DataFrame:
 )
 def stream_audit_counts(ds: Dataset) -> DataFrame:
     log = _view(ds, "v_audit_log", _stream(ds, "events"))
-    return streams.run_complete(streams.audit_counts(log), "stream-audit")
+    return streams.run_updates(streams.audit_counts(log), "stream-audit", ["window_start", "severity"])
 
 
-@query("SELECT DISTINCT sha256(CAST(user_id AS STRING) || '|' || event_type) AS input_hash, user_id, event_type FROM events")
+@query("SELECT sha256(CAST(event_id AS STRING) || '|' || event_type) AS input_hash, event_id, event_type FROM events")
 def stream_dedup(ds: Dataset) -> DataFrame:
-    hashed = _stream(ds, "events").withColumn(
-        "input_hash", T.content_hash(F.concat_ws("|", F.col("user_id").cast("string"), "event_type"))
+    """Every event delivered three times within minutes; a day of state is enough to keep one of each."""
+    times = F.explode(F.array(*[F.lit(m) for m in (0, 5, 45)])).alias("minutes")
+    delivered = _stream(ds, "events").select("event_id", "event_type", "ts", times).select(
+        T.content_hash(F.concat_ws("|", F.col("event_id").cast("string"), "event_type")).alias("input_hash"),
+        "event_id",
+        "event_type",
+        F.timestamp_add("MINUTE", F.col("minutes"), F.col("ts")).alias("ts"),
     )
-    first = streams.first_submissions(hashed, "input_hash", "ts", "event_id", "3650 days")
-    return streams.run_append(first.select("input_hash", "user_id", "event_type"), "stream-dedup")
+    first = streams.first_submissions(delivered, "input_hash", "ts", "ts", "1 day")
+    return streams.run_append(first.select("input_hash", "event_id", "event_type"), "stream-dedup")
 
 
 @query(
@@ -80,4 +85,4 @@ def stream_dedup(ds: Dataset) -> DataFrame:
 )
 def stream_token_cap(ds: Dataset) -> DataFrame:
     sessions = _view(ds, "v_sessions", _stream(ds, "orders"))
-    return streams.run_complete(streams.token_cap(sessions, DAILY_CAP), "stream-cap")
+    return streams.run_updates(streams.token_cap(sessions, DAILY_CAP), "stream-cap", ["day"])

@@ -12,7 +12,7 @@ from custodia.functions import script as S
 from custodia.operators import diff, synth
 from custodia.plans.pii_queries import columns_sql
 from custodia.plans.quality_queries import MERGED, UPDATES, customer_updates
-from custodia.plans.registry import query, str_list
+from custodia.plans.registry import actual_type_sql, query, str_list
 from custodia.sources import writes
 from custodia.sources.tables import SCHEMAS, Dataset
 from custodia.sources.views import with_views
@@ -51,18 +51,6 @@ def infer_types(ds: Dataset) -> DataFrame:
     return synth.infer_types(scripts, S.columns(F.col("code")), "script_id", modes=("token", "reference"))
 
 
-DUCK_TYPES = {
-    "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
-    "TIMESTAMP": "timestamp_ntz", "FLOAT[]": "array<float>",
-}
-
-
-def actual_type_sql(column: str) -> str:
-    """The type a column has in its file, under Spark's name."""
-    cases = " ".join(f"WHEN '{duck}' THEN '{name}'" for duck, name in DUCK_TYPES.items())
-    return f"CASE any_value(typeof({column})) {cases} END"
-
-
 def _fit_sql() -> str:
     parts = []
     for table, schema in SCHEMAS.items():

@@ -127,6 +127,7 @@ SELECT c_custkey AS id,
     WHEN 5 THEN 'doc AB' || CAST(1000000 + c_custkey AS STRING)
     WHEN 6 THEN 'iban GB82WEST12345698765432'
     WHEN 7 THEN 'NPI 1234567890'
+    WHEN 8 THEN CASE WHEN c_custkey % 2 = 0 THEN 'from john.smith-123-45-6789@corp.com' ELSE 'nothing here' END
     ELSE 'nothing here' END AS text
 FROM {customer}
 """

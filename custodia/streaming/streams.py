@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from custodia import vocab
 from custodia.functions import text as T
@@ -14,11 +15,18 @@ from custodia.session import fresh_path
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
-    """A folder, file or glob of parquet files as a stream with a declared schema."""
+    """A folder or one file of parquet as a stream with a declared schema; neighbours stay out.
+
+    A stream watches folders, so a file is its folder with the file's exact name as the filter.
+    """
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path + "*")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    literal = "".join(f"[{c}]" if c in "*?" else f"\\{c}" if c in "[]{}\\" else c for c in at.getName())
+    return reader.option("pathGlobFilter", literal).parquet(at.getParent().toString())
 
 
 def run_append(df: DataFrame, label: str) -> DataFrame:
@@ -56,13 +64,22 @@ def run_batches(
     return out
 
 
-def run_complete(df: DataFrame, label: str) -> DataFrame:
-    """Process all that is there and return the whole result table of an aggregation."""
+def run_updates(df: DataFrame, label: str, keys: Sequence[str]) -> DataFrame:
+    """Process all that is there in update mode and return the last row of every key.
 
-    def replace(batch: DataFrame, no: int, out: str) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    A batch writes what it changed into a folder of its own, so a repeated batch replaces itself, readers keep
+    what they have open, and the state can forget what the watermark has passed.
+    """
+
+    def write(batch: DataFrame, no: int, out: str) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={no}")
 
-    return df.sparkSession.read.schema(df.schema).parquet(run_batches(df, label, replace, "complete"))
+    out = run_batches(df, label, write, "update")
+    schema = StructType([*df.schema.fields, StructField("batch", LongType())])
+    others = [c for c in df.columns if c not in keys]
+    changed = df.sparkSession.read.schema(schema).parquet(out)
+    last = changed.groupBy(*keys).agg(F.max(F.struct("batch", *others)).alias("_last"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in df.columns])
 
 
 def redacted(stream: DataFrame, subject: str, text: str) -> DataFrame:
@@ -92,7 +109,7 @@ def gated(stream: DataFrame, label: str, **options) -> str:
 def audit_counts(
     audit: DataFrame, width: str = "1 hour", late: str = "2 hours", by: str = "severity"
 ) -> DataFrame:
-    """Events per tumbling window and severity; later than the watermark is dropped in append mode."""
+    """Events per tumbling window and severity; what comes later than the watermark is dropped."""
     timed = audit.withColumn("event_time", F.col("event_time").cast("timestamp"))
     return (
         timed.withWatermark("event_time", late)
@@ -115,10 +132,12 @@ def first_submissions(
     return salted.dropDuplicatesWithinWatermark([key, "_salt"]).dropDuplicatesWithinWatermark([key]).drop("_salt")
 
 
-def token_cap(stream: DataFrame, cap: int) -> DataFrame:
-    """Days whose token spend is over the cap; the state is one sum per day."""
+def token_cap(stream: DataFrame, cap: int, late: str = "40 days") -> DataFrame:
+    """Days whose token spend is over the cap; a day is forgotten once the watermark has passed it."""
+    timed = stream.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", late)
     return (
-        stream.groupBy(F.to_date("created_at").alias("day"))
+        timed.groupBy(F.window("created_at", "1 day").alias("w"))
         .agg(F.sum("tokens_used").alias("tokens"))
         .where(F.col("tokens") > cap)
+        .select(F.to_date("w.start").alias("day"), "tokens")
     )

@@ -56,8 +56,9 @@ PATTERN_BY_KIND = {p.kind: p for p in PATTERNS}
 # the smaller set of the scanner, and the full set
 BASE_PATTERNS = tuple(p for p in PATTERNS if p.kind not in ("IBAN", "NPI"))
 
-# Longer and more specific kinds first: the ten digits of an NPI also read as a phone number.
-REDACTION_ORDER = ("NPI", "IBAN", "CREDIT_CARD", "SSN", "EMAIL", "PASSPORT", "PHONE", "IP_ADDRESS")
+# E-mail addresses first: one that holds another kind's digits would not be an address any more after their
+# replacement. Then longer and more specific kinds: the ten digits of an NPI also read as a phone number.
+REDACTION_ORDER = ("EMAIL", "NPI", "IBAN", "CREDIT_CARD", "SSN", "PASSPORT", "PHONE", "IP_ADDRESS")
 REDACTION_PATTERNS = tuple(PATTERN_BY_KIND[k] for k in REDACTION_ORDER)
 
 # --- fixed values: column names that announce personal data -----------------------

@@ -163,6 +163,26 @@ def test_masks(spark):
     assert tokens.count() == 1
 
 
+def test_every_strategy_is_recognised_and_near_misses_are_not(spark):
+    masking.register_mask_pii(spark)
+    df = spark.createDataFrame([("Joe Smith", "joe@y.com", "555-123-4567", "123-45-6789")], "n string, e string, p string, s string")
+    made = [masking.STRATEGIES[k](F.col("n")).alias(k) for k in masking.STRATEGIES]
+    made += [F.expr(f"mask_pii({c}, '{k}')").alias(k) for c, k in (("n", "name"), ("e", "email"), ("p", "phone"), ("s", "ssn"))]
+    forms = df.select(*made)
+    for column in forms.columns:
+        strategy = column if column in masking.MASKED_FORMS else None
+        assert forms.where(masking.looks_masked(F.col(column), strategy)).count() == 1, column
+    plain = spark.createDataFrame([("*Bob",), ("Joe",), ("a@b.c",), ("X1",), ("abc***d",)], "v string")
+    assert plain.where(masking.looks_masked(F.col("v"), "partial")).count() == 0
+    assert [r["v"] for r in plain.where(masking.looks_masked(F.col("v"))).collect()] == []
+    assert spark.sql("SELECT mask_pii(CAST(NULL AS STRING), 'other')").first()[0] is None
+
+
+def test_redaction_leaves_no_half_address(spark):
+    df = texts(spark, "john.smith-123-45-6789@corp.com")
+    assert masking.redact_text(df, "text").first()["text"] == "[EMAIL]"
+
+
 def test_mask_function_is_replaceable(spark):
     masking.register_mask_pii(spark)
     assert spark.sql("SELECT mask_pii('x@y.io', 'email')").first()[0] == "***@y.io"
