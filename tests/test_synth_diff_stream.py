@@ -145,3 +145,24 @@ def test_stream_dedup_with_a_hot_key(spark):
     first = streams.first_submissions(stream, "input_hash", "ts", "id", "1 day")
     got = streams.run_append(first.select("input_hash"), "test-dedup-out")
     assert sorted(r[0] for r in got.collect()) == sorted(r[0] for r in df.select("input_hash").distinct().collect())
+
+
+def test_streams_leave_neighbours_alone(spark):
+    base = fresh_path(spark, "test-neighbours")
+    spark.range(3).coalesce(1).write.parquet(f"{base}/in")
+    spark.range(5).write.parquet(f"{base}/in_old")
+    assert streams.run_append(streams.read_stream(spark, f"{base}/in", "id long"), "test-folder").count() == 3
+    import glob
+
+    (one,) = glob.glob(f"{base}/in/part-*.parquet")
+    assert streams.run_append(streams.read_stream(spark, one, "id long"), "test-file").count() == 3
+
+
+def test_updates_keep_the_last_row_of_a_key(spark):
+    base = fresh_path(spark, "test-updates")
+    for no in range(3):
+        rows_in = [(f"2024-01-01 0{h}:00:00", "INFO") for h in range(no + 1)]
+        spark.createDataFrame(rows_in, "event_time string, severity string").coalesce(1).write.mode("append").parquet(base)
+    stream = streams.read_stream(spark, base, "event_time string, severity string", files_per_batch=1)
+    got = streams.run_updates(streams.audit_counts(stream, late="10 hours"), "test-updates-out", ["window_start", "severity"])
+    assert sorted(r["n"] for r in got.collect()) == [1, 2, 3]
