@@ -86,3 +86,23 @@ def op2_chunk_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return license_scan.notices(docs, license_scan.train(docs))
+
+
+CHECKS["op6_ngram_join"] = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS shingle FROM split
+), sizes AS (
+  SELECT doc_id, count(shingle) AS n FROM split LEFT JOIN shingles USING (doc_id) GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY ALL
+), edges AS (
+  SELECT x, y FROM links JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * common >= 90 * (p.n + q.n - common)
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM documents UNION SELECT reached.doc_id, y FROM reached JOIN edges ON other = x
+)
+SELECT doc_id, n AS n_shingles, min(other) AS component_id FROM sizes JOIN reached USING (doc_id) GROUP BY doc_id, n"""
