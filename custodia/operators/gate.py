@@ -21,9 +21,7 @@ def _first_dangerous(code: Column, mode: str) -> Column:
 
 
 def _filled(rule: str, *found: Column) -> Column:
-    """The rule's message with what was found put in; a syntax message comes filled already."""
-    if rule == "SYNTAX_CHECK":
-        return found[0]
+    """The rule's message with what was found put in."""
     return F.format_string(vocab.GATE_MESSAGES[rule].replace("{}", "%s"), *found)
 
 
@@ -33,35 +31,26 @@ def gate(
     max_tokens: int = vocab.MAX_TOKENS,
     mode: str = "reference",
     allowed: Sequence[str] = vocab.GATE_IMPORTS,
-    check_syntax: bool = False,
 ) -> DataFrame:
     """Add ``passed, error_code, error_message, rule_violated, sanitized_code``.
 
-    Stages: size, encoding, (syntax,) dangerous name, write-mode open, network call,
+    Stages: size, encoding, dangerous name, write-mode open, network call,
     imports, path traversal. Costly stages only see rows the cheap ones let through. A null
     script is no script: it is not admitted.
-    The syntax stage needs Python on the executors, so it is only there on request.
     """
     if mode not in ("reference", "strict"):
         raise ValueError(f"unknown gate mode: {mode}")
     clean, raw = F.col("_clean"), F.col(code)
     outside = F.filter(S.imported_names(clean), lambda m: ~S.top_module(m).isin(*allowed))
     tokens = T.token_estimate(raw)
-    syntax = F.lit(None).cast("string")
-    if check_syntax:
-        from custodia.functions.syntax import syntax_error  # needs pandas
-
-        syntax = syntax_error(clean)
     checked = (
         df.withColumn("_clean", T.strip_nul(raw))
         .withColumn("_danger", _first_dangerous(clean, mode))
-        .withColumn("_syntax", syntax)
         .withColumn(
             "rule_violated",
             F.when(raw.isNull(), "MISSING_CODE")
             .when(tokens > max_tokens, "SIZE_CHECK")
             .when(~F.is_valid_utf8(raw), "ENCODING_CHECK")
-            .when(F.col("_syntax").isNotNull(), "SYNTAX_CHECK")
             .when(F.col("_danger").isNotNull(), "DANGEROUS_PATTERN")
             .when(S.write_open(clean), "DANGEROUS_WRITE")
             .when(S.contains_any(clean, vocab.NETWORK), "NETWORK_CALL")
@@ -72,7 +61,6 @@ def gate(
     rule = F.col("rule_violated")
     found = {
         "SIZE_CHECK": (tokens, F.lit(max_tokens)),
-        "SYNTAX_CHECK": (F.col("_syntax"),),
         "DANGEROUS_PATTERN": (F.col("_danger"),),
         "IMPORT_WHITELIST": (F.get(outside, F.lit(0)),),
     }
@@ -87,7 +75,7 @@ def gate(
             "sanitized_code": F.when(rule.isNull(), clean),
             "nul_stripped": clean != raw,
         }
-    ).drop("_clean", "_danger", "_syntax")
+    ).drop("_clean", "_danger")
 
 
 def split(gated: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -16,8 +16,9 @@ from custodia.functions import text as T
 def last_per_key(df: DataFrame, key: str, order: Sequence[Column], n: int) -> DataFrame:
     """The first n rows of every key in the given order, with their rank.
 
-    Every task keeps at most n rows of a key before the shuffle (window group
-    limit), so a key that holds a third of the rows stays cheap.
+    Every task keeps at most n rows of a key before the shuffle, so a key that holds a third of the rows
+    stays cheap. Spark does so for n up to spark.sql.optimizer.windowGroupLimitThreshold (1000 by default);
+    beyond it all rows of a key meet in one task.
     """
     w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

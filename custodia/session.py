@@ -17,6 +17,7 @@ DEFAULTS = {
     "spark.sql.parquet.filterPushdown": "true",
 }
 
+
 def cluster_settings(shuffle_bytes: int, bytes_per_task: int = 200 * 1024**2) -> dict[str, str]:
     """Settings for a job that shuffles about that much: enough partitions to fit in memory.
 
@@ -52,12 +53,14 @@ def shared_folder(spark: SparkSession) -> str:
     A machine-local folder is only ever used when the whole of Spark runs on
     this one machine.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _fallback.setdefault("dir", tempfile.mkdtemp(prefix="custodia-"))
+    if "dir" not in _fallback:
+        _fallback["dir"] = tempfile.mkdtemp(prefix="custodia-")
+    return _fallback["dir"]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

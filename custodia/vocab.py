@@ -112,15 +112,6 @@ TRANSFORMS = tuple(
     select sort union unionAll where withColumn withColumnRenamed write
     """.split()
 )
-DECLARED_TYPES = {
-    "bool": "boolean",
-    "bytes": "binary",
-    "date": "date",
-    "datetime": "timestamp",
-    "float": "float",
-    "int": "int",
-    "str": "string",
-}
 
 # --- fixed values: admission gate ---------------------------------------------------
 CHARS_PER_TOKEN = 4
@@ -156,7 +147,6 @@ GATE_MESSAGES = {
     "MISSING_CODE": "No code was submitted.",
     "SIZE_CHECK": "Input too large: ~{} tokens (limit: {}). Trim code and retry.",
     "ENCODING_CHECK": "Invalid encoding",
-    "SYNTAX_CHECK": "Invalid Python syntax at line {}: {}",
     "DANGEROUS_PATTERN": "Dangerous pattern detected: `{}`. Remove it before submitting.",
     "DANGEROUS_WRITE": "File write operations are not permitted in submitted code.",
     "NETWORK_CALL": "Direct network calls are not permitted in submitted code.",
@@ -274,7 +264,6 @@ PROFILES = {
         ),
     },
 }
-DEFAULT_PROFILES = "gdpr,hipaa,sox"
 
 # --- fixed values: store defaults ----------------------------------------------------
 RETENTION_DAYS = 90

@@ -149,13 +149,6 @@ def test_gate_modes(spark):
         gate.gate(word, mode="other")
 
 
-def test_gate_syntax_on_request(spark):
-    broken = scripts(spark, "def broken(\n    x\n", "x = 1\n", "print 'eval'\n")
-    assert gate.gate(broken).where("script_id = 0").first()["passed"]
-    got = {r["script_id"]: r["rule_violated"] for r in gate.gate(broken, check_syntax=True).collect()}
-    assert got == {0: "SYNTAX_CHECK", 1: None, 2: "SYNTAX_CHECK"}
-
-
 def test_gate_invalid_utf8(spark):
     df = scripts(spark, "x = 1").withColumn("code", F.unhex(F.lit("C328")).cast("string"))
     assert gate.gate(df).first()["rule_violated"] == "ENCODING_CHECK"
