@@ -20,9 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from custodia.llm.common import components, free_name, staged
+from custodia.llm.common import components, free_name, may_match, staged
 
 BLOCK = 128
+ROWS_TOGETHER = 2000
 WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -141,48 +142,56 @@ def signatures(docs: DataFrame, text: str, threshold: int, least: int) -> DataFr
     return docs.select(text).mapInArrow(emit, "key long, vertex long")
 
 
-def similar_edges(left: pd.DataFrame, right: pd.DataFrame | None, threshold: int) -> list[tuple[int, int]]:
+def similar_edges(left: list[tuple[int, str]], right: list[tuple[int, str]] | None, threshold: int) -> list[tuple[int, int]]:
     """Edges (vertex, vertex) that connect all similar lines, within left or between left and right."""
-    rows = left if right is None else pd.concat([left, right])
-    vertex, line = rows["vertex"].tolist(), rows["line"].tolist()
-    label = np.arange(len(line))
-    sizes = np.array([len(x) for x in line])
+    rows = left if right is None else left + right
+    label = list(range(len(rows)))
     edges = []
-    for i in range(len(left)):
-        others = np.arange(i + 1 if right is None else len(left), len(line))
-        others = others[(label[others] != label[i]) & (np.abs(sizes[others] - sizes[i]) <= threshold)]
-        for j in others.tolist():
-            if label[j] != label[i] and similar(line[i], line[j], threshold):
-                edges.append((vertex[i], vertex[j]))
-                label[label == label[j]] = label[i]
+    for i, (vertex, line) in enumerate(left):
+        for j in range(i + 1 if right is None else len(left), len(rows)):
+            if label[j] != label[i] and similar(line, rows[j][1], threshold):
+                edges.append((vertex, rows[j][0]))
+                old, new = label[j], label[i]
+                label = [new if x == old else x for x in label]
     return edges
 
 
 def links(docs: DataFrame, text: str, threshold: int, least: int) -> DataFrame:
-    """Rows (a, b): edges between the hashes of similar lines that connect their classes."""
+    """Rows (a, b): edges between the hashes of similar lines that connect their classes.
+
+    The lines under a key are dealt into blocks; a pair of blocks is compared at a time, and many small
+    pairs share a group, whose number grows with the rows.
+    """
     found = signatures(docs, text, threshold, least)
     shared = found.groupBy("key").agg(F.min("vertex").alias("low"), F.max("vertex").alias("high")).where("low != high")
     shared = staged(shared.select("key"), "keys")
-    hits = staged(found.join(shared, "key").distinct(), "hits")
+    hits = staged(may_match(found, shared, "key").join(shared, "key").distinct(), "hits")
     wanted = hits.select("vertex").distinct()
     lines = docs.select(F.explode(F.split(text, "\n")).alias("line")).withColumn("vertex", F.xxhash64("line"))
-    texts = lines.join(wanted, "vertex").groupBy("vertex").agg(F.first("line").alias("line"))
+    texts = may_match(lines, wanted, "vertex").groupBy("vertex").agg(F.first("line").alias("line"))
     sizes = hits.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    groups = -(-hits.count() // ROWS_TOGETHER) or 1
     dealt = (
         hits.join(sizes, "key")
         .join(texts, "vertex")
         .withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "vertex", "line")
+        .withColumn("together", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups)))
     )
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        rows = rows.sort_values("vertex")
-        left, right = rows[rows["block"] == i], None if i == j else rows[rows["block"] == j]
-        return pd.DataFrame(similar_edges(left, right, threshold), columns=["a", "b"], dtype="int64")
+        pairs: dict[tuple[int, int, int], tuple[list, list]] = {}
+        for key, i, j, block, vertex, line in zip(
+            rows["key"], rows["i"], rows["j"], rows["block"], rows["vertex"], rows["line"], strict=True
+        ):
+            pairs.setdefault((key, i, j), ([], []))[block != i].append((vertex, line))
+        edges = []
+        for (_, i, j), (left, right) in pairs.items():
+            edges += similar_edges(sorted(left), None if i == j else sorted(right), threshold)
+        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64").drop_duplicates()
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+    return dealt.groupBy("together").applyInPandas(compare, "a long, b long")
 
 
 def duplicate_lines(
@@ -207,7 +216,7 @@ def duplicate_lines(
         "vertex", "own", F.coalesce("component", "vertex").alias("class")
     )
     classed = staged(classed, "classes")
-    first = classed.groupBy("class").agg(F.min("own").alias("first"))
+    first = staged(classed.groupBy("class").agg(F.min("own").alias("first")), "first")
     known = classed.join(first, "class").select("vertex", "own", "first")
     return (
         lines.withColumn("here", place)
