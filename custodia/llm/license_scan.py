@@ -171,7 +171,7 @@ def _softmax(scores: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 200, sample_paragraphs: int = 2000) -> Model:
     """The classifier with at most `sample_paragraphs` paragraphs, of the `sample_docs` documents of least hashed id, as unknown ones."""
-    chosen = docs.select(F.col(doc_id).alias("i"), F.substring(text, 1, 20000).alias("t")).orderBy(F.xxhash64("i"), "i").limit(sample_docs)
+    chosen = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).orderBy(F.xxhash64("i"), "i").limit(sample_docs)
     lines = chosen.select(F.explode(F.split("t", "\n")).alias("p")).where(F.length(F.trim("p")) > 0)
     return fit(sorted(r["p"] for r in lines.orderBy(F.xxhash64("p"), "p").limit(sample_paragraphs).collect()))
 
