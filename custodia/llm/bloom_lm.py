@@ -15,6 +15,7 @@ blocks grow in number with the input, not in size.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -80,15 +81,16 @@ def make_filter(items: np.ndarray, level: np.ndarray) -> tuple[int, bytes]:
 class Filters:
     """Filter parts by shard, laid end to end."""
 
-    def __init__(self, parts: dict[int, tuple[int, bytes]], shards: int) -> None:
+    def __init__(self, parts: Iterable[tuple[int, int, bytes]], shards: int) -> None:
+        """parts: (shard, bits, filter), in any order."""
         self.bits = np.ones(shards, np.uint64)
         self.start = np.zeros(shards, np.uint64)
         self.held = np.zeros(shards, bool)
-        at = 0
-        for shard, (bits, data) in sorted(parts.items()):
-            self.bits[shard], self.start[shard], self.held[shard] = bits, at, True
-            at += 8 * len(data)
-        self.data = np.frombuffer(b"".join(data for _, (_, data) in sorted(parts.items())), np.uint8)
+        data = bytearray()
+        for shard, bits, part in parts:
+            self.bits[shard], self.start[shard], self.held[shard] = bits, 8 * len(data), True
+            data += part
+        self.data = np.frombuffer(data, np.uint8)
 
     def level(self, items: np.ndarray, shard: np.ndarray) -> np.ndarray:
         """The level of each item: the number of levels found before the first that is missing."""
@@ -264,10 +266,11 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast
     out = None
     groups = passes(sizes, broadcast_bytes)
     for group in groups:
-        held_here = parts.where(F.col("shard").between(group[0], group[-1])).select("shard", "bits", "filter").collect()
-        shared = spark.sparkContext.broadcast(Filters({r["shard"]: (r["bits"], bytes(r["filter"])) for r in held_here}, shards))
-        del held_here
-
+        # One partition of parts at a time passes through the driver's JVM.
+        held_here = parts.where(F.col("shard").between(group[0], group[-1])).select("shard", "bits", "filter")
+        filters = Filters(((r["shard"], r["bits"], r["filter"]) for r in held_here.toLocalIterator()), shards)
+        shared = spark.sparkContext.broadcast(filters)
+        del filters
         scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(judge(shared, shards, n, v), SCORED)
         out = scored if out is None else out.unionByName(scored)
     if out is None:

@@ -254,7 +254,7 @@ def test_filter_counts_never_fall_short():
     rng = np.random.default_rng(3)
     items = rng.integers(0, 2**63, 3000, dtype=np.uint64)
     level = rng.integers(1, 6, 3000)
-    filters = bloom_lm.Filters({0: bloom_lm.make_filter(items, level)}, 2)
+    filters = bloom_lm.Filters([(0, *bloom_lm.make_filter(items, level))], 2)
     found = filters.level(items, np.zeros(3000, np.int64))
     assert (found >= level).all() and (found == level).mean() > 0.95
     strangers = rng.integers(0, 2**63, 3000, dtype=np.uint64)
