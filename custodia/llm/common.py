@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,22 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+_paths: dict[int, str] = {}
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files behind staged rows that nothing reads any more."""
+    for df in frames:
+        path = _paths.pop(id(df), None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def free_name(df: DataFrame, wish: str) -> str:
@@ -37,21 +54,29 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def may_match(rows: DataFrame, keys: DataFrame, column: str, bits: int = 25) -> DataFrame:
-    """The rows whose `column` may be among that of keys: all that are, and few others.
+def marked(rows: DataFrame, keys: DataFrame, column: str, flag: str, bits: int = 25) -> DataFrame:
+    """The rows with a flag: whether `column` may be among that of keys. It is true for all that are, and few others.
 
     Goes before a join that decides, so that what has no partner isn't shuffled for it. Hashes of the keys are
     set in a field of 2 ** bits bits, kept as words of 64; so what is broadcast has a row a word, 2 ** (bits - 6) of
-    16 bytes at most, however many keys there are. With very many keys it lets more through.
+    16 bytes at most, however many keys there are. With very many keys it flags more. Nulls match nothing.
     """
     place, word, field = (free_name(rows, n) for n in ("_place", "_word", "_field"))
 
     def placed(df: DataFrame) -> DataFrame:
         return df.withColumn(place, F.pmod(F.xxhash64(column), F.lit(1 << bits))).withColumn(word, F.shiftright(place, 6).cast("int"))
 
-    held = placed(keys.select(column)).groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({place} & 63 as int))")).alias(field))
-    some = placed(rows).join(F.broadcast(held), word)
-    return some.where(F.getbit(field, F.col(place).bitwiseAND(63).cast("int")) == 1).select(*rows.columns)
+    known = keys.select(column).where(F.col(column).isNotNull())
+    held = placed(known).groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({place} & 63 as int))")).alias(field))
+    some = placed(rows).join(F.broadcast(held), word, "left")
+    hit = F.getbit(field, F.col(place).bitwiseAND(63).cast("int")) == 1
+    return some.select(*rows.columns, (F.col(column).isNotNull() & F.coalesce(hit, F.lit(False))).alias(flag))
+
+
+def may_match(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows whose `column` may be among that of keys; see `marked`."""
+    flag = free_name(rows, "_may")
+    return marked(rows, keys, column, flag).where(flag).drop(flag)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -88,11 +113,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         step = left.join(to, "a").select("x", "b")
         to = hooks.select(F.col("v").alias("b"), F.col("to").alias("y"))
         step = step.join(to, "b").where("x != y")
-        left = staged(step.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        rest = staged(step.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
         moves = hooks.where("v != to").withColumnRenamed("v", "label")
-        labels = staged(
+        moved = staged(
             labels.join(moves, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels"
         )
+        discard(left, hooks, labels)
+        left, labels = rest, moved
         turn += 1
+    discard(left)
     least = labels.groupBy("label").agg(F.min("id").alias("component"))
     return labels.join(least, "label").select("id", "component")

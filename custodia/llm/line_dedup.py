@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from custodia.llm.common import components, free_name, may_match, staged
+from custodia.llm.common import components, discard, free_name, marked, may_match, staged
 
 BLOCK = 128
 ROWS_TOGETHER = 2000
@@ -156,8 +156,8 @@ def similar_edges(left: list[tuple[int, str]], right: list[tuple[int, str]] | No
     return edges
 
 
-def links(docs: DataFrame, text: str, threshold: int, least: int) -> DataFrame:
-    """Rows (a, b): edges between the hashes of similar lines that connect their classes.
+def links(docs: DataFrame, text: str, threshold: int, least: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows (a, b): edges between the hashes of similar lines that connect their classes; staged rows they need.
 
     The lines under a key are dealt into blocks; a pair of blocks is compared at a time, and many small
     pairs share a group, whose number grows with the rows.
@@ -191,7 +191,7 @@ def links(docs: DataFrame, text: str, threshold: int, least: int) -> DataFrame:
             edges += similar_edges(sorted(left), None if i == j else sorted(right), threshold)
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64").drop_duplicates()
 
-    return dealt.groupBy("together").applyInPandas(compare, "a long, b long")
+    return dealt.groupBy("together").applyInPandas(compare, "a long, b long"), [shared, hits]
 
 
 def duplicate_lines(
@@ -209,7 +209,10 @@ def duplicate_lines(
         .where(F.col("line").rlike(WORD))
         .select("doc_id", "text_hash", "position", F.xxhash64("line").alias("vertex"))
     )
-    linked = components(staged(links(docs, text, threshold, least), "line_links"))
+    edges, spent = links(docs, text, threshold, least)
+    edges = staged(edges, "line_links")
+    linked = components(edges)
+    discard(edges, *spent)
     place = F.struct("doc_id", "text_hash", "position")
     exact = lines.groupBy("vertex").agg(F.min(place).alias("own"))
     classed = exact.join(linked, exact["vertex"] == linked["id"], "left").select(
@@ -262,11 +265,17 @@ def without_duplicates(docs: DataFrame, threshold: int = 2, least: int = 24, doc
     gone = removed_lines(docs, threshold, least, doc_id, text).select(
         F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_text"), F.col("positions").alias("_gone")
     )
-    gone = gone.toDF(*(free_name(docs, c) for c in gone.columns))
+    gone = staged(gone.toDF(*(free_name(docs, c) for c in gone.columns)), "gone")
     gone_id, gone_text, positions = gone.columns
+    # Documents that lose nothing pass where they are; the hash of id and text tells them apart.
+    flag = free_name(docs, "_loses")
+    own = free_name(docs, "_own")
+    keys = gone.select(F.xxhash64(gone_id, gone_text).alias(own))
+    flagged = marked(docs.withColumn(own, F.xxhash64(F.col(doc_id), F.xxhash64(text))), keys, own, flag).drop(own)
+    passed, losing = flagged.where(~F.col(flag)).drop(flag), flagged.where(flag).drop(flag)
     split = F.split(F.col(text), "\n")
     kept = F.filter(split, lambda x, i: ~F.array_contains(F.col(positions), i))
     left = F.when(F.col(positions).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    joined = docs.join(gone, docs[doc_id].eqNullSafe(F.col(gone_id)) & (F.xxhash64(text) == F.col(gone_text)), "left")
+    joined = losing.join(gone, losing[doc_id].eqNullSafe(F.col(gone_id)) & (F.xxhash64(text) == F.col(gone_text)), "left")
     rest = joined.withColumn(text, left).where(F.col(positions).isNull() | F.col(text).rlike(WORD))
-    return rest.select(*docs.columns)
+    return passed.unionByName(rest.select(*docs.columns))

@@ -2,11 +2,11 @@
 
 Sets of similar size share a band. Within a band, sets that reach the Jaccard threshold differ in at
 most k elements. The elements' domain is cut by a hash into groups, so that in one group at least two such sets differ in
-at most `errors` elements; each group is cut into errors + 2 parts, and leaving out any `errors` of them
+at most `errors` elements; each group is cut into more parts than that, and leaving out any `errors` of them
 leaves one choice on which both sets agree. The hash of what a set has in such a choice is a signature:
 sets that reach the threshold share one, for certain.
 
-Sets that share signatures, directly or over others, form families. Equal sets are one vertex from the start. Each
+Sets that share signatures under one tag, directly or over others, form families. Equal sets are one vertex from the start. Each
 family is compared exactly, in blocks of bounded size, and only edges that connect something new leave a
 task. Components of these edges are the classes.
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
 
@@ -25,11 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from custodia.llm.common import components, may_match, staged, words_of
+from custodia.llm.common import components, discard, may_match, staged, words_of
 
 BLOCK = 256  # sets of a family compared at a time with as many others
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-SETS = "doc_id long, n_shingles long, vertex long, signatures array<long>"
+FEW_WEAK = 1e-3
+SETS = "doc_id long, n_shingles long, vertex long, nodes array<long>"
+ROWS_AT_ONCE = 200_000
 EDGES = "a long, b long"
 
 
@@ -72,60 +75,156 @@ def band(size: int, numerator: int, denominator: int) -> tuple[int, int]:
         number, low = number + 1, high + 1
 
 
-@lru_cache(maxsize=4096)
-def layout(high: int, numerator: int, denominator: int) -> tuple[int, int, tuple[tuple[int, ...], ...]]:
-    """(groups, parts of a group, choices of parts) for sets of at most that size."""
-    # |A| + |B| - 2 |A & B| is at most (1 - t) / (1 + t) (|A| + |B|) for a Jaccard threshold t.
-    most = 2 * high * (denominator - numerator) // (denominator + numerator)
-    errors = 0 if most == 0 or most >= 32 else 1
-    groups = math.ceil((most + 1) / (errors + 1))
-    parts = errors + 2 if errors else 1
-    return groups, parts, tuple(combinations(range(parts), parts - errors))
+@dataclass(frozen=True)
+class Layout:
+    """How the domain is cut for a band: groups of parts, and which parts a signature keeps of a group."""
+
+    groups: int
+    parts: int
+    choices: tuple[tuple[int, ...], ...]
+    spare: int  # groups more than the guarantee needs
+
+
+def _weak_share(size: int, groups: int, parts: int, errors: int, spare: int) -> float:
+    """About the share of sets of that size with more than `spare` groups in which some choice has no element."""
+    none = math.exp(-size / groups * (parts - errors) / parts)
+    mean = groups * min(1.0, math.comb(parts, errors) * none)
+    term = total = math.exp(-mean)
+    for n in range(1, spare + 1):
+        term *= mean / n
+        total += term
+    return max(0.0, 1 - total)
 
 
-def signatures(elements: np.ndarray, numerator: int, denominator: int) -> np.ndarray:
-    """The set's signatures for its own band and for the next."""
+@lru_cache(maxsize=4096)
+def layout(smallest: int, largest: int, numerator: int, denominator: int) -> Layout:
+    """The layout with fewest signatures, of those with few weak sets; sizes are those that the band's pairs have.
+
+    Any layout is exact. Two sets that reach the threshold differ in at most k elements, so with
+    k // (errors + 1) + 1 groups one has at most `errors` differences, and with spare groups more than `spare` have.
+    """
+    # |A| + |B| - 2 |A & B| is at most (1 - t) / (1 + t) (|A| + |B|) for a Jaccard threshold t.
+    most = 2 * largest * (denominator - numerator) // (denominator + numerator)
+    if not most:
+        return Layout(1, 1, ((0,),), 0)
+    best = None
+    for errors in sorted({e for e in (0, 1, 2, 3, most) if e <= min(most, 3)}):
+        for parts in sorted({errors + 1, errors + 2, errors + 3, 2 * errors + 2} if errors else {1}):
+            for spare in sorted({*range(13), *(most * share // 100 for share in range(2, 62, 3))}):
+                groups = most // (errors + 1) + 1 + spare
+                signs = groups * math.comb(parts, errors)
+                weak = _weak_share(smallest, groups, parts, errors, spare)
+                rank = (weak > FEW_WEAK, signs if weak <= FEW_WEAK else weak + signs / 1000, signs)
+                if signs <= 4 * most + 64 and (best is None or rank < best[0]):
+                    best = (rank, groups, parts, errors, spare)
+    _, groups, parts, errors, spare = best
+    return Layout(groups, parts, tuple(combinations(range(parts), parts - errors)), spare)
+
+
+def tags_of(size: int, numerator: int, denominator: int) -> list[tuple[int, int]]:
+    """(number, largest size) of the set's own band and of the next: it meets larger sets under the latter."""
+    number, high = band(size, numerator, denominator)
+    return [(number, high), (number + 1, band(high + 1, numerator, denominator)[1])]
+
+
+def node_of(vertex: int, tag: int) -> int:
+    """A set as it takes part under a tag, so that families don't reach from band to band."""
+    return int(mixed(np.array([vertex], np.int64).view(np.uint64) ^ _wrapped(tag + 1, _K[0])).view(np.int64)[0])
+
+
+def signatures(elements: np.ndarray, numerator: int, denominator: int) -> list[np.ndarray]:
+    """The set's signatures under each of its tags.
+
+    A choice of parts in which the set has no element gives none, as unrelated sets would share it. A group with such a
+    choice is weak. A set with no more weak groups than the layout has to spare keeps the guarantee
+    without them: a group that the guarantee names is not weak. Other sets, few by the layout, share one
+    more signature for their band: of a pair that reaches the threshold, either one keeps the guarantee, or both have it.
+    """
     if not len(elements):
-        return elements
-    out = []
-    number, high = band(len(elements), numerator, denominator)
-    _, above = band(high + 1, numerator, denominator)
-    for tag, largest in ((number, high), (number + 1, above)):
-        groups, parts, choices = layout(largest, numerator, denominator)
+        return []
+    every = []
+    for tag, largest in tags_of(len(elements), numerator, denominator):
+        out = []
+        low = -(-largest * numerator // denominator)
+        plan = layout(max(1, low * numerator // denominator), largest, numerator, denominator)
+        groups, parts = plan.groups, plan.parts
         place = (mixed(elements + _wrapped(tag + 1, _K[2])) % np.uint64(groups * parts)).astype(np.int64)
         sums = np.zeros(groups * parts, np.uint64)
         np.add.at(sums, place, elements)
         sums = sums.reshape(groups, parts)
+        filled = np.bincount(place, minlength=groups * parts).reshape(groups, parts) > 0
         first = (np.arange(groups, dtype=np.uint64) + np.uint64(1)) * _K[0] + _wrapped(tag, _K[1])
-        for nth, choice in enumerate(choices):
+        weak = np.zeros(groups, bool)
+        for nth, choice in enumerate(plan.choices):
             kept = np.full(groups, nth + 1, np.uint64)
             for part in choice:
                 kept = mixed(kept * _K[0] + sums[:, part])
-            out.append(mixed(kept + first))
-    return np.concatenate(out)
+            there = filled[:, list(choice)].any(axis=1)
+            weak |= ~there
+            out.append(mixed(kept + first)[there])
+        if weak.sum() > plan.spare:
+            out.append(mixed(np.array([_wrapped(tag + 1, _K[3])])))
+        every.append(np.concatenate(out))
+    return every
 
 
 def sets_of(docs: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
-    """Rows (doc_id, n_shingles, vertex, signatures); vertex is a hash of the set, null for an empty set."""
+    """Rows (doc_id, n_shingles, vertex, nodes); vertex is a hash of the set, null for an empty set."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, vertices, signs = [], [], []
+            sizes, vertices, nodes = [], [], []
             for text in batch.column(1):
                 found = shingles(text.as_py(), width)
+                vertex = vertex_of(found) if len(found) else None
                 sizes.append(len(found))
-                vertices.append(vertex_of(found) if len(found) else None)
-                signs.append(signatures(found, numerator, denominator).view(np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in signs])]).astype(np.int32)
-            flat = pa.array(np.concatenate(signs) if signs else np.zeros(0, np.int64))
+                vertices.append(vertex)
+                tags = tags_of(len(found), numerator, denominator) if len(found) else []
+                nodes.append([node_of(vertex, tag) for tag, _ in tags])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(vertices, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)],
-                names=["doc_id", "n_shingles", "vertex", "signatures"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(vertices, pa.int64()), pa.array(nodes, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "vertex", "nodes"],
             )
 
     return docs.mapInArrow(measure, SETS)
 
 
+def signatures_of(docs: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
+    """Rows (signature, node) of the texts, once for the sets that a batch repeats.
+
+    Nothing of it is stored: signatures are many and cost less to compute again.
+    """
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: set[int] = set()
+            signs, nodes, counts, held = [], [], [], 0
+            for text in batch.column(0):
+                found = shingles(text.as_py(), width)
+                vertex = vertex_of(found) if len(found) else None
+                if vertex is None or vertex in seen:
+                    continue
+                seen.add(vertex)
+                tags = tags_of(len(found), numerator, denominator)
+                for (tag, _), own in zip(tags, signatures(found, numerator, denominator), strict=True):
+                    signs.append(own)
+                    nodes.append(node_of(vertex, tag))
+                    counts.append(len(own))
+                    held += len(own)
+                if held > ROWS_AT_ONCE:
+                    yield _signed(signs, nodes, counts)
+                    signs, nodes, counts, held = [], [], [], 0
+            if signs:
+                yield _signed(signs, nodes, counts)
+
+    return docs.mapInArrow(sign, "signature long, node long")
+
+
+def _signed(signs: list[np.ndarray], nodes: list[int], counts: list[int]) -> pa.RecordBatch:
+    owners = np.repeat(np.array(nodes, np.int64), counts)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(signs).view(np.int64)), pa.array(owners)], names=["signature", "node"])
+
+
 def linked_edges(left: list[str], right: list[str] | None, width: int, numerator: int, denominator: int) -> list[tuple[int, int]]:
     """Edges that connect, over one another, all sets that reach the threshold: within left, or between left and right.
 
@@ -205,20 +304,23 @@ def classes(
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = staged(sets_of(named, width, numerator, denominator), "sets")
     usable = found.where("doc_id is not null and vertex is not null")
-    signs = usable.select(F.explode("signatures").alias("signature"), "vertex")
-    shared = signs.groupBy("signature").agg(F.min("vertex").alias("low"), F.max("vertex").alias("high")).where("low != high")
+    signs = signatures_of(named.where("doc_id is not null").select("text"), width, numerator, denominator)
+    shared = signs.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
     shared = staged(shared.select("signature", "low"), "shared")
     near = may_match(signs, shared, "signature")
-    stars = near.join(shared, "signature").where("vertex != low").select(F.col("low").alias("a"), F.col("vertex").alias("b")).distinct()
-    families = components(staged(stars, "candidates"))
-    first = usable.groupBy("vertex").agg(F.min("doc_id").alias("doc_id"))
-    members = staged(
-        families.select(F.col("component").alias("family"), F.col("id").alias("vertex")).join(first, "vertex"), "families"
-    )
+    stars = near.join(shared, "signature").where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    stars = staged(stars, "candidates")
+    families = components(stars)
+    discard(shared)
+    first = usable.groupBy("vertex", "nodes").agg(F.min("doc_id").alias("doc_id"))
+    members = first.select("vertex", "doc_id", F.explode("nodes").alias("id")).join(families, "id")
+    members = staged(members.select(F.col("component").alias("family"), "vertex", "doc_id"), "families")
     edges = staged(family_links(members, named.where("doc_id is not null"), width, numerator, denominator), "links")
+    discard(stars)
     linked = components(edges).select(F.col("id").alias("vertex"), F.col("component").alias("class"))
-    placed = found.drop("signatures").join(linked, "vertex", "left").withColumn("class", F.coalesce("class", "vertex"))
+    placed = found.drop("nodes").join(linked, "vertex", "left").withColumn("class", F.coalesce("class", "vertex"))
     placed = staged(placed, "placed")
+    discard(found, members, edges)
     least = placed.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     least = staged(least, "least")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from custodia.llm import chunk_dedup, line_dedup, ngram_join, topk_search
-from custodia.llm.common import components
+from custodia.llm.common import components, discard, marked, may_match, staged
 from tests.llm.conftest import edited, frame, odd_rows, prose
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -46,6 +46,25 @@ def test_components_of_chains_stars_and_nothing(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_marks_miss_nothing(spark):
+    rows = spark.range(5000).selectExpr("id", "if(id % 10 = 0, null, cast(id as string)) AS k", "id AS _place")
+    keys = spark.range(0, 5000, 7).selectExpr("cast(id as string) AS k").unionByName(spark.createDataFrame([(None,)], "k string"))
+    found = {r["id"]: r["f"] for r in marked(rows, keys, "k", "f").collect()}
+    assert len(found) == 5000
+    assert all(found[i] for i in range(0, 5000, 7) if i % 10) and not any(found[i] for i in range(0, 5000, 10))
+    assert sum(found.values()) < 700
+    assert may_match(rows, keys.limit(0), "k").collect() == [] and may_match(rows, keys, "k").columns == rows.columns
+
+
+def test_discarded_files_are_gone(spark):
+    import os
+
+    kept, spent = staged(spark.range(3), "test"), staged(spark.range(3), "test")
+    (path,) = {os.path.dirname(f) for f in spent.inputFiles()}
+    discard(spent)
+    assert not os.path.exists(path.removeprefix("file://").removeprefix("file:")) and kept.count() == 3
+
+
 # -- n-gram join -------------------------------------------------------------------------------------------------
 
 
@@ -92,7 +111,8 @@ def test_similar_sets_share_a_signature(size, cut, add, seed):
     common = len(np.intersect1d(a, b))
     for numerator, denominator in ((9, 10), (4, 5)):
         if denominator * common >= numerator * (len(a) + len(b) - common):
-            assert set(ngram_join.signatures(a, numerator, denominator).tolist()) & set(ngram_join.signatures(b, numerator, denominator).tolist())
+            own, other = ({x for tag in ngram_join.signatures(s, numerator, denominator) for x in tag.tolist()} for s in (a, b))
+            assert own & other
 
 
 # -- lines ---------------------------------------------------------------------------------------------------------
