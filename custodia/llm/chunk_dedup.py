@@ -77,10 +77,11 @@ def chunks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, least: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, start, end, n_chunks, first_doc_id, is_first): maximal runs of chunks that other documents have too.
+    """Rows (doc_id, start, end, n_chunks, first_doc_id, is_first, copied): maximal runs of chunks that other documents have too.
 
     Offsets are code points, the end exclusive; runs under `least` code points are left out. is_first: no chunk of the run is in
-    a document of a smaller id; all other runs are copies. first_doc_id is the smallest id that has any of its chunks. What a document
+    a document of a smaller id. first_doc_id is the smallest id that has any of its chunks. copied: the parts (start, end) of the run
+    whose chunks are all in documents of smaller ids; the rest of the run is first seen here, and only copied parts may go. What a document
     repeats within itself only does not count; rows that repeat an id are one document. Rows with null ids take no part, null and
     empty texts have no chunks. An empty table gives no rows. Digests have 64 bits: a run of
     `least` code points has two chunks or more, so a chance match of digests makes none.
@@ -103,27 +104,36 @@ def repeated_passages(docs: DataFrame, least: int = 100, doc_id: str = "doc_id",
     hits = may_match(each, shared, "digest").join(shared, "digest").select("doc_id", "start", "end", "first").distinct()
     in_order = Window.partitionBy("doc_id").orderBy("start", "end", "first")
     opens = F.when(F.lag("end").over(in_order) >= F.col("start"), 0).otherwise(1)
-    runs = hits.withColumn("opens", opens).withColumn("run", F.sum("opens").over(in_order))
+    own = F.col("first") == F.col("doc_id")
+    turns = F.when(F.lag(own).over(in_order) == own, F.col("opens")).otherwise(1)
+    runs = hits.withColumn("opens", opens).withColumn("turns", turns)
+    runs = runs.withColumn("run", F.sum("opens").over(in_order)).withColumn("part", F.sum("turns").over(in_order))
+    parts = runs.groupBy("doc_id", "run", "part").agg(
+        F.min("start").cast("long").alias("start"),
+        F.max("end").cast("long").alias("end"),
+        F.count("*").alias("n"),
+        F.min("first").alias("first"),
+    )
+    copy = F.when(F.col("first") != F.col("doc_id"), F.struct("start", "end"))
     return (
-        runs.groupBy("doc_id", "run")
+        parts.groupBy("doc_id", "run")
         .agg(
-            F.min("start").cast("long").alias("start"),
-            F.max("end").cast("long").alias("end"),
-            F.count("*").alias("n_chunks"),
+            F.min("start").alias("start"),
+            F.max("end").alias("end"),
+            F.sum("n").alias("n_chunks"),
             F.min("first").alias("first_doc_id"),
+            F.sort_array(F.collect_list(copy)).alias("copied"),
         )
         .where(F.col("end") - F.col("start") >= least)
         .withColumn("is_first", F.col("first_doc_id") == F.col("doc_id"))
-        .drop("run")
+        .select("doc_id", "start", "end", "n_chunks", "first_doc_id", "is_first", "copied")
     )
 
 
 def without_passages(docs: DataFrame, least: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, all their columns, without the passages that a document of a smaller id has too."""
     copies = repeated_passages(docs, least, doc_id, text).where(~F.col("is_first"))
-    spans = copies.groupBy(F.col("doc_id").alias("_copy_id")).agg(
-        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_copies")
-    )
+    spans = copies.groupBy(F.col("doc_id").alias("_copy_id")).agg(F.sort_array(F.flatten(F.collect_list("copied"))).alias("_copies"))
     spans = spans.toDF(*(free_name(docs, c) for c in spans.columns))
     copy_id, cuts = spans.columns
 
