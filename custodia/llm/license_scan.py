@@ -1,7 +1,7 @@
 """Licence notices: an n-gram classifier of paragraphs, confirmed by comparison with templates.
 
 The classifier is a multinomial logistic regression over word 1- and 2-grams with an anchor word, that is a word of the
-templates which ordinary paragraphs don't use. A paragraph without an anchor has no feature and is
+templates which ordinary paragraphs (those that don't read like a notice) seldom use. A paragraph without an anchor has no feature and is
 unknown, so it is never expanded. It is fitted on the driver, from the templates below, pieces of them, and a bounded sample of the
 table's own paragraphs as the unknown class; proximal steps keep the weights sparse, and a temperature found on
 held-out paragraphs calibrates the probabilities. The scan itself is DataFrame operations only.
@@ -89,6 +89,9 @@ OTHER = (
 )
 UNKNOWN = "unknown"
 FAMILIES = (UNKNOWN, *TEMPLATES)
+# Anchors however many ordinary paragraphs have them; and how many at least must have another word to end it as one.
+ALWAYS = {"license", "licence", "licensed", "copyright", "reserved"}
+LEAST_USUAL = 5
 SPLIT = r"[^a-z0-9]+"
 _WORD = re.compile("[a-z0-9]+")
 
@@ -104,6 +107,21 @@ def grams_of(words: list[str], anchors: set[str]) -> set[str]:
     return pairs | {w for w in words if w in anchors}
 
 
+def _pairs_in(words: list[str]) -> set[tuple[str, str]]:
+    return set(zip(words, words[1:]))
+
+
+_TEMPLATE_PAIRS = [_pairs_in(words_of(t)) for texts in TEMPLATES.values() for t in texts]
+
+
+def reads_like_notice(paragraph: str) -> bool:
+    """Whether it speaks of licences or rights, or shares half of its 2-grams, or of a template's, and three at least."""
+    if re.search("licen[sc]|copyright|rights reserved", paragraph, re.IGNORECASE):
+        return True
+    own = _pairs_in(words_of(paragraph))
+    return any(len(own & t) >= max(3, 0.5 * min(len(own), len(t))) for t in _TEMPLATE_PAIRS)
+
+
 @dataclass
 class Model:
     anchors: list[str]
@@ -128,15 +146,15 @@ def _examples(rng: np.random.Generator) -> list[tuple[str, int]]:
 def fit(paragraphs: list[str], seed: int = 5, steps: int = 400, rate: float = 0.5, sparse: float = 2e-4) -> Model:
     """The classifier from the templates, and these paragraphs of no licence."""
     rng = np.random.default_rng(seed)
+    # Sampled paragraphs that read like a notice may be one: they teach nothing, and their words are not usual for it.
+    quiet = [p for p in paragraphs if not reads_like_notice(p)]
     usual: dict[str, int] = {}
-    for p in paragraphs:
+    for p in quiet:
         for w in set(words_of(p)):
             usual[w] = usual.get(w, 0) + 1
-    most = 0.01 * len(paragraphs)
+    most = max(0.01 * len(quiet), LEAST_USUAL)
     common = {"the", "of", "and", "to", "in", "a", "this", "is", "or", "be", "that", "it", "you", "at", "any", "may", "not", "by", "are", "with"}
-    anchors = {w for texts in TEMPLATES.values() for t in texts for w in words_of(t) if usual.get(w, 0) <= most} - common
-    # Sampled paragraphs that read like a notice may be one: they teach nothing.
-    quiet = [p for p in paragraphs if not re.search("licen[sc]|copyright|rights reserved", p, re.IGNORECASE)]
+    anchors = {w for texts in TEMPLATES.values() for t in texts for w in words_of(t) if w in ALWAYS or usual.get(w, 0) <= most} - common
     rows = _examples(rng) + [(p, 0) for p in quiet]
     grams = [grams_of(words_of(t), anchors) for t, _ in rows]
     names = sorted(set().union(*grams))
