@@ -13,6 +13,7 @@ salt its first rank, and rows are numbered within (length, salt).
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from array import array
 from collections import defaultdict
@@ -31,18 +32,23 @@ PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
 @lru_cache(maxsize=2)
 def encoder(ranks_path: str):
-    """Byte-level BPE from a file of ranks; strings that look like special tokens are ordinary text."""
+    """Byte-level BPE from a file of ranks, and the added tokens of the vocabulary's JSON file beside it."""
     import public_tokenizers
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(ranks_path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that look at what is around them")
+    special = {t["content"]: t["id"] for t in added}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def token_bytes(text: str | None, ranks_path: str) -> bytes:
-    """Little-endian unsigned 32-bit ids of the text and the end id behind; null reads as empty."""
-    ids = encoder(ranks_path).encode_ordinary(text) if text else []
+    """Little-endian unsigned 32-bit ids of the text and the end id behind; added tokens have their own ids, null reads as empty."""
+    ids = encoder(ranks_path).encode(text, allowed_special="all") if text else []
     ids.append(END_ID)
     return array("I", ids).tobytes()
 
