@@ -20,6 +20,8 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 8  # words
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # per cent
+FOLDS = 5
+LEAST_ODDS = -1.0  # log odds; no label makes the threshold fall below
 
 FEATURES = (
     "log_words", "word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share",
@@ -91,6 +93,11 @@ def statistics(text: str | None) -> tuple[list[int], list[float]]:
     ]
 
 
+def fails(base: list[int]) -> bool:
+    """Whether a text of these base statistics fails the base rules."""
+    return base[0] < LEAST_WORDS or 100 * base[4] > MOST_REPEATED * base[0]
+
+
 @dataclass
 class Forest:
     """All trees in one set of node arrays; a leaf is its own child."""
@@ -187,8 +194,10 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: fl
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, keep_good: float = 0.999, doc_id: str = "doc_id", text: str = "text") -> Forest:
     """Trees from at most `sample_rows` labelled documents, those whose hashed id is least.
 
-    Only their features reach the driver. Four fifths grow the trees; on the rest the threshold is set:
-    as high as lets at least `keep_good` of the good ones pass, but never above even odds. Labels with a null id or quality, and
+    Only their features reach the driver. All of them grow the trees; the threshold comes from scores by trees of
+    other rows (`FOLDS` shares, each scored by trees of the rest): as high as lets at least `keep_good` of the rows pass that
+    are labelled good and pass the base rules, but never above even odds, and never below LEAST_ODDS, as so bad a score
+    speaks against the label. Labels with a null id or quality, and
     ids without a document, are left out; a repeated label or document counts as often as it occurs.
     """
     chosen = (
@@ -198,26 +207,35 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, keep_good:
         .limit(sample_rows)
     )
     named = docs.select(F.col(doc_id).alias("label_id"), F.col(text).alias("body"))
-    schema = "label int, nth long, " + ", ".join(f"{f} double" for f in FEATURES)
+    schema = "label int, nth long, failed boolean, " + ", ".join(f"{f} double" for f in FEATURES)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(q, i, *statistics(t)[1]) for q, i, t in zip(b.label, b.label_id, b.body, strict=True)]
-            yield pd.DataFrame(rows, columns=["label", "nth", *FEATURES])
+            found = [statistics(t) for t in b.body]
+            rows = [(q, i, fails(base), *f) for q, i, (base, f) in zip(b.label, b.label_id, found, strict=True)]
+            yield pd.DataFrame(rows, columns=["label", "nth", "failed", *FEATURES])
 
     found = named.join(chosen, "label_id").select("label", "label_id", "body").mapInPandas(measure, schema)
     rows = found.toPandas().sort_values(["nth", "label", *FEATURES])
     x, y = rows[list(FEATURES)].to_numpy(float), rows["label"].to_numpy(float)
-    held = np.arange(len(y)) % 5 == 4
-    forest = grow(x[~held], y[~held])
+    forest = grow(x, y)
     if len(forest.roots):
-        good = np.sort(forest.score(x[held & (y == 1)]))
-        forest.threshold = 0.0
-        if len(good):
-            forest.threshold = min(0.0, float(good[int((1 - keep_good) * len(good))]))
+        forest.threshold = threshold(x, y, ~rows["failed"].to_numpy(bool), keep_good)
     return forest
 
 
+def threshold(x: np.ndarray, y: np.ndarray, passed: np.ndarray, keep_good: float) -> float:
+    """The least score to keep, from cross-fitted scores of the good rows that pass the base rules; see `fit`."""
+    score = np.zeros(len(y))
+    fold = np.arange(len(y)) % FOLDS
+    for k in range(FOLDS):
+        score[fold == k] = grow(x[fold != k], y[fold != k]).score(x[fold == k])
+    good = np.sort(score[passed & (y == 1)])
+    if not len(good):
+        return 0.0
+    return float(np.clip(good[int((1 - keep_good) * len(good))], LEAST_ODDS, 0.0))
+
+
 VERDICT = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "base_failed boolean, kept boolean, score double"
