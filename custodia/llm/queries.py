@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custodia.llm import bloom_lm, chunk_dedup, license_scan, line_dedup, ngram_join, packing, piece_nbest, quality_rules, secret_scan, topk_search
+from custodia.llm import (
+    bloom_lm,
+    chunk_dedup,
+    config_packing,
+    lexical_scan,
+    license_scan,
+    line_dedup,
+    ngram_join,
+    packing,
+    piece_nbest,
+    quality_rules,
+    secret_scan,
+    token_alignment,
+    topk_search,
+)
 from custodia.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +102,47 @@ def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.notices(docs, license_scan.train(docs))
 
 
+@query
+def op11_lexical_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_scan.search(table(spark, folder, "benchmark"), table(spark, folder, "documents"), k=10)
+
+
+CHECKS["op11_lexical_scan"] = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), lengths AS (
+  SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id
+), totals AS (
+  SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS terms FROM lengths
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), held AS (
+  SELECT doc_id, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * documents + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM held, totals GROUP BY term, documents
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * documents) // terms)))) AS BIGINT) AS score
+  FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), totals GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+
+@query
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return token_alignment.align(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op13_config_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return config_packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096)
+
+
 CHECKS["op6_ngram_join"] = r"""
 WITH RECURSIVE split AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
