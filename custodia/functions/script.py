@@ -77,9 +77,14 @@ def imported_names(code: Column) -> Column:
         ),
         _statements(code),
     )
+    return names_of_statements(found)
+
+
+def names_of_statements(statements: Column) -> Column:
+    """Dotted module names that import statements name, in order."""
     return F.flatten(
         F.transform(
-            found,
+            statements,
             lambda s: F.when(
                 s.rlike(IMPORT_LIST), regex_extract_all(F.regexp_extract(s, IMPORT_LIST, 1), LISTED_NAME, 1)
             ).otherwise(F.array(F.regexp_extract(s, IMPORT_FROM, 1))),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custodia import vocab
+from custodia.functions import lexical as X
 from custodia.functions import script as S
 from custodia.functions import text as T
 from custodia.operators import pii
@@ -37,6 +38,32 @@ def facts(df: DataFrame, code: str = "code") -> DataFrame:
     )
 
 
+LEXICAL_FACT = "array<struct<kind:string,name:string,line_no:int,decorators:string,args:string>>"
+
+
+def lexical_facts(df: DataFrame, code: str, subject: str) -> DataFrame:
+    """Imports, top-level functions and column-like strings, a row each, as the syntax tree has them.
+
+    Text in strings and comments is no statement, and text in comments no column. Scripts without any of them, null ones
+    included, have no rows. ``facts`` searches the raw text instead, which is cheaper.
+    """
+    logical = F.col("_logical")
+
+    def fact(kind: str, name: Column, *rest: Column) -> Column:
+        return F.struct(F.lit(kind), name, *(rest or (F.lit(None),) * 3))
+
+    every = F.concat(
+        F.transform(X.imports(logical), lambda m: fact("import", m)).cast(LEXICAL_FACT),
+        F.transform(
+            X.functions(logical),
+            lambda f: fact("function", f["name"], f["line_no"], S.joined(f["decorators"]), S.joined(f["args"])),
+        ).cast(LEXICAL_FACT),
+        F.transform(X.columns(F.col("_tokens")), lambda c: fact("column", c)).cast(LEXICAL_FACT),
+    )
+    found = X.lexed(df.select(subject, code), code).select(subject, S.one_row_each(every))
+    return found.where(F.col("kind").isNotNull())
+
+
 def items(df: DataFrame, values: Column, name: str, *ids: str) -> DataFrame:
     """One row per subject and array element; subjects without elements have no rows.
 

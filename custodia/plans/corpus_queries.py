@@ -108,7 +108,7 @@ def script_functions(ds: Dataset) -> DataFrame:
 
 @query(
     with_views(
-        f"SELECT script_id, array_to_string({transforms_sql('code')}, ',') AS transforms FROM v_submissions",
+        f"SELECT script_id, CASE WHEN code IS NOT NULL THEN array_to_string({transforms_sql('code')}, ',') END AS transforms FROM v_submissions",
         "v_submissions",
     )
 )
@@ -127,6 +127,75 @@ def column_index(ds: Dataset) -> DataFrame:
     return corpus.column_index(ds.view("v_submissions"))
 
 
+# Java's expression without its possessive repetitions and lookahead, which this engine lacks.
+TOKEN = (
+    r'(?s)"""(?:[^\\]|\\.)*?"""|'
+    r"'''(?:[^\\]|\\.)*?'''|"
+    r'"(?:[^"\\\n]|\\.)*"|'
+    r"'(?:[^'\\\n]|\\.)*'|"
+    r"#[^\n]*|\\\n|[^\"'#\\]+|."
+)
+LEXED = rf"""
+cut AS (
+  SELECT script_id, regexp_extract_all(code, {quoted(TOKEN)}) AS tokens FROM v_quoted
+), masked AS (
+  SELECT script_id, tokens, array_to_string(list_transform(tokens, lambda t: CASE
+    WHEN length(t) > 1 AND (t[1] = '"' OR t[1] = chr(39)) THEN
+      CASE WHEN contains(t, chr(10)) THEN '""[' || regexp_replace(t, '[^\n]', '', 'g') || ']' ELSE '""' END
+    WHEN t[1] = '#' THEN '' WHEN t = chr(92) || chr(10) THEN '[' || chr(10) || ']' ELSE t END), '') AS code
+  FROM cut
+), lines AS (
+  SELECT script_id, x.no, x.line, length(regexp_replace(x.line, '[^(\[{{]', '', 'g')) - length(regexp_replace(x.line, '[^)\]}}]', '', 'g')) AS net
+  FROM (SELECT script_id, unnest(list_transform(string_split(code, chr(10)), lambda l, i: {{'no': i, 'line': l}})) AS x FROM masked)
+), deep AS (
+  SELECT *, coalesce(sum(net) OVER (PARTITION BY script_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth FROM lines
+), numbered AS (
+  SELECT *, sum(CASE WHEN depth = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY script_id ORDER BY no) AS head FROM deep
+), logical AS (
+  SELECT script_id, min(no) AS no, replace(string_agg(line, ' ' ORDER BY no), '[ ]', ' ') AS text FROM numbered GROUP BY script_id, head
+), marked AS (
+  SELECT *, text[1] = '@' AS decorates, row_number() OVER (PARTITION BY script_id ORDER BY no) AS place FROM logical
+  WHERE regexp_matches(text, '^(@|def |class |async )')
+), placed AS (
+  SELECT *, coalesce(max(CASE WHEN NOT decorates THEN place END)
+    OVER (PARTITION BY script_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM marked
+), decorators AS (
+  SELECT f.script_id, f.no, string_agg(regexp_extract(d.text, '(\w+)\s*$', 1), ',' ORDER BY d.place) AS decorators
+  FROM placed f JOIN placed d ON f.script_id = d.script_id AND d.place > f.before AND d.place < f.place AND regexp_matches(d.text, '^@[\w.]+\s*$')
+  WHERE NOT f.decorates GROUP BY f.script_id, f.no
+)"""
+
+
+def arguments_sql(text: str) -> str:
+    plain = rf"regexp_extract({text}, '^def[ \t]+\w+[ \t]*\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)', 1)"
+    for _ in range(3):
+        plain = rf"regexp_replace({plain}, '\([^()\[\]{{}}]*\)|\[[^()\[\]{{}}]*\]|\{{[^()\[\]{{}}]*\}}', '', 'g')"
+    plain = rf"regexp_replace({plain}, '(^|,)\s*\*.*', '')"
+    return rf"list_filter(list_transform(string_split({plain}, ','), lambda t: regexp_extract(t, '^\s*(\w+)', 1)), lambda t: t <> '')"
+
+
+@query(
+    with_views(
+        rf"""
+WITH {LEXED}
+SELECT DISTINCT script_id, 'import' AS kind, unnest({imports_sql('text')}) AS name, CAST(NULL AS INTEGER) AS line_no,
+  CAST(NULL AS VARCHAR) AS decorators, CAST(NULL AS VARCHAR) AS args FROM logical
+UNION ALL
+SELECT script_id, 'function', regexp_extract(text, '^def\s+(\w+)', 1), CAST(no AS INTEGER), coalesce(decorators, ''),
+  array_to_string({arguments_sql('text')}, ',')
+FROM marked LEFT JOIN decorators USING (script_id, no) WHERE text LIKE 'def%'
+UNION ALL
+SELECT DISTINCT script_id, 'column', trim(t, '"' || chr(39)), NULL, NULL, NULL FROM (SELECT script_id, unnest(tokens) AS t FROM masked)
+WHERE regexp_matches(t, '^("[a-zA-Z0-9]\w+"|''[a-zA-Z0-9]\w+'')$')
+""",
+        "v_quoted",
+    )
+)
+def script_lexed(ds: Dataset) -> DataFrame:
+    return corpus.lexical_facts(ds.view("v_quoted"), "code", "script_id")
+
+
 @query(
     with_views(
         f"""

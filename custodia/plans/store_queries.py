@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from custodia import vocab
 from custodia.operators import pii, store
 from custodia.plans.pii_queries import BASE_KINDS, findings_sql
-from custodia.plans.registry import query, quoted
+from custodia.plans.registry import query, quoted, str_list
 from custodia.sources.tables import Dataset
 from custodia.sources.views import with_views
 
@@ -32,9 +32,10 @@ def artifacts_by_session(ds: Dataset) -> DataFrame:
 
 
 REPORTS = f"""
-SELECT id // 2 AS session_id, id AS report_id, type AS entity_types,
-  CASE WHEN type IN ('SSN', 'CREDIT_CARD', 'PASSPORT') THEN 'critical' WHEN type = 'EMAIL' THEN 'high' ELSE 'medium' END AS risk_level
-FROM ({findings_sql("v_planted", "id", "text", BASE_KINDS)})
+SELECT id // 2 AS session_id, id AS report_id, string_agg(type, ',' ORDER BY list_position({str_list(BASE_KINDS)}, type)) AS entity_types,
+  CASE max(CASE WHEN type IN ('SSN', 'CREDIT_CARD', 'PASSPORT') THEN 3 WHEN type = 'EMAIL' THEN 2 ELSE 1 END)
+    WHEN 3 THEN 'critical' WHEN 2 THEN 'high' ELSE 'medium' END AS risk_level
+FROM ({findings_sql("v_planted", "id", "text", BASE_KINDS)}) GROUP BY id
 """
 
 

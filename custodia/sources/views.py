@@ -69,6 +69,20 @@ SELECT script_id,
 FROM {v_scripts}
 """
 
+# scripts whose strings, docstrings and comments hold what looks like statements
+V_QUOTED = """
+SELECT script_id,
+  CASE WHEN script_id % 2 = 0 THEN repeat('"', 3) || 'Use:' || chr(10) || 'import requests' || chr(10) || '@flow' || chr(10) || 'def fake(a):' || chr(10)
+            || 'it''s "quoted" here' || chr(10) || repeat('"', 3) || chr(10) ELSE '' END
+  || CASE WHEN script_id % 3 = 0 THEN 's = ''import os; x''; t = "from a import b"  # don''t import re' || chr(10) || '# it''s "email"' || chr(10) ELSE '' END
+  || CASE WHEN script_id % 5 = 0 THEN 'rows = frame(' || chr(10) || 'a' || chr(10) || '@b)' || chr(10) || 'def real(x=")", y=(1, [2, 3]), *, z=''('') -> str:'
+            || chr(10) || '    return ' || repeat('''', 3) || chr(10) || 'from httpx import get' || chr(10) || '@task' || chr(10) || repeat('''', 3) || chr(10) ELSE '' END
+  || CASE WHEN script_id % 7 = 0 THEN '@task' || chr(10) || 'def wide(' || chr(10) || '    first: int,  # the (first' || chr(10) || '    second="a,b",' || chr(10)
+            || '):' || chr(10) || '    import json' || chr(10) || 'x = "a' || chr(92) || '"b"; import csv' || chr(10) ELSE '' END
+  || code AS code
+FROM {v_submissions}
+"""
+
 V_SESSIONS = """
 SELECT o_orderkey AS id, o_orderdate AS created_at,
   CAST(o_custkey AS STRING) || '|' || o_orderpriority AS input_text,
@@ -153,6 +167,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "v_scripts": (V_SCRIPTS, ("part",)),
     "v_scripts_v2": (V_SCRIPTS_V2, ("v_scripts",)),
     "v_submissions": (V_SUBMISSIONS, ("v_scripts",)),
+    "v_quoted": (V_QUOTED, ("v_submissions",)),
     "v_sessions": (V_SESSIONS, ("orders",)),
     "v_artifacts": (V_ARTIFACTS, ("lineitem",)),
     "v_audit_log": (V_AUDIT_LOG, ("events",)),
