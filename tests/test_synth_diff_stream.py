@@ -99,13 +99,14 @@ def test_table_diff_is_a_multiset_difference(spark):
 def session_like(master: str, **conf: str):
     return SimpleNamespace(
         conf=SimpleNamespace(get=lambda key, default: conf.get(key.replace(".", "_"), default)),
-        sparkContext=SimpleNamespace(master=master),
+        sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: conf.get("folder")),
     )
 
 
 def test_shared_folder_is_the_one_the_cluster_names(spark):
     named = session_like("spark://host", spark_checkpoint_dir="hdfs:///shared/")
     assert shared_folder(named) == "hdfs:///shared"
+    assert shared_folder(session_like("spark://host", folder="hdfs:///set")) == "hdfs:///set"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(session_like("spark://host"))
     assert shared_folder(spark) == shared_folder(spark)
