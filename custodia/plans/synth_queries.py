@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from custodia import vocab
 from custodia.functions import script as S
 from custodia.operators import diff, synth
+from custodia.operators import ordered_diff as ordered
 from custodia.plans.pii_queries import columns_sql
 from custodia.plans.quality_queries import MERGED, UPDATES, customer_updates
 from custodia.plans.registry import actual_type_sql, query, str_list
@@ -190,6 +191,51 @@ def diff_counts(ds: Dataset) -> DataFrame:
     return diff.diff_counts(*versions(ds), "script_id", "code")
 
 
+# Every line of these scripts is there once, so the lines that stay are a longest rising run of the common ones' places.
+ORDERED = rf"""
+WITH v_old AS ({V_OLD}), v_new AS ({V_NEW}),
+pairs AS (
+  SELECT script_id, regexp_extract_all(coalesce(any_value(o), ''), '[^\n]*\n|[^\n]+') AS o, regexp_extract_all(any_value(n), '[^\n]*\n|[^\n]+') AS n
+  FROM (SELECT script_id, code AS o, NULL AS n FROM v_old UNION ALL SELECT script_id, NULL, code FROM v_new)
+  GROUP BY script_id HAVING count(o) <= 1 AND count(n) = 1 AND any_value(n) <> '' AND coalesce(any_value(o), '') <> any_value(n)
+), o AS (SELECT script_id, unnest(range(1, len(o) + 1)) AS i, unnest(o) AS line FROM pairs),
+n AS (SELECT script_id, unnest(range(1, len(n) + 1)) AS j, unnest(n) AS line FROM pairs),
+common AS (SELECT script_id, list([{{'v': j, 'i': i, 'size': 1}}] ORDER BY i) AS run FROM o JOIN n USING (script_id, line) GROUP BY script_id),
+sized AS (
+  SELECT script_id, list_reduce(run, lambda acc, x: list_append(acc, {{'v': x[1].v, 'i': x[1].i,
+    'size': CAST(1 + coalesce(list_max(list_transform(list_filter(acc, lambda a: a.v < x[1].v), lambda a: a.size)), 0) AS INTEGER)}})) AS run FROM common
+), traced AS (
+  SELECT script_id, list_reduce(
+    list_concat([[{{'v': CAST(0 AS BIGINT), 'i': CAST(1000000 AS BIGINT), 'size': 0}}]],
+      list_transform(range(list_max(list_transform(run, lambda a: a.size)), 0, -1), lambda k: [{{'v': CAST(0 AS BIGINT), 'i': CAST(0 AS BIGINT), 'size': CAST(k AS INTEGER)}}])),
+    lambda acc, x: list_append(acc, list_sort(list_filter(run, lambda a: a.size = x[1].size AND a.i < acc[len(acc)].i))[1])) AS kept FROM sized
+), kept AS (SELECT script_id, x.i, x.v AS j FROM (SELECT script_id, unnest(kept[2:]) AS x FROM traced)),
+steps AS (
+  SELECT script_id, ' ' AS kind, line, row_number() OVER (PARTITION BY script_id ORDER BY i) AS g, 0 AS phase, i AS pos FROM o JOIN kept USING (script_id, i)
+  UNION ALL SELECT script_id, '-', line, (SELECT count(*) FROM kept k WHERE k.script_id = o.script_id AND k.i < o.i), 1, i FROM o ANTI JOIN kept USING (script_id, i)
+  UNION ALL SELECT script_id, '+', line, (SELECT count(*) FROM kept k WHERE k.script_id = n.script_id AND k.j < n.j), 2, j FROM n ANTI JOIN kept USING (script_id, j)
+), placed AS (
+  SELECT *, row_number() OVER w AS place, count(*) FILTER (WHERE kind <> '+') OVER w AS old_no, count(*) FILTER (WHERE kind <> '-') OVER w AS new_no
+  FROM steps WINDOW w AS (PARTITION BY script_id ORDER BY g, phase, pos)
+), near AS (
+  SELECT p.* FROM placed p WHERE EXISTS (SELECT 1 FROM placed c WHERE c.script_id = p.script_id AND c.kind <> ' ' AND abs(c.place - p.place) <= 3)
+), hunks AS (
+  SELECT *, sum(CASE WHEN place - before = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY script_id ORDER BY place) AS hunk
+  FROM (SELECT *, lag(place) OVER (PARTITION BY script_id ORDER BY place) AS before FROM near)
+)
+SELECT script_id, CAST(hunk AS INTEGER) AS hunk,
+  '@@ -' || CASE WHEN count(*) FILTER (WHERE kind <> '+') = 0 THEN min(old_no) ELSE min(old_no) FILTER (WHERE kind <> '+') END || ',' || count(*) FILTER (WHERE kind <> '+')
+  || ' +' || CASE WHEN count(*) FILTER (WHERE kind <> '-') = 0 THEN min(new_no) ELSE min(new_no) FILTER (WHERE kind <> '-') END || ',' || count(*) FILTER (WHERE kind <> '-') || ' @@' AS header,
+  string_agg(kind || CASE WHEN ends_with(line, chr(10)) THEN line ELSE line || chr(10) || chr(92) || ' No newline at end of file' || chr(10) END, '' ORDER BY place) AS body
+FROM hunks GROUP BY script_id, hunk"""
+
+
+@query(with_views(ORDERED, "v_scripts", "v_scripts_v2"))
+def ordered_diff(ds: Dataset) -> DataFrame:
+    found = ordered.hunks(*versions(ds), "script_id", "code")
+    return found.select("script_id", "hunk", "header", "body")
+
+
 @query(
     f"""
 WITH updates AS ({UPDATES.format(customer='customer')}), merged AS ({MERGED}),
