@@ -34,18 +34,19 @@ ALIGNED = (
 )
 
 
-def aligned(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+FIRST_PROBE = 4
+
+
+def aligned(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of the tokens whose bytes overlap, in order; a and b hold the ends of the tokens, the last ones equal."""
-    left: list[int] = []
-    right: list[int] = []
+    runs: list[int] = []  # first token of A, first of B, how many that go on one by one
     i = j = 0
     n = len(a)
     while i < n:
         x, y = a[i], b[j]
         if x == y:
             # A stretch at this shift: slices twice as long each time, then shorter ones again.
-            width = 1
-            start = i
+            start, width = i, FIRST_PROBE
             i, j = i + 1, j + 1
             while i + width <= n and a[i : i + width] == b[j : j + width]:
                 i, j, width = i + width, j + width, 2 * width
@@ -53,11 +54,9 @@ def aligned(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
                 width //= 2
                 if i + width <= n and a[i : i + width] == b[j : j + width]:
                     i, j = i + width, j + width
-            left += range(start, i)
-            right += range(start + j - i, j)
+            runs += (start, start + j - i, i - start)
             continue
-        left.append(i)
-        right.append(j)
+        runs += (i, j, 1)
         while x != y:
             if x < y:
                 i += 1
@@ -65,20 +64,29 @@ def aligned(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
             else:
                 j += 1
                 y = b[j]
-            left.append(i)
-            right.append(j)
+            runs += (i, j, 1)
         i, j = i + 1, j + 1
-    return left, right
+    left, right, lengths = np.array(runs, np.int64).reshape(-1, 3).T
+    steps = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return np.repeat(left, lengths) + steps, np.repeat(right, lengths) + steps
 
 
 class Vocabulary:
-    """The byte length of each id, and its number as text."""
+    """The bytes of each id, and its number as text within a group and at the group's end."""
 
-    def __init__(self, pieces: list[bytes]):
-        self.pieces = pieces
+    def __init__(self, pieces: list[bytes], end: str):
+        self.pieces = np.array([*pieces, None], object)[:-1]
         self.sizes = np.array([len(p) for p in pieces], np.int64)
-        names = [str(n) for n in range(len(pieces))]
-        self.more, self.last_a, self.last_b = (np.array([n + mark for n in names], object) for mark in (",", "|", ";"))
+        self.names = np.array([f"{n}{mark}" for mark in (",", end) for n in range(len(pieces))], object)
+
+    def spelled(self, ids: np.ndarray) -> bytes:
+        return b"".join(self.pieces[ids].tolist())
+
+    def named(self, ids: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The ids as texts; `last` are the places that end a group."""
+        ids = ids.copy()
+        ids[last] += len(self.pieces)
+        return self.names[ids]
 
 
 class Pair:
@@ -95,7 +103,7 @@ class Pair:
         pieces = [b""] * (max(ranks.values()) + 1)
         for piece, number in ranks.items():
             pieces[number] = piece
-        self.a = Vocabulary(pieces)
+        self.a = Vocabulary(pieces, "|")
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         self.second = model
 
@@ -103,7 +111,7 @@ class Pair:
             piece = model.id_to_piece(number)
             return bytes([int(piece[3:5], 16)]) if model.is_byte(number) else piece.replace("▁", " ").encode()
 
-        self.b = Vocabulary([spelled(n) for n in range(model.get_piece_size())])
+        self.b = Vocabulary([spelled(n) for n in range(model.get_piece_size())], ";")
         if max(len(self.a.pieces), len(self.b.pieces)) > WIDEST:
             raise ValueError(f"ids of {WIDEST} and over don't fit a pair")
 
@@ -114,8 +122,7 @@ class Pair:
         a = self.first.encode_to_numpy(" " + text, disallowed_special=())
         b = np.array(self.second.encode(text, num_threads=1), np.int64)
         whole = b" " + text.encode()
-        spell_a, spell_b = self.a.pieces, self.b.pieces
-        if b"".join([spell_a[n] for n in a.tolist()]) != whole or b"".join([spell_b[n] for n in b.tolist()]) != whole:
+        if self.a.spelled(a) != whole or self.b.spelled(b) != whole:
             return None
         return a.astype(np.int64), b
 
@@ -127,7 +134,7 @@ class Pair:
             return 0, 0, 0, 0, "", none, none
         a, b = found
         ends_a, ends_b = np.cumsum(self.a.sizes[a]), np.cumsum(self.b.sizes[b])
-        left, right = (np.array(x, np.int64) for x in aligned(ends_a.tolist(), ends_b.tolist()))
+        left, right = aligned(ends_a.tolist(), ends_b.tolist())
         closing = np.flatnonzero(ends_a[left] == ends_b[right])
         last_a, last_b = left[closing], right[closing]
         pairs, times = np.unique(a[left] * WIDEST + b[right], return_counts=True)
@@ -135,14 +142,11 @@ class Pair:
 
     def digest(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> str:
         """SHA-256 of the groups: ids of A, a bar, ids of B, semicolons between. last_a, last_b: the last token of each group."""
-        text_a, text_b = self.a.more[a], self.b.more[b]
-        text_a[last_a] = self.a.last_a[a[last_a]]
-        text_b[last_b] = self.b.last_b[b[last_b]]
         behind_b = np.concatenate([[0], last_b[:-1] + 1])  # tokens of B before each group
         behind_a = last_a + 1  # tokens of A up to the end of each group
         parts = np.empty(len(a) + len(b), object)
-        parts[np.arange(len(a)) + np.repeat(behind_b, np.diff(last_a, prepend=-1))] = text_a
-        parts[np.arange(len(b)) + np.repeat(behind_a, np.diff(last_b, prepend=-1))] = text_b
+        parts[np.arange(len(a)) + np.repeat(behind_b, np.diff(last_a, prepend=-1))] = self.a.named(a, last_a)
+        parts[np.arange(len(b)) + np.repeat(behind_a, np.diff(last_b, prepend=-1))] = self.b.named(b, last_b)
         return hashlib.sha256("".join(parts.tolist())[:-1].encode()).hexdigest()
 
 

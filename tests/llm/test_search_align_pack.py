@@ -178,7 +178,7 @@ def test_runs_are_skipped_and_nothing_is_missed():
         shared = [n for n in range(1, total) if rng.random() < rng.choice([0.2, 0.95])]
         a = sorted({*shared, *(n for n in range(1, total) if rng.random() < 0.05), total})
         b = sorted({*shared, *(n for n in range(1, total) if rng.random() < 0.05), total})
-        left, right = token_alignment.aligned(a, b)
+        left, right = (x.tolist() for x in token_alignment.aligned(a, b))
         ranges = [list(zip([0, *x], x)) for x in (a, b)]
         want = [(i, j) for i, (s, e) in enumerate(ranges[0]) for j, (p, q) in enumerate(ranges[1]) if p < e and s < q]
         assert list(zip(left, right)) == want
