@@ -210,11 +210,9 @@ def cascade(
 
 
 def row_digest(columns: Sequence[str]) -> Column:
-    """First 60 bits of a SHA-256 over the row; null and empty string differ."""
-    unit, null = F.lit("\x1f"), F.lit("\x00")
-    parts: list[Column] = []
-    for c in columns:
-        parts += [F.coalesce(F.col(c).cast("string"), null), unit]
+    """First 60 bits of a SHA-256 over the row; every value stands behind its length, so no two rows read alike."""
+    texts = [F.col(c).cast("string") for c in columns]
+    parts = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
     return F.conv(F.substring(F.sha2(F.concat(*parts), 256), 1, 15), 16, 10).cast("decimal(38,0)")
 
 

@@ -236,7 +236,7 @@ def dedup_by_key(ds: Dataset) -> DataFrame:
 
 
 def _fingerprint_sql(table: str, columns) -> str:
-    parts = " || ".join(f"coalesce(CAST({c} AS STRING), chr(0)) || chr(31)" for c in columns)
+    parts = " || ".join(f"coalesce(length(CAST({c} AS STRING)) || ':' || CAST({c} AS STRING), '-')" for c in columns)
     return (
         f"SELECT '{table}' AS table_name, count(*) AS n_rows, "
         f"CAST(CAST(sum(CAST(('0x' || substr(sha256({parts}), 1, 15)) AS BIGINT)) AS DECIMAL(38,0)) AS STRING) AS fingerprint FROM {table}"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custodia import vocab
-from custodia.operators import pii, store
+from custodia.operators import erasure, pii, store
 from custodia.plans.pii_queries import BASE_KINDS, findings_sql
 from custodia.plans.registry import query, quoted, str_list
 from custodia.sources.tables import Dataset
@@ -230,3 +230,61 @@ def audit_event_json(ds: Dataset) -> DataFrame:
         decoded["k"].alias("k"),
         F.to_json(F.struct(decoded["k"].alias("k"), F.col("severity"))).alias("encoded"),
     )
+
+
+PURGED = "status = 'failed' AND tokens_used % 3 = 0"
+
+
+@query(
+    with_views(
+        f"""
+WITH RECURSIVE reports AS ({REPORTS}),
+finding AS (SELECT id AS report_id, type FROM ({findings_sql("v_planted", "id", "text", BASE_KINDS)})),
+found AS (
+  SELECT 'sessions' AS table_name, id AS n, CAST(id AS VARCHAR) AS row_key, 'delete' AS action, 0 AS depth FROM v_reruns WHERE {PURGED}
+  UNION
+  SELECT 'sessions', r.id, CAST(r.id AS VARCHAR), 'delete', depth + 1 FROM found JOIN v_reruns r ON table_name = 'sessions' AND r.rerun_of = n WHERE depth < 9
+), runs AS (SELECT table_name, n, row_key, action, min(depth) AS depth FROM found GROUP BY ALL),
+gone AS (
+  SELECT table_name, row_key, action, depth FROM runs
+  UNION ALL SELECT DISTINCT 'artifacts', length(CAST(session_id AS VARCHAR)) || ':' || session_id || '1:' || line_no, 'delete', depth + 1
+    FROM runs JOIN v_artifacts a ON a.session_id = n
+  UNION ALL SELECT 'messages', length(CAST(m.session_id AS VARCHAR)) || ':' || m.session_id || length(CAST(m.id AS VARCHAR)) || ':' || m.id, 'delete', depth + 1
+    FROM runs JOIN v_messages m ON m.session_id = n
+  UNION ALL SELECT 'reports', CAST(report_id AS VARCHAR), 'delete', depth + 1 FROM runs JOIN reports ON session_id = n
+  UNION ALL SELECT 'findings', length(CAST(f.report_id AS VARCHAR)) || ':' || f.report_id || length(type) || ':' || type, 'delete', depth + 2
+    FROM runs JOIN reports r ON r.session_id = n JOIN finding f ON f.report_id = r.report_id
+  UNION ALL SELECT 'audit_log', CAST(l.id AS VARCHAR), 'retain', depth + 1 FROM runs JOIN v_audit_log l ON l.session_id = n
+)
+SELECT table_name, row_key, action, min(depth) AS depth FROM gone GROUP BY ALL
+""".replace("WITH RECURSIVE ", "WITH "),
+        "v_reruns",
+        "v_artifacts",
+        "v_messages",
+        "v_audit_log",
+        "v_planted",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+)
+def erasure_set(ds: Dataset) -> DataFrame:
+    """Failed runs go, with the runs that repeat them, and with all that belongs to these; the audit log stays."""
+    runs, planted = ds.view("v_reruns"), ds.view("v_planted")
+    reports = pii.report(planted, ["id"], "text").where("has_pii").select(
+        F.floor(F.col("id") / 2).alias("session_id"), F.col("id").alias("report_id")
+    )
+    kinds = [p for p in vocab.BASE_PATTERNS if p.kind in BASE_KINDS]
+    findings = pii.scan_text(planted, ["id"], "text", kinds).select(F.col("id").alias("report_id"), "type")
+    tables = {
+        "sessions": erasure.Table(runs, ("id",)),
+        "artifacts": erasure.Table(ds.view("v_artifacts"), ("session_id", "line_no")),
+        "messages": erasure.Table(ds.view("v_messages"), ("session_id", "id")),
+        "reports": erasure.Table(reports, ("report_id",)),
+        "findings": erasure.Table(findings, ("report_id", "type")),
+        "audit_log": erasure.Table(ds.view("v_audit_log"), ("id",)),
+    }
+    keys = [
+        erasure.ForeignKey("sessions", "rerun_of", "sessions", "id"),
+        *[erasure.ForeignKey(child, "session_id", "sessions", "id") for child in ("artifacts", "messages", "reports")],
+        erasure.ForeignKey("findings", "report_id", "reports", "report_id"),
+        erasure.ForeignKey("audit_log", "session_id", "sessions", "id", erasure.RETAIN),
+    ]
+    return erasure.erasure_set(tables, keys, {"sessions": runs.where(PURGED)})

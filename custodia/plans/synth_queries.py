@@ -11,9 +11,11 @@ from custodia import vocab
 from custodia.functions import script as S
 from custodia.operators import diff, synth
 from custodia.operators import ordered_diff as ordered
+from custodia.operators import reconcile as digest_tree
 from custodia.plans.pii_queries import columns_sql
 from custodia.plans.quality_queries import MERGED, UPDATES, customer_updates
 from custodia.plans.registry import actual_type_sql, query, str_list
+from custodia.session import fresh_path
 from custodia.sources import writes
 from custodia.sources.tables import SCHEMAS, Dataset
 from custodia.sources.views import with_views
@@ -288,3 +290,34 @@ def table_diff(ds: Dataset) -> DataFrame:
         }
     )
     return diff.table_diff(artifacts, right)
+
+
+REVISED_ORDERS = """
+SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 997 = 0 THEN 'F' ELSE o_orderstatus END AS o_orderstatus,
+  CASE WHEN o_orderkey % 499 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderdate,
+  CASE WHEN o_orderkey % 601 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority
+FROM {orders} WHERE o_orderkey % 1009 <> 0
+UNION ALL SELECT o_orderkey + 1000000000000, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM {orders} WHERE o_orderkey % 811 = 0
+"""
+
+
+@query(
+    f"""
+WITH revised AS ({REVISED_ORDERS.format(orders='orders')})
+SELECT coalesce(o.o_orderkey, r.o_orderkey) AS o_orderkey,
+  CASE WHEN o.o_orderkey IS NULL THEN 'added' WHEN r.o_orderkey IS NULL THEN 'removed' ELSE 'changed' END AS change,
+  CASE WHEN o.o_orderkey IS NOT NULL AND r.o_orderkey IS NOT NULL THEN concat_ws(',',
+    CASE WHEN o.o_orderstatus IS DISTINCT FROM r.o_orderstatus THEN 'o_orderstatus' END,
+    CASE WHEN o.o_totalprice IS DISTINCT FROM r.o_totalprice THEN 'o_totalprice' END,
+    CASE WHEN o.o_orderpriority IS DISTINCT FROM r.o_orderpriority THEN 'o_orderpriority' END) END AS columns
+FROM orders o FULL JOIN revised r ON o.o_orderkey = r.o_orderkey
+WHERE o IS DISTINCT FROM r
+"""
+)
+def reconcile(ds: Dataset) -> DataFrame:
+    """Two written versions of the orders: folders whose digests are equal aren't read."""
+    orders = ds.table("orders")
+    paths = [fresh_path(ds.spark, "orders-version") for _ in range(2)]
+    for path, version in zip(paths, (orders, ds.spark.sql(REVISED_ORDERS, orders=orders)), strict=True):
+        digest_tree.write_digested(version, path, ["o_orderkey"])
+    return digest_tree.reconcile_written(ds.spark, *paths, ["o_orderkey"])

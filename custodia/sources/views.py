@@ -96,6 +96,13 @@ SELECT o_orderkey AS id, o_orderdate AS created_at,
 FROM {orders}
 """
 
+# runs that repeat others, some in a ring
+V_RERUNS = """
+SELECT id, status, tokens_used,
+  CASE id % 10 WHEN 1 THEN id + 2 WHEN 3 THEN id + 4 WHEN 7 THEN id - 6 WHEN 4 THEN id - 1 WHEN 5 THEN id - 1 WHEN 6 THEN id - 1 END AS rerun_of
+FROM {v_sessions}
+"""
+
 V_ARTIFACTS = """
 SELECT l_orderkey AS session_id, l_linenumber AS line_no, l_partkey AS part_no, l_suppkey AS supp_no,
   CASE l_linenumber WHEN 1 THEN 'code' WHEN 2 THEN 'diff' WHEN 3 THEN 'compliance' WHEN 4 THEN 'validation' ELSE 'zip' END AS artifact_type,
@@ -169,6 +176,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "v_submissions": (V_SUBMISSIONS, ("v_scripts",)),
     "v_quoted": (V_QUOTED, ("v_submissions",)),
     "v_sessions": (V_SESSIONS, ("orders",)),
+    "v_reruns": (V_RERUNS, ("v_sessions",)),
     "v_artifacts": (V_ARTIFACTS, ("lineitem",)),
     "v_audit_log": (V_AUDIT_LOG, ("events",)),
     "v_run_states": (V_RUN_STATES, ("v_audit_log",)),

@@ -60,6 +60,13 @@ def test_fingerprint_ignores_order_and_sees_nulls(spark):
         assert prints[0] == prints[1] != prints[2]
 
 
+def test_fingerprints_tell_separators_inside_values(spark):
+    pairs = [("a\x1f", "b"), ("a", "\x1fb"), ("\x00", ""), (None, ""), ("", None), ("-", ""), ("1:", "a"), ("1", ":a"), (None, "-"), ("-", None)]
+    for digest in (Q.row_digest, Q.quick_digest):
+        frames = [spark.createDataFrame([p], "a string, b string") for p in pairs]
+        assert len({Q.fingerprint(f, "t", digest=digest).first()["fingerprint"] for f in frames}) == len(pairs)
+
+
 def test_observed(spark):
     df, watch = Q.observed(spark.range(7).where("id > 2"), "kept")
     df.write.format("noop").mode("overwrite").save()
