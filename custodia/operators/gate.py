@@ -41,28 +41,31 @@ def gate(
     if mode not in ("reference", "strict"):
         raise ValueError(f"unknown gate mode: {mode}")
     clean, raw = F.col("_clean"), F.col(code)
-    outside = F.filter(S.imported_names(clean), lambda m: ~S.top_module(m).isin(*allowed))
     tokens = T.token_estimate(raw)
-    checked = (
-        df.withColumn("_clean", T.strip_nul(raw))
-        .withColumn("_danger", _first_dangerous(clean, mode))
-        .withColumn(
-            "rule_violated",
-            F.when(raw.isNull(), "MISSING_CODE")
-            .when(tokens > max_tokens, "SIZE_CHECK")
-            .when(~F.is_valid_utf8(raw), "ENCODING_CHECK")
-            .when(F.col("_danger").isNotNull(), "DANGEROUS_PATTERN")
-            .when(S.write_open(clean), "DANGEROUS_WRITE")
-            .when(S.contains_any(clean, vocab.NETWORK), "NETWORK_CALL")
-            .when(F.size(F.array_except(S.imports(clean), S.array_of(allowed))) > 0, "IMPORT_WHITELIST")
-            .when(S.contains_any(clean, vocab.TRAVERSAL), "PATH_TRAVERSAL"),
-        )
+    cheap = (
+        F.when(raw.isNull(), "MISSING_CODE")
+        .when(tokens > max_tokens, "SIZE_CHECK")
+        .when(~F.is_valid_utf8(raw), "ENCODING_CHECK")
+        .when(F.col("_danger").isNotNull(), "DANGEROUS_PATTERN")
+        .when(S.write_open(clean), "DANGEROUS_WRITE")
+        .when(S.contains_any(clean, vocab.NETWORK), "NETWORK_CALL")
     )
+    # Imports are read once, for the rule and for its message, and only where nothing before them objects.
+    first_outside = F.get(F.filter(S.imported_names(clean), lambda m: ~S.top_module(m).isin(*allowed)), F.lit(0))
+    checked = df.select("*", S.once(_clean=T.strip_nul(raw)))
+    checked = checked.select("*", S.once(_danger=_first_dangerous(clean, mode)))
+    checked = checked.select("*", S.once(_cheap=cheap))
+    checked = checked.select("*", S.once(_outside=F.when(F.col("_cheap").isNull(), first_outside)))
+    rule = F.coalesce(
+        F.col("_cheap"),
+        F.when(F.col("_outside").isNotNull(), "IMPORT_WHITELIST").when(S.contains_any(clean, vocab.TRAVERSAL), "PATH_TRAVERSAL"),
+    )
+    checked = checked.select("*", S.once(rule_violated=rule))
     rule = F.col("rule_violated")
     found = {
         "SIZE_CHECK": (tokens, F.lit(max_tokens)),
         "DANGEROUS_PATTERN": (F.col("_danger"),),
-        "IMPORT_WHITELIST": (F.get(outside, F.lit(0)),),
+        "IMPORT_WHITELIST": (F.col("_outside"),),
     }
     message = F.coalesce(
         *[F.when(rule == name, _filled(name, *found.get(name, ()))) for name in vocab.GATE_MESSAGES]
@@ -75,7 +78,7 @@ def gate(
             "sanitized_code": F.when(rule.isNull(), clean),
             "nul_stripped": clean != raw,
         }
-    ).drop("_clean", "_danger")
+    ).drop("_clean", "_danger", "_cheap", "_outside")
 
 
 def split(gated: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -99,6 +99,9 @@ SCRIPT_RULES = tuple(
 )
 
 
+NO_SCRIPT = "There is no script to check"
+
+
 def with_checks(
     df: DataFrame,
     code: str = "code",
@@ -109,7 +112,8 @@ def with_checks(
     """Add ``checks``: one struct per rule, in rule order, all from one pass over the code.
 
     ``profiles`` is an array column of active profiles; rules for ``all`` always apply.
-    Each rule is decided once, into a boolean column the structs then read.
+    Each rule is decided once, into a boolean column the structs then read. A null script fails every rule: there is
+    nothing that could keep it.
     """
     c = F.col(code)
     columns = pii.pii_columns(c) if pii_columns is None else pii_columns
@@ -143,8 +147,8 @@ def with_checks(
             F.lit(r.rule.rule_id).alias("rule_id"),
             F.lit(r.rule.name).alias("name"),
             F.lit(r.rule.profile).alias("profile"),
-            F.when(hit, r.status).otherwise("pass").alias("status"),
-            F.when(hit, detail).otherwise(r.passed_text).alias("detail"),
+            F.when(c.isNull(), "fail").when(hit, r.status).otherwise("pass").alias("status"),
+            F.when(c.isNull(), NO_SCRIPT).when(hit, detail).otherwise(r.passed_text).alias("detail"),
             F.when(hit, r.remediation).otherwise("").alias("remediation"),
             F.lit(r.rule.auto_fix).alias("auto_fix"),
             F.lit(r.rule.severity).alias("severity"),

@@ -41,13 +41,21 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+ONE_ROW_GROUP = 128 * 1024**2  # what writers put into one by default
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of an input of a single split out to all cores before costly work per row.
+    """Deal the rows of a table of one small file out to all cores before costly work per row.
 
-    What is shuffled is one split at most (spark.sql.files.maxPartitionBytes), however many
-    cores there are; every other input passes through untouched. Only tables of one file are looked at.
+    Such a file mostly is one row group, and then one task whatever the number of its splits. What is shuffled is
+    ONE_ROW_GROUP at most, however many cores there are; every other input passes through untouched.
     """
-    if len(df.inputFiles()) > 1 or df.rdd.getNumPartitions() > 1:
+    files = len(df.inputFiles())
+    if files:
+        one_task = files == 1 and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= ONE_ROW_GROUP
+    else:
+        one_task = df.rdd.getNumPartitions() == 1
+    if not one_task:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 

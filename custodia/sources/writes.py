@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,12 +98,12 @@ def write_keyed(df: DataFrame, path: str, partition_cols: Sequence[str], keys: S
 
     Every partition that holds an incoming key, in the table or in the frame, is written anew without the
     old rows of these keys; a partition that is left without rows goes. Other partitions are only
-    read for their keys.
+    read for their keys. A run that stops before such partitions are gone leaves the moved keys in both places, never in
+    none; running it again ends it.
     """
     spark = df.sparkSession
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path):
+    if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
         write_idempotent(df, path, partition_cols)
         return
     batch = _staged(df, "keyed-batch")
@@ -111,13 +111,19 @@ def write_keyed(df: DataFrame, path: str, partition_cols: Sequence[str], keys: S
     moved = _matching(table, batch, keys, "left_semi")
     touched = moved.select(*partition_cols).unionByName(batch.select(*partition_cols)).distinct()
     rest = _matching(_matching(table, touched, partition_cols, "left_semi"), batch, keys, "left_anti")
-    new = _staged(rest.unionByName(batch), "keyed-new")
+    # Only the rows that stay are staged; a plain repeat has none.
+    new = _staged(rest, "keyed-rest").unionByName(batch)
     empty = _matching(touched, new, partition_cols, "left_anti").collect()  # partitions, not rows
     write_idempotent(new, path, partition_cols)
-    named = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
     for row in empty:
-        folder = "/".join(named(c, None if row[c] is None else str(row[c])) for c in partition_cols)
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}"), True)
+        _delete_partition(spark, path, {c: row[c] for c in partition_cols})
+
+
+def _delete_partition(spark: SparkSession, path: str, values: dict[str, object]) -> None:
+    named = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    folder = "/".join(named(c, None if v is None else str(v)) for c, v in values.items())
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _matching(left: DataFrame, right: DataFrame, columns: Sequence[str], how: str) -> DataFrame:
@@ -134,8 +140,11 @@ def _staged(df: DataFrame, label: str) -> DataFrame:
 
 
 def write_run(df: DataFrame, path: str, run_id: str) -> None:
-    """The rows of one run, beside those of other runs; a repeated run replaces its own."""
-    write_idempotent(df.withColumn("run_id", F.lit(run_id)), path, ["run_id"])
+    """The rows of one run, beside those of other runs; a repeated run replaces its own, also if it has no rows now."""
+    watch = Observation()
+    write_idempotent(df.observe(watch, F.count(F.lit(1)).alias("n_rows")).withColumn("run_id", F.lit(run_id)), path, ["run_id"])
+    if not watch.get["n_rows"]:
+        _delete_partition(df.sparkSession, path, {"run_id": run_id})
 
 
 def merge_upsert(

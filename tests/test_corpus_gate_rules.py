@@ -326,3 +326,17 @@ def test_functions_against_the_syntax_tree(spark):
             names = [d.attr if isinstance(d, ast.Attribute) else d.id for d in plain]
             expected.append((node.name, names, node.lineno, [a.arg for a in node.args.args]))
         assert got[i] == expected
+
+
+def test_a_null_script_passes_no_rule(spark):
+    checks = rules.script_checks(scripts(spark, None, "x = 1\n"), "script_id").collect()
+    null = [r for r in checks if r["script_id"] == 0]
+    assert len(null) == 10 and {(r["status"], r["detail"]) for r in null} == {("fail", rules.NO_SCRIPT)}
+    assert "pass" in {r["status"] for r in checks if r["script_id"] == 1}
+    report = rules.compliance_report(scripts(spark, None), "script_id").first()
+    assert report["overall_status"] == "fail"
+
+
+def test_the_gate_reads_imports_once(spark):
+    plan = gate.gate(scripts(spark, "import os\n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"import[ \t\f]+[^\n\r;#]+|from") <= 3  # joined and unjoined reading of continued lines

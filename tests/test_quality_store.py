@@ -253,3 +253,28 @@ def test_orphans_ignore_missing_references(spark):
     child = spark.createDataFrame([(1, 10), (2, None), (3, 30)], "id int, parent int")
     parent = spark.createDataFrame([(10,)], "pk int")
     assert rows(Q.orphans(child, parent, "parent", "pk")) == [(3, 30)]
+
+
+def test_a_repeated_run_without_rows_leaves_none(spark):
+    path = fresh_path(spark, "runs")
+    rows_of = spark.range(3)
+    for run in ("a", "b"):
+        writes.write_run(rows_of, path, run)
+    writes.write_run(rows_of.limit(0), path, "a")
+    assert {r["run_id"] for r in spark.read.parquet(path).collect()} == {"b"}
+    writes.write_run(rows_of.where("id = 1"), path, "a")
+    assert sorted((r["run_id"], r["id"]) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 0), ("b", 1), ("b", 2)]
+
+
+def test_repeating_a_stopped_keyed_write_ends_it(spark):
+    path = fresh_path(spark, "keyed")
+    old = spark.createDataFrame([(1, "x", "p"), (2, "x", "p"), (3, "y", "p"), (4, "z", "p")], "k int, part string, v string")
+    writes.write_keyed(old, path, ["part"], ["k"])
+    batch = spark.createDataFrame([(1, "w", "q"), (3, "x", "q"), (4, "z", "q")], "k int, part string, v string")
+    # as if the run had stopped between writing the partitions and deleting the emptied one
+    writes.write_idempotent(spark.createDataFrame([(1, "w", "q"), (2, "x", "p"), (3, "x", "q"), (4, "z", "q")], old.schema), path, ["part"])
+    assert spark.read.parquet(path).where("k = 3").count() == 2
+    for _ in range(2):
+        writes.write_keyed(batch, path, ["part"], ["k"])
+        got = sorted((r["k"], r["part"], r["v"]) for r in spark.read.parquet(path).collect())
+        assert got == [(1, "w", "q"), (2, "x", "p"), (3, "x", "q"), (4, "z", "q")]
