@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from custodia import vocab
 from custodia.functions import script as S
 from custodia.functions import text as T
-from custodia.operators import corpus, gate
+from custodia.operators import corpus, gate, lineage
 from custodia.plans.pii_queries import columns_sql, pii_columns_sql
 from custodia.plans.registry import any_of, in_list, query, quoted, str_list
 from custodia.session import fresh_path
@@ -196,6 +196,37 @@ def script_lexed(ds: Dataset) -> DataFrame:
     return corpus.lexical_facts(ds.view("v_quoted"), "code", "script_id")
 
 
+@query(
+    with_views(
+        r"""
+WITH plain AS (
+  SELECT script_id, list_filter(string_split(code, chr(10)), lambda l: NOT starts_with(l, '#') AND NOT starts_with(l, repeat('"', 3))) AS lines FROM v_jobs
+), said AS (SELECT script_id, array_to_string(lines, chr(10)) AS code FROM plain),
+ends AS (
+  SELECT script_id,
+    list_filter(regexp_extract_all(code, '(?:spark\.read\.\w+|\.load|spark\.table|"true"\)\.parquet)\("([^"]+)"', 1), lambda r: r NOT IN ('mergeSchema', 'csv')) AS reads,
+    regexp_extract_all(code, '(?:\.save|saveAsTable|"day"\)\.parquet)\("([^"]+)"', 1) AS writes,
+    CASE WHEN contains(code, 'select("*")') THEN ['*'] ELSE list_distinct(regexp_extract_all(code, '"([a-zA-Z0-9]\w+)"', 1)) END AS columns FROM said
+), reading AS (SELECT script_id, unnest(reads) AS source FROM ends),
+writing AS (SELECT script_id, unnest(writes) AS sink FROM ends),
+naming AS (SELECT script_id, unnest(list_filter(columns, lambda c: NOT list_contains(reads, c) AND NOT list_contains(writes, c))) AS column_name FROM ends),
+direct AS (SELECT DISTINCT column_name, source, sink FROM reading JOIN writing USING (script_id) JOIN naming USING (script_id)),
+step AS (
+  SELECT * FROM direct WHERE column_name <> '*'
+  UNION SELECT c.column_name, source, sink FROM direct, (SELECT DISTINCT column_name FROM direct WHERE column_name <> '*') c WHERE direct.column_name = '*'
+), way AS (
+  SELECT column_name, source, sink, 1 AS distance FROM step
+  UNION SELECT w.column_name, w.source, s.sink, distance + 1 FROM way w JOIN step s ON w.column_name = s.column_name AND w.sink = s.source WHERE distance < 16
+)
+SELECT column_name, source, sink, min(distance) AS distance FROM way GROUP BY ALL
+""",
+        "v_jobs",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+)
+def column_lineage(ds: Dataset) -> DataFrame:
+    return lineage.column_lineage(ds.view("v_jobs"), "script_id")
+
+
 @query(
     with_views(
         f"""

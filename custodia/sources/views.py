@@ -83,6 +83,25 @@ SELECT script_id,
 FROM {v_submissions}
 """
 
+# scripts that pass columns from dataset to dataset, some in a ring, with datasets named in comments and docstrings
+V_JOBS = """
+SELECT p_partkey AS script_id,
+  repeat('"', 3) || 'Reads spark.read.parquet("/doc/none")' || repeat('"', 3) || chr(10)
+  || '# df.write.save("/comment/none")' || chr(10)
+  || CASE p_partkey % 3 WHEN 0 THEN 'df = spark.read.option("mergeSchema", "true").parquet("/lake/t' || CAST(p_partkey % 37 AS STRING) || '")'
+       WHEN 1 THEN 'df = spark.table("t' || CAST(p_partkey % 29 AS STRING) || '")'
+       ELSE 'df = spark.read.format("csv").load("/lake/t' || CAST(p_partkey % 41 AS STRING) || '")' END || chr(10)
+  || CASE WHEN p_partkey % 8 = 0 THEN 'other = spark.read.json("/lake/t' || CAST(p_partkey % 23 AS STRING) || '")' || chr(10) ELSE '' END
+  || CASE p_partkey % 5 WHEN 0 THEN 'df = df.select("email", "name")' WHEN 1 THEN 'df = df.filter(F.col("status") == "active")'
+       WHEN 2 THEN 'df = df.groupBy("region").agg(F.sum("amount"))' WHEN 3 THEN 'df = df.select("region", "email")'
+       ELSE CASE WHEN p_partkey % 35 = 4 THEN 'df = df.select("*")' ELSE 'df = df.select("ssn")' END END || chr(10)
+  || CASE p_partkey % 4 WHEN 0 THEN 'df.write.mode("append").save("/lake/t' || CAST((p_partkey * 7 + 3) % 43 AS STRING) || '")'
+       WHEN 1 THEN 'df.write.saveAsTable("t' || CAST((p_partkey + 11) % 31 AS STRING) || '")'
+       WHEN 2 THEN 'df.write.partitionBy("day").parquet("/lake/t' || CAST((p_partkey + 1) % 47 AS STRING) || '")'
+       ELSE 'df.show()' END || chr(10) AS code
+FROM {part} WHERE p_partkey % 6 <> 5
+"""
+
 V_SESSIONS = """
 SELECT o_orderkey AS id, o_orderdate AS created_at,
   CAST(o_custkey AS STRING) || '|' || o_orderpriority AS input_text,
@@ -175,6 +194,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "v_scripts_v2": (V_SCRIPTS_V2, ("v_scripts",)),
     "v_submissions": (V_SUBMISSIONS, ("v_scripts",)),
     "v_quoted": (V_QUOTED, ("v_submissions",)),
+    "v_jobs": (V_JOBS, ("part",)),
     "v_sessions": (V_SESSIONS, ("orders",)),
     "v_reruns": (V_RERUNS, ("v_sessions",)),
     "v_artifacts": (V_ARTIFACTS, ("lineitem",)),
