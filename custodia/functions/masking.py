@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hmac
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,54 @@ def token(value: Column) -> Column:
     return F.sha2(value, 256)
 
 
+@dataclass(frozen=True)
+class Keyring:
+    """Secrets by version; the newest, or the one given, makes pseudonyms. Domains have keys of their own, derived from it.
+
+    Equal values of one domain have equal pseudonyms in every table, so masked tables join as the plain ones do. Values can't be
+    found by trial without the secret. A secret is a literal in the plan: keep plans and event logs as closed as keys.
+    """
+
+    secrets: Mapping[int, bytes]
+
+    def key(self, domain: str, version: int | None = None) -> bytes:
+        return hmac.digest(self.secrets[max(self.secrets) if version is None else version], domain.encode(), "sha256")
+
+    def pseudonym(self, value: Column, domain: str, version: int | None = None, digits: int = 32) -> Column:
+        """HMAC-SHA-256 of the value as text, its first hex digits behind the version; null stays null."""
+        number = max(self.secrets) if version is None else version
+        block = self.key(domain, number).ljust(64, b"\0")
+        inner, outer = (F.lit(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+        message = F.sha2(F.concat(inner, F.encode(value.cast("string"), "UTF-8")), 256)
+        code = F.sha2(F.concat(outer, F.unhex(message)), 256)
+        return F.concat(F.lit(f"{number}."), F.left(code, F.lit(digits)))
+
+
+def pseudonymise(df: DataFrame, domains: Mapping[str, str], keys: Keyring, version: int | None = None) -> DataFrame:
+    """Columns replaced by pseudonyms of their domain: columns that hold the same kind of value have the same domain."""
+    missing = sorted(set(domains) - set(df.columns))
+    if missing:
+        raise ValueError(f"columns to mask are missing: {', '.join(missing)}")
+    return df.withColumns({c: keys.pseudonym(F.col(c), domain, version) for c, domain in domains.items()})
+
+
+def crosswalk(values: DataFrame, column: str, domain: str, keys: Keyring, old: int, new: int) -> DataFrame:
+    """Rows (old_pseudonym, new_pseudonym) of the distinct values, to carry stored tables over to a new secret."""
+    known = values.select(F.col(column).cast("string").alias("value")).where("value is not null").distinct()
+    return known.select(
+        keys.pseudonym(F.col("value"), domain, old).alias("old_pseudonym"), keys.pseudonym(F.col("value"), domain, new).alias("new_pseudonym")
+    )
+
+
+def rotated(df: DataFrame, column: str, walk: DataFrame) -> DataFrame:
+    """The table with its old pseudonyms exchanged; those that the crosswalk lacks stay."""
+    return (
+        df.join(walk, df[column] == walk["old_pseudonym"], "left")
+        .withColumn(column, F.coalesce("new_pseudonym", column))
+        .select(*df.columns)
+    )
+
+
 def erase(value: Column) -> Column:
     return F.nullif(value, value)
 

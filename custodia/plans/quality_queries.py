@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from custodia import vocab
 from custodia.functions import text as TX
+from custodia.operators import history, rules
 from custodia.operators import quality as Q
-from custodia.operators import rules
 from custodia.plans.registry import in_list, query
 from custodia.session import fresh_path
 from custodia.sources import writes
@@ -336,3 +336,22 @@ def audit_append(ds: Dataset) -> DataFrame:
     writes.append_audit(log.where(F.col("severity") == "INFO"), path)
     writes.append_audit(log.where(F.col("severity") != "INFO"), path)
     return ds.spark.read.schema(log.schema).parquet(path)
+
+
+@query(
+    """
+WITH h AS (SELECT user_id, ts FROM events WHERE event_id % 10 < 7),
+b AS (SELECT user_id, ts FROM events WHERE event_id % 10 >= 7 UNION ALL SELECT user_id, ts FROM events WHERE event_id % 50 = 3
+  UNION ALL SELECT user_id, ts FROM events WHERE event_id % 100 = 8)
+SELECT user_id, ts, count(*) AS n_batch, (user_id, ts) IN (SELECT (user_id, ts) FROM h WHERE user_id IS NOT NULL AND ts IS NOT NULL) AS seen_before
+FROM b WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY user_id, ts HAVING count(*) > 1 OR seen_before
+"""
+)
+def incremental_unique(ds: Dataset) -> DataFrame:
+    """A batch of events, some delivered before and some twice, against a history of two batches."""
+    events, key = ds.table("events"), F.col("event_id")
+    past = history.KeyHistory(ds.spark, fresh_path(ds.spark, "key-history"), ("user_id", "ts"))
+    for name, rows in (("a", key % 10 < 4), ("b", (key % 10 >= 4) & (key % 10 < 7))):
+        past.add(events.where(rows), name)
+    batch = events.where(key % 10 >= 7).unionByName(events.where(key % 50 == 3)).unionByName(events.where(key % 100 == 8))
+    return history.incremental_unique(past, batch)
