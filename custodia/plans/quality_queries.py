@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from custodia import vocab
 from custodia.functions import text as TX
-from custodia.operators import history, rules
+from custodia.operators import history, rules, sketches
 from custodia.operators import quality as Q
 from custodia.plans.registry import in_list, query
 from custodia.session import fresh_path
@@ -355,3 +356,38 @@ def incremental_unique(ds: Dataset) -> DataFrame:
         past.add(events.where(rows), name)
     batch = events.where(key % 10 >= 7).unionByName(events.where(key % 50 == 3)).unionByName(events.where(key % 100 == 8))
     return history.incremental_unique(past, batch)
+
+
+QUANTILES = (0.5, 0.9, 0.99)
+LOG_GROWTH = repr(math.log(sketches.GROWTH))
+
+
+def _middle_sql(item: str) -> str:
+    size = f"pow({sketches.GROWTH!r}, abs({item}) - {sketches._OFFSET}) * {2 / (sketches.GROWTH + 1)!r}"
+    digits = f"pow(10.0, 8 - floor(log10({size})))"
+    return f"CASE WHEN {item} = 0 THEN 0.0 ELSE sign({item}) * round(({size}) * {digits}) / {digits} END"
+
+
+@query(
+    f"""
+WITH e AS (SELECT event_type, value, event_id FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'),
+b AS (SELECT event_type, CAST(CASE WHEN value = 0 THEN 0 ELSE sign(value) * (ceil(ln(abs(value)) / {LOG_GROWTH}) + {sketches._OFFSET}) END AS BIGINT) AS item, count(*) AS n
+  FROM e WHERE value IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY item) AS upto, sum(n) OVER (PARTITION BY event_type) AS total FROM b),
+q AS (SELECT event_type, CAST(max(total) AS BIGINT) AS n_values, {", ".join(f"min(CASE WHEN upto >= ceil(total * {q}) THEN item END) AS i{round(100 * q)}" for q in QUANTILES)}
+  FROM r GROUP BY event_type),
+h AS (SELECT DISTINCT event_type, CAST('0x' || substr(sha256(CAST(event_id AS VARCHAR)), 1, 13) AS BIGINT) AS item FROM e),
+k AS (SELECT event_type, count(*) AS n, max(item) AS last FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY item) AS nth FROM h) WHERE nth <= 1024 GROUP BY event_type)
+SELECT event_type, n_values, {", ".join(f"{_middle_sql(f'i{round(100 * q)}')} AS q{round(100 * q)}" for q in QUANTILES)},
+  CAST(CASE WHEN n < 1024 THEN n ELSE round(1023 / ((last + 1) / pow(2, 52))) END AS BIGINT) AS n_distinct
+FROM q JOIN k USING (event_type)
+"""
+)
+def profile_merged(ds: Dataset) -> DataFrame:
+    """Values and events of some days, from what was stored a day; some days were delivered twice."""
+    events = ds.table("events").withColumn("day", F.to_date("ts"))
+    path, day = fresh_path(ds.spark, "daily-sketches"), F.col("day")
+    for rows in (day < "2024-01-12", day.between("2024-01-10", "2024-01-31")):
+        sketches.store_days(events.where(rows), path, "day", ["event_type"], "value", "event_id")
+    stored = sketches.read_days(ds.spark, path, "day", "2024-01-05", "2024-01-20")
+    return sketches.profile(sketches.merged(stored, ["event_type"]), ["event_type"], QUANTILES)
