@@ -187,10 +187,17 @@ def _softmax(scores: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 200, sample_paragraphs: int = 2000) -> Model:
-    """The classifier with at most `sample_paragraphs` paragraphs, of the `sample_docs` documents of least hashed id, as unknown ones."""
-    chosen = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).orderBy(F.xxhash64("i"), "i").limit(sample_docs)
-    lines = chosen.select(F.explode(F.split("t", "\n")).alias("p")).where(F.length(F.trim("p")) > 0)
+def train(docs: DataFrame, text: str = "text", sample_docs: int = 200, sample_paragraphs: int = 2000) -> Model:
+    """The classifier with at most `sample_paragraphs` paragraphs, of the `sample_docs` different texts of least hash, as unknown ones.
+
+    The hashes are chosen first, so that no text is sorted or sent that isn't in the sample. Null and empty texts and repeated
+    rows give nothing more.
+    """
+    texts = docs.select(F.col(text).alias("t")).where(F.col("t") != "")
+    hashed = F.xxhash64("t")
+    chosen = texts.select(hashed.alias("h")).groupBy("h").agg(F.lit(1).alias("one")).orderBy("h").limit(sample_docs).select("h")
+    found = texts.withColumn("h", hashed).join(F.broadcast(chosen), "h", "left_semi").dropDuplicates(["h"])
+    lines = found.select(F.explode(F.split("t", "\n")).alias("p")).where(F.length(F.trim("p")) > 0)
     return fit(sorted(r["p"] for r in lines.orderBy(F.xxhash64("p"), "p").limit(sample_paragraphs).collect()))
 
 
