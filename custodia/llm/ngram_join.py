@@ -7,8 +7,9 @@ leaves one choice on which both sets agree. The hash of what a set has in such a
 sets that reach the threshold share one, for certain.
 
 Sets that share signatures under one tag, directly or over others, form families. Equal sets are one vertex from the start. Each
-family is compared exactly, in blocks of bounded size, and only edges that connect something new leave a
-task. Components of these edges are the classes.
+family is compared exactly, in blocks of bounded rows and shingles: first every block with itself and the family's first
+block, which connects what a family has in common; then only the sets outside the family's largest component, with
+all others. Only edges that connect something new leave a task. Components of these edges are the classes.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from custodia.llm.common import components, discard, may_match, staged, words_of
+from custodia.llm.common import components, discard, free_name, marked, may_match, staged, words_of
 
-BLOCK = 256  # sets of a family compared at a time with as many others
+BLOCK = 256  # sets of a family compared at a time with as many others,
+BLOCK_SHINGLES = 1_000_000  # and their shingles, 8 bytes each
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 FEW_WEAK = 1e-3
 SETS = "doc_id long, n_shingles long, vertex long, nodes array<long>"
@@ -137,8 +139,9 @@ def signatures(elements: np.ndarray, numerator: int, denominator: int) -> list[n
 
     A choice of parts in which the set has no element gives none, as unrelated sets would share it. A group with such a
     choice is weak. A set with no more weak groups than the layout has to spare keeps the guarantee
-    without them: a group that the guarantee names is not weak. Other sets, few by the layout, share one
-    more signature for their band: of a pair that reaches the threshold, either one keeps the guarantee, or both have it.
+    without them: a group that the guarantee names is not weak. Other sets, few by the layout and short ones mostly, have
+    their least elements as signatures besides, so many that two such sets that reach the threshold share one: they differ in too
+    few elements to have none of these in common. So of a pair, either one keeps the guarantee, or both have these.
     """
     if not len(elements):
         return []
@@ -163,7 +166,8 @@ def signatures(elements: np.ndarray, numerator: int, denominator: int) -> list[n
             weak |= ~there
             out.append(mixed(kept + first)[there])
         if weak.sum() > plan.spare:
-            out.append(mixed(np.array([_wrapped(tag + 1, _K[3])])))
+            least = len(elements) + 1 - -(-len(elements) * numerator // denominator)
+            out.append(mixed(elements[:least] * _K[1] + _wrapped(tag + 1, _K[3])))
         every.append(np.concatenate(out))
     return every
 
@@ -225,22 +229,21 @@ def _signed(signs: list[np.ndarray], nodes: list[int], counts: list[int]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(signs).view(np.int64)), pa.array(owners)], names=["signature", "node"])
 
 
-def linked_edges(left: list[str], right: list[str] | None, width: int, numerator: int, denominator: int) -> list[tuple[int, int]]:
-    """Edges that connect, over one another, all sets that reach the threshold: within left, or between left and right.
+def linked_edges(
+    sets: list[np.ndarray], vertex: list[int], numerator: int, denominator: int, first: int | None = None, label: np.ndarray | None = None
+) -> list[tuple[int, int]]:
+    """Edges that connect, over one another, all sets that reach the threshold: within the sets, or of the first ones with the others.
 
-    A set already connected to all it may be compared with is not looked at again.
+    Sets of one label are connected already. A set connected to all it may be compared with is not looked at again.
     """
-    first = [shingles(t, width) for t in left]
-    sets = first if right is None else first + [shingles(t, width) for t in right]
-    vertex = [vertex_of(s) for s in sets]
     sizes = np.array([len(s) for s in sets])
     _, where = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(sizes) - sizes
     held = np.zeros(where.max(initial=0) + 1, bool)
-    label = np.arange(len(sets))
+    label = np.arange(len(sets)) if label is None else label.copy()
     edges = []
-    for i in range(len(left)):
-        others = np.arange(i + 1 if right is None else len(left), len(sets))
+    for i in range(len(sets) if first is None else first):
+        others = np.arange(i + 1 if first is None else first, len(sets))
         others = others[label[others] != label[i]]
         fits = np.minimum(sizes[others], sizes[i]) * denominator >= numerator * np.maximum(sizes[others], sizes[i])
         others = others[fits]
@@ -260,44 +263,101 @@ def linked_edges(left: list[str], right: list[str] | None, width: int, numerator
     return edges
 
 
+def _elements(rows: DataFrame, width: int) -> DataFrame:
+    """The rows with their text's shingles as bytes in its place, and the vertex taken from them: rows may share an id."""
+    kept = [c for c in rows.columns if c not in ("text", "vertex")]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = {name: batch[name] for name in kept}
+            texts = batch["text"]
+            for start in range(0, batch.num_rows, 64):
+                found = [shingles(t.as_py(), width) for t in texts[start : start + 64]]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        **{n: c[start : start + 64] for n, c in table.items()},
+                        "vertex": pa.array([vertex_of(f) for f in found], pa.int64()),
+                        "elements": pa.array([f.tobytes() for f in found], pa.binary()),
+                    }
+                )
+
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept]
+    return rows.mapInArrow(measure, ", ".join([*kinds, "vertex long, elements binary"]))
+
+
+def _unpacked(rows: pd.DataFrame) -> list[np.ndarray]:
+    return [np.frombuffer(e, np.uint64) for e in rows["elements"]]
+
+
+def _dealt(rows: DataFrame, by: list[str], blocks: str, block: str, seed: int) -> DataFrame:
+    """Rows of each group dealt into numbered blocks that hold BLOCK rows and BLOCK_SHINGLES shingles on average at most."""
+    wanted = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    sizes = rows.groupBy(*by).agg(wanted.alias(blocks))
+    return rows.join(sizes, by).withColumn(block, F.pmod(F.xxhash64(F.lit(seed), "vertex"), F.col(blocks)).cast("int"))
+
+
 def family_links(members: DataFrame, docs: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
-    """Edges (a, b) between the vertices of each family. members: (family, vertex, doc_id), docs: (doc_id, text).
+    """Edges (a, b) between the vertices of each family. members: (family, vertex, n_shingles, doc_id), docs: (doc_id, text).
 
-    The members of a family are dealt into blocks; each pair of blocks is one task, so that a task's size is
-    bounded however large the family.
+    The members of a family are dealt into blocks. In the first round each block meets the family's first block, so that
+    a set is sent once, but for those of one block. In the second, the sets outside the largest component
+    that each family has then are dealt into blocks of their own, which meet all blocks. A task's size is bounded however
+    large the family.
     """
-    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
-    # Block i meets block j in the task (least, greatest); a family of one block has the task (0, 0) only.
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     # Another row may have the same id: vertices are taken from the texts again.
     docs = may_match(docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")), members, "doc_id")
-    with_text = dealt.join(docs, "doc_id").select("family", "vertex", "block", "blocks", "text")
-    sent = with_text.withColumn("other", other).select(
-        "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "vertex", "text"
-    )
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        rows = rows.sort_values("vertex")
-        left = rows["text"][rows["block"] == i].tolist()
-        right = None if i == j else rows["text"][rows["block"] == j].tolist()
-        if not left or right == []:
+    dealt = staged(_dealt(members, ["family"], "blocks", "block", 0), "dealt")
+
+    def with_elements(rows: DataFrame) -> DataFrame:
+        return _elements(rows.join(docs, "doc_id"), width)
+
+    def within(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("vertex").drop_duplicates("vertex")
+        found = linked_edges(_unpacked(rows), rows["vertex"].tolist(), numerator, denominator)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    everywhere = F.explode(F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block")))
+    sent = with_elements(dealt).select("family", everywhere.alias("task"), "vertex", "elements")
+    first = staged(sent.groupBy("family", "task").applyInPandas(within, EDGES), "links")
+
+    several = dealt.where("blocks > 1")
+    if not several.limit(1).count():
+        return first
+    known = components(first).select(F.col("id").alias("vertex"), F.col("component").alias("known"))
+    labelled = staged(several.join(known, "vertex", "left").withColumn("known", F.coalesce("known", "vertex")), "labelled")
+    sizes = labelled.groupBy("family", "known").agg(F.count("*").alias("n"))
+    largest = staged(sizes.groupBy("family").agg(F.max_by("known", F.struct("n", "known")).alias("largest"), F.count("*").alias("parts")), "largest")
+    open_ones = labelled.join(largest.where("parts > 1"), "family")
+    rest = _dealt(open_ones.where("known != largest"), ["family"], "rest_blocks", "rest_block", 1)
+    rest_sizes = staged(rest.select("family", "rest_blocks").distinct(), "rest_sizes")
+
+    def between(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["other", "vertex"]).drop_duplicates(["other", "vertex"])
+        left = int((~rows["other"]).sum())
+        if not 0 < left < len(rows):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        return pd.DataFrame(linked_edges(left, right, width, numerator, denominator), columns=["a", "b"], dtype="int64")
-
-    return sent.groupBy("family", "i", "j").applyInPandas(compare, EDGES)
-
-
-def classes(
-    docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """One row per document: doc_id, n_shingles and component_id, the smallest doc_id that it is linked to over others.
-
-    Two documents are linked when 100 * |A & B| >= percent * |A | B| for their sets of `width`-word shingles, A-Z
-    lower-cased; fewer words make one shingle. Documents without words, null ones included, are linked
-    with nothing, and so are rows with a null id, whose component_id is null. Repeated rows are linked with each other. Extra
-    columns are not looked at. An empty table gives no rows. Elements and sets are compared by 64-bit hashes.
+        _, label = np.unique(rows["known"].to_numpy(), return_inverse=True)
+        found = linked_edges(_unpacked(rows), rows["vertex"].tolist(), numerator, denominator, left, label)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    columns = ["family", "vertex", "known", "n_shingles", "doc_id", "i", "j", "other"]
+    outside = rest.select(
+        "*", F.col("rest_block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(False).alias("other")
+    ).select(columns)
+    inside = open_ones.join(rest_sizes, "family").select(
+        "*", F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)).alias("i"), F.col("block").alias("j"), F.lit(True).alias("other")
+    ).select(columns)
+    # One row of a set is enough for the vertex; the texts join before the copies are made.
+    met = with_elements(open_ones.select("family", "vertex", "doc_id")).select("family", "vertex", "elements")
+    pairs = outside.unionByName(inside).join(met, ["family", "vertex"])
+    second = pairs.groupBy("family", "i", "j").applyInPandas(between, EDGES)
+    return first.unionByName(second)
+
+
+def placed_classes(docs: DataFrame, width: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, vertex (a hash of its set, null without words), class (the same for linked sets).
+
+    Rows with a null id are in no class.
     """
     common = math.gcd(percent, 100)
     numerator, denominator = percent // common, 100 // common
@@ -312,16 +372,63 @@ def classes(
     stars = staged(stars, "candidates")
     families = components(stars)
     discard(shared)
-    first = usable.groupBy("vertex", "nodes").agg(F.min("doc_id").alias("doc_id"))
-    members = first.select("vertex", "doc_id", F.explode("nodes").alias("id")).join(families, "id")
-    members = staged(members.select(F.col("component").alias("family"), "vertex", "doc_id"), "families")
+    first = usable.groupBy("vertex", "nodes", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
+    members = first.select("vertex", "n_shingles", "doc_id", F.explode("nodes").alias("id")).join(families, "id")
+    members = staged(members.select(F.col("component").alias("family"), "vertex", "n_shingles", "doc_id"), "families")
     edges = staged(family_links(members, named.where("doc_id is not null"), width, numerator, denominator), "links")
     discard(stars)
     linked = components(edges).select(F.col("id").alias("vertex"), F.col("component").alias("class"))
     placed = found.drop("nodes").join(linked, "vertex", "left").withColumn("class", F.coalesce("class", "vertex"))
-    placed = staged(placed, "placed")
+    placed = staged(placed.withColumn("class", F.when(F.col("doc_id").isNotNull(), F.col("class"))), "placed")
     discard(found, members, edges)
-    least = placed.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
+    return placed
+
+
+def classes(
+    docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """One row per document: doc_id, n_shingles and component_id, the smallest doc_id that it is linked to over others.
+
+    Two documents are linked when 100 * |A & B| >= percent * |A | B| for their sets of `width`-word shingles, A-Z
+    lower-cased; fewer words make one shingle. Documents without words, null ones included, are linked
+    with nothing, and so are rows with a null id, whose component_id is null. Repeated rows are linked with each other. Extra
+    columns are not looked at. An empty table gives no rows. Elements and sets are compared by 64-bit hashes.
+    """
+    placed = placed_classes(docs, width, percent, doc_id, text)
+    least = placed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     least = staged(least, "least")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return placed.join(least, "class", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+def one_of_each_class(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, one of each class of linked ones: that of the smallest id, of its rows the one of the least set hash and text.
+
+    A row is told by its id and its set, so rows that share an id with an unrelated text are decided each for
+    itself. Rows without words and rows with a null id stay.
+    """
+    placed = placed_classes(docs, width, percent, doc_id, text).where("class is not null")
+    rows = placed.groupBy("class", "doc_id", "vertex").agg(F.count("*").alias("n"))
+    least = rows.groupBy("class").agg(F.min(F.struct("doc_id", "vertex")).alias("least"))
+    goes = F.col("least") != F.struct("doc_id", "vertex")
+    decided = rows.join(least, "class").select("doc_id", "vertex", "n", goes.alias("goes")).where("n > 1 or goes")
+    looked_at = staged(decided, "looked_at")
+    flag, vertex, copies, gone, nth = (free_name(docs, n) for n in ("_looked_at", "_vertex", "_n", "_goes", "_nth"))
+
+    @F.pandas_udf("long")
+    def vertex_udf(texts: pd.Series) -> pd.Series:
+        found = (shingles(t, width) for t in texts)
+        return pd.Series([vertex_of(f) if len(f) else None for f in found], dtype="Int64")
+
+    # Only rows whose id is looked at have to meet the decisions; the others pass where they are.
+    flagged = marked(docs, looked_at.select(F.col("doc_id").alias(doc_id)), doc_id, flag)
+    passed, rest = flagged.where(~F.col(flag)).drop(flag), flagged.where(flag).drop(flag)
+    keyed = rest.withColumn(vertex, vertex_udf(F.col(text)))
+    known = looked_at.select(F.col("doc_id").alias(f"{vertex}id"), F.col("vertex").alias(f"{vertex}of"), F.col("n").alias(copies), F.col("goes").alias(gone))
+    same = (keyed[doc_id] == known[f"{vertex}id"]) & (keyed[vertex] == known[f"{vertex}of"])
+    met = keyed.join(known, same, "left")
+    alone = met.where(F.col(copies).isNull()).select(*docs.columns)
+    others = F.to_json(F.struct(*[c for c in docs.columns if c != text] or [F.lit(1)]))
+    order = Window.partitionBy(doc_id, vertex).orderBy(text, others)
+    first = met.where(~F.col(gone)).withColumn(nth, F.row_number().over(order)).where(F.col(nth) <= 1).select(*docs.columns)
+    return passed.unionByName(alone).unionByName(first)

@@ -86,3 +86,23 @@ def stream_dedup(ds: Dataset) -> DataFrame:
 def stream_token_cap(ds: Dataset) -> DataFrame:
     sessions = _view(ds, "v_sessions", _stream(ds, "orders"))
     return streams.run_updates(streams.token_cap(sessions, DAILY_CAP), "stream-cap", ["day"])
+
+
+@query(
+    with_views(
+        """
+SELECT session_id, line_no, created_at FROM v_artifacts a
+WHERE created_at < TIMESTAMP '1998-01-01' AND NOT EXISTS (
+  SELECT 1 FROM v_sessions s WHERE s.id = a.session_id AND s.id % 13 <> 0
+    AND s.created_at BETWEEN a.created_at - INTERVAL 60 DAY AND a.created_at + INTERVAL 60 DAY)
+""",
+        "v_sessions",
+        "v_artifacts",
+    )
+)
+def stream_orphans(ds: Dataset) -> DataFrame:
+    """Artifacts whose run is missing, or further from them than 60 days; those of the last months still wait."""
+    sessions = _view(ds, "v_sessions", _stream(ds, "orders")).where("id % 13 <> 0")
+    artifacts = _view(ds, "v_artifacts", _stream(ds, "lineitem")).select("session_id", "line_no", "created_at")
+    lost = streams.orphans(artifacts, sessions, "session_id", "id", "created_at", "created_at", "60 days", "1 day", "line_no")
+    return streams.run_append(lost, "stream-orphans").where("created_at < timestamp_ntz'1998-01-01'")

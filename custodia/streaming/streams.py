@@ -141,3 +141,31 @@ def token_cap(stream: DataFrame, cap: int, late: str = "40 days") -> DataFrame:
         .where(F.col("tokens") > cap)
         .select(F.to_date("w.start").alias("day"), "tokens")
     )
+
+
+def orphans(
+    children: DataFrame, parents: DataFrame, child_key: str, parent_key: str, child_ts: str, parent_ts: str, within: str,
+    late: str, tell_apart: str, salts: int = 8,
+) -> DataFrame:
+    """Children whose parent doesn't come: none with their key, and a time within the span before or after theirs.
+
+    Both sides wait for the other as long as the span and the watermarks say, so the state is bounded by what comes in
+    that time. A child is given out once the watermark has passed its time and the span; what is later stays in
+    the state for the next run. A parent that comes later than that is late, and its child an orphan. Keys are salted by
+    ``tell_apart``, so that a parent with a third of the children is not one task's; parents go to every salt. Children
+    without a key name no parent and aren't listed.
+    """
+    salt = F.pmod(F.xxhash64(tell_apart), F.lit(salts))
+    waiting = (
+        children.where(F.col(child_key).isNotNull())
+        .withColumns({"_child_ts": F.col(child_ts).cast("timestamp"), "_salt": salt})
+        .withWatermark("_child_ts", late)
+    )
+    there = parents.select(
+        F.col(parent_key).alias("_parent"), F.col(parent_ts).cast("timestamp").alias("_parent_ts")
+    ).withWatermark("_parent_ts", late)
+    there = there.withColumn("_parent_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    same = (F.col(child_key) == F.col("_parent")) & (F.col("_salt") == F.col("_parent_salt"))
+    near = F.expr(f"_parent_ts between _child_ts - interval {within} and _child_ts + interval {within}")
+    joined = waiting.join(there, same & near, "left_outer")
+    return joined.where(F.col("_parent").isNull()).select(*children.columns)

@@ -102,6 +102,36 @@ def test_families_over_many_blocks(spark, monkeypatch):
     assert Counter(map(tuple, found.collect())) == plain_classes(rows, 3, 90)
 
 
+def test_short_unrelated_sets_make_no_family():
+    """Sets whose layout leaves choices empty share no signature for being short alone."""
+    rng = np.random.default_rng(4)
+    held = Counter()
+    for n in range(3000):
+        elements = np.unique(rng.integers(0, 2**63, 4 + n % 12).astype(np.uint64))
+        held.update({s for tag in ngram_join.signatures(elements, 4, 5) for s in tag.tolist()})
+    assert max(held.values()) == 1
+
+
+def test_family_of_two_kinds_over_many_blocks(spark, monkeypatch):
+    """Sets outside the largest component of a family meet all of its blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 6)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 400)
+    rng = random.Random(11)
+    bases = [prose(rng, 60) for _ in range(3)]
+    rows = [(i, edited(rng, bases[i % 3], rng.choice([0, 0.02, 0.06, 0.1]))) for i in range(75)]
+    docs = frame(spark, rows)
+    named = docs.select("doc_id", "text")
+    found = ngram_join.sets_of(named, 3, 4, 5).dropDuplicates(["vertex"])
+    members = found.select(F.lit(1).cast("long").alias("family"), "vertex", "n_shingles", "doc_id")
+    edges = [tuple(r) for r in ngram_join.family_links(members, named, 3, 4, 5).collect()]
+    vertices = {r["doc_id"]: r["vertex"] for r in ngram_join.sets_of(named, 3, 4, 5).collect()}
+    part = classes(list(set(vertices.values())), edges)
+    least = {}
+    for i in sorted(vertices):
+        least.setdefault(part[vertices[i]], i)
+    assert {i: least[part[v]] for i, v in vertices.items()} == {i: c for i, _, c in plain_classes(rows, 3, 80)}
+
+
 @given(size=st.integers(1, 400), cut=st.integers(0, 40), add=st.integers(0, 40), seed=st.integers(0, 10**6))
 @settings(max_examples=300, deadline=None)
 def test_similar_sets_share_a_signature(size, cut, add, seed):
@@ -228,9 +258,9 @@ def plain_passages(rows, least):
         if i is not None and t:
             for c in chunks_of(t):
                 holders[c[2]].add(i)
-                parts[i].add(c)
+                parts[i, t].add(c)
     out = set()
-    for i, own in parts.items():
+    for (i, _), own in parts.items():
         run = []
         for c in [*sorted(own, key=lambda c: c[:2]), None]:
             shared = c is not None and len(holders[c[2]]) > 1
@@ -269,6 +299,22 @@ def test_passages_of_odd_documents(odd, nothing):
     assert chunk_dedup.repeated_passages(nothing).collect() == []
 
 
+def test_passages_are_cut_from_their_own_text_only(spark):
+    rng = random.Random(9)
+    shared, other, more = (prose(rng, n) for n in (90, 150, 60))
+    rows = [(1, shared), (5, more + "\n" + shared), (5, other), (5, None)]
+    left = {(r["doc_id"], r["text"]) for r in chunk_dedup.without_passages(frame(spark, rows)).collect()}
+    assert {(1, shared), (5, other), (5, None)} < left and len(left) == 4
+    (cut,) = [t for i, t in left if i == 5 and t not in (None, other)]
+    assert cut.startswith(more) and len(cut) < len(more) + 150
+
+
+def test_rows_of_one_id_are_candidates_each(spark):
+    vectors = spark.createDataFrame([(100, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.5, 0.0])], "vec_id long, embedding array<float>")
+    found = topk_search.search(vectors, F.col("vec_id") % 100 == 0)
+    assert sorted(map(tuple, found.collect())) == [(100, 1, 1, 1048576), (100, 2, 1, 524288)]
+
+
 # -- top k -----------------------------------------------------------------------------------------------------------
 
 
@@ -280,7 +326,7 @@ def plain_best(rows, k):
     own = {i: min(vs) for i, vs in usable.items()}
     for q, a in own.items():
         if q % 10 == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in own.items() if i != q)
+            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, vs in usable.items() if i != q for b in vs)
             yield from ((q, rank, i, -s) for rank, (s, i) in enumerate(scored[:k], 1))
 
 

@@ -11,9 +11,9 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from custodia.llm import quality_rules, secret_scan
+from custodia.llm import ngram_join, quality_rules, secret_scan
 from tests.llm.conftest import frame, odd_rows, prose
-from tests.llm.test_pair_operators import WORDS, plain_classes, plain_removed
+from tests.llm.test_pair_operators import WORDS, plain_removed
 
 
 def documents():
@@ -47,17 +47,44 @@ def expected(spark, folder, docs, rows):
         rest = "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone)
         if not gone or WORDS.search(rest):
             lined.append((i, rest if gone else t))
-    own = {i for i, _, component in plain_classes(lined, 5, 80) if i is not None and i == component}
-    single = {i: min(t for j, t in lined if j == i) for i in own}
-    chosen = [*single.items(), *[(i, t) for i, t in lined if i is None]]
+    chosen = [*one_of_each(lined), *[(i, t) for i, t in lined if i is None]]
     return [(i, secret_scan.mask(t, secret_scan.find_spans(t))) for i, t in chosen]
 
 
+def one_of_each(rows):
+    """Of every class of linked rows the one with the least id, then set, then text."""
+    named = [(i, t, ngram_join.shingles(t, 5)) for i, t in rows if i is not None]
+    label = list(range(len(named)))
+    for x, (_, _, a) in enumerate(named):
+        for y, (_, _, b) in enumerate(named[:x]):
+            common = len(np.intersect1d(a, b))
+            if label[x] != label[y] and 100 * common >= 80 * (len(a) + len(b) - common):
+                label = [label[x] if k == label[y] else k for k in label]
+    best = {}
+    for k, (i, t, s) in zip(label, named, strict=True):
+        best[k] = min(best.get(k, (float("inf"),)), (i, ngram_join.vertex_of(s), t))
+    return [(i, t) for i, _, t in best.values()]
+
+
+def test_rows_that_share_an_id_are_decided_each_for_itself(spark):
+    rng = random.Random(7)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    rows = [(5, a), (5, b), (5, b), (3, b + " end"), (9, a + " end"), (4, c), (4, None), (4, ""), (None, a)]
+    for order in (rows, rows[::-1]):
+        kept = sorted(((r["doc_id"], r["text"]) for r in ngram_join.one_of_each_class(frame(spark, order), 5, 80).collect()), key=str)
+        assert kept == sorted([(5, a), (3, b + " end"), (4, c), (4, None), (4, ""), (None, a)], key=str)
+
+
+def test_extra_columns_of_any_type_stay(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", {"k": 1}), (1, "a b c d e f", {"j": 2}), (2, "x y z u v w", None)], "doc_id long, text string, m map<string,int>")
+    kept = ngram_join.one_of_each_class(df).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 2]
+
+
 def test_pipeline_against_plain_steps(spark, tmp_path):
     rows = documents()
     docs = written(spark, str(tmp_path), rows)
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = Counter()
     for i, t in expected(spark, str(tmp_path), docs, rows):
         ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 0]

@@ -167,3 +167,26 @@ def test_updates_keep_the_last_row_of_a_key(spark):
     stream = streams.read_stream(spark, base, "event_time string, severity string", files_per_batch=1)
     got = streams.run_updates(streams.audit_counts(stream, late="10 hours"), "test-updates-out", ["window_start", "severity"])
     assert sorted(r["n"] for r in got.collect()) == [1, 2, 3]
+
+
+def test_stream_orphans_wait_for_late_parents(spark):
+    """As the batch query for what the watermark has passed, whichever side comes first."""
+    day = F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(cast(id as int))")
+    children = spark.range(300).select("id", F.when(F.col("id") % 11 != 4, F.col("id") % 40).alias("parent"), day.alias("at"))
+    parents = spark.range(40).where("id % 3 <> 0").select("id", F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(cast(id * 7 as int))").alias("at"))
+    paths = [fresh_path(spark, "orphans-in") for _ in range(2)]
+    for path, df, order in zip(paths, (children, parents), ("at", "id desc"), strict=True):
+        for n in range(4):  # several files, the parents' newest first
+            df.where(f"id % 4 = {n}").orderBy(F.expr(order.split()[0])).coalesce(1).write.mode("append").parquet(path)
+    ends = "2024-09-01"
+    a, b = children.alias("a"), parents.alias("b")
+    near = F.expr("a.parent = b.id and b.at between a.at - interval 5 days and a.at + interval 5 days")
+    want = a.where("parent is not null").join(b, near, "left_anti").where(F.col("at") < ends)
+    child, parent = (streams.read_stream(spark, p, s, files_per_batch=2) for p, s in zip(paths, ("id long, parent long, at timestamp_ntz", "id long, at timestamp_ntz"), strict=True))
+    lost = streams.orphans(child, parent, "parent", "id", "at", "at", "5 days", "400 days", "id")
+    found = streams.run_append(lost, "orphans-test")
+    assert found.count() == 0  # all still wait
+    child, parent = (streams.read_stream(spark, p, s) for p, s in zip(paths, ("id long, parent long, at timestamp_ntz", "id long, at timestamp_ntz"), strict=True))
+    lost = streams.orphans(child, parent, "parent", "id", "at", "at", "5 days", "1 day", "id")
+    found = streams.run_append(lost, "orphans-test").where(F.col("at") < ends)
+    assert rows(found, "id") == rows(want, "id") and found.count() > 60
