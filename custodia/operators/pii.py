@@ -303,6 +303,92 @@ def scan_terms(
     )
 
 
+PREFIX_BITS = 20  # 131 kB, whatever the number of terms
+
+
+def _phrases(terms: DataFrame) -> DataFrame:
+    """Distinct terms with their words, at least one."""
+    split = terms.select("term", "label", F.filter(F.split("term", r"\W+"), lambda w: w != "").alias("_term")).distinct()
+    return split.where(F.size("_term") > 0)
+
+
+def _place_of(phrase: Column) -> Column:
+    return F.pmod(F.xxhash64(phrase), F.lit(1 << PREFIX_BITS)).cast("int")
+
+
+def _held(bits: bytes, phrase: Column) -> Column:
+    """Whether the field has the phrase's bit."""
+    place = _place_of(phrase)
+    byte = F.conv(F.hex(F.substring(F.lit(bits), F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, place.bitwiseAND(7)) == 1
+
+
+def prefix_table(terms: DataFrame) -> tuple[bytes, bytes, int]:
+    """Of the terms' words: a bit field of all their prefixes, one of the whole terms, and the most words of a term."""
+    words = _phrases(terms)
+    longest = words.agg(F.max(F.size("_term"))).first()[0] or 0
+
+    def field(phrases: Column) -> bytes:
+        place = _place_of(F.col("p"))
+        rows = words.select(F.explode(phrases).alias("p")).select(F.shiftright(place, 3).alias("at"), place.bitwiseAND(7).alias("bit"))
+        bits = bytearray(1 << (PREFIX_BITS - 3))
+        for r in rows.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1, bit)")).alias("byte")).collect():  # as many as the field has bytes
+            bits[r["at"]] = r["byte"]
+        return bytes(bits)
+
+    prefixes = F.transform(F.sequence(F.lit(1), F.size("_term")), lambda k: F.array_join(F.slice("_term", 1, k), " "))
+    return field(prefixes), field(F.array(F.array_join("_term", " "))), longest
+
+
+def scan_phrases(df: DataFrame, ids: Sequence[str], text: str, terms: DataFrame) -> DataFrame:
+    """As ``scan_terms`` with its results, for many terms: a prefix table decides before words become rows.
+
+    Along a literal's words a phrase grows while the field of prefixes has it, and is a candidate where the field of whole
+    terms has it too. Fields may have bits of other phrases, so candidates meet the terms in a join, by the whole phrase.
+    """
+    prefixes, wholes, longest = prefix_table(terms)
+    literals = T.regex_extract_all(F.col(text), r"""["']([^"']{10,})["']""", 1)
+    split = (
+        df.select(*ids, F.posexplode_outer(literals).alias("literal_no", "_literal"))
+        .where(F.col("_literal").isNotNull())
+        .select(*ids, "literal_no", S.once(_words=F.split("_literal", r"\W+")))
+    )
+    size = F.size("_words")
+
+    def phrase(at: Column, n: Column) -> Column:
+        return F.array_join(F.slice("_words", at + 1, n), " ")
+
+    starts = F.filter(F.sequence(F.lit(0), size - 1), lambda at: _held(prefixes, F.get("_words", at)))
+    begun = split.select(*ids, "literal_no", "_words", S.once(_starts=starts)).where(F.size("_starts") > 0)
+
+    def ends(at: Column) -> Column:
+        """Numbers of words after which a term may end."""
+        lengths = F.sequence(F.lit(1), F.least(F.lit(max(longest, 1)), size - at))
+        start = F.struct(F.lit(True).alias("on"), F.array().cast("array<int>").alias("ends"))
+
+        def step(state: Column, n: Column) -> Column:
+            on = state["on"] & _held(prefixes, phrase(at, n))
+            ended = F.when(on & _held(wholes, phrase(at, n)), F.concat(state["ends"], F.array(n))).otherwise(state["ends"])
+            return F.struct(on.alias("on"), ended.alias("ends"))
+
+        found = F.aggregate(lengths, start, step, lambda state: state["ends"])
+        return F.transform(found, lambda n: F.struct(at.alias("word_no"), phrase(at, n).alias("_phrase")))
+
+    candidates = begun.select(*ids, "literal_no", F.explode_outer(F.flatten(F.transform("_starts", ends))).alias("_x")).where(
+        F.col("_x").isNotNull()
+    )
+    wanted = _phrases(terms).select("term", "label", F.array_join("_term", " ").alias("_phrase"))
+    return candidates.select(*ids, "literal_no", "_x.word_no", "_x._phrase").join(wanted, "_phrase").select(
+        *ids,
+        "literal_no",
+        "word_no",
+        F.concat(F.lit("NER_"), F.col("label")).alias("type"),
+        F.col("term").alias("text"),
+        F.lit(2).alias("score"),
+        F.lit("terms").alias("source"),
+    )
+
+
 def all_findings(text: DataFrame, columns: DataFrame, terms: DataFrame) -> DataFrame:
     """Put the three detectors' findings into one table; what a detector lacks is null."""
     parts = [

@@ -295,6 +295,11 @@ def gazetteer_scan(ds: Dataset) -> DataFrame:
     return pii.scan_terms(ds.view("v_notes"), ["id"], "text", ds.view("v_terms"))
 
 
+@query(with_views(_terms_sql(), "v_notes", "v_terms"))
+def phrase_scan(ds: Dataset) -> DataFrame:
+    return pii.scan_phrases(ds.view("v_notes"), ["id"], "text", ds.view("v_terms"))
+
+
 @query(
     with_views(
         f"""
