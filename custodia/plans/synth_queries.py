@@ -12,6 +12,7 @@ from custodia.functions import script as S
 from custodia.operators import diff, synth
 from custodia.operators import ordered_diff as ordered
 from custodia.operators import reconcile as digest_tree
+from custodia.operators import twin as twins
 from custodia.plans.pii_queries import columns_sql
 from custodia.plans.quality_queries import MERGED, UPDATES, customer_updates
 from custodia.plans.registry import actual_type_sql, query, str_list
@@ -321,3 +322,47 @@ def reconcile(ds: Dataset) -> DataFrame:
     for path, version in zip(paths, (orders, ds.spark.sql(REVISED_ORDERS, orders=orders)), strict=True):
         digest_tree.write_digested(version, path, ["o_orderkey"])
     return digest_tree.reconcile_written(ds.spark, *paths, ["o_orderkey"])
+
+
+TWIN_KEYS = {"c_custkey": "customer", "o_custkey": "customer", "o_orderkey": "order", "l_orderkey": "order", "c_nationkey": "nation"}
+
+
+@query(
+    """
+SELECT 'customers with orders' AS measure, count(DISTINCT c_custkey) AS n FROM customer JOIN orders ON c_custkey = o_custkey
+UNION ALL SELECT 'customer rows joined', count(*) FROM customer JOIN orders ON c_custkey = o_custkey
+UNION ALL SELECT 'order rows joined', count(*) FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+UNION ALL SELECT 'most lines of an order', max(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)
+UNION ALL SELECT 'keys that stay', 0
+UNION ALL SELECT 'quantiles beyond two hundredths', 0
+"""
+)
+def synthetic_twin(ds: Dataset) -> DataFrame:
+    """Customers, orders and lines as twins: they join like the originals, and prices keep their quantiles."""
+    identities = {"customer": ["c_custkey"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"]}
+    tables = {t: ds.table(t) for t in identities}
+    made = {
+        t: twins.twin(df, identities[t], {c: d for c, d in TWIN_KEYS.items() if c in df.columns}, "a secret") for t, df in tables.items()
+    }
+    customer, orders, lines = made.values()
+    buyers = customer.join(orders, F.col("c_custkey") == F.col("o_custkey"))
+
+    def measure(name: str, df: DataFrame, value) -> DataFrame:
+        return df.agg(value.cast("bigint").alias("n")).select(F.lit(name).alias("measure"), "n")
+
+    shares = [0.1, 0.25, 0.5, 0.75, 0.9]
+
+    def quantiles(df: DataFrame) -> DataFrame:
+        return df.agg(F.percentile_approx("o_totalprice", F.array(*map(F.lit, shares)), 10_000).alias("q"))
+
+    both = quantiles(orders).select(F.col("q").alias("a")).join(quantiles(tables["orders"]).select(F.col("q").alias("b")), F.lit(True))
+    far = F.filter(F.arrays_zip("a", "b"), lambda x: F.abs(x["a"] - x["b"]) > 0.02 * F.greatest(F.abs(x["b"]), F.lit(1.0)))
+    parts = [
+        measure("customers with orders", buyers, F.count_distinct("c_custkey")),
+        measure("customer rows joined", buyers, F.count(F.lit(1))),
+        measure("order rows joined", orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")), F.count(F.lit(1))),
+        measure("most lines of an order", lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("k")), F.max("k")),
+        measure("keys that stay", orders.join(tables["orders"].select("o_orderkey"), "o_orderkey", "left_semi"), F.count(F.lit(1))),
+        both.select(F.lit("quantiles beyond two hundredths").alias("measure"), F.size(far).cast("bigint").alias("n")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
