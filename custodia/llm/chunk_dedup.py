@@ -21,7 +21,7 @@ from custodia.llm.common import free_name, may_match, staged
 
 BITS, SHORTEST, LONGEST = 5, 16, 80  # chunks of some 45 bytes on average
 GEAR = np.random.default_rng(2).integers(0, 2**32, 256, dtype=np.uint32)
-CHUNKS = "doc_id long, digests array<long>, ends array<int>"
+CHUNKS = "doc_id long, text_hash long, digests array<long>, ends array<int>"
 
 
 def chunk_ends(raw: bytes) -> list[int]:
@@ -49,13 +49,13 @@ def chunk_ends(raw: bytes) -> list[int]:
 
 
 def chunks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows (doc_id, digests, ends): each text's chunks, with their ends in code points."""
+    """Rows (doc_id, text_hash, digests, ends): each text's chunks, with their ends in code points."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests: list[int] = []
             places: list[np.ndarray] = []
-            for cell in batch.column(1):
+            for cell in batch.column(2):
                 raw = cell.as_py().encode()
                 ends = chunk_ends(raw) if raw else []
                 start = 0
@@ -68,27 +68,20 @@ def chunks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             flat = pa.array(np.concatenate(places) if places else np.zeros(0, np.int32))
             hashes = pa.array(np.array(digests, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(offsets, hashes), pa.ListArray.from_arrays(offsets, flat)],
-                names=["doc_id", "digests", "ends"],
+                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, hashes), pa.ListArray.from_arrays(offsets, flat)],
+                names=["doc_id", "text_hash", "digests", "ends"],
             )
 
-    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     return named.where("doc_id is not null and text != ''").mapInArrow(cut, CHUNKS)
 
 
-def repeated_passages(docs: DataFrame, least: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, start, end, n_chunks, first_doc_id, is_first, copied): maximal runs of chunks that other documents have too.
-
-    Offsets are code points, the end exclusive; runs under `least` code points are left out. is_first: no chunk of the run is in
-    a document of a smaller id. first_doc_id is the smallest id that has any of its chunks. copied: the parts (start, end) of the run
-    whose chunks are all in documents of smaller ids; the rest of the run is first seen here, and only copied parts may go. What a document
-    repeats within itself only does not count; rows that repeat an id are one document. Rows with null ids take no part, null and
-    empty texts have no chunks. An empty table gives no rows. Digests have 64 bits: a run of
-    `least` code points has two chunks or more, so a chance match of digests makes none.
-    """
+def _passages(docs: DataFrame, least: int, doc_id: str, text: str) -> DataFrame:
+    """The rows of `repeated_passages`, by id and text: rows that share an id have passages each of its own."""
+    row = ["doc_id", "text_hash"]
     cut = staged(chunks(docs, doc_id, text), "chunks")
     each = cut.select(
-        "doc_id",
+        *row,
         F.inline(
             F.zip_with(
                 F.arrays_zip("digests", "ends"),
@@ -101,14 +94,14 @@ def repeated_passages(docs: DataFrame, least: int = 100, doc_id: str = "doc_id",
     ).where("digest is not null")
     shared = each.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last")
     shared = staged(shared.drop("last"), "digests")
-    hits = may_match(each, shared, "digest").join(shared, "digest").select("doc_id", "start", "end", "first").distinct()
-    in_order = Window.partitionBy("doc_id").orderBy("start", "end", "first")
+    hits = may_match(each, shared, "digest").join(shared, "digest").select(*row, "start", "end", "first").distinct()
+    in_order = Window.partitionBy(*row).orderBy("start", "end", "first")
     opens = F.when(F.lag("end").over(in_order) >= F.col("start"), 0).otherwise(1)
     own = F.col("first") == F.col("doc_id")
     turns = F.when(F.lag(own).over(in_order) == own, F.col("opens")).otherwise(1)
     runs = hits.withColumn("opens", opens).withColumn("turns", turns)
     runs = runs.withColumn("run", F.sum("opens").over(in_order)).withColumn("part", F.sum("turns").over(in_order))
-    parts = runs.groupBy("doc_id", "run", "part").agg(
+    parts = runs.groupBy(*row, "run", "part").agg(
         F.min("start").cast("long").alias("start"),
         F.max("end").cast("long").alias("end"),
         F.count("*").alias("n"),
@@ -116,7 +109,7 @@ def repeated_passages(docs: DataFrame, least: int = 100, doc_id: str = "doc_id",
     )
     copy = F.when(F.col("first") != F.col("doc_id"), F.struct("start", "end"))
     return (
-        parts.groupBy("doc_id", "run")
+        parts.groupBy(*row, "run")
         .agg(
             F.min("start").alias("start"),
             F.max("end").alias("end"),
@@ -126,16 +119,34 @@ def repeated_passages(docs: DataFrame, least: int = 100, doc_id: str = "doc_id",
         )
         .where(F.col("end") - F.col("start") >= least)
         .withColumn("is_first", F.col("first_doc_id") == F.col("doc_id"))
-        .select("doc_id", "start", "end", "n_chunks", "first_doc_id", "is_first", "copied")
+        .select(*row, "start", "end", "n_chunks", "first_doc_id", "is_first", "copied")
     )
 
 
+def repeated_passages(docs: DataFrame, least: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (doc_id, start, end, n_chunks, first_doc_id, is_first, copied): maximal runs of chunks that other documents have too.
+
+    Offsets are code points, the end exclusive; runs under `least` code points are left out. is_first: no chunk of the run is in
+    a document of a smaller id. first_doc_id is the smallest id that has any of its chunks. copied: the parts (start, end) of the run
+    whose chunks are all in documents of smaller ids; the rest of the run is first seen here, and only copied parts may go. What a document
+    repeats within itself only does not count, nor what only rows of one id share; rows that repeat an id have runs each for its
+    own text, equal ones once. Rows with null ids take no part, null and
+    empty texts have no chunks. An empty table gives no rows. Digests have 64 bits: a run of
+    `least` code points has two chunks or more, so a chance match of digests makes none.
+    """
+    return _passages(docs, least, doc_id, text).drop("text_hash")
+
+
 def without_passages(docs: DataFrame, least: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, all their columns, without the passages that a document of a smaller id has too."""
-    copies = repeated_passages(docs, least, doc_id, text).where(~F.col("is_first"))
-    spans = copies.groupBy(F.col("doc_id").alias("_copy_id")).agg(F.sort_array(F.flatten(F.collect_list("copied"))).alias("_copies"))
+    """The documents, all their columns, without the passages that a document of a smaller id has too.
+
+    Passages are cut from the text they were found in, also where other rows have the same id.
+    """
+    copies = _passages(docs, least, doc_id, text).where(~F.col("is_first"))
+    of_text = copies.groupBy(F.col("doc_id").alias("_copy_id"), F.col("text_hash").alias("_copy_text"))
+    spans = of_text.agg(F.sort_array(F.flatten(F.collect_list("copied"))).alias("_copies"))
     spans = spans.toDF(*(free_name(docs, c) for c in spans.columns))
-    copy_id, cuts = spans.columns
+    copy_id, copy_text, cuts = spans.columns
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, gone: pd.Series) -> pd.Series:
@@ -150,5 +161,6 @@ def without_passages(docs: DataFrame, least: int = 100, doc_id: str = "doc_id",
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(spans, docs[doc_id].cast("long") == F.col(copy_id), "left")
+    same = (docs[doc_id].cast("long") == F.col(copy_id)) & (F.xxhash64(docs[text]) == F.col(copy_text))
+    joined = docs.join(spans, same, "left")
     return joined.withColumn(text, F.when(F.col(cuts).isNull(), F.col(text)).otherwise(rest(F.col(text), F.col(cuts)))).select(*docs.columns)

@@ -14,6 +14,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+BATCH_ROWS, BATCH_BYTES = 2000, 16 * 1024**2
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand whole texts to Python workers no more than so many rows and bytes at a time. Settings of the session, only ever lowered."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).removesuffix("b")
+        if now.lstrip("-").isdigit() and not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """The rows written to the shared folder and read again.
 

@@ -9,7 +9,7 @@ sets that reach the threshold share one, for certain.
 Sets that share signatures under one tag, directly or over others, form families. Equal sets are one vertex from the start. Each
 family is compared exactly, in blocks of bounded rows and shingles: first every block with itself and the family's first
 block, which connects what a family has in common; then only the sets outside the family's largest component, with
-all others. Only edges that connect something new leave a task. Components of these edges are the classes.
+all others, by a field of parities first. Components of the edges found are the classes.
 """
 
 from __future__ import annotations
@@ -27,10 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from custodia.llm.common import components, discard, free_name, marked, may_match, staged, words_of
+from custodia.llm.common import components, discard, free_name, marked, may_match, small_batches, staged, words_of
 
 BLOCK = 256  # sets of a family compared at a time with as many others,
-BLOCK_SHINGLES = 1_000_000  # and their shingles, 8 bytes each
+BLOCK_SHINGLES = 250_000  # and their shingles, 8 bytes each
+GRID_ROWS, GRID_SHINGLES = 2048, 2_000_000  # the same by parities, a byte a shingle
+MOST_PLACES = 1 << 17
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 FEW_WEAK = 1e-3
 SETS = "doc_id long, n_shingles long, vertex long, nodes array<long>"
@@ -229,21 +231,19 @@ def _signed(signs: list[np.ndarray], nodes: list[int], counts: list[int]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(signs).view(np.int64)), pa.array(owners)], names=["signature", "node"])
 
 
-def linked_edges(
-    sets: list[np.ndarray], vertex: list[int], numerator: int, denominator: int, first: int | None = None, label: np.ndarray | None = None
-) -> list[tuple[int, int]]:
-    """Edges that connect, over one another, all sets that reach the threshold: within the sets, or of the first ones with the others.
+def linked_edges(sets: list[np.ndarray], vertex: list[int], numerator: int, denominator: int) -> list[tuple[int, int]]:
+    """Edges that connect, over one another, all sets that reach the threshold.
 
-    Sets of one label are connected already. A set connected to all it may be compared with is not looked at again.
+    A set connected to all it may be compared with is not looked at again.
     """
     sizes = np.array([len(s) for s in sets])
     _, where = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(sizes) - sizes
     held = np.zeros(where.max(initial=0) + 1, bool)
-    label = np.arange(len(sets)) if label is None else label.copy()
+    label = np.arange(len(sets))
     edges = []
-    for i in range(len(sets) if first is None else first):
-        others = np.arange(i + 1 if first is None else first, len(sets))
+    for i in range(len(sets)):
+        others = np.arange(i + 1, len(sets))
         others = others[label[others] != label[i]]
         fits = np.minimum(sizes[others], sizes[i]) * denominator >= numerator * np.maximum(sizes[others], sizes[i])
         others = others[fits]
@@ -289,11 +289,61 @@ def _unpacked(rows: pd.DataFrame) -> list[np.ndarray]:
     return [np.frombuffer(e, np.uint64) for e in rows["elements"]]
 
 
-def _dealt(rows: DataFrame, by: list[str], blocks: str, block: str, seed: int) -> DataFrame:
-    """Rows of each group dealt into numbered blocks that hold BLOCK rows and BLOCK_SHINGLES shingles on average at most."""
-    wanted = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-    sizes = rows.groupBy(*by).agg(wanted.alias(blocks))
-    return rows.join(sizes, by).withColumn(block, F.pmod(F.xxhash64(F.lit(seed), "vertex"), F.col(blocks)).cast("int"))
+def _dealt(rows: DataFrame, blocks: str, block: str, most_rows: int, most_shingles: int) -> DataFrame:
+    """Members of each family dealt into numbered blocks that hold so many rows and shingles on average at most."""
+    wanted = F.greatest(F.ceil(F.count("*") / most_rows), F.ceil(F.sum("n_shingles") / most_shingles)).cast("int")
+    sizes = rows.groupBy("family").agg(wanted.alias(blocks))
+    return rows.join(sizes, "family").withColumn(block, F.pmod(F.xxhash64(F.lit(block), "vertex"), F.col(blocks)).cast("int"))
+
+
+def _parities(rows: DataFrame) -> DataFrame:
+    """The rows with their elements as parities: of each place the elements fall on, whether they are an odd number.
+
+    Two sets' parities differ in no more places than the sets differ in elements.
+    """
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for places, held in zip(batch["places"].to_pylist(), batch["elements"], strict=True):
+                on = np.frombuffer(held.as_buffer(), np.uint64) % np.uint64(places)
+                found.append(np.packbits(np.bincount(on.astype(np.int64), minlength=places).astype(np.uint8) & 1).tobytes())
+            table = {n: batch[n] for n in ("family", "vertex", "known", "n_shingles")}
+            yield pa.RecordBatch.from_pydict({**table, "parities": pa.array(found, pa.binary())})
+
+    return rows.mapInArrow(measure, "family long, vertex long, known long, n_shingles long, parities binary")
+
+
+def _close_pairs(rows: pd.DataFrame, numerator: int, denominator: int) -> pd.DataFrame:
+    """Pairs of one set outside the largest component and another whose parities don't rule the threshold out."""
+    left, right = rows[~rows["other"]], rows[rows["other"]]
+    pairs: list[tuple[int, int]] = []
+    if len(left) and len(right):
+        field = np.frombuffer(b"".join(right["parities"]), np.uint64).reshape(len(right), -1)
+        sizes, known, vertices = (right[c].to_numpy() for c in ("n_shingles", "known", "vertex"))
+        for own, size, label, vertex in zip(left["parities"], left["n_shingles"], left["known"], left["vertex"], strict=True):
+            fits = np.minimum(sizes, size) * denominator >= numerator * np.maximum(sizes, size)
+            fits = np.flatnonzero(fits & (known != label))
+            apart = np.bitwise_count(field[fits] ^ np.frombuffer(own, np.uint64)).sum(axis=1, dtype=np.int64)
+            close = fits[apart * (denominator + numerator) <= (denominator - numerator) * (sizes[fits] + size)]
+            pairs += [(min(vertex, v), max(vertex, v)) for v in vertices[close].tolist()]
+    return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
+
+
+def _linked_pairs(pairs: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Those of the rows (a, b, left, right) whose elements reach the threshold."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch["left"], batch["right"], strict=True):
+                own, other = (np.frombuffer(e.as_buffer(), np.uint64) for e in (x, y))
+                common = len(np.intersect1d(own, other, assume_unique=True))
+                keep.append(denominator * common >= numerator * (len(own) + len(other) - common))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch[c].filter(mask) for c in ("a", "b")], names=["a", "b"])
+
+    return pairs.mapInArrow(verify, EDGES)
 
 
 def family_links(members: DataFrame, docs: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
@@ -301,12 +351,12 @@ def family_links(members: DataFrame, docs: DataFrame, width: int, numerator: int
 
     The members of a family are dealt into blocks. In the first round each block meets the family's first block, so that
     a set is sent once, but for those of one block. In the second, the sets outside the largest component
-    that each family has then are dealt into blocks of their own, which meet all blocks. A task's size is bounded however
-    large the family.
+    that each family has then meet all others of another component, by their parities, an eighth of the
+    elements' size; what these don't rule out is compared. A task's size is bounded however large the family.
     """
     # Another row may have the same id: vertices are taken from the texts again.
     docs = may_match(docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")), members, "doc_id")
-    dealt = staged(_dealt(members, ["family"], "blocks", "block", 0), "dealt")
+    dealt = staged(_dealt(members, "blocks", "block", BLOCK, BLOCK_SHINGLES), "dealt")
 
     def with_elements(rows: DataFrame) -> DataFrame:
         return _elements(rows.join(docs, "doc_id"), width)
@@ -320,38 +370,37 @@ def family_links(members: DataFrame, docs: DataFrame, width: int, numerator: int
     sent = with_elements(dealt).select("family", everywhere.alias("task"), "vertex", "elements")
     first = staged(sent.groupBy("family", "task").applyInPandas(within, EDGES), "links")
 
-    several = dealt.where("blocks > 1")
+    several = dealt.where("blocks > 1").drop("blocks", "block")
     if not several.limit(1).count():
         return first
     known = components(first).select(F.col("id").alias("vertex"), F.col("component").alias("known"))
     labelled = staged(several.join(known, "vertex", "left").withColumn("known", F.coalesce("known", "vertex")), "labelled")
-    sizes = labelled.groupBy("family", "known").agg(F.count("*").alias("n"))
-    largest = staged(sizes.groupBy("family").agg(F.max_by("known", F.struct("n", "known")).alias("largest"), F.count("*").alias("parts")), "largest")
-    open_ones = labelled.join(largest.where("parts > 1"), "family")
-    rest = _dealt(open_ones.where("known != largest"), ["family"], "rest_blocks", "rest_block", 1)
-    rest_sizes = staged(rest.select("family", "rest_blocks").distinct(), "rest_sizes")
-
-    def between(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["other", "vertex"]).drop_duplicates(["other", "vertex"])
-        left = int((~rows["other"]).sum())
-        if not 0 < left < len(rows):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        _, label = np.unique(rows["known"].to_numpy(), return_inverse=True)
-        found = linked_edges(_unpacked(rows), rows["vertex"].tolist(), numerator, denominator, left, label)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    columns = ["family", "vertex", "known", "n_shingles", "doc_id", "i", "j", "other"]
+    sizes = labelled.groupBy("family", "known").agg(F.count("*").alias("n"), F.max("n_shingles").alias("longest"))
+    largest = sizes.groupBy("family").agg(
+        F.max_by("known", F.struct("n", "known")).alias("largest"), F.count("*").alias("parts"), F.max("longest").alias("longest")
+    )
+    # Eight places an element, as a power of two.
+    places = F.least(F.lit(MOST_PLACES), 64 * F.pow(F.lit(2), F.ceil(F.log2(F.col("longest") / 8))))
+    largest = staged(largest.where("parts > 1").select("family", "largest", F.greatest(F.lit(64), places).cast("int").alias("places")), "largest")
+    open_ones = labelled.join(largest, "family")
+    elements = staged(with_elements(open_ones.select("family", "known", "n_shingles", "doc_id", "places", "largest")), "elements")
+    grid = staged(_parities(elements), "parities").join(largest, "family")
+    grid = _dealt(grid, "blocks", "block", GRID_ROWS, GRID_SHINGLES)
+    rest = _dealt(grid.where("known != largest"), "rest_blocks", "rest_block", GRID_ROWS, GRID_SHINGLES)
+    rest_sizes = rest.select("family", "rest_blocks").distinct()
+    columns = ["family", "vertex", "known", "n_shingles", "parities", "i", "j", "other"]
     outside = rest.select(
         "*", F.col("rest_block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(False).alias("other")
     ).select(columns)
-    inside = open_ones.join(rest_sizes, "family").select(
+    inside = grid.join(rest_sizes, "family").select(
         "*", F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)).alias("i"), F.col("block").alias("j"), F.lit(True).alias("other")
     ).select(columns)
-    # One row of a set is enough for the vertex; the texts join before the copies are made.
-    met = with_elements(open_ones.select("family", "vertex", "doc_id")).select("family", "vertex", "elements")
-    pairs = outside.unionByName(inside).join(met, ["family", "vertex"])
-    second = pairs.groupBy("family", "i", "j").applyInPandas(between, EDGES)
-    return first.unionByName(second)
+    tasks = outside.unionByName(inside).groupBy("family", "i", "j")
+    pairs = staged(tasks.applyInPandas(lambda rows: _close_pairs(rows, numerator, denominator), EDGES).distinct(), "close")
+    held = elements.groupBy("vertex").agg(F.first("elements").alias("elements"))
+    met = pairs.join(held.select(F.col("vertex").alias("a"), F.col("elements").alias("left")), "a")
+    met = met.join(held.select(F.col("vertex").alias("b"), F.col("elements").alias("right")), "b")
+    return first.unionByName(_linked_pairs(met.select("a", "b", "left", "right"), numerator, denominator))
 
 
 def placed_classes(docs: DataFrame, width: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -361,6 +410,7 @@ def placed_classes(docs: DataFrame, width: int, percent: int, doc_id: str = "doc
     """
     common = math.gcd(percent, 100)
     numerator, denominator = percent // common, 100 // common
+    small_batches(docs.sparkSession)
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = staged(sets_of(named, width, numerator, denominator), "sets")
     usable = found.where("doc_id is not null and vertex is not null")

@@ -114,6 +114,10 @@ def first_bounds(queries: DataFrame, longest: list, k: int) -> DataFrame:
     return queries.mapInPandas(bound, "vec_id long, v array<long>, norm double, bound double")
 
 
+def length_of(vector: str) -> Column:
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
 def search(
     vectors: DataFrame,
     queries: Column,
@@ -129,21 +133,20 @@ def search(
 
     queries is a condition on the id column; every other row is a candidate of each query. Vectors that are null or
     hold null or non-finite components, and null ids, take no part. Vectors of different widths are compared as if
-    the shorter had zeros behind. An id that occurs more than once counts once, with its smallest vector. An empty table gives
-    no rows. `seeds` vectors, the longest, reach the driver for the first bounds; they bound work, not results.
+    the shorter had zeros behind. Rows that repeat an id are candidates of their own, for queries of other ids; such an id
+    asks once, with its smallest vector. An empty table gives no rows. `seeds` vectors, the longest, reach the driver for the first bounds; they bound work, not results.
     """
     spark = vectors.sparkSession
     valid = (
         vectors.where(F.col(vec_id).isNotNull() & usable(F.col(vector)))
         .select(F.col(vec_id).cast("long").alias("vec_id"), quantised(F.col(vector), scale).alias("v"))
-        .groupBy("vec_id")
-        .agg(F.min("v").alias("v"))
-        .withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))
+        .withColumn("norm", length_of("v"))
         .withColumn("bucket", F.when(F.col("norm") > 0, F.floor(F.log2("norm") * BUCKETS_PER_DOUBLING)).otherwise(-1).cast("int"))
     )
     valid = staged(valid, "vectors")
     longest = valid.select("vec_id", "v", "norm").orderBy(F.desc("norm"), "vec_id").limit(seeds).collect()
-    asked = staged(first_bounds(valid.where(queries).select("vec_id", "v", "norm"), longest, k), "queries")
+    asking = valid.where(queries).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("norm", length_of("v"))
+    asked = staged(first_bounds(asking, longest, k), "queries")
     query_tiles = max(1, -(-asked.count() // tile_queries))
     # Tiles of each length bucket; the table has a row a bucket, and doubles have at most some 17,000 of them.
     sizes = valid.groupBy("bucket").agg(F.count("*").alias("n"), F.max("norm").alias("longest"))

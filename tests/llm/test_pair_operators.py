@@ -116,6 +116,7 @@ def test_family_of_two_kinds_over_many_blocks(spark, monkeypatch):
     """Sets outside the largest component of a family meet all of its blocks."""
     monkeypatch.setattr(ngram_join, "BLOCK", 6)
     monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 400)
+    monkeypatch.setattr(ngram_join, "GRID_ROWS", 16)
     rng = random.Random(11)
     bases = [prose(rng, 60) for _ in range(3)]
     rows = [(i, edited(rng, bases[i % 3], rng.choice([0, 0.02, 0.06, 0.1]))) for i in range(75)]

@@ -31,7 +31,6 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 @pytest.fixture(scope="module")
 def tokenizer():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return t
 
 
