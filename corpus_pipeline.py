@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custodia.llm import line_dedup, ngram_join, packing, quality_rules, secret_scan
-from custodia.llm.common import free_name, marked, staged, table
+from custodia.llm.common import free_name, small_batches, staged, table
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -23,6 +23,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; null and empty texts fail them."""
+    small_batches(spark)
     forest = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
     name = free_name(docs, "_verdict")
     judged = docs.withColumn(name, quality_rules.verdict(F.col("text"), forest))
@@ -36,19 +37,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the smallest id; rows with a null id stay."""
-    found = staged(ngram_join.classes(docs, width=5, percent=80), "classes")
-    # Only rows whose id goes, or comes more than once, have to meet the classes; the others pass where they are.
-    twice = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") != F.col("component_id")).alias("goes"))
-    looked_at = staged(twice.where("doc_id is not null and (n > 1 or goes)").select("doc_id", "goes"), "looked_at")
-    flag = free_name(docs, "_looked_at")
-    flagged = marked(docs, looked_at, "doc_id", flag)
-    passed, rest = flagged.where(~F.col(flag)).drop(flag), flagged.where(flag).drop(flag)
-    kept = rest.join(looked_at.where("goes").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    # Rows that repeat an id: the first by text stays.
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    first = F.min(F.struct("text", *others)).alias("first")
-    single = kept.groupBy("doc_id").agg(first).select("doc_id", "first.*").select(*docs.columns)
-    return passed.unionByName(single)
+    return ngram_join.one_of_each_class(docs, width=5, percent=80)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
