@@ -31,7 +31,8 @@ from custodia.llm.common import components, discard, free_name, marked, may_matc
 
 BLOCK = 256  # sets of a family compared at a time with as many others,
 BLOCK_SHINGLES = 250_000  # and their shingles, 8 bytes each
-GRID_ROWS, GRID_SHINGLES = 2048, 2_000_000  # the same by parities, a byte a shingle
+FIRST_SHARE = 8  # one in so many sets of a family's first block meets all other blocks
+GRID_ROWS, GRID_SHINGLES = 4096, 8_000_000  # compared at a time by parities, a byte a shingle
 MOST_PLACES = 1 << 17
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 FEW_WEAK = 1e-3
@@ -349,8 +350,8 @@ def _linked_pairs(pairs: DataFrame, numerator: int, denominator: int) -> DataFra
 def family_links(members: DataFrame, docs: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
     """Edges (a, b) between the vertices of each family. members: (family, vertex, n_shingles, doc_id), docs: (doc_id, text).
 
-    The members of a family are dealt into blocks. In the first round each block meets the family's first block, so that
-    a set is sent once, but for those of one block. In the second, the sets outside the largest component
+    The members of a family are dealt into blocks. In the first round each block meets some sets of the family's first block, so
+    that all other sets are sent once. In the second, the sets outside the largest component
     that each family has then meet all others of another component, by their parities, an eighth of the
     elements' size; what these don't rule out is compared. A task's size is bounded however large the family.
     """
@@ -366,7 +367,8 @@ def family_links(members: DataFrame, docs: DataFrame, width: int, numerator: int
         found = linked_edges(_unpacked(rows), rows["vertex"].tolist(), numerator, denominator)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    everywhere = F.explode(F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block")))
+    of_first = (F.col("block") == 0) & (F.pmod(F.xxhash64(F.lit("first"), "vertex"), F.lit(FIRST_SHARE)) == 0)
+    everywhere = F.explode(F.when(of_first, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block")))
     sent = with_elements(dealt).select("family", everywhere.alias("task"), "vertex", "elements")
     first = staged(sent.groupBy("family", "task").applyInPandas(within, EDGES), "links")
 
