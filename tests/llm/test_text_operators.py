@@ -238,6 +238,15 @@ def test_segmentations_of_odd_documents(odd, nothing):
     assert piece_nbest.segmentations(nothing, MODEL, 3).collect() == []
 
 
+def test_every_segmentation_is_decoded_for_itself():
+    """A wrong one behind the best doesn't round-trip."""
+    table = piece_nbest.Pieces(MODEL, 3)
+    best, second, third = table.best_of("the cat is née ☃")
+    wrong = array("I", array("I", second[2])[:-1]).tobytes()
+    table.best_of = lambda text: [best, (second[0], second[1] - 1, wrong), third]
+    assert [r[-1] for r in table.rows_of("the cat is née ☃")] == [True, False, True]
+
+
 def test_old_generation_of_units_gives_the_same():
     table = piece_nbest.Pieces(MODEL, 3)
     texts = [t for _, t in odd_rows() if t][:20]
