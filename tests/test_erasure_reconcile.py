@@ -86,6 +86,18 @@ def test_long_chain_and_repeated_rows(spark):
     assert sorted((int(k), d) for _, k, _, d in rows(got)) == [(5 + n, n) for n in range(20)]
 
 
+def test_tables_outside_rings_are_joined_once(spark, monkeypatch):
+    """Only the chain's table goes round by round; the children's depths are those of their nearest parents."""
+    chain = spark.range(4).select("id", (F.col("id") - 1).alias("up"))
+    children = spark.createDataFrame([(1, 0), (2, 3), (3, 2), (3, 1), (4, None)], "id int, t_id int")
+    written, write = [], erasure._written
+    monkeypatch.setattr(erasure, "_written", lambda df: written.append(df) or write(df))
+    keys = [ForeignKey("t", "up", "t", "id"), ForeignKey("b", "t_id", "t", "id")]
+    got = erasure.erasure_set({"t": Table(chain, ("id",)), "b": Table(children, ("id",))}, keys, {"t": chain.where("id = 0")})
+    assert sorted((k, d) for t, k, _, d in rows(got) if t == "b") == [("1", 1), ("2", 4), ("3", 2)]
+    assert len(written) <= 6
+
+
 def test_no_seeds(spark):
     t = Table(spark.range(3), ("id",))
     assert erasure.erasure_set({"t": t}, [], {"t": t.rows.limit(0)}).collect() == []
