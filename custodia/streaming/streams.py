@@ -95,10 +95,12 @@ def redacted(stream: DataFrame, subject: str, text: str) -> DataFrame:
 def gated(stream: DataFrame, label: str, **options) -> str:
     """Gate a stream of submissions into ``passed=true`` and ``passed=false`` folders.
 
-    One write per batch, into a folder of that batch, so a repeated batch replaces itself.
+    One write per batch, into a folder of that batch, so a repeated batch replaces itself. Both folders' files are open at
+    once: a task would sort all its rows by folder instead, whole scripts included.
     """
 
     def write(batch: DataFrame, no: int, out: str) -> None:
+        batch.sparkSession.conf.set("spark.sql.maxConcurrentOutputFileWriters", "2")
         gates.gate(batch, **options).write.mode("overwrite").partitionBy("passed").parquet(
             f"{out}/batch={no}"
         )

@@ -190,3 +190,12 @@ def test_stream_orphans_wait_for_late_parents(spark):
     lost = streams.orphans(child, parent, "parent", "id", "at", "at", "5 days", "1 day", "id")
     found = streams.run_append(lost, "orphans-test").where(F.col("at") < ends)
     assert rows(found, "id") == rows(want, "id") and found.count() > 60
+
+
+def test_gated_batches_are_not_sorted_by_folder(spark, monkeypatch, tmp_path):
+    """Writers of both folders are open at once."""
+    batch = spark.newSession().createDataFrame([(1, "x = 1\n"), (2, "import requests\n")], "script_id long, code string")
+    monkeypatch.setattr(streams, "run_batches", lambda df, label, write: write(df, 0, str(tmp_path)) or str(tmp_path))
+    out = streams.gated(batch, "test-gate")
+    assert int(batch.sparkSession.conf.get("spark.sql.maxConcurrentOutputFileWriters")) >= 2
+    assert {r["passed"] for r in spark.read.parquet(f"{out}/batch=0").select("passed").collect()} == {"true", "false"}
