@@ -12,7 +12,7 @@ from custodia.operators import corpus, gate, lineage
 from custodia.plans.pii_queries import columns_sql, pii_columns_sql
 from custodia.plans.registry import any_of, in_list, query, quoted, str_list
 from custodia.session import fresh_path
-from custodia.sources.tables import Dataset, read_scripts
+from custodia.sources.tables import Dataset, read_scripts, write_scripts
 from custodia.sources.views import with_views
 
 
@@ -429,9 +429,8 @@ def fenced_code(ds: Dataset) -> DataFrame:
 def script_files(ds: Dataset) -> DataFrame:
     """The corpus written as one file per script, and scanned again."""
     path = fresh_path(ds.spark, "scripts")
-    found = ds.view("v_submissions").where("code IS NOT NULL")
-    found.repartition("script_id").write.partitionBy("script_id").text(path)
-    files = read_scripts(ds.spark, f"{path}/script_id=*/*.txt")
+    write_scripts(ds.view("v_submissions").where("code IS NOT NULL"), path)
+    files = read_scripts(ds.spark, path)
     code = F.expr("substr(code, 1, length(code) - 1)")  # the writer closes the last line
     return files.select(
         F.regexp_extract("path", "script_id=([0-9]+)/", 1).cast("bigint").alias("script_id"),

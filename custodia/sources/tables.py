@@ -60,9 +60,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
+SHELVES = 512
+
+
+def write_scripts(scripts: DataFrame, path: str) -> None:
+    """One text file per script_id, below shelf=<n>/script_id=<id>.
+
+    Making files is the work, however few bytes they have, so the number of tasks is fixed, not taken from the bytes.
+    Every shelf is one task's, which a commit moves as a whole, and which a scan lists in a task.
+    """
+    dealt = scripts.repartition(SHELVES, "script_id").withColumn("shelf", F.spark_partition_id())
+    dealt.write.partitionBy("shelf", "script_id").text(path)
+
+
 def read_scripts(spark: SparkSession, path: str) -> DataFrame:
-    """One row per script file: whole text, with the file name as its source."""
-    files = spark.read.text(path, wholetext=True)
+    """One row per script file, in folders of any depth: whole text, with the file name as its source."""
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     return files.select(
         F.xxhash64("_metadata.file_path").alias("script_id"),
         F.col("value").alias("code"),

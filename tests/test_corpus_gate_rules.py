@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from custodia import vocab
 from custodia.functions import script as S
 from custodia.operators import corpus, gate, rules
-from custodia.sources.tables import read_scripts
+from custodia.sources.tables import read_scripts, write_scripts
 from tests.conftest import scripts
 
 JOB = '''"""Doc."""
@@ -255,6 +255,16 @@ def test_rule_and_profile_tables(spark):
     }
 
 
+def test_scripts_of_a_shelf_are_written_by_one_task(spark, tmp_path):
+    """One file per script, few folders above them, whole texts again."""
+    scripts = spark.range(40).selectExpr("id AS script_id", "'x = ' || id || '\\ny' AS code")
+    write_scripts(scripts, str(tmp_path / "out"))
+    files = list((tmp_path / "out").glob("shelf=*/script_id=*/*.txt"))
+    assert len(files) == 40
+    found = read_scripts(spark, str(tmp_path / "out")).collect()
+    assert sorted(r["code"] for r in found) == sorted(f"x = {n}\ny\n" for n in range(40))
+
+
 def test_read_scripts(spark, tmp_path):
     (tmp_path / "a.py").write_text("x = 1\ny = 2\n", encoding="utf-8")
     (tmp_path / "b.py").write_text("é = 1\n", encoding="utf-8")
