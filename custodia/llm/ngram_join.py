@@ -35,6 +35,7 @@ FIRST_SHARE = 8  # one in so many sets of a family's first block meets all other
 GRID_ROWS, GRID_SHINGLES = 4096, 8_000_000  # compared at a time by parities, a byte a shingle
 MOST_PLACES = 1 << 17
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+MOST_HELD = np.uint64((1 << 24) - 1)
 FEW_WEAK = 1e-3
 SETS = "doc_id long, n_shingles long, vertex long, nodes array<long>"
 ROWS_AT_ONCE = 200_000
@@ -140,17 +141,21 @@ def node_of(vertex: int, tag: int) -> int:
 def signatures(elements: np.ndarray, numerator: int, denominator: int) -> list[np.ndarray]:
     """The set's signatures under each of its tags.
 
-    A choice of parts in which the set has no element gives none, as unrelated sets would share it. A group with such a
-    choice is weak. A set with no more weak groups than the layout has to spare keeps the guarantee
-    without them: a group that the guarantee names is not weak. Other sets, few by the layout and short ones mostly, have
-    their least elements as signatures besides, so many that two such sets that reach the threshold share one: they differ in too
+    A choice of parts ranks by how many elements the set has in it, then by a hash of them, and a group as its least choice. A
+    set of this size differs from any partner so little that more than `spare` of the groups have a choice on which both
+    agree. So each set leaves out as many groups, those of least rank, and signs the choices that rank no lower than what
+    is left: an agreeing choice ranks the same in both, so the higher of two sets' limits is one that both
+    have signed above. What has the fewest elements, which unrelated sets share by chance, goes first. A choice without
+    elements is never signed. A set with so many of these that it can't leave them all out, short ones mostly, signs all others,
+    and its least elements besides, so many that two such sets that reach the threshold share one: they differ in too
     few elements to have none of these in common. So of a pair, either one keeps the guarantee, or both have these.
     """
     if not len(elements):
         return []
     every = []
-    for tag, largest in tags_of(len(elements), numerator, denominator):
-        out = []
+    size = len(elements)
+    for tag, largest in tags_of(size, numerator, denominator):
+        out, ranks = [], []
         low = -(-largest * numerator // denominator)
         plan = layout(max(1, low * numerator // denominator), largest, numerator, denominator)
         groups, parts = plan.groups, plan.parts
@@ -158,18 +163,23 @@ def signatures(elements: np.ndarray, numerator: int, denominator: int) -> list[n
         sums = np.zeros(groups * parts, np.uint64)
         np.add.at(sums, place, elements)
         sums = sums.reshape(groups, parts)
-        filled = np.bincount(place, minlength=groups * parts).reshape(groups, parts) > 0
+        counts = np.bincount(place, minlength=groups * parts).reshape(groups, parts).astype(np.uint64)
         first = (np.arange(groups, dtype=np.uint64) + np.uint64(1)) * _K[0] + _wrapped(tag, _K[1])
-        weak = np.zeros(groups, bool)
         for nth, choice in enumerate(plan.choices):
             kept = np.full(groups, nth + 1, np.uint64)
+            held = np.zeros(groups, np.uint64)
             for part in choice:
                 kept = mixed(kept * _K[0] + sums[:, part])
-            there = filled[:, list(choice)].any(axis=1)
-            weak |= ~there
-            out.append(mixed(kept + first)[there])
-        if weak.sum() > plan.spare:
-            least = len(elements) + 1 - -(-len(elements) * numerator // denominator)
+                held += counts[:, part]
+            ranks.append(np.where(held > 0, (np.minimum(held, MOST_HELD) << np.uint64(40)) | (kept >> np.uint64(24)), np.uint64(0)))
+            out.append(mixed(kept + first))
+        partner = min(largest, size * denominator // numerator)
+        differ = (size + partner) * (denominator - numerator) // (denominator + numerator)
+        spare = groups - differ // (parts - len(plan.choices[0]) + 1) - 1
+        limit = np.partition(np.minimum.reduce(ranks), spare)[spare]
+        out = [signed[rank >= max(limit, np.uint64(1))] for signed, rank in zip(out, ranks, strict=True)]
+        if not limit:
+            least = size + 1 - -(-size * numerator // denominator)
             out.append(mixed(elements[:least] * _K[1] + _wrapped(tag + 1, _K[3])))
         every.append(np.concatenate(out))
     return every
