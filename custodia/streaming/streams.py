@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import (
+    ArrayType,
+    BinaryType,
+    DataType,
+    LongType,
+    MapType,
+    StructField,
+    StructType,
+    TimestampType,
+)
 
 from custodia import vocab
 from custodia.functions import text as T
@@ -145,29 +159,101 @@ def token_cap(stream: DataFrame, cap: int, late: str = "40 days") -> DataFrame:
     )
 
 
+PANDAS_END = "2262-01-01"  # pandas has no times far beyond it; the watermark stays before
+MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def as_text(name: str, kind: DataType) -> Column:
+    """A value as text, from which ``from_text`` has it back; pandas would make numbers with nulls floats."""
+    if isinstance(kind, TimestampType):
+        return F.unix_micros(name).cast("string")
+    if isinstance(kind, BinaryType):
+        return F.hex(name)
+    return F.to_json(name, MICROS) if isinstance(kind, (ArrayType, MapType, StructType)) else F.col(name).cast("string")
+
+
+def from_text(name: str, kind: DataType) -> Column:
+    if isinstance(kind, TimestampType):
+        return F.timestamp_micros(F.col(name).cast("long"))
+    if isinstance(kind, BinaryType):
+        return F.unhex(name)
+    return F.from_json(name, kind, MICROS) if isinstance(kind, (ArrayType, MapType, StructType)) else F.col(name).cast(kind)
+
+
+def met(keys: pd.Series, at: np.ndarray, parent: np.ndarray, span: int) -> np.ndarray:
+    """Which rows are children that have a parent of their key, and at most the span before or after them."""
+    key = pd.factorize(keys)[0]
+    order = np.lexsort((parent, np.where(parent, at, at - span), key))
+    key, at, parent = key[order], at[order], parent[order]
+    following = np.where(parent, np.arange(len(order)), len(order) - 1)
+    following = np.minimum.accumulate(following[::-1])[::-1]  # the first parent from a child's earliest time on
+    found = np.empty(len(order), bool)
+    found[order] = ~parent & parent[following] & (key[following] == key) & (at[following] <= at + span)
+    return found
+
+
+def packed(rows: pd.DataFrame) -> bytes:
+    table, out = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def unpacked(rows: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(rows).read_all().to_pandas()
+
+
 def orphans(
     children: DataFrame, parents: DataFrame, child_key: str, parent_key: str, child_ts: str, parent_ts: str, within: str,
-    late: str, tell_apart: str, salts: int = 8,
+    late: str, tell_apart: str, salts: int = 2, groups: int = 64,
 ) -> DataFrame:
     """Children whose parent doesn't come: none with their key, and a time within the span before or after theirs.
 
     Both sides wait for the other as long as the span and the watermarks say, so the state is bounded by what comes in
-    that time. A child is given out once the watermark has passed its time and the span; what is later stays in
-    the state for the next run. A parent that comes later than that is late, and its child an orphan. Keys are salted by
-    ``tell_apart``, so that a parent with a third of the children is not one task's; parents go to every salt. Children
-    without a key name no parent and aren't listed.
+    that time. A child that has met a parent is forgotten at once, one that hasn't is given out once the watermark has passed
+    its time and the span; what is later stays in the state for the next run. A parent that comes later than that is late, and
+    its child an orphan. Children without a key name no parent and aren't listed.
+
+    The state has a row for each of ``groups`` groups of keys in each slot of twice the span, of all that the group holds, packed:
+    a join of streams has two for each child and parent. Slots, and salts by ``tell_apart``, keep a parent with a third of the
+    children from being one task's; parents go to every salt, and to the one or two slots in which a child may meet them.
     """
-    salt = F.pmod(F.xxhash64(tell_apart), F.lit(salts))
-    waiting = (
-        children.where(F.col(child_key).isNotNull())
-        .withColumns({"_child_ts": F.col(child_ts).cast("timestamp"), "_salt": salt})
-        .withWatermark("_child_ts", late)
+    span = children.sparkSession.sql(f"SELECT INTERVAL {within} AS span").first()["span"] // timedelta(microseconds=1)
+    kinds = {f"_{n}": (c, children.schema[c].dataType) for n, c in enumerate(children.columns)}
+    held = ["_key", "_micros", "_parent", *kinds]
+
+    def side(rows: DataFrame, key: str, ts: str, parent: bool, others: list[Column]) -> DataFrame:
+        timed = rows.withColumn("_ts", F.col(ts).cast("timestamp")).where(F.col(key).isNotNull() & F.col("_ts").isNotNull())
+        watched = F.least("_ts", F.lit(PANDAS_END).cast("timestamp")).alias("_at")
+        own = [F.col(key).alias("_key"), F.unix_micros("_ts").alias("_micros"), F.lit(parent).alias("_parent")]
+        return timed.select(*own, *others, watched).withWatermark("_at", late)
+
+    texts = [as_text(c, t).alias(k) for k, (c, t) in kinds.items()]
+    salt = F.pmod(F.xxhash64(tell_apart), F.lit(salts)).cast("int").alias("_salt")
+    waiting = side(children, child_key, child_ts, False, [*texts, salt]).withColumn("_slot", F.expr(f"_micros div {2 * span}"))
+    none = [F.lit(None).cast("string").alias(k) for k in kinds]
+    there = side(parents, parent_key, parent_ts, True, [*none, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")])
+    near = F.expr(f"sequence((_micros - {span}) div {2 * span}, (_micros + {span}) div {2 * span})")
+    there = there.withColumn("_slot", F.explode(near))
+
+    def settle(_, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
+        before = [unpacked(*state.get)] if state.exists else []
+        rows = pd.concat([*before, *(f[held] for f in frames if len(f))], ignore_index=True)
+        at, parent = rows["_micros"].to_numpy(), rows["_parent"].to_numpy()
+        over = at + span <= state.getCurrentWatermarkMs() * 1000
+        alone = ~met(rows["_key"], at, parent, span)
+        yield rows.loc[alone & over & ~parent, [*kinds]]
+        stays = alone & ~over
+        if not stays.any():
+            state.remove()
+            return
+        state.update((packed(rows[stays]),))
+        wait = at[stays & ~parent]
+        due = int(wait.min() if len(wait) else at[stays].max()) + span
+        state.setTimeoutTimestamp(max(1, -(-due // 1000) - 1))  # called again when the watermark is past it
+
+    grouped = waiting.union(there).withColumn("_group", F.pmod(F.xxhash64("_key"), F.lit(groups)).cast("int"))
+    lost = grouped.groupBy("_group", "_slot", "_salt").applyInPandasWithState(
+        settle, ", ".join(f"{k} string" for k in kinds), "held binary", "append", GroupStateTimeout.EventTimeTimeout
     )
-    there = parents.select(
-        F.col(parent_key).alias("_parent"), F.col(parent_ts).cast("timestamp").alias("_parent_ts")
-    ).withWatermark("_parent_ts", late)
-    there = there.withColumn("_parent_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    same = (F.col(child_key) == F.col("_parent")) & (F.col("_salt") == F.col("_parent_salt"))
-    near = F.expr(f"_parent_ts between _child_ts - interval {within} and _child_ts + interval {within}")
-    joined = waiting.join(there, same & near, "left_outer")
-    return joined.where(F.col("_parent").isNull()).select(*children.columns)
+    return lost.select(*[from_text(k, t).alias(c) for k, (c, t) in kinds.items()])

@@ -199,3 +199,46 @@ def test_gated_batches_are_not_sorted_by_folder(spark, monkeypatch, tmp_path):
     out = streams.gated(batch, "test-gate")
     assert int(batch.sparkSession.conf.get("spark.sql.maxConcurrentOutputFileWriters")) >= 2
     assert {r["passed"] for r in spark.read.parquet(f"{out}/batch=0").select("passed").collect()} == {"true", "false"}
+
+
+def test_orphans_state_is_packed(spark):
+    """State has a row for a group, not for each of 3,000 children and every copy of 2,000 parents."""
+    base = fresh_path(spark, "orphans-state")
+    day = F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(cast(id % 9 as int))")
+    spark.range(3000).select("id", (F.col("id") % 2500).alias("parent"), day.alias("at")).write.parquet(f"{base}/children")
+    spark.range(2000).select("id", day.alias("at")).write.parquet(f"{base}/parents")
+    child = streams.read_stream(spark, f"{base}/children", "id long, parent long, at timestamp_ntz")
+    parent = streams.read_stream(spark, f"{base}/parents", "id long, at timestamp_ntz")
+    lost = streams.orphans(child, parent, "parent", "id", "at", "at", "5 days", "1 day", "id")
+    run = lost.writeStream.format("noop").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert 0 < max(o["numRowsTotal"] for p in run.recentProgress for o in p["stateOperators"]) < 1000
+
+
+def test_orphans_come_back_as_they_were(spark):
+    """Every type and null, a parent at either end of the span, times that pandas doesn't have."""
+    base = fresh_path(spark, "orphans-types")
+    schema = (
+        "k long, at timestamp, n int, big long, d double, m decimal(20,3), s string, b binary, y boolean, day date,"
+        " t timestamp_ntz, l array<int>, o struct<t: timestamp_ntz, x: string>"
+    )
+    rare = "double('NaN'), 1.125BD, '', X'ff00', true, date'0001-01-01', timestamp_ntz'9999-12-31 23:59:59.123456', array(1, null), named_struct('t', timestamp_ntz'2024-01-01 00:00:00.000001', 'x', cast(null as string))"
+    none = ", ".join(["null"] * 11)
+    last = "timestamp'2024-03-01 00:00:00.000001'"
+    spark.sql(
+        f"""SELECT * FROM VALUES (1L, timestamp'2024-01-01 00:00:00.000001', 1, 9223372036854775807L, {rare}),
+        (2L, timestamp'2024-01-02', {none}), (3L, timestamp'2024-01-06', {none}), (4L, timestamp'2024-01-06', {none}),
+        (5L, timestamp'2024-01-06', {none}), (null, timestamp'2024-01-06', {none}), (6L, null, {none}), (7L, {last}, {none}),
+        (8L, timestamp'9999-01-01', {none})"""
+    ).toDF(*[f.split()[0] for f in schema.replace("struct<t: timestamp_ntz, x: string>", "struct").split(", ")]).write.parquet(f"{base}/children")
+    spark.sql(
+        """SELECT * FROM VALUES (3L, timestamp'2024-01-11'), (4L, timestamp'2024-01-01'), (5L, timestamp'2024-01-11 00:00:00.000001'),
+        (5L, timestamp'2023-12-31 23:59:59.999999'), (1L, null), (2L, timestamp'2024-03-01'), (9L, timestamp'9999-01-01')"""
+    ).toDF("k", "at").write.parquet(f"{base}/parents")
+    child = streams.read_stream(spark, f"{base}/children", schema)
+    parent = streams.read_stream(spark, f"{base}/parents", "k long, at timestamp")
+    lost = streams.orphans(child, parent, "k", "k", "at", "at", "5 days", "1 day", "k")
+    assert [(f.name, f.dataType) for f in lost.schema] == [(f.name, f.dataType) for f in child.schema]
+    want = spark.read.schema(schema).parquet(f"{base}/children").where("k in (1, 2, 5, 7)")
+    found = streams.run_append(lost, "orphans-types-out")
+    assert found.count() == 4 and found.exceptAll(want).count() == 0 and want.exceptAll(found).count() == 0
