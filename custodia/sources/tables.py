@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from custodia.sources import views
+from custodia.sources import shelves, views
 
 # Declared, never inferred: a column of another type fails at the scan, a missing one reads as
 # nulls. `Dataset.as_written` has the schema of the files, for checks against a contract.
@@ -60,27 +60,29 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
-SHELVES = 512
-
-
 def write_scripts(scripts: DataFrame, path: str) -> None:
     """One text file per script_id, below shelf=<n>/script_id=<id>.
 
     Making files is the work, however few bytes they have, so the number of tasks is fixed, not taken from the bytes.
     Every shelf is one task's, which a commit moves as a whole, and which a scan lists in a task.
     """
-    dealt = scripts.repartition(SHELVES, "script_id").withColumn("shelf", F.spark_partition_id())
+    folder = shelves.mounted(scripts.sparkSession, path)
+    if folder:
+        return shelves.write(scripts, folder)
+    dealt = scripts.repartition(shelves.SHELVES, "script_id").withColumn("shelf", F.spark_partition_id())
     dealt.write.partitionBy("shelf", "script_id").text(path)
 
 
 def read_scripts(spark: SparkSession, path: str) -> DataFrame:
     """One row per script file, in folders of any depth: whole text, with the file name as its source."""
-    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    return files.select(
-        F.xxhash64("_metadata.file_path").alias("script_id"),
-        F.col("value").alias("code"),
-        F.col("_metadata.file_path").alias("path"),
-    )
+    folder = shelves.mounted(spark, path)
+    filled = shelves.shelves_of(folder) if folder else []
+    if filled:
+        files = shelves.read(spark, filled)
+    else:
+        whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+        files = whole.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("code"))
+    return files.select(F.xxhash64("path").alias("script_id"), "code", "path")
 
 
 TEXTS = ("documents", "pages", "conversations", "part", "customer")

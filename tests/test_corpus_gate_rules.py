@@ -265,6 +265,29 @@ def test_scripts_of_a_shelf_are_written_by_one_task(spark, tmp_path):
     assert sorted(r["code"] for r in found) == sorted(f"x = {n}\ny\n" for n in range(40))
 
 
+def test_tasks_make_and_list_the_files_of_a_shelf(spark, tmp_path):
+    """Only the scripts are made, and none of them is listed by the driver; odd names and rows are as Spark writes them."""
+    rows = [("a/b=c", "x"), ("a/b=c", "y"), ("é ü%[x]{y}|^", "ä\r\n"), (None, "n"), ("", None), ("e", "")]
+    scripts = spark.createDataFrame(rows, "script_id string, code string")
+    write_scripts(scripts, str(tmp_path / "out"))
+    scripts.write.partitionBy("script_id").text(str(tmp_path / "plain"))
+    made = [f for f in (tmp_path / "out").rglob("*") if f.is_file() and f.name != "_SUCCESS"]
+    assert {f.parent.name for f in made} == {f.name for f in (tmp_path / "plain").glob("script_id=*")} and len(made) == 5
+    assert all(f.match("shelf=*/script_id=*/part-*.txt") for f in made)
+    (made[0].parent / "_hidden.txt").write_text("no")
+    found = read_scripts(spark, str(tmp_path / "out"))
+    assert found.inputFiles() == []
+    plain = spark.read.option("recursiveFileLookup", "true").text(str(tmp_path / "out"), wholetext=True)
+    want = {(r["path"], r["value"]) for r in plain.selectExpr("_metadata.file_path AS path", "value").collect()}
+    assert {(r["path"], r["code"]) for r in found.collect()} == want and len(want) == 5
+    assert sorted("".join(sorted(r["code"])) for r in found.collect()) == sorted(["\nn", "\n", "\n", "\n\n\rä", "\n\nxy"])
+
+
+def test_no_scripts_make_no_files(spark, tmp_path):
+    write_scripts(scripts(spark, "x").limit(0), str(tmp_path / "out"))
+    assert read_scripts(spark, str(tmp_path / "out")).collect() == []
+
+
 def test_read_scripts(spark, tmp_path):
     (tmp_path / "a.py").write_text("x = 1\ny = 2\n", encoding="utf-8")
     (tmp_path / "b.py").write_text("é = 1\n", encoding="utf-8")
