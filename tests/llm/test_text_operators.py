@@ -238,6 +238,18 @@ def test_segmentations_of_odd_documents(odd, nothing):
     assert piece_nbest.segmentations(nothing, MODEL, 3).collect() == []
 
 
+def test_segmentations_are_handed_out_with_their_texts(spark, monkeypatch):
+    """Every row has its own ids and what they decode to, in however many batches; the space mark comes back as a space."""
+    monkeypatch.setattr(piece_nbest, "BATCH_BYTES", 50)
+    texts = [(1, "the cat is née ☃"), (2, None), (3, ""), (None, "a▁b\nc"), (1, "  日本 "), (4, "the " * 40)]
+    rows = piece_nbest.segmentations(spark.createDataFrame(texts, "doc_id long, text string"), MODEL, 3).collect()
+    table = piece_nbest.pieces_of(MODEL, 3)
+    want = Counter((i, rank, *found) for i, t in texts for rank, found in enumerate(table.best_of(t), 1))
+    assert Counter((r["doc_id"], r["rank"], r["score"], r["n_pieces"], bytes(r["ids"])) for r in rows) == want
+    plain = Counter((i, (t or "").replace(piece_nbest.MARK, " ")) for i, t in texts for _ in table.best_of(t))
+    assert Counter((r["doc_id"], r["decoded"]) for r in rows) == plain and all(r["round_trip"] for r in rows)
+
+
 def test_every_segmentation_is_decoded_for_itself():
     """A wrong one behind the best doesn't round-trip."""
     table = piece_nbest.Pieces(MODEL, 3)
